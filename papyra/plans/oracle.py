@@ -90,3 +90,139 @@ FROM assessed""")
 
 ORACLE["omission_report"] = sql(["assessed"], """
 SELECT coalesce(omit_reason, 'kept') AS reason, count(*)::BIGINT AS n FROM assessed GROUP BY 1""")
+
+# ---- C1-C4 paragraph report, C12 collapse mode ---------------------------------------
+_URL = "'http[s]?://|www\\.\\S+'"
+_EMAIL = "'\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}\\b'"
+_PHONE = "'\\+\\d{1,3}'"
+RE2_WS_RUN = "'[" + "".join(f"\\x{{{ord(c):x}}}" for c in PY_WS) + "]+'"
+
+ORACLE["clean_paragraphs"] = sql(["articles"], f"""
+SELECT idx, len(text)::BIGINT AS n_in,
+  len(list_filter(text, lambda p: regexp_matches(p, {_URL})))::BIGINT AS n_url,
+  len(list_filter(text, lambda p: NOT regexp_matches(p, {_URL}) AND regexp_matches(p, {_EMAIL})))::BIGINT AS n_email,
+  len(list_filter(text, lambda p: NOT regexp_matches(p, {_URL}) AND NOT regexp_matches(p, {_EMAIL})
+                                  AND regexp_matches(p, {_PHONE})))::BIGINT AS n_phone,
+  len(kept)::BIGINT AS n_kept,
+  len(list_filter(kept, lambda p: p = ''))::BIGINT AS n_emptied,
+  coalesce(list_sum(list_transform(kept, lambda p: length(p))), 0)::BIGINT AS kept_chars
+FROM (SELECT idx, text, list_transform(list_filter(text, lambda p: p IS NOT NULL AND {_KEEP}),
+                                      lambda p: {_CLEAN_P}) AS kept FROM articles)""")
+
+_COLLAPSE_P = f"trim(regexp_replace(p, {RE2_WS_RUN}, ' ', 'g'), {PYWS_SQL})"
+_COLLAPSE_T = (f"CASE WHEN teaser IS NULL OR teaser = '' THEN teaser "
+               f"ELSE trim(regexp_replace(replace(teaser, '+++', ''), {RE2_WS_RUN}, ' ', 'g'), {PYWS_SQL}) END")
+ORACLE["clean_collapse_ws"] = sql(["articles"], f"""
+SELECT idx, article_id,
+       '<TITLE>: ' || title || {NL} || '<TEASER>: ' || coalesce(tc, 'None') || {NL} || '<TEXT>: ' || xc AS x
+FROM (SELECT *, {_COLLAPSE_T} AS tc,
+             array_to_string(list_transform(list_filter(text, lambda p: p IS NOT NULL AND {_KEEP}),
+                                            lambda p: {_COLLAPSE_P}), ' ') AS xc FROM articles)
+WHERE NOT (idx IS NULL OR idx = 0 OR article_id IS NULL OR article_id = '' OR title IS NULL
+           OR title = '' OR xc IS NULL OR xc = '')""")
+
+# ---- S1 raw JSONL scan ------------------------------------------------------------------
+ORACLE["raw_text_kinds"] = f"""
+SELECT CASE WHEN n > 2 THEN 'ARRAY<STRING>' WHEN n = 2 THEN 'STRING' ELSE 'VOID' END AS text_kind,
+       count(*)::BIGINT AS n
+FROM (SELECT len(string_split(text, {NL})) AS n FROM documents) GROUP BY 1"""
+ORACLE["raw_samples"] = ORACLE["training_samples"]
+
+# ---- E1-E9 page extraction --------------------------------------------------------------
+_ENT = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
+        ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def _inline(x: str) -> str:
+    s = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    for a, b in _ENT:
+        s = f"replace({s}, '{a}', '{b}')"
+    return f"trim(regexp_replace({s}, '[ \\t\\n\\r\\f]+', ' ', 'g'))"
+
+
+def _block(x: str, tag: str) -> str:
+    return f"regexp_extract({x}, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}>', 1)"
+
+
+def _block_cls(x: str, cls: str) -> str:
+    return (f"regexp_extract({x}, '(?is)<\\w+\\b[^>]*class=\"[^\"]*\\b{cls}\\b[^\"]*\"[^>]*>(.*?)</\\w+>', 1)")
+
+
+def _nullif(x: str) -> str:
+    return f"nullif({x}, '')"
+
+
+CTE["page_articles"] = f"""
+pg AS (
+  SELECT page_id, url,
+         regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g') AS h
+  FROM pages
+),
+pg2 AS (
+  SELECT page_id, url, h,
+         CASE WHEN regexp_matches(h, '(?is)<article\\b')
+              THEN regexp_replace({_block('h', 'article')}, '(?is)<h1\\b.*?</h1>', '', 'g') END AS body
+  FROM pg
+),
+page_articles AS (
+  SELECT page_id, url,
+         {_nullif(_inline(_block('h', 'h1')))} AS title,
+         strftime(try_strptime(trim(coalesce({_nullif(_inline(_block_cls('h', 'date')))},
+                                             {_nullif(_inline(_block('h', 'time')))})), '%d.%m.%Y'), '%Y%m%d') AS date_raw,
+         {_nullif(_inline(_block_cls('h', 'category')))} AS category,
+         {_nullif(_inline(_block_cls('h', 'teaser')))} AS teaser,
+         CASE WHEN body IS NULL THEN NULL
+              WHEN regexp_matches(body, '(?i)<p(\\s[^>]*)?>') THEN 'array' ELSE 'string' END AS text_kind,
+         CASE WHEN body IS NOT NULL AND regexp_matches(body, '(?i)<p(\\s[^>]*)?>') THEN
+           list_filter(list_transform(string_split_regex(body, '(?i)<p(?:\\s[^>]*)?>|</p>|<br\\s*/?>'),
+                                      lambda x: {_inline('x')}), lambda x: x <> '') END AS paragraphs,
+         body
+  FROM pg2
+)"""
+
+ORACLE["page_articles"] = sql(["page_articles"], f"""
+SELECT page_id, url, title, date_raw, category, teaser, text_kind,
+       len(paragraphs)::BIGINT AS n_paragraphs, array_to_string(paragraphs, {NL}) AS body,
+       CASE WHEN text_kind = 'string' THEN nullif(trim(body), '') END AS body_text
+FROM page_articles""")
+
+ORACLE["page_paragraphs"] = sql(["page_articles"], """
+SELECT page_id, (generate_subscripts(paragraphs, 1) - 1)::BIGINT AS pos, unnest(paragraphs) AS paragraph
+FROM page_articles""")
+
+
+def _urljoin(base: str, href: str) -> str:
+    scheme = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)"
+    auth = f"regexp_extract({base}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+    path = f"regexp_extract({base}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+    query = f"regexp_extract({base}, '^[^?#]*(\\?[^#]*)', 1)"
+    origin = f"({scheme} || '://' || {auth})"
+    bdir = f"regexp_replace(CASE WHEN {path} = '' THEN '/' ELSE {path} END, '[^/]*$', '')"
+    return (f"CASE WHEN regexp_matches({href}, '^([A-Za-z][A-Za-z0-9+.-]*):') THEN {href} "
+            f"WHEN starts_with({href}, '//') THEN {scheme} || ':' || {href} "
+            f"WHEN starts_with({href}, '/') THEN {origin} || {href} "
+            f"WHEN starts_with({href}, '?') THEN {origin} || {path} || {href} "
+            f"WHEN starts_with({href}, '#') THEN {origin} || {path} || {query} || {href} "
+            f"WHEN {href} = '' THEN {base} ELSE {origin} || {bdir} || {href} END")
+
+
+ORACLE["page_links"] = f"""
+WITH e AS (
+  SELECT page_id, url, unnest(ents) AS entry, (generate_subscripts(ents, 1) - 1)::BIGINT AS pos
+  FROM (SELECT page_id, url,
+               regexp_extract_all(regexp_extract(html, '(?is)<nav\\b[^>]*>(.*?)</nav>', 1),
+                                  '(?is)<li\\b[^>]*>(.*?)</li>', 1) AS ents FROM pages)
+), l AS (
+  SELECT page_id, url, pos, entry, regexp_extract(entry, '(?is)<a\\b[^>]*href="([^"]*)"', 1) AS href
+  FROM e WHERE pos < 200 AND regexp_matches(entry, '(?is)<a\\b[^>]*href="([^"]*)"')
+)
+SELECT page_id, pos, {_inline("regexp_extract(entry, '(?is)<a\\b[^>]*href=\"[^\"]*\"[^>]*>(.*?)</a>', 1)")} AS title,
+       href, {_urljoin('url', 'href')} AS link
+FROM l"""
+
+ORACLE["date_normalise"] = """
+SELECT event_id, date_text, strftime(try_strptime(trim(date_text), '%d.%m.%Y'), '%Y%m%d') AS date_raw,
+       CASE WHEN date_text IS NOT NULL AND try_strptime(trim(date_text), '%d.%m.%Y') IS NULL THEN 1 ELSE 0 END
+         AS date_malformed
+FROM (SELECT event_id, lpad(CAST(day(ts) AS VARCHAR), 2, '0') || '.' || CAST(month(ts) AS VARCHAR) || '.'
+             || CAST(year(ts) AS VARCHAR) AS date_text FROM events)"""

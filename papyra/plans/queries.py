@@ -41,3 +41,73 @@ def q_clean_articles(spark, sf_dir):
 @register("omission_report")
 def q_omission_report(spark, sf_dir):
     return clean.omission_report(views.articles(spark, sf_dir))
+
+
+@register("clean_paragraphs")
+def q_clean_paragraphs(spark, sf_dir):
+    return clean.paragraph_report(views.articles(spark, sf_dir))
+
+
+@register("clean_collapse_ws")
+def q_clean_collapse_ws(spark, sf_dir):
+    return clean.training_samples(views.articles(spark, sf_dir), ws_mode="collapse")
+
+
+# ---- sources -----------------------------------------------------------------------
+
+@register("raw_text_kinds")
+def q_raw_text_kinds(spark, sf_dir):
+    """Raw JSONL (derived from documents) written, scanned back with a VARIANT body."""
+    from papyra.session import scratch_path
+    from papyra.sources.readers import read_raw_articles, text_kind, well_formed
+    path = scratch_path(spark, "raw-articles")
+    views.raw_article_json(spark, sf_dir).write.mode("overwrite").text(path)
+    raw = well_formed(read_raw_articles(spark, path))
+    return raw.groupBy(text_kind(F.col("text")).alias("text_kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("raw_samples")
+def q_raw_samples(spark, sf_dir):
+    """S1 -> C1-C11: training samples from the scanned raw JSONL (string bodies as lines)."""
+    from papyra.session import scratch_path
+    from papyra.sources.readers import normalise_text, read_raw_articles, well_formed
+    path = scratch_path(spark, "raw-articles")
+    views.raw_article_json(spark, sf_dir).write.mode("overwrite").text(path)
+    raw = normalise_text(well_formed(read_raw_articles(spark, path)), body_mode="lines")
+    return clean.training_samples(raw)
+
+
+# ---- page extraction (E1-E9) -------------------------------------------------------
+
+def _pages(spark, sf_dir):
+    from papyra.sources.readers import read_table
+    return read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+
+
+@register("page_articles")
+def q_page_articles(spark, sf_dir):
+    from papyra.operators.extract import page_articles
+    a = page_articles(_pages(spark, sf_dir))
+    return a.select("page_id", "url", "title", "date_raw", "category", "teaser", "text_kind",
+                    F.size("paragraphs").cast("bigint").alias("n_paragraphs"),
+                    F.array_join("paragraphs", "\n").alias("body"), "body_text")
+
+
+@register("page_paragraphs")
+def q_page_paragraphs(spark, sf_dir):
+    from papyra.operators.extract import page_articles, page_paragraphs
+    return page_paragraphs(page_articles(_pages(spark, sf_dir)))
+
+
+@register("page_links")
+def q_page_links(spark, sf_dir):
+    from papyra.operators.extract import listing_links
+    return listing_links(_pages(spark, sf_dir), max_n=200)
+
+
+@register("date_normalise")
+def q_date_normalise(spark, sf_dir):
+    from papyra.functions.dates import malformed_date, normalise_date
+    d = views.dates(spark, sf_dir)
+    return d.select("event_id", "date_text", normalise_date(F.col("date_text")).alias("date_raw"),
+                    malformed_date(F.col("date_text")).alias("date_malformed"))
