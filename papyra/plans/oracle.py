@@ -226,3 +226,73 @@ SELECT event_id, date_text, strftime(try_strptime(trim(date_text), '%d.%m.%Y'),
          AS date_malformed
 FROM (SELECT event_id, lpad(CAST(day(ts) AS VARCHAR), 2, '0') || '.' || CAST(month(ts) AS VARCHAR) || '.'
              || CAST(year(ts) AS VARCHAR) AS date_text FROM events)"""
+
+# ---- D1-D8 dataset ---------------------------------------------------------------------
+TOKEN_RE = "'[a-zà-ÿ0-9]+'"
+VOCAB_K = 50257 - 2
+UNK_ID = 50255
+
+CTE["split"] = f"""
+ranked AS (
+  SELECT *, (row_number() OVER (ORDER BY md5('{DEFAULT_SEED}:' || CAST(idx AS VARCHAR)), idx) - 1)::BIGINT AS rank,
+         ceil(0.1 * count(*) OVER ()) AS n_eval
+  FROM samples
+),
+split AS (
+  SELECT idx, article_id, x, CASE WHEN rank < n_eval THEN 'eval' ELSE 'train' END AS split, rank,
+         (CASE WHEN rank < n_eval THEN rank ELSE rank - n_eval END)::BIGINT AS split_rank
+  FROM ranked
+)"""
+CTE["vocab"] = f"""
+vocab AS (
+  SELECT tok, cnt, (row_number() OVER (ORDER BY cnt DESC, tok) - 1)::BIGINT AS id
+  FROM (SELECT tok, count(*)::BIGINT AS cnt
+        FROM (SELECT unnest(regexp_extract_all(lower(text), {TOKEN_RE})) AS tok FROM documents) GROUP BY tok)
+  QUALIFY id < {VOCAB_K}
+)"""
+CTE["tokenized"] = f"""
+tok_pos AS (
+  SELECT idx, split, split_rank, unnest(t) AS tok, generate_subscripts(t, 1) AS k
+  FROM (SELECT idx, split, split_rank, regexp_extract_all(lower(x), {TOKEN_RE}) AS t FROM split)
+),
+tokenized AS (
+  SELECT s.idx, s.split, s.split_rank,
+         coalesce(list(coalesce(v.id, {UNK_ID}) ORDER BY p.k) FILTER (WHERE p.k IS NOT NULL), []) AS ids
+  FROM split s LEFT JOIN tok_pos p ON p.idx = s.idx LEFT JOIN vocab v ON v.tok = p.tok
+  GROUP BY s.idx, s.split, s.split_rank
+)"""
+DEPS.update({"split": ["samples"], "tokenized": ["split", "vocab"]})
+
+ORACLE["incremental_new_docs"] = sql(["articles"], """
+SELECT idx, article_id, title,
+       CASE WHEN CAST(article_id AS BIGINT) > (SELECT max(doc_id) FROM labels) THEN 1 ELSE 0 END AS newer_than_marker
+FROM articles WHERE article_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)""")
+
+ORACLE["train_eval_split"] = sql(["split"], "SELECT idx, article_id, split, rank, split_rank FROM split")
+ORACLE["split_sizes"] = sql(["split"], "SELECT split, count(*)::BIGINT AS n FROM split GROUP BY split")
+ORACLE["vocab_topk"] = sql(["vocab"], "SELECT tok, cnt, id FROM vocab")
+ORACLE["tokenized_samples"] = sql(["tokenized"], f"""
+SELECT idx, split, len(ids)::BIGINT AS n_tokens, len(list_filter(ids, lambda i: i = {UNK_ID}))::BIGINT AS n_unk,
+       coalesce(list_sum(list_transform(ids, lambda i, k: i::BIGINT * k)), 0)::BIGINT AS id_checksum,
+       ids[1]::BIGINT AS first_id
+FROM tokenized""")
+ORACLE["truncation_stats"] = sql(["tokenized"], """
+SELECT split, count(*)::BIGINT AS n, sum(CASE WHEN len(ids) > 512 THEN 1 ELSE 0 END)::BIGINT AS n_truncated,
+       round(avg(len(ids)), 6) AS avg_len_raw, round(avg(least(len(ids), 512)), 6) AS avg_len,
+       max(len(ids))::BIGINT AS max_len_raw
+FROM tokenized GROUP BY split""")
+ORACLE["collated_batches"] = sql(["tokenized"], """
+SELECT idx, split, batch_id, seq_len, batch_len, (batch_len - seq_len)::BIGINT AS n_pad,
+       seq_len AS n_label_tokens, seq_len AS mask_sum
+FROM (SELECT idx, split, (split_rank // 8)::BIGINT AS batch_id, least(len(ids), 512)::BIGINT AS seq_len,
+             max(least(len(ids), 512)) OVER (PARTITION BY split, split_rank // 8)::BIGINT AS batch_len
+      FROM tokenized)""")
+ORACLE["step_assignment"] = sql(["split"], """
+SELECT epoch, idx, micro, step FROM (
+  SELECT epoch, idx, (epoch * n + r)::BIGINT AS micro, ((epoch * n + r) // 8 + 1)::BIGINT AS step,
+         10 * (n // 8) AS max_steps
+  FROM (SELECT e.epoch::BIGINT AS epoch, t.idx,
+               row_number() OVER (PARTITION BY e.epoch ORDER BY md5('42:' || e.epoch || ':' || t.idx), t.idx) - 1 AS r,
+               count(*) OVER (PARTITION BY e.epoch) AS n
+        FROM (SELECT idx FROM split WHERE split = 'train') t, range(10) e(epoch)))
+WHERE step <= max_steps""")

@@ -111,3 +111,93 @@ def q_date_normalise(spark, sf_dir):
     d = views.dates(spark, sf_dir)
     return d.select("event_id", "date_text", normalise_date(F.col("date_text")).alias("date_raw"),
                     malformed_date(F.col("date_text")).alias("date_malformed"))
+
+
+# ---- dataset building (D1-D8) -------------------------------------------------------
+
+def _samples(spark, sf_dir):
+    return clean.training_samples(views.articles(spark, sf_dir))
+
+
+def _split(spark, sf_dir):
+    from papyra.operators.dataset import train_eval_split
+    return train_eval_split(_samples(spark, sf_dir), seed=42, test_size=0.1)
+
+
+def _vocab(spark, sf_dir):
+    from papyra.operators.dataset import vocabulary
+    from papyra.sources.readers import read_table
+    return vocabulary(read_table(spark, sf_dir, "documents", "text"))
+
+
+@register("incremental_new_docs")
+def q_incremental_new_docs(spark, sf_dir):
+    """Landed articles not stored yet (stored = articles already labelled)."""
+    from papyra.operators.dataset import new_records, newest_marker
+    from papyra.sources.readers import read_table
+    batch = views.articles(spark, sf_dir).select("idx", "article_id", "title")
+    stored = read_table(spark, sf_dir, "labels", "doc_id").select(
+        F.col("doc_id").cast("string").alias("article_id"))
+    marker = newest_marker(stored)
+    new = new_records(batch, stored)
+    return new.withColumn("newer_than_marker",
+                          (F.col("article_id").cast("bigint") > F.lit(marker)).cast("int"))
+
+
+@register("train_eval_split")
+def q_train_eval_split(spark, sf_dir):
+    return _split(spark, sf_dir).select("idx", "article_id", "split", "rank", "split_rank")
+
+
+@register("split_sizes")
+def q_split_sizes(spark, sf_dir):
+    from papyra.operators.dataset import split_sizes
+    return split_sizes(_split(spark, sf_dir))
+
+
+@register("vocab_topk")
+def q_vocab_topk(spark, sf_dir):
+    return _vocab(spark, sf_dir)
+
+
+def _tokenized(spark, sf_dir):
+    from papyra.operators.dataset import tokenize
+    return tokenize(_split(spark, sf_dir).select("idx", "split", "split_rank", "x"), _vocab(spark, sf_dir))
+
+
+@register("tokenized_samples")
+def q_tokenized_samples(spark, sf_dir):
+    from papyra.operators.dataset import EOS_ID
+    t = _tokenized(spark, sf_dir)
+    ids = F.col("input_ids")
+    return t.select(
+        "idx", "split", F.size(ids).cast("bigint").alias("n_tokens"),
+        F.size(F.filter(ids, lambda i: i == EOS_ID - 1)).cast("bigint").alias("n_unk"),
+        F.aggregate(F.transform(ids, lambda i, k: i.cast("bigint") * (k + 1)), F.lit(0).cast("bigint"),
+                    lambda a, v: a + v).alias("id_checksum"),
+        F.element_at(ids, 1).cast("bigint").alias("first_id"))
+
+
+@register("truncation_stats")
+def q_truncation_stats(spark, sf_dir):
+    from papyra.operators.dataset import truncation_stats
+    return truncation_stats(_tokenized(spark, sf_dir), 512)
+
+
+@register("collated_batches")
+def q_collated_batches(spark, sf_dir):
+    from papyra.operators.dataset import LABEL_PAD, collate, truncate
+    c = collate(truncate(_tokenized(spark, sf_dir), 512), batch_size=8)
+    return c.select(
+        "idx", "split", "batch_id", F.col("seq_len").cast("bigint").alias("seq_len"),
+        F.col("batch_len").cast("bigint").alias("batch_len"),
+        F.size(F.filter("labels", lambda v: v == LABEL_PAD)).cast("bigint").alias("n_pad"),
+        F.size(F.filter("labels", lambda v: v != LABEL_PAD)).cast("bigint").alias("n_label_tokens"),
+        F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("mask_sum"))
+
+
+@register("step_assignment")
+def q_step_assignment(spark, sf_dir):
+    from papyra.operators.dataset import step_assignment
+    train = _split(spark, sf_dir).where(F.col("split") == "train").select("idx")
+    return step_assignment(train, epochs=10, accum=8, seed=42)
