@@ -296,3 +296,195 @@ SELECT epoch, idx, micro, step FROM (
                count(*) OVER (PARTITION BY e.epoch) AS n
         FROM (SELECT idx FROM split WHERE split = 'train') t, range(10) e(epoch)))
 WHERE step <= max_steps""")
+
+# ---- J1-J3, V1-V10, A1-A7 ----------------------------------------------------------------
+CTE["qna"] = """
+qna AS (
+  SELECT u.conv_id * 1000 + u.turn AS id, u.text AS question, a.text AS answer
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'
+)"""
+CTE["predictions"] = f"""
+predictions AS (
+  SELECT m.model, q.id,
+         'Q: ' || q.question || {NL} || 'A: ' ||
+         CASE m.model_pos WHEN 0 THEN q.question WHEN 1 THEN q.answer
+              ELSE substr(q.answer, 1, floor(length(q.answer) / 2)::INT) END || {NL} || 'Q: next' AS full_text
+  FROM qna q CROSS JOIN models m
+)"""
+
+
+def _extract(t: str) -> str:
+    return (f"split_part(trim(CASE WHEN position('A:' IN {t}) > 0 THEN substr({t}, position('A:' IN {t}) + 2) "
+            f"ELSE {t} END, {PYWS_SQL}), {NL}, 1)")
+
+
+CTE["grid"] = f"""
+grid AS (
+  SELECT m.model, m.model_pos, q.id, q.question, q.answer AS reference,
+         'Q: ' || q.question || {NL} || 'A:' AS prompt, {_extract('p.full_text')} AS prediction
+  FROM qna q CROSS JOIN models m LEFT JOIN predictions p ON p.model = m.model AND p.id = q.id
+)"""
+CTE["lm"] = f"""
+doc_tok AS (SELECT unnest(regexp_extract_all(lower(text), {TOKEN_RE})) AS tok FROM documents),
+base_uni AS (SELECT tok, count(*) AS c_doc FROM doc_tok GROUP BY tok),
+base_tot AS (SELECT sum(c_doc) AS n_doc, count(*) + 1 AS v_doc FROM base_uni),
+train_seq AS (SELECT regexp_extract_all(lower(x), {TOKEN_RE}) AS t FROM split WHERE split = 'train'),
+train_pos AS (SELECT unnest(t) AS tok, unnest(list_prepend('<s>', t[1:len(t) - 1])) AS prev
+              FROM train_seq WHERE len(t) > 0),
+train_bi AS (SELECT prev, tok, count(*) AS c_bi FROM train_pos GROUP BY prev, tok),
+train_uni AS (SELECT tok, sum(c_bi) AS c_tr FROM train_bi GROUP BY tok),
+train_prev AS (SELECT prev, sum(c_bi) AS c_prev FROM train_bi GROUP BY prev),
+train_tot AS (SELECT sum(c_tr) AS n_tr, count(*) + 1 AS v_tr FROM train_uni)"""
+DEPS.update({"predictions": ["qna", "models"], "grid": ["predictions"], "lm": ["split"]})
+
+
+def _scored(pos_cte: str, keys: str) -> str:
+    """(model, keys, pos, lp) of a positions CTE (keys, pos, prev, tok) under the three variants."""
+    pb = "((coalesce(bu.c_doc, 0) + 1.0) / (bt.n_doc + bt.v_doc))"
+    pu = "((coalesce(tu.c_tr, 0) + 1.0) / (tt.n_tr + tt.v_tr))"
+    pi = "((coalesce(tb.c_bi, 0) + 1.0) / (coalesce(tp.c_prev, 0) + tt.v_tr))"
+    return f"""
+  SELECT m.model, {keys}, s.pos,
+         CASE m.model WHEN 'base' THEN lp_base WHEN 'FT-M1B' THEN lp_m1b ELSE lp_full END AS lp
+  FROM (SELECT {keys}, pos, ln({pb}) AS lp_base, ln(0.5 * {pu} + 0.5 * {pb}) AS lp_m1b,
+               ln(0.5 * {pi} + 0.5 * {pb}) AS lp_full
+        FROM {pos_cte} LEFT JOIN base_uni bu USING (tok) LEFT JOIN train_uni tu USING (tok)
+             LEFT JOIN train_bi tb USING (prev, tok) LEFT JOIN train_prev tp USING (prev)
+             CROSS JOIN base_tot bt CROSS JOIN train_tot tt) s CROSS JOIN models m"""
+
+
+def _positions(src: str, keys: str, arr: str) -> str:
+    return f"""
+  SELECT {keys}, unnest(seq) AS tok, unnest(list_prepend('<s>', seq[1:len(seq) - 1])) AS prev,
+         unnest(generate_series(0, len(seq) - 1)) AS pos
+  FROM (SELECT {keys}, {arr} AS seq FROM {src}) WHERE len(seq) > 0"""
+
+
+CTE["tlp"] = f"""
+qseq AS (SELECT id, len(regexp_extract_all(lower(question), {TOKEN_RE})) AS prompt_len, question, answer FROM qna),
+qpos AS ({_positions('qseq', 'id, prompt_len', f"list_concat(regexp_extract_all(lower(question), {TOKEN_RE}), regexp_extract_all(lower(answer), {TOKEN_RE}))")}),
+tlp AS ({_scored('qpos', 'id, prompt_len')}),
+nll AS (
+  SELECT model, id, avg(CASE WHEN pos >= prompt_len THEN -lp END) AS nll, avg(-lp) AS nll_full,
+         sum(CASE WHEN pos >= prompt_len THEN 1 ELSE 0 END)::BIGINT AS n_answer_tokens
+  FROM tlp GROUP BY model, id
+)"""
+DEPS["tlp"] = ["lm", "qna", "models"]
+
+
+def _vec(tok: str) -> str:
+    return f"(('0x' || substr(md5({tok}), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings))"
+
+
+CTE["bert"] = f"""
+emb AS (
+  SELECT vec_id, list_transform(e, lambda x: x / nrm) AS u
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS e,
+               sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS nrm FROM embeddings)
+),
+bs_side AS (
+  SELECT model, id, side, {_vec('tok')} AS vec, count(*) AS cnt FROM (
+    SELECT model, id, 'p' AS side, unnest(regexp_extract_all(lower(prediction), {TOKEN_RE})) AS tok FROM grid
+    UNION ALL
+    SELECT model, id, 'r' AS side, unnest(regexp_extract_all(lower(reference), {TOKEN_RE})) AS tok FROM grid)
+  GROUP BY ALL
+),
+pairs_cos AS (
+  SELECT p.model, p.id, p.vec AS pv, p.cnt AS pc, r.vec AS rv, r.cnt AS rc, list_dot_product(ep.u, er.u) AS cos
+  FROM bs_side p JOIN bs_side r ON p.model = r.model AND p.id = r.id AND p.side = 'p' AND r.side = 'r'
+  JOIN emb ep ON ep.vec_id = p.vec JOIN emb er ON er.vec_id = r.vec
+),
+bp AS (SELECT model, id, sum(pc * m) / sum(pc) AS bp
+       FROM (SELECT model, id, pv, pc, max(cos) AS m FROM pairs_cos GROUP BY ALL) GROUP BY ALL),
+br AS (SELECT model, id, sum(rc * m) / sum(rc) AS br
+       FROM (SELECT model, id, rv, rc, max(cos) AS m FROM pairs_cos GROUP BY ALL) GROUP BY ALL),
+bert AS (
+  SELECT g.model, g.id, coalesce(bp.bp, 0) AS bert_p, coalesce(br.br, 0) AS bert_r,
+         CASE WHEN coalesce(bp.bp, 0) + coalesce(br.br, 0) = 0 THEN 0.0
+              ELSE 2 * bp.bp * br.br / (bp.bp + br.br) END AS bert_f1
+  FROM grid g LEFT JOIN bp ON bp.model = g.model AND bp.id = g.id LEFT JOIN br ON br.model = g.model AND br.id = g.id
+)"""
+DEPS["bert"] = ["grid"]
+
+CTE["summary"] = """
+results AS (
+  SELECT g.model, g.model_pos, g.id, n.nll, b.bert_p, b.bert_r, b.bert_f1
+  FROM grid g LEFT JOIN bert b ON b.model = g.model AND b.id = g.id
+       LEFT JOIN nll n ON n.model = g.model AND n.id = g.id
+),
+summary AS (
+  SELECT model, model_pos, avg(CASE WHEN isnan(nll) THEN NULL ELSE nll END) AS nll,
+         avg(bert_p) AS bert_p, avg(bert_r) AS bert_r, avg(bert_f1) AS bert_f1
+  FROM results GROUP BY model, model_pos
+),
+marked AS (
+  SELECT *, (abs(nll - min(nll) OVER ()) < 1e-12)::INT AS best_nll,
+         (abs(bert_p - max(bert_p) OVER ()) < 1e-12)::INT AS best_bert_p,
+         (abs(bert_r - max(bert_r) OVER ()) < 1e-12)::INT AS best_bert_r,
+         (abs(bert_f1 - max(bert_f1) OVER ()) < 1e-12)::INT AS best_bert_f1
+  FROM summary
+)"""
+DEPS["summary"] = ["grid", "bert", "tlp"]
+
+ORACLE["prompt_grid"] = sql(["models"], f"""
+SELECT m.model, m.model_pos, b.item_id AS prompt_pos, trim(split_part(b.text, {NL}, 1), {PYWS_SQL}) AS prompt
+FROM benchmark b CROSS JOIN models m""")
+ORACLE["qna_grid"] = sql(["grid"], "SELECT model, model_pos, id, question, reference, prompt, prediction FROM grid")
+ORACLE["missing_predictions"] = sql(["predictions"], """
+SELECT m.model, m.model_pos, q.id FROM qna q CROSS JOIN models m
+WHERE NOT EXISTS (SELECT 1 FROM predictions p WHERE p.model = m.model AND p.id = q.id)""")
+ORACLE["extract_answer"] = sql(["predictions"], f"SELECT model, id, {_extract('full_text')} AS prediction FROM predictions")
+ORACLE["masked_nll"] = sql(["tlp"], """
+SELECT model, id, round(nll, 6) AS nll, round(nll_full, 6) AS nll_full, n_answer_tokens FROM nll""")
+ORACLE["perplexity_by_lang"] = sql(["lm"], f"""
+SELECT lang, n_tokens, round(nll, 6) AS nll, round(CASE WHEN nll <> 0 THEN exp(nll) END, 6) AS perplexity
+FROM (SELECT lang, sum(n)::BIGINT AS n_tokens,
+             sum(n * -ln((coalesce(bu.c_doc, 0) + 1.0) / (bt.n_doc + bt.v_doc))) / sum(n) AS nll
+      FROM (SELECT lang, tok, count(*) AS n FROM
+              (SELECT lang, unnest(regexp_extract_all(lower(text), {TOKEN_RE})) AS tok FROM documents)
+            GROUP BY lang, tok) c
+      LEFT JOIN base_uni bu USING (tok) CROSS JOIN base_tot bt GROUP BY lang)""")
+ORACLE["bertscore_pairs"] = sql(["bert"], """
+SELECT model, id, round(bert_p, 6) AS bert_p, round(bert_r, 6) AS bert_r, round(bert_f1, 6) AS bert_f1 FROM bert""")
+ORACLE["bertscore_corpus"] = sql(["bert"], """
+SELECT model, round(avg(bert_p), 6) AS bert_p, round(avg(bert_r), 6) AS bert_r, round(avg(bert_f1), 6) AS bert_f1
+FROM bert GROUP BY model""")
+ORACLE["ngram_lm_nll"] = sql(["lm", "models"], f"""
+WITH_BPOS
+SELECT model, item_id, count(*)::BIGINT AS n_tokens, round(avg(-lp), 6) AS nll FROM bscored GROUP BY model, item_id""")
+ORACLE["ngram_lm_nll"] = ORACLE["ngram_lm_nll"].replace("WITH_BPOS\n", "").replace(
+    "\nSELECT model, item_id", f""",
+bpos AS ({_positions('benchmark', 'item_id', f"regexp_extract_all(lower(text), {TOKEN_RE})")}),
+bscored AS ({_scored('bpos', 'item_id')})
+SELECT model, item_id""", 1)
+ORACLE["lm_variant_nll"] = sql(["lm", "models"], f""",
+epos AS ({_positions("(SELECT idx, x FROM split WHERE split = 'eval')", 'idx', f"regexp_extract_all(lower(x), {TOKEN_RE})")}),
+escored AS ({_scored('epos', 'idx')})
+SELECT model, count(*)::BIGINT AS n_tokens, round(avg(-lp), 6) AS nll,
+       round(CASE WHEN avg(-lp) <> 0 THEN exp(avg(-lp)) END, 6) AS perplexity
+FROM escored GROUP BY model""")
+ORACLE["eval_summary"] = sql(["summary"], """
+SELECT model, model_pos, round(nll, 6) AS nll, round(bert_p, 6) AS bert_p, round(bert_r, 6) AS bert_r,
+       round(bert_f1, 6) AS bert_f1 FROM summary""")
+ORACLE["eval_summary_sorted"] = sql(["summary"], """
+SELECT model, round(bert_p, 4) AS bert_p, round(bert_r, 4) AS bert_r, round(bert_f1, 4) AS bert_f1,
+       row_number() OVER (ORDER BY round(bert_p, 4), model)::BIGINT AS sort_rank FROM summary""")
+ORACLE["best_marks"] = sql(["summary"], """
+SELECT model, model_pos, round(nll, 6) AS nll, round(bert_p, 6) AS bert_p, round(bert_r, 6) AS bert_r,
+       round(bert_f1, 6) AS bert_f1, best_nll, best_bert_p, best_bert_r, best_bert_f1 FROM marked""")
+
+
+def _cell(m: str) -> str:
+    return (f"CASE WHEN best_{m} = 1 THEN '**' || printf('%.4f', {m}) || '**' ELSE printf('%.4f', {m}) END "
+            f"AS {m}_cell")
+
+
+ORACLE["summary_cells"] = sql(["summary"], f"""
+SELECT model, model_pos, {_cell('nll')}, {_cell('bert_p')}, {_cell('bert_r')}, {_cell('bert_f1')} FROM marked""")
+ORACLE["generations_by_prompt"] = sql(["models"], f"""
+SELECT b.item_id AS prompt_pos, trim(split_part(b.text, {NL}, 1), {PYWS_SQL}) AS prompt, count(*)::BIGINT AS n_models,
+       string_agg('[' || m.model || '] ' ||
+                  array_to_string(list_slice(string_split(b.text, {NL}), 1, m.model_pos + 1), ' '),
+                  {NL} ORDER BY m.model_pos) AS outputs
+FROM benchmark b CROSS JOIN models m GROUP BY b.item_id, b.text""")

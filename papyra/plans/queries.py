@@ -201,3 +201,137 @@ def q_step_assignment(spark, sf_dir):
     from papyra.operators.dataset import step_assignment
     train = _split(spark, sf_dir).where(F.col("split") == "train").select("idx")
     return step_assignment(train, epochs=10, accum=8, seed=42)
+
+
+# ---- evaluation grid, LMs, scores, summaries (J1-J3, V1-V10, A1-A7) --------------------
+
+def _r6(df, *cols):
+    return df.select(*[F.round(F.col(c), 6).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def _lms(spark, sf_dir):
+    from papyra.operators import lm
+    from papyra.sources.readers import read_table
+    train = _split(spark, sf_dir).where(F.col("split") == "train").select("x")
+    return lm.fit(read_table(spark, sf_dir, "documents", "text"), train)
+
+
+def _grid(spark, sf_dir):
+    from papyra.operators.evaluation import qna_grid
+    return qna_grid(views.qna(spark, sf_dir), views.predictions(spark, sf_dir))
+
+
+def _nll(spark, sf_dir):
+    from papyra.operators import lm
+    return lm.masked_nll(lm.token_logprobs(_lms(spark, sf_dir), views.qna(spark, sf_dir)))
+
+
+def _bert(spark, sf_dir):
+    from papyra.operators.evaluation import bertscore
+    from papyra.sources.readers import read_table
+    g = _grid(spark, sf_dir).select("model", "id", "prediction", "reference")
+    return bertscore(g, read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def _summary(spark, sf_dir):
+    from papyra.operators.evaluation import eval_results, summarise
+    return summarise(eval_results(_grid(spark, sf_dir), _bert(spark, sf_dir), _nll(spark, sf_dir)))
+
+
+@register("prompt_grid")
+def q_prompt_grid(spark, sf_dir):
+    from papyra.operators.evaluation import prompt_grid
+    return prompt_grid(views.prompts(spark, sf_dir))
+
+
+@register("qna_grid")
+def q_qna_grid(spark, sf_dir):
+    return _grid(spark, sf_dir)
+
+
+@register("missing_predictions")
+def q_missing_predictions(spark, sf_dir):
+    from papyra.operators.evaluation import missing_predictions
+    return missing_predictions(views.qna(spark, sf_dir), views.predictions(spark, sf_dir))
+
+
+@register("extract_answer")
+def q_extract_answer(spark, sf_dir):
+    from papyra.functions.text import extract_answer
+    p = views.predictions(spark, sf_dir)
+    return p.select("model", "id", extract_answer(F.col("full_text")).alias("prediction"))
+
+
+@register("masked_nll")
+def q_masked_nll(spark, sf_dir):
+    return _r6(_nll(spark, sf_dir), "nll", "nll_full")
+
+
+@register("perplexity_by_lang")
+def q_perplexity_by_lang(spark, sf_dir):
+    from papyra.operators import lm
+    from papyra.sources.readers import read_table
+    m = _lms(spark, sf_dir)
+    r = lm.corpus_nll_by(m, read_table(spark, sf_dir, "documents", "lang", "text"), "lang")
+    return _r6(r.withColumn("perplexity", lm.perplexity(F.col("nll"))), "nll", "perplexity")
+
+
+@register("bertscore_pairs")
+def q_bertscore_pairs(spark, sf_dir):
+    return _r6(_bert(spark, sf_dir), "bert_p", "bert_r", "bert_f1")
+
+
+@register("bertscore_corpus")
+def q_bertscore_corpus(spark, sf_dir):
+    from papyra.operators.evaluation import bertscore_corpus
+    return _r6(bertscore_corpus(_bert(spark, sf_dir)), "bert_p", "bert_r", "bert_f1")
+
+
+@register("ngram_lm_nll")
+def q_ngram_lm_nll(spark, sf_dir):
+    """V8: NLL of every benchmark item under each fitted n-gram variant."""
+    from papyra.operators import lm
+    from papyra.sources.readers import read_table
+    b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    return _r6(lm.text_nll(_lms(spark, sf_dir), b, ["item_id"], "text"), "nll")
+
+
+@register("lm_variant_nll")
+def q_lm_variant_nll(spark, sf_dir):
+    """Held-out mean NLL and perplexity of each variant on the eval split."""
+    from papyra.operators import lm
+    ev = _split(spark, sf_dir).where(F.col("split") == "eval").select("idx", "x")
+    pos = lm.positions(ev, ["idx"], lm.tokens(F.col("x")))
+    s = lm.score_positions(_lms(spark, sf_dir), pos, ["idx"])
+    r = s.groupBy("model").agg(F.count(F.lit(1)).alias("n_tokens"), F.avg(-F.col("logprob")).alias("nll"))
+    return _r6(r.withColumn("perplexity", lm.perplexity(F.col("nll"))), "nll", "perplexity")
+
+
+@register("eval_summary")
+def q_eval_summary(spark, sf_dir):
+    return _r6(_summary(spark, sf_dir), "nll", "bert_p", "bert_r", "bert_f1")
+
+
+@register("eval_summary_sorted")
+def q_eval_summary_sorted(spark, sf_dir):
+    from papyra.operators.evaluation import summary_sorted
+    return summary_sorted(_summary(spark, sf_dir))
+
+
+@register("best_marks")
+def q_best_marks(spark, sf_dir):
+    from papyra.operators.evaluation import best_marks
+    return _r6(best_marks(_summary(spark, sf_dir)), "nll", "bert_p", "bert_r", "bert_f1")
+
+
+@register("summary_cells")
+def q_summary_cells(spark, sf_dir):
+    from papyra.operators.evaluation import best_marks, summary_cells
+    return summary_cells(best_marks(_summary(spark, sf_dir)))
+
+
+@register("generations_by_prompt")
+def q_generations_by_prompt(spark, sf_dir):
+    from papyra.operators.evaluation import generations_by_prompt, with_models
+    grid = with_models(views.prompts(spark, sf_dir))
+    return generations_by_prompt(grid, views.generations(spark, sf_dir))
