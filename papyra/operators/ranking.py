@@ -80,8 +80,9 @@ def lead_in_order(df: DataFrame, key: str, order_cols: list[str], value: str, ou
              .withColumn("_last", F.lead(F.lit(1)).over(w).isNull()))
     # first value of every (key, piece): at most n rows per key
     firsts = (ranged.groupBy(key, "_piece")
-              .agg(F.min(F.struct(*order_cols, value)).alias("_f"))
-              .select(key, "_piece", F.col(f"_f.{value}").alias("_first")))
+              .agg(F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)],
+                                   F.col(value).alias("_v"))).alias("_f"))
+              .select(key, "_piece", F.col("_f._v").alias("_first")))
     nxt = firsts.withColumn("_next_first", F.lead("_first").over(
         Window.partitionBy(key).orderBy("_piece"))).drop("_first")
     return (local.join(nxt, on=[key, "_piece"], how="left")

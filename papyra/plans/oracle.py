@@ -488,3 +488,73 @@ SELECT b.item_id AS prompt_pos, trim(split_part(b.text, {NL}, 1), {PYWS_SQL}) AS
                   array_to_string(list_slice(string_split(b.text, {NL}), 1, m.model_pos + 1), ' '),
                   {NL} ORDER BY m.model_pos) AS outputs
 FROM benchmark b CROSS JOIN models m GROUP BY b.item_id, b.text""")
+
+# ---- T1-T5, S8, S9, R1, U1 ---------------------------------------------------------------
+CTE["run_history"] = """
+run_history AS (
+  SELECT event_type AS model, day(ts)::BIGINT AS step, round(avg(value), 6) AS eval_loss
+  FROM events GROUP BY event_type, day(ts)
+)"""
+
+
+def _centre(x: str, width: int) -> str:
+    left = f"greatest(({width} - length({x})) // 2, 0)"
+    right = f"greatest({width} - length({x}) - ({width} - length({x})) // 2, 0)"
+    return f"(repeat(' ', {left}) || {x} || repeat(' ', {right}))"
+
+
+_LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING' ELSE 'INFO' END"
+LOG_RE = r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] \[\s*([A-Za-z]+)\s*\] \[\s*(.*?)\s*\] ( *)(.*)$"
+CTE["log_lines"] = f"""
+log_lines AS (
+  SELECT event_id * 2 AS line_no,
+         '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [' || {_centre(_LEVEL, 7)} || '] ['
+         || {_centre('event_type', 20)} || '] ' || repeat('  ', (user_id % 3)::INT)
+         || printf('%s value=%.2f user=%d', event_type, value, user_id) AS value
+  FROM events
+  UNION ALL
+  SELECT event_id * 2 + 1 AS line_no, '    props: ' || props AS value FROM events WHERE value > 45
+),
+parsed AS (
+  SELECT line_no,
+         CASE WHEN ok THEN regexp_extract(value, '{LOG_RE}', 1) END AS ts,
+         CASE WHEN ok THEN regexp_extract(value, '{LOG_RE}', 2) END AS level,
+         CASE WHEN ok THEN regexp_extract(value, '{LOG_RE}', 3) END AS component,
+         CASE WHEN ok THEN (length(regexp_extract(value, '{LOG_RE}', 4)) / 2)::BIGINT END AS depth,
+         CASE WHEN ok THEN regexp_extract(value, '{LOG_RE}', 5) ELSE value END AS message,
+         CASE WHEN ok THEN 0 ELSE 1 END AS is_continuation
+  FROM (SELECT line_no, value, regexp_matches(value, '{LOG_RE}') AS ok FROM log_lines)
+)"""
+DEPS["log_lines"] = []
+
+ORACLE["loss_curves"] = sql(["run_history"], """
+SELECT model, step, 'eval' AS kind, eval_loss AS loss FROM run_history""")
+ORACLE["overfit_flags"] = sql(["run_history"], """
+SELECT model, step, eval_loss, lag(eval_loss) OVER w AS prev_loss,
+       coalesce((eval_loss > lag(eval_loss) OVER w)::INT, 0) AS overfit
+FROM run_history WINDOW w AS (PARTITION BY model ORDER BY step)""")
+ORACLE["checkpoint_rank"] = sql(["run_history"], """
+SELECT model, step, eval_loss, loss_rank, recency_rank, (loss_rank = 1)::INT AS is_best,
+       (recency_rank <= 2)::INT AS is_retained
+FROM (SELECT model, step, eval_loss,
+             row_number() OVER (PARTITION BY model ORDER BY eval_loss, step)::BIGINT AS loss_rank,
+             row_number() OVER (PARTITION BY model ORDER BY step DESC)::BIGINT AS recency_rank
+      FROM run_history)""")
+ORACLE["variant_compare"] = sql(["run_history"], """
+SELECT model, max(step) AS final_step, arg_max(eval_loss, step) AS final_loss,
+       arg_min(step, (eval_loss, step)) AS best_step, min(eval_loss) AS best_loss,
+       round(arg_max(eval_loss, step) - min(eval_loss), 6) AS final_minus_best, count(*)::BIGINT AS n_steps
+FROM run_history GROUP BY model""")
+ORACLE["runlog_events"] = sql(["log_lines"], """
+SELECT line_no, ts, level, component, depth, message, is_continuation FROM parsed""")
+ORACLE["step_durations"] = sql(["log_lines"], """
+SELECT component, count(*)::BIGINT AS n_events, count(dur)::BIGINT AS n_timed, sum(dur)::BIGINT AS total_sec,
+       round(avg(dur), 6) AS avg_sec, max(dur)::BIGINT AS max_sec,
+       round(count(*) / greatest(max(t) - min(t), 1), 6) AS events_per_sec
+FROM (SELECT component, t, lead(t) OVER (PARTITION BY component ORDER BY t, line_no) - t AS dur
+      FROM (SELECT component, line_no, epoch(strptime(ts, '%Y-%m-%d %H:%M:%S'))::BIGINT AS t
+            FROM parsed WHERE is_continuation = 0))
+GROUP BY component""")
+ORACLE["stream_ingest"] = ORACLE["training_samples"]
+ORACLE["map_batches"] = sql(["samples"], f"""
+SELECT idx, length(x)::BIGINT AS n_chars, len(string_split(x, {NL}))::BIGINT AS n_lines FROM samples""")

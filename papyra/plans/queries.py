@@ -335,3 +335,74 @@ def q_generations_by_prompt(spark, sf_dir):
     from papyra.operators.evaluation import generations_by_prompt, with_models
     grid = with_models(views.prompts(spark, sf_dir))
     return generations_by_prompt(grid, views.generations(spark, sf_dir))
+
+
+# ---- run telemetry (T1-T5, S8, S9) ---------------------------------------------------
+
+def _history_shape(spark, sf_dir):
+    """The run-history view in the nested trainer-state shape (one array per model).
+
+    Each model's array holds one record per step (bounded by the step count).
+    """
+    h = views.run_history(spark, sf_dir)
+    rec = F.struct(F.col("step").cast("double").alias("epoch"), F.col("step"),
+                   F.lit(None).cast("double").alias("loss"), F.col("eval_loss"))
+    return h.groupBy("model").agg(F.collect_list(rec).alias("log_history"))
+
+
+@register("loss_curves")
+def q_loss_curves(spark, sf_dir):
+    from papyra.operators.telemetry import history_records, loss_curves
+    return loss_curves(history_records(_history_shape(spark, sf_dir)))
+
+
+@register("overfit_flags")
+def q_overfit_flags(spark, sf_dir):
+    from papyra.operators.telemetry import overfit_flags
+    return overfit_flags(views.run_history(spark, sf_dir))
+
+
+@register("checkpoint_rank")
+def q_checkpoint_rank(spark, sf_dir):
+    from papyra.operators.telemetry import checkpoint_rank
+    return checkpoint_rank(views.run_history(spark, sf_dir))
+
+
+@register("variant_compare")
+def q_variant_compare(spark, sf_dir):
+    from papyra.operators.telemetry import variant_compare
+    return variant_compare(views.run_history(spark, sf_dir))
+
+
+@register("runlog_events")
+def q_runlog_events(spark, sf_dir):
+    from papyra.operators.telemetry import parse_log
+    return parse_log(views.log_lines(spark, sf_dir))
+
+
+@register("step_durations")
+def q_step_durations(spark, sf_dir):
+    from papyra.operators.telemetry import parse_log, step_durations
+    return step_durations(parse_log(views.log_lines(spark, sf_dir)))
+
+
+# ---- streaming ingest (R1), batch map (U1) ---------------------------------------------
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """Raw files landed twice (a rerun) are ingested once each by a streaming job."""
+    from papyra.session import scratch_path
+    from papyra.streaming.ingest import ingest, ingested
+    root = scratch_path(spark, "stream")
+    raw = views.raw_article_json(spark, sf_dir)
+    raw.write.mode("append").text(f"{root}/landing")
+    raw.write.mode("append").text(f"{root}/landing")
+    ingest(spark, f"{root}/landing", f"{root}/sink", f"{root}/checkpoint", max_files_per_trigger=4)
+    return ingested(spark, f"{root}/sink")
+
+
+@register("map_batches")
+def q_map_batches(spark, sf_dir):
+    from papyra.operators.batches import map_batches, text_stats
+    return map_batches(_samples(spark, sf_dir), text_stats, "idx bigint, n_chars bigint, n_lines bigint",
+                       remove_columns=["article_id"])
