@@ -34,7 +34,7 @@ def block(html: Column, tag: str) -> Column:
 def block_with_class(html: Column, tag: str, css_class: str) -> Column:
     """Inner HTML of the first ``<tag class="... css_class ...">`` element."""
     return F.regexp_extract(
-        html, f"(?is)<{tag}\\b[^>]*class=\"[^\"]*\\b{css_class}\\b[^\"]*\"[^>]*>(.*?)</{tag}>", 1)
+        html, f"(?is)<{tag}\\b[^>]*class=[\"'][^\"']*\\b{css_class}\\b[^\"']*[\"'][^>]*>(.*?)</{tag}>", 1)
 
 
 def decode_entities(c: Column) -> Column:

@@ -33,8 +33,9 @@ def page_articles(pages: DataFrame, profile: H.PageProfile = H.DEFAULT_PROFILE,
     body = F.regexp_replace(container, f"(?is)<{profile.title_tag}\\b.*?</{profile.title_tag}>", "")
     has_p = body.rlike("(?i)<p(\\s[^>]*)?>")
     paras = H.paragraphs(body)
-    fallback = H.nullif_empty(F.trim(F.regexp_replace(
-        H.decode_entities(F.regexp_replace(body, H.TAG_RE, "\n")), "[ \\t\\r\\f]*\\n[ \\t\\n\\r\\f]*", "\n")))
+    # get_text("\n", strip=True): every text piece between tags, stripped, non-empty
+    pieces = F.filter(F.transform(F.split(body, H.TAG_RE), H.inline_text), lambda p: p != "")
+    fallback = H.nullif_empty(F.array_join(pieces, "\n"))
     out = pages.select(
         "page_id", "url",
         title.alias("title"),

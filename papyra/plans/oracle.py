@@ -145,7 +145,7 @@ def _block(x: str, tag: str) -> str:
 
 
 def _block_cls(x: str, cls: str) -> str:
-    return (f"regexp_extract({x}, '(?is)<\\w+\\b[^>]*class=\"[^\"]*\\b{cls}\\b[^\"]*\"[^>]*>(.*?)</\\w+>', 1)")
+    return (f"regexp_extract({x}, '(?is)<\\w+\\b[^>]*class=[\"''][^\"'']*\\b{cls}\\b[^\"'']*[\"''][^>]*>(.*?)</\\w+>', 1)")
 
 
 def _nullif(x: str) -> str:
@@ -183,7 +183,8 @@ page_articles AS (
 ORACLE["page_articles"] = sql(["page_articles"], f"""
 SELECT page_id, url, title, date_raw, category, teaser, text_kind,
        len(paragraphs)::BIGINT AS n_paragraphs, array_to_string(paragraphs, {NL}) AS body,
-       CASE WHEN text_kind = 'string' THEN nullif(trim(body), '') END AS body_text
+       CASE WHEN text_kind = 'string' THEN nullif(array_to_string(list_filter(list_transform(
+         string_split_regex(body, '<[^>]*>'), lambda x: {_inline('x')}), lambda x: x <> ''), {NL}), '') END AS body_text
 FROM page_articles""")
 
 ORACLE["page_paragraphs"] = sql(["page_articles"], """

@@ -55,7 +55,8 @@ def well_formed(raw: DataFrame) -> DataFrame:
 
 
 def quarantined(raw: DataFrame) -> DataFrame:
-    return raw.where(F.col(CORRUPT_COL).isNotNull()).select(CORRUPT_COL)
+    """Malformed lines (the scan must read a parsed column besides the corrupt-record one)."""
+    return raw.where(F.col(CORRUPT_COL).isNotNull()).select("idx", CORRUPT_COL)
 
 
 def text_kind(text_variant) -> F.Column:
@@ -100,8 +101,9 @@ def read_qna(spark: SparkSession, prompt_dir: str) -> DataFrame:
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """One prompt per line, stripped, blank lines kept, file order kept.
 
-    The line order comes from the byte offset of each line inside its file,
-    so it holds however the file is split into partitions.
+    ``prompt_pos`` is ``monotonically_increasing_id()``: a text file's splits
+    are read as partitions in byte order and rows in order within each, so the
+    ids increase in file order (they are positions, not consecutive numbers).
     """
     from papyra.functions.text import py_strip
     lines = spark.read.text(path, wholetext=False).select(
