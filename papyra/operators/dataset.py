@@ -55,10 +55,11 @@ def train_eval_split(samples: DataFrame, seed: int = 42, test_size: float = 0.1,
     """Deterministic seeded split; eval = the first ceil(test_size * n) rows
     in the order of md5("seed:id"). Adds ``split`` and ``rank`` (position in
     the seeded order) and ``split_rank`` (position inside its split)."""
-    n = samples.count()
-    n_eval = eval_count(n, test_size)
+    from papyra.session import materialize
+    samples = materialize(samples, "split-input")     # counted and ranked: compute once
     keyed = samples.withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))))
-    ranked = exact_rank(keyed, "_key", id_col, out="rank")
+    ranked, totals = exact_rank(keyed, "_key", id_col, out="rank", with_totals=True)
+    n_eval = eval_count(totals.get((), 0), test_size)
     is_eval = F.col("rank") < n_eval
     return (ranked.withColumn("split", F.when(is_eval, F.lit("eval")).otherwise(F.lit("train")))
             .withColumn("split_rank", F.when(is_eval, F.col("rank")).otherwise(F.col("rank") - n_eval))
@@ -159,12 +160,14 @@ def step_assignment(train: DataFrame, epochs: int = 10, accum: int = 8, seed: in
     """Per-epoch seeded reshuffle, micro-batches numbered across epochs,
     step = micro // accum + 1; stops after epochs * (n // accum) steps, so a
     remainder of an epoch spills into the next one."""
-    n = train.count()
-    max_steps = epochs * (n // accum)
+    from papyra.session import materialize
+    train = materialize(train.select(id_col), "steps-input")   # counted and ranked: compute once
     e = train.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     e = e.withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"),
                                                F.col(id_col).cast("string"))))
-    r = exact_rank(e, "_key", id_col, out="_r", partition_by=["epoch"])
+    r, totals = exact_rank(e, "_key", id_col, out="_r", partition_by=["epoch"], with_totals=True)
+    n = totals.get((0,), 0)
+    max_steps = epochs * (n // accum)
     micro = F.col("epoch").cast("bigint") * n + F.col("_r")
     return (r.select(F.col("epoch").cast("bigint").alias("epoch"), id_col, micro.alias("micro"))
             .withColumn("step", (F.floor(F.col("micro") / accum) + 1).cast("bigint"))

@@ -53,9 +53,15 @@ class NgramModels:
     lam: float = LAMBDA
 
 
-def _totals(uni: DataFrame, c: str):
-    r = uni.agg(F.sum(c).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    return int(r["n"] or 0), int(r["v"] or 0) + 1   # one extra slot for unseen tokens
+def _totals(base_uni: DataFrame, train_bi: DataFrame):
+    """Token and vocabulary totals of both corpora in one small job."""
+    b = base_uni.agg(F.lit("base").alias("k"), F.sum("c_doc").alias("n"), F.count(F.lit(1)).alias("v"))
+    t = (train_bi.groupBy("tok").agg(F.sum("c_bi").alias("c"))
+         .agg(F.lit("train").alias("k"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")))
+    r = {row["k"]: row for row in b.unionByName(t).collect()}
+    # one extra vocabulary slot for unseen tokens
+    return ((int(r["base"]["n"] or 0), int(r["base"]["v"] or 0) + 1),
+            (int(r["train"]["n"] or 0), int(r["train"]["v"] or 0) + 1))
 
 
 def fit(base_texts: DataFrame, train_texts: DataFrame, text_col: str = "text",
@@ -65,10 +71,13 @@ def fit(base_texts: DataFrame, train_texts: DataFrame, text_col: str = "text",
                 .groupBy("tok").agg(F.count(F.lit(1)).alias("c_doc")))
     tp = positions(train_texts, [], tokens(F.col(train_col)))
     train_bi = tp.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("c_bi"))
+    from papyra.session import materialize
+    # the count tables feed the totals and every later scoring join: write once
+    base_uni = materialize(base_uni, "lm-base-unigrams")
+    train_bi = materialize(train_bi, "lm-train-bigrams")
     train_uni = train_bi.groupBy("tok").agg(F.sum("c_bi").alias("c_tr"))
     train_prev = train_bi.groupBy("prev").agg(F.sum("c_bi").alias("c_prev"))
-    n_doc, v_doc = _totals(base_uni, "c_doc")
-    n_tr, v_tr = _totals(train_uni, "c_tr")
+    (n_doc, v_doc), (n_tr, v_tr) = _totals(base_uni, train_bi)
     return NgramModels(base_uni, n_doc, v_doc, train_uni, n_tr, v_tr, train_bi, train_prev, lam)
 
 
@@ -99,8 +108,9 @@ def score_positions(m: NgramModels, pos: DataFrame, keys: list[str], models=tupl
     positions; that table is broadcast only when its size is checked small,
     otherwise it is a shuffle join (hot n-grams are split by AQE skew handling).
     """
+    from papyra.session import materialize
     distinct = pos.select("prev", "tok").distinct()
-    lp = ngram_logprobs(m, distinct)
+    lp = materialize(ngram_logprobs(m, distinct), "lm-ngram-logprobs")
     lp = sized_broadcast(lp, MAX_BROADCAST_NGRAMS)
     scored = pos.join(lp, ["prev", "tok"], "inner")
     stack = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), F.col(VARIANT_COLUMNS[name]).alias("logprob"))

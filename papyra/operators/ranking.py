@@ -20,26 +20,51 @@ def hex_bucket(hex_key: Column, n_hex: int = 3) -> Column:
     return F.conv(F.substring(hex_key, 1, n_hex), 16, 10).cast("int")
 
 
+def bucket_offsets(keyed: DataFrame, parts: list[str], bucket: str, max_groups: int = 1024):
+    """Row counts per (group, bucket) -> (offsets DataFrame, totals per group).
+
+    The counts table has at most 16**n_hex rows per group, so it is brought to
+    the driver (checked), prefix-summed there and shipped back as a broadcast
+    table: one small job, no single-partition window over data rows.
+    """
+    spark = keyed.sparkSession
+    counts = keyed.groupBy(*parts, bucket).agg(F.count(F.lit(1)).alias("_n"))
+    limit = max_groups * 65536
+    rows = counts.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError("too many rank groups for a broadcast offsets table")
+    rows.sort(key=lambda r: (tuple(r[p] for p in parts), r[bucket]))
+    offsets, totals, run, prev = [], {}, 0, None
+    for r in rows:
+        g = tuple(r[p] for p in parts)
+        if g != prev:
+            run, prev = 0, g
+        offsets.append((*g, r[bucket], run))
+        run += r["_n"]
+        totals[g] = run
+    schema = ", ".join([f"`{p}` {t}" for p, t in keyed.select(*parts).dtypes] + [f"`{bucket}` int", "_off bigint"])
+    return spark.createDataFrame(offsets, schema), totals
+
+
 def exact_rank(df: DataFrame, hex_key: str, tiebreak: str, out: str = "rank",
-               partition_by: list[str] | None = None, n_hex: int = 3) -> DataFrame:
+               partition_by: list[str] | None = None, n_hex: int = 3, with_totals: bool = False):
     """Add ``out`` = 0-based position of each row ordered by (hex_key, tiebreak).
 
     ``hex_key`` must be a uniformly spread hex string (an md5). Rows are
-    counted per leading-hex bucket; the counts table (<= 16**n_hex rows per
-    group) gets a prefix sum and is broadcast back; only rows of one bucket
-    are ranked together, so no task sees more than ~n/16**n_hex rows.
+    counted per leading-hex bucket; the prefix sums of that counts table
+    (<= 16**n_hex rows per group) are broadcast back, and only rows of one
+    bucket are ranked together, so no task sees more than ~n/16**n_hex rows.
+    With ``with_totals`` the row count per group is returned as well.
     """
     parts = list(partition_by or [])
     b = "_bucket"
     keyed = df.withColumn(b, hex_bucket(F.col(hex_key), n_hex))
-    counts = keyed.groupBy(*parts, b).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*parts).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*parts, b, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    # bounded by 16**n_hex rows per partition group: safe to broadcast
+    offsets, totals = bucket_offsets(keyed, parts, b)
     ranked = keyed.join(F.broadcast(offsets), on=parts + [b], how="inner")
     within = Window.partitionBy(*parts, b).orderBy(F.col(hex_key), F.col(tiebreak))
-    return (ranked.withColumn(out, (F.col("_off") + F.row_number().over(within) - 1).cast("bigint"))
-            .drop(b, "_off"))
+    out_df = (ranked.withColumn(out, (F.col("_off") + F.row_number().over(within) - 1).cast("bigint"))
+              .drop(b, "_off"))
+    return (out_df, totals) if with_totals else out_df
 
 
 def keep_first(df: DataFrame, key: str, order_by: str) -> DataFrame:

@@ -120,8 +120,11 @@ def _samples(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
+    """The seeded split, written once: the LM fit, tokenization and held-out
+    scoring of one query all read this table instead of re-deriving it."""
     from papyra.operators.dataset import train_eval_split
-    return train_eval_split(_samples(spark, sf_dir), seed=42, test_size=0.1)
+    from papyra.session import materialize
+    return materialize(train_eval_split(_samples(spark, sf_dir), seed=42, test_size=0.1), "split")
 
 
 def _vocab(spark, sf_dir):
@@ -209,10 +212,11 @@ def _r6(df, *cols):
     return df.select(*[F.round(F.col(c), 6).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def _lms(spark, sf_dir):
+def _lms(spark, sf_dir, split=None):
     from papyra.operators import lm
     from papyra.sources.readers import read_table
-    train = _split(spark, sf_dir).where(F.col("split") == "train").select("x")
+    split = split if split is not None else _split(spark, sf_dir)
+    train = split.where(F.col("split") == "train").select("x")
     return lm.fit(read_table(spark, sf_dir, "documents", "text"), train)
 
 
@@ -300,9 +304,10 @@ def q_ngram_lm_nll(spark, sf_dir):
 def q_lm_variant_nll(spark, sf_dir):
     """Held-out mean NLL and perplexity of each variant on the eval split."""
     from papyra.operators import lm
-    ev = _split(spark, sf_dir).where(F.col("split") == "eval").select("idx", "x")
+    split = _split(spark, sf_dir)
+    ev = split.where(F.col("split") == "eval").select("idx", "x")
     pos = lm.positions(ev, ["idx"], lm.tokens(F.col("x")))
-    s = lm.score_positions(_lms(spark, sf_dir), pos, ["idx"])
+    s = lm.score_positions(_lms(spark, sf_dir, split), pos, ["idx"])
     r = s.groupBy("model").agg(F.count(F.lit(1)).alias("n_tokens"), F.avg(-F.col("logprob")).alias("nll"))
     return _r6(r.withColumn("perplexity", lm.perplexity(F.col("nll"))), "nll", "perplexity")
 

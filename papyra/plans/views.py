@@ -33,7 +33,9 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     the rest the body paragraphs; otherwise no teaser and lines 2.. as body.
     """
     d = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    lines = F.split(F.col("text"), "\n")
+    # split once; later expressions read the projected array
+    d = d.select("doc_id", F.split(F.col("text"), "\n").alias("lines"))
+    lines = F.col("lines")
     n = F.size(lines)
     return d.select(
         F.col("doc_id").alias("idx"),

@@ -70,3 +70,30 @@ def local_path(path: str) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def materialize(df, name: str):
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Used where a result feeds several actions (an exact count and a rank, a
+    fit and its totals): the work runs once, and the lineage is cut at a
+    durable table, so a lost executor does not recompute the whole chain.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def balanced(df, min_partitions: int | None = None):
+    """Spread a scan with fewer splits than the session's parallelism.
+
+    Only small inputs (fewer splits than cores, e.g. one parquet row group)
+    are shuffled, which is cheap by construction; large inputs keep their
+    scan partitioning and are never reshuffled here.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -32,10 +32,17 @@ RUN_HISTORY = T.StructType([
 ])
 
 
+# tables whose rows carry long text: per-row work dominates, so a scan with
+# fewer splits than cores is rebalanced (see ``session.balanced``)
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """Parquet table of the stored dataset; selecting ``cols`` prunes the scan."""
+    from papyra.session import balanced
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*cols) if cols else df
+    df = df.select(*cols) if cols else df
+    return balanced(df) if name in TEXT_TABLES else df
 
 
 def read_raw_articles(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
