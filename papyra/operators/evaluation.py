@@ -85,57 +85,53 @@ def _unit_matrix(emb: DataFrame, max_rows: int) -> np.ndarray:
     return np.divide(mat, norms, out=np.zeros_like(mat), where=norms > 0)
 
 
+def _greedy_match(unit: np.ndarray, pred: np.ndarray, ref: np.ndarray, block: int = 4096):
+    """P, R, F1 of two token-row lists under unit embeddings (repeats weigh by count)."""
+    if pred is None or ref is None or len(pred) == 0 or len(ref) == 0:
+        return 0.0, 0.0, 0.0
+    pv, pc = np.unique(np.asarray(pred, dtype=np.int64), return_counts=True)
+    rv, rc = np.unique(np.asarray(ref, dtype=np.int64), return_counts=True)
+    rm = unit[rv]
+    best_p = np.empty(len(pv))
+    best_r = np.full(len(rv), -np.inf)
+    for i in range(0, len(pv), block):       # bounded similarity block
+        sim = unit[pv[i:i + block]] @ rm.T
+        best_p[i:i + block] = sim.max(axis=1)
+        best_r = np.maximum(best_r, sim.max(axis=0))
+    bp = float((pc * best_p).sum() / pc.sum())
+    br = float((rc * best_r).sum() / rc.sum())
+    f1 = 2 * bp * br / (bp + br) if (bp + br) != 0 else 0.0
+    return bp, br, f1
+
+
 def bertscore(pairs: DataFrame, embeddings: DataFrame, pred_col: str = "prediction",
               ref_col: str = "reference", keys=("model", "id"),
               max_embedding_rows: int = MAX_EMBEDDING_ROWS) -> DataFrame:
     """V6: greedy cosine matching of token embeddings (Zhang et al., 2020).
 
     P = mean over prediction tokens of the best cosine against the reference
-    tokens, R the reverse, F1 their harmonic mean. Whole texts are used.
-    Each side is reduced to distinct (pair, embedding row) with a count
-    before the shuffle, so a pair's work is bounded by the embedding table,
-    not by its text length; the table itself (size-checked) is shipped to
-    executors once and the max-cosine runs as one matrix product per pair.
-    Pairs with an empty side score 0.
+    tokens, R the reverse, F1 their harmonic mean; whole texts are used and
+    pairs with an empty side score 0.
+
+    Each row already holds both texts, so this is a narrow map with no
+    shuffle: tokens become embedding-row ids natively, then one Arrow-batched
+    UDF scores many pairs per call. Per pair the work is bounded by the
+    distinct embedding rows on each side (at most the table size), not by
+    text length. The embedding table is size-checked and shipped once.
     """
     keys = list(keys)
     unit = _unit_matrix(embeddings, max_embedding_rows)
     n_vec = unit.shape[0]
     bc = pairs.sparkSession.sparkContext.broadcast(unit)
 
-    def side(col, name):
-        # fresh key attributes per side: both sides derive from the same plan
-        return (pairs.select(*[F.col(k).alias(k) for k in keys],
-                             F.explode(token_vec_ids(F.col(col), n_vec)).alias("vec"))
-                .groupBy(*keys, "vec").agg(F.count(F.lit(1)).alias("cnt"))
-                .withColumn("side", F.lit(name)))
-
-    pred, ref = side(pred_col, "p"), side(ref_col, "r")
-    key_schema = ", ".join(f"{k} {t}" for k, t in pairs.select(*keys).dtypes)
-
-    def match(key, p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out = dict(zip(keys, key))
-        if len(p) == 0 or len(r) == 0:
-            return pd.DataFrame([{**out, "bert_p": 0.0, "bert_r": 0.0, "bert_f1": 0.0}])
+    @F.pandas_udf("struct<bert_p:double,bert_r:double,bert_f1:double>")
+    def score(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
         u = bc.value
-        pm, rm = u[p["vec"].to_numpy()], u[r["vec"].to_numpy()]
-        wp, wr = p["cnt"].to_numpy(np.float64), r["cnt"].to_numpy(np.float64)
-        best_p = np.full(len(p), -np.inf)
-        best_r = np.full(len(r), -np.inf)
-        step = 4096   # bound the similarity block held in memory
-        for i in range(0, len(p), step):
-            sim = pm[i:i + step] @ rm.T
-            best_p[i:i + step] = sim.max(axis=1)
-            best_r = np.maximum(best_r, sim.max(axis=0))
-        bp = float((wp * best_p).sum() / wp.sum())
-        br = float((wr * best_r).sum() / wr.sum())
-        f1 = 2 * bp * br / (bp + br) if (bp + br) != 0 else 0.0
-        return pd.DataFrame([{**out, "bert_p": bp, "bert_r": br, "bert_f1": f1}])
-
-    schema = f"{key_schema}, bert_p double, bert_r double, bert_f1 double"
-    scored = pred.groupBy(*keys).cogroup(ref.groupBy(*keys)).applyInPandas(match, schema)
-    return (pairs.select(*keys).join(scored, keys, "left")
-            .fillna(0.0, subset=["bert_p", "bert_r", "bert_f1"]))
+        rows = [_greedy_match(u, a, b) for a, b in zip(pred, ref)]
+        return pd.DataFrame(rows, columns=["bert_p", "bert_r", "bert_f1"], dtype="float64")
+
+    s = score(token_vec_ids(F.col(pred_col), n_vec), token_vec_ids(F.col(ref_col), n_vec))
+    return pairs.select(*keys, s.alias("s")).select(*keys, "s.bert_p", "s.bert_r", "s.bert_f1")
 
 
 def bertscore_corpus(scores: DataFrame, by: str = "model") -> DataFrame:

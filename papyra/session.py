@@ -82,7 +82,7 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return balanced(spark.read.parquet(path))
 
 
 def balanced(df, min_partitions: int | None = None):
