@@ -26,9 +26,10 @@ def with_models(df: DataFrame, models=DEFAULT_MODELS) -> DataFrame:
             .select("_m.model", "_m.model_pos", *df.columns))
 
 
-def prompt_grid(prompts: DataFrame, models=DEFAULT_MODELS) -> DataFrame:
+def prompt_grid(prompts: DataFrame, models=DEFAULT_MODELS, order=("prompt_pos", "line_no")) -> DataFrame:
     """Prompts x models, ordered prompt-major then by model."""
-    return with_models(prompts, models).orderBy("prompt_pos", "model_pos")
+    order = [c for c in order if c in prompts.columns]
+    return with_models(prompts, models).orderBy(*order, "model_pos")
 
 
 def qna_prompt(question) -> F.Column:
@@ -183,12 +184,13 @@ def summary_cells(marked: DataFrame) -> DataFrame:
     return marked.select("model", "model_pos", *cells)
 
 
-def generations_by_prompt(grid: DataFrame, outputs: DataFrame) -> DataFrame:
+def generations_by_prompt(grid: DataFrame, outputs: DataFrame, keys=("prompt_pos", "line_no")) -> DataFrame:
     """Per prompt, every model's output in model order (bounded by the model count)."""
-    j = grid.join(outputs, ["prompt_pos", "model"], "left")
-    g = j.groupBy("prompt_pos", "prompt").agg(
+    keys = [k for k in keys if k in grid.columns]
+    j = grid.join(outputs, [*keys, "model"], "left")
+    g = j.groupBy(*keys, "prompt").agg(
         F.sort_array(F.collect_list(F.struct("model_pos", "model", "gen_text"))).alias("outs"))
-    return g.select("prompt_pos", "prompt", F.size("outs").cast("bigint").alias("n_models"),
+    return g.select(*keys, "prompt", F.size("outs").cast("bigint").alias("n_models"),
                     F.array_join(F.transform("outs", lambda o: F.concat(F.lit("["), o["model"], F.lit("] "),
                                                                      F.coalesce(o["gen_text"], F.lit("")))),
                                  "\n").alias("outputs"))

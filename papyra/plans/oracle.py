@@ -428,9 +428,14 @@ marked AS (
 )"""
 DEPS["summary"] = ["grid", "bert", "tlp"]
 
-ORACLE["prompt_grid"] = sql(["models"], f"""
-SELECT m.model, m.model_pos, b.item_id AS prompt_pos, trim(split_part(b.text, {NL}, 1), {PYWS_SQL}) AS prompt
-FROM benchmark b CROSS JOIN models m""")
+CTE["prompt_lines"] = f"""
+prompt_lines AS (
+  SELECT item_id AS prompt_pos, (generate_subscripts(l, 1) - 1)::BIGINT AS line_no, unnest(l) AS line, l
+  FROM (SELECT item_id, string_split(text, {NL}) AS l FROM benchmark)
+)"""
+ORACLE["prompt_grid"] = sql(["models", "prompt_lines"], f"""
+SELECT m.model, m.model_pos, p.prompt_pos, p.line_no, trim(p.line, {PYWS_SQL}) AS prompt
+FROM prompt_lines p CROSS JOIN models m""")
 ORACLE["qna_grid"] = sql(["grid"], "SELECT model, model_pos, id, question, reference, prompt, prediction FROM grid")
 ORACLE["missing_predictions"] = sql(["predictions"], """
 SELECT m.model, m.model_pos, q.id FROM qna q CROSS JOIN models m
@@ -483,12 +488,11 @@ def _cell(m: str) -> str:
 
 ORACLE["summary_cells"] = sql(["summary"], f"""
 SELECT model, model_pos, {_cell('nll')}, {_cell('bert_p')}, {_cell('bert_r')}, {_cell('bert_f1')} FROM marked""")
-ORACLE["generations_by_prompt"] = sql(["models"], f"""
-SELECT b.item_id AS prompt_pos, trim(split_part(b.text, {NL}, 1), {PYWS_SQL}) AS prompt, count(*)::BIGINT AS n_models,
-       string_agg('[' || m.model || '] ' ||
-                  array_to_string(list_slice(string_split(b.text, {NL}), 1, m.model_pos + 1), ' '),
+ORACLE["generations_by_prompt"] = sql(["models", "prompt_lines"], f"""
+SELECT p.prompt_pos, p.line_no, trim(p.line, {PYWS_SQL}) AS prompt, count(*)::BIGINT AS n_models,
+       string_agg('[' || m.model || '] ' || array_to_string(list_slice(p.l, p.line_no + 1, p.line_no + 1 + m.model_pos), ' '),
                   {NL} ORDER BY m.model_pos) AS outputs
-FROM benchmark b CROSS JOIN models m GROUP BY b.item_id, b.text""")
+FROM prompt_lines p CROSS JOIN models m GROUP BY p.prompt_pos, p.line_no, p.line""")
 
 # ---- T1-T5, S8, S9, R1, U1 ---------------------------------------------------------------
 CTE["run_history"] = """

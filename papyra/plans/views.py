@@ -106,18 +106,24 @@ def predictions(spark: SparkSession, sf_dir: str, models=DEFAULT_MODELS) -> Data
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts from ``benchmark``: the first line of each item, stripped."""
+    """Prompt lines from ``benchmark``: every line of every item, stripped, blanks kept,
+    in order (``prompt_pos`` = item, ``line_no`` = line within the item)."""
     b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    return b.select(F.col("item_id").alias("prompt_pos"),
-                    py_strip(F.element_at(F.split("text", "\n"), 1)).alias("prompt"))
+    lines = b.select("item_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select(F.col("item_id").alias("prompt_pos"), F.col("line_no").cast("bigint").alias("line_no"),
+                        py_strip(F.col("line")).alias("prompt"))
 
 
 def generations(spark: SparkSession, sf_dir: str, models=DEFAULT_MODELS) -> DataFrame:
-    """Stand-in generations per (prompt, model): the first ``model_pos + 1`` lines of the item."""
-    b = read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    g = b.select("item_id", "text", F.explode(model_array(models)).alias("m"))
-    return g.select(F.col("item_id").alias("prompt_pos"), "m.model",
-                    F.array_join(F.slice(F.split("text", "\n"), 1, (F.col("m.model_pos") + 1).cast("int")),
+    """Stand-in generations per (prompt line, model): the prompt line followed by the
+    next ``model_pos`` lines of its item."""
+    b = read_table(spark, sf_dir, "benchmark", "item_id", "text").select(
+        "item_id", F.split("text", "\n").alias("lines"))
+    g = b.select("item_id", "lines", F.posexplode("lines").alias("line_no", "line"),
+                 F.explode(model_array(models)).alias("m"))
+    return g.select(F.col("item_id").alias("prompt_pos"), F.col("line_no").cast("bigint").alias("line_no"),
+                    "m.model",
+                    F.array_join(F.slice("lines", F.col("line_no") + 1, (F.col("m.model_pos") + 1).cast("int")),
                                  " ").alias("gen_text"))
 
 

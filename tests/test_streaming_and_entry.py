@@ -50,4 +50,5 @@ def test_training_samples_scan_is_pruned(spark):
     from papyra.plans import views
     plan = training_samples(views.articles(spark, SF001))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
-    assert "Exchange" not in plan            # a pure map job: no shuffle at all
+    # a map job: no key shuffle (a single-split input may get a round-robin rebalance)
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
