@@ -37,8 +37,8 @@ def new_records(batch: DataFrame, stored: DataFrame | None, key: str = "article_
 
 
 def newest_marker(stored: DataFrame, key: str = "article_id"):
-    """The newest stored id (ids are numeric strings), as a driver-side scalar."""
-    return stored.agg(F.max(F.col(key).cast("bigint")).alias("m")).first()["m"]
+    """The newest stored numeric id, as a driver-side scalar (non-numeric ids are ignored)."""
+    return stored.agg(F.max(F.col(key).try_cast("bigint")).alias("m")).first()["m"]
 
 
 # ---- D2/D3 seeded exact-count split --------------------------------------------------

@@ -144,7 +144,8 @@ def q_incremental_new_docs(spark, sf_dir):
     marker = newest_marker(stored)
     new = new_records(batch, stored)
     return new.withColumn("newer_than_marker",
-                          (F.col("article_id").cast("bigint") > F.lit(marker)).cast("int"))
+                          F.coalesce((F.col("article_id").try_cast("bigint") > F.lit(marker)).cast("int"),
+                                     F.lit(0)))
 
 
 @register("train_eval_split")
