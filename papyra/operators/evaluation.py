@@ -155,13 +155,15 @@ def eval_results(grid: DataFrame, scores: DataFrame, nll: DataFrame) -> DataFram
 def summarise(results: DataFrame, metrics=METRICS) -> DataFrame:
     """A2/A3: per-model means (NaN skipped), keyed by declared model order."""
     aggs = [F.avg(F.nanvl(F.col(m), F.lit(None).cast("double"))).alias(m) for m in metrics]
-    return results.groupBy("model", "model_pos").agg(*aggs)
+    # one row per observed model, in declared order (sorting k rows)
+    return results.groupBy("model", "model_pos").agg(*aggs).orderBy("model_pos")
 
 
 def summary_sorted(summary: DataFrame) -> DataFrame:
     """A4: means without nll, rounded to 4, ranked ascending by bert_p (k rows: one window)."""
     s = summary.select("model", *[F.round(c, 4).alias(c) for c in ("bert_p", "bert_r", "bert_f1")])
-    return s.withColumn("sort_rank", F.row_number().over(Window.orderBy("bert_p", "model")).cast("bigint"))
+    return (s.withColumn("sort_rank", F.row_number().over(Window.orderBy("bert_p", "model")).cast("bigint"))
+            .orderBy("sort_rank"))
 
 
 def best_marks(summary: DataFrame, eps: float = 1e-12) -> DataFrame:
@@ -181,7 +183,7 @@ def summary_cells(marked: DataFrame) -> DataFrame:
         txt = F.format_string("%.4f", F.col(m))
         cells.append(F.when(F.col(f"best_{m}") == 1, F.concat(F.lit("**"), txt, F.lit("**")))
                      .otherwise(txt).alias(f"{m}_cell"))
-    return marked.select("model", "model_pos", *cells)
+    return marked.select("model", "model_pos", *cells).orderBy("model_pos")
 
 
 def generations_by_prompt(grid: DataFrame, outputs: DataFrame, keys=("prompt_pos", "line_no")) -> DataFrame:
