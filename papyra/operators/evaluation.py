@@ -9,20 +9,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra import DEFAULT_MODELS
+from papyra.functions.models import model_array
 from papyra.functions.text import extract_answer, tokens
 
 # The Q&A prompt template.
 PROMPT_Q, PROMPT_A = "Q: ", "\nA:"
 
 
-def _models(models):
-    return F.array(*[F.struct(F.lit(m).alias("model"), F.lit(i).cast("bigint").alias("model_pos"))
-                     for i, m in enumerate(models)])
-
-
 def with_models(df: DataFrame, models=DEFAULT_MODELS) -> DataFrame:
     """Every row once per model (a bounded, literal fan-out; no join)."""
-    return (df.select("*", F.explode(_models(models)).alias("_m"))
+    return (df.select("*", F.explode(model_array(models)).alias("_m"))
             .select("_m.model", "_m.model_pos", *df.columns))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra import DEFAULT_MODELS
-from papyra.functions.text import extract_answer, py_strip
+from papyra.functions.text import py_strip
+from papyra.functions.models import model_array
 from papyra.sources.readers import read_table
 
 
@@ -20,12 +21,6 @@ def models_df(spark: SparkSession, models=DEFAULT_MODELS) -> DataFrame:
     return spark.createDataFrame([(m, i) for i, m in enumerate(models)], "model string, model_pos bigint")
 
 
-def model_array(models=DEFAULT_MODELS):
-    """Models as a literal array of structs, for a bounded per-row fan-out."""
-    return F.array(*[F.struct(F.lit(m).alias("model"), F.lit(i).cast("bigint").alias("model_pos"))
-                     for i, m in enumerate(models)])
-
-
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw-article records from ``documents``.
 

@@ -1,7 +1,5 @@
 """Streaming ingest (R1), batch map (U1), workflow (U2) and the driver contract."""
 
-from pyspark.sql import functions as F
-
 from tests.conftest import SF001
 
 
