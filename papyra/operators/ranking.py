@@ -5,8 +5,10 @@
 * ``keep_first``: first row per key through an aggregate (map-side combine),
   so a key holding a third of all rows never lands whole in one task.
 * ``sized_broadcast``: broadcast only behind a bounded row-count check.
-* ``lead_in_order``: next value per key in order, splitting hot keys across
-  range partitions and stitching the partition boundaries.
+* ``lead_in_order``: next value per key in order, splitting hot keys into
+  pieces along the order column and stitching the piece boundaries.
+* ``fill_forward``: last non-null value at or before each row in a global
+  order, without pulling the rows into one task.
 """
 
 from __future__ import annotations
@@ -87,19 +89,36 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def order_pieces(df: DataFrame, col: str, n: int) -> Column:
+    """Deterministic piece number (0..n-1) of each row along a numeric order column.
+
+    The bounds are approximate quantiles computed once (at most n - 1 literal
+    values), so every use of the column in a plan agrees on the pieces (unlike
+    ``spark_partition_id()`` after a range exchange, whose sampled bounds may
+    differ between two executions of the exchange).
+    """
+    if n <= 1:
+        return F.lit(0)
+    qs = df.approxQuantile(col, [i / n for i in range(1, n)], 0.001)
+    bounds = sorted({q for q in qs if q is not None})
+    if not bounds:
+        return F.lit(0)
+    arr = F.array(*[F.lit(b) for b in bounds])
+    return F.size(F.filter(arr, lambda b: b < F.col(col).cast("double")))
+
+
 def lead_in_order(df: DataFrame, key: str, order_cols: list[str], value: str, out: str,
                   n_parts: int | None = None) -> DataFrame:
     """``lead(value) over (partition by key order by order_cols)`` that splits hot keys.
 
-    Rows are range-partitioned on (key, *order_cols), so one key's sequence may
-    span many partitions; the lead is taken within (key, partition) and the
-    last row of each piece gets the first value of the key's next piece.
-    ``order_cols`` must be a total order within a key.
+    Rows are cut into pieces along the first (numeric) order column, so one
+    key's sequence may span many tasks; the lead is taken within (key, piece)
+    and the last row of each piece gets the first value of the key's next
+    non-empty piece. ``order_cols`` must be a total order within a key.
     """
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, key, *order_cols)
-              .withColumn("_piece", F.spark_partition_id()))
+    ranged = df.withColumn("_piece", order_pieces(df, order_cols[0], n))
     w = Window.partitionBy(key, "_piece").orderBy(*order_cols)
     local = (ranged.withColumn(out, F.lead(value).over(w))
              .withColumn("_last", F.lead(F.lit(1)).over(w).isNull()))
@@ -113,3 +132,26 @@ def lead_in_order(df: DataFrame, key: str, order_cols: list[str], value: str, ou
     return (local.join(nxt, on=[key, "_piece"], how="left")
             .withColumn(out, F.when(F.col("_last"), F.col("_next_first")).otherwise(F.col(out)))
             .drop("_piece", "_next_first", "_last"))
+
+
+def fill_forward(df: DataFrame, order_col: str, value: str, out: str, n_parts: int | None = None) -> DataFrame:
+    """``last(value, ignorenulls) over (order by order_col rows unbounded preceding)``, distributed.
+
+    Rows are cut into pieces along ``order_col``; each piece fills forward
+    locally, and a piece's leading gap takes the last non-null value of the
+    pieces before it, from a carry table with one row per piece (bounded by
+    the piece count). ``order_col`` must be unique and numeric.
+    """
+    spark = df.sparkSession
+    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("_piece", order_pieces(df, order_col, n))
+    w = Window.partitionBy("_piece").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn(out, F.last(F.col(value), ignorenulls=True).over(w))
+    lasts = (ranged.where(F.col(value).isNotNull()).groupBy("_piece")
+             .agg(F.max_by(F.col(value), F.col(order_col)).alias("_last")))
+    pieces = ranged.select("_piece").distinct().join(lasts, "_piece", "left")
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carry = pieces.select("_piece", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    return (local.join(F.broadcast(carry), "_piece", "left")
+            .withColumn(out, F.coalesce(F.col(out), F.col("_carry")))
+            .drop("_piece", "_carry"))

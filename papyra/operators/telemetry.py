@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.operators.ranking import lead_in_order
+from papyra.operators.ranking import fill_forward, lead_in_order
 
 # The log line layout "[ts] [ LEVEL ] [ component ] indent+message".
 LOG_LINE_RE = r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] \[\s*([A-Za-z]+)\s*\] \[\s*(.*?)\s*\] ( *)(.*)$"
@@ -90,3 +90,11 @@ def step_durations(events: DataFrame) -> DataFrame:
         F.sum("dur").alias("total_sec"), F.round(F.avg("dur"), 6).alias("avg_sec"),
         F.max("dur").alias("max_sec"),
         F.round(F.count(F.lit(1)) / F.greatest(F.max("t") - F.min("t"), F.lit(1)), 6).alias("events_per_sec"))
+
+
+def attach_continuations(parsed: DataFrame) -> DataFrame:
+    """``event_line`` = the line number of the event each line belongs to
+    (itself for an event line, the nearest preceding event line for a
+    continuation; null for continuations before the first event)."""
+    marked = parsed.withColumn("_ev", F.when(F.col("is_continuation") == 0, F.col("line_no")))
+    return fill_forward(marked, "line_no", "_ev", "event_line").drop("_ev")

@@ -551,7 +551,9 @@ SELECT model, max(step) AS final_step, arg_max(eval_loss, step) AS final_loss,
        round(arg_max(eval_loss, step) - min(eval_loss), 6) AS final_minus_best, count(*)::BIGINT AS n_steps
 FROM run_history GROUP BY model""")
 ORACLE["runlog_events"] = sql(["log_lines"], """
-SELECT line_no, ts, level, component, depth, message, is_continuation FROM parsed""")
+SELECT line_no, ts, level, component, depth, message, is_continuation,
+       max(CASE WHEN is_continuation = 0 THEN line_no END) OVER (ORDER BY line_no) AS event_line
+FROM parsed""")
 ORACLE["step_durations"] = sql(["log_lines"], """
 SELECT component, count(*)::BIGINT AS n_events, count(dur)::BIGINT AS n_timed, sum(dur)::BIGINT AS total_sec,
        round(avg(dur), 6) AS avg_sec, max(dur)::BIGINT AS max_sec,

@@ -382,8 +382,8 @@ def q_variant_compare(spark, sf_dir):
 
 @register("runlog_events")
 def q_runlog_events(spark, sf_dir):
-    from papyra.operators.telemetry import parse_log
-    return parse_log(views.log_lines(spark, sf_dir))
+    from papyra.operators.telemetry import attach_continuations, parse_log
+    return attach_continuations(parse_log(views.log_lines(spark, sf_dir)))
 
 
 @register("step_durations")

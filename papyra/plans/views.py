@@ -16,11 +16,6 @@ from papyra.functions.models import model_array
 from papyra.sources.readers import read_table
 
 
-def models_df(spark: SparkSession, models=DEFAULT_MODELS) -> DataFrame:
-    """The model dimension: (model, model_pos) in declared order."""
-    return spark.createDataFrame([(m, i) for i, m in enumerate(models)], "model string, model_pos bigint")
-
-
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw-article records from ``documents``.
 

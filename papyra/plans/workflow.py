@@ -57,7 +57,7 @@ def _eval(spark, state, p):
 STEPS = {"extract": _extract, "prepare": _prepare, "split": _split, "tokenize": _tokenize, "eval": _eval}
 
 
-def run_pipeline(spark: SparkSession, steps: list[str], params: dict) -> dict[str, DataFrame]:
+def run_steps(spark: SparkSession, steps: list[str], params: dict) -> dict[str, DataFrame]:
     state: dict[str, DataFrame] = {}
     for step in steps:
         fn = STEPS.get(step)

@@ -31,8 +31,8 @@ def test_map_batches(spark):
 
 
 def test_workflow_unknown_step_warns(spark, caplog):
-    from papyra.plans.workflow import run_pipeline
-    out = run_pipeline(spark, ["prepare", "bogus"], {"sf_dir": SF001})
+    from papyra.plans.workflow import run_steps
+    out = run_steps(spark, ["prepare", "bogus"], {"sf_dir": SF001})
     assert "samples" in out and any("bogus" in r.message for r in caplog.records)
 
 

@@ -57,3 +57,18 @@ def test_lead_in_order_hot_key(spark):
     j = got.join(ref, ["k", "t"])
     assert j.count() == 5000
     assert j.where(~F.col("nt").eqNullSafe(F.col("rt"))).count() == 0
+
+
+def test_attach_continuations_across_pieces(spark):
+    from papyra.operators.ranking import fill_forward
+    rows = [(0, "  orphan"), (1, "[2026-02-24 10:00:00] [ INFO  ] [ c ] a"), (2, "  more"), (3, "  more"),
+            (4, "[2026-02-24 10:00:01] [ INFO  ] [ c ] b"), (5, "  tail")]
+    lines = spark.createDataFrame(rows, "line_no bigint, value string")
+    got = {r["line_no"]: r["event_line"] for r in T.attach_continuations(T.parse_log(lines)).collect()}
+    assert got == {0: None, 1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    # many pieces, long gaps: equals the single-window answer
+    df = spark.range(3000).select(F.col("id").alias("o"), F.when(F.col("id") % 97 == 5, F.col("id")).alias("v"))
+    got = fill_forward(df, "o", "v", "f", n_parts=16)
+    ref = df.withColumn("r", F.last("v", ignorenulls=True).over(
+        Window.orderBy("o").rowsBetween(Window.unboundedPreceding, 0)))
+    assert got.join(ref, "o").where(~F.col("f").eqNullSafe(F.col("r"))).count() == 0
