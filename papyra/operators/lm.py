@@ -42,52 +42,52 @@ def positions(df: DataFrame, keys: list[str], toks: Column) -> DataFrame:
 
 @dataclass
 class NgramModels:
-    base_uni: DataFrame      # tok, c_doc
+    token_stats: DataFrame   # tok, c_doc, c_tr, c_prev (one row per token of either corpus)
     n_doc: int
     v_doc: int
-    train_uni: DataFrame     # tok, c_tr
     n_tr: int
     v_tr: int
     train_bi: DataFrame      # prev, tok, c_bi
-    train_prev: DataFrame    # prev, c_prev
     lam: float = LAMBDA
 
 
-def _totals(base_uni: DataFrame, train_bi: DataFrame):
+def _totals(stats: DataFrame):
     """Token and vocabulary totals of both corpora in one small job."""
-    b = base_uni.agg(F.lit("base").alias("k"), F.sum("c_doc").alias("n"), F.count(F.lit(1)).alias("v"))
-    t = (train_bi.groupBy("tok").agg(F.sum("c_bi").alias("c"))
-         .agg(F.lit("train").alias("k"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")))
-    r = {row["k"]: row for row in b.unionByName(t).collect()}
+    r = stats.agg(F.sum("c_doc").alias("n_doc"), F.count("c_doc").alias("v_doc"),
+                  F.sum("c_tr").alias("n_tr"), F.count("c_tr").alias("v_tr")).first()
     # one extra vocabulary slot for unseen tokens
-    return ((int(r["base"]["n"] or 0), int(r["base"]["v"] or 0) + 1),
-            (int(r["train"]["n"] or 0), int(r["train"]["v"] or 0) + 1))
+    return ((int(r["n_doc"] or 0), int(r["v_doc"] or 0) + 1),
+            (int(r["n_tr"] or 0), int(r["v_tr"] or 0) + 1))
 
 
 def fit(base_texts: DataFrame, train_texts: DataFrame, text_col: str = "text",
         train_col: str = "x", lam: float = LAMBDA) -> NgramModels:
-    """Count tables of the three model variants (aggregates with map-side combine)."""
+    """Count tables of the three model variants (aggregates with map-side combine).
+
+    Two tables are written once: the bigram counts of the training split, and
+    per-token statistics (base-corpus count, training count, count as a
+    bigram predecessor), so scoring needs no re-aggregation.
+    """
+    from papyra.session import materialize
     base_uni = (base_texts.select(F.explode(tokens(F.col(text_col))).alias("tok"))
                 .groupBy("tok").agg(F.count(F.lit(1)).alias("c_doc")))
     tp = positions(train_texts, [], tokens(F.col(train_col)))
-    train_bi = tp.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("c_bi"))
-    from papyra.session import materialize
-    # the count tables feed the totals and every later scoring join: write once
-    base_uni = materialize(base_uni, "lm-base-unigrams")
-    train_bi = materialize(train_bi, "lm-train-bigrams")
+    train_bi = materialize(tp.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("c_bi")), "lm-train-bigrams")
     train_uni = train_bi.groupBy("tok").agg(F.sum("c_bi").alias("c_tr"))
-    train_prev = train_bi.groupBy("prev").agg(F.sum("c_bi").alias("c_prev"))
-    (n_doc, v_doc), (n_tr, v_tr) = _totals(base_uni, train_bi)
-    return NgramModels(base_uni, n_doc, v_doc, train_uni, n_tr, v_tr, train_bi, train_prev, lam)
+    train_prev = train_bi.groupBy(F.col("prev").alias("tok")).agg(F.sum("c_bi").alias("c_prev"))
+    stats = materialize(base_uni.join(train_uni, "tok", "full").join(train_prev, "tok", "full"), "lm-token-stats")
+    (n_doc, v_doc), (n_tr, v_tr) = _totals(stats)
+    return NgramModels(stats, n_doc, v_doc, n_tr, v_tr, train_bi, lam)
 
 
 def ngram_logprobs(m: NgramModels, ngrams: DataFrame) -> DataFrame:
     """Log-probability of each distinct (prev, tok) under each variant.
 
-    Every count table is unique per key, so these joins carry no hot keys.
+    Every joined table is unique per key, so these joins carry no hot keys.
     """
-    g = (ngrams.join(m.base_uni, "tok", "left").join(m.train_uni, "tok", "left")
-         .join(m.train_bi, ["prev", "tok"], "left").join(m.train_prev, "prev", "left"))
+    tok_stats = m.token_stats.select("tok", "c_doc", "c_tr")
+    prev_stats = m.token_stats.select(F.col("tok").alias("prev"), "c_prev")
+    g = ngrams.join(tok_stats, "tok", "left").join(m.train_bi, ["prev", "tok"], "left").join(prev_stats, "prev", "left")
     c = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("double")
     p_base = (c("c_doc") + 1.0) / F.lit(float(m.n_doc + m.v_doc))
     p_uni = (c("c_tr") + 1.0) / F.lit(float(m.n_tr + m.v_tr))
@@ -160,6 +160,6 @@ def corpus_nll_by(m: NgramModels, docs: DataFrame, group_col: str, text_col: str
     counts = (docs.select(group_col, F.explode(tokens(F.col(text_col))).alias("tok"))
               .groupBy(group_col, "tok").agg(F.count(F.lit(1)).alias("n")))
     p = (F.coalesce(F.col("c_doc"), F.lit(0)).cast("double") + 1.0) / F.lit(float(m.n_doc + m.v_doc))
-    j = counts.join(m.base_uni, "tok", "left").withColumn("nlp", -F.ln(p))
+    j = counts.join(m.token_stats.select("tok", "c_doc"), "tok", "left").withColumn("nlp", -F.ln(p))
     return j.groupBy(group_col).agg(F.sum("n").alias("n_tokens"),
                                     (F.sum(F.col("n") * F.col("nlp")) / F.sum("n")).alias("nll"))
