@@ -65,21 +65,34 @@ def paragraphs(container: Column) -> Column:
 
 @dataclass(frozen=True)
 class PageProfile:
-    """Where the fields of a stored article page live (one selector per field).
+    """Where the fields of a stored article page live.
 
-    The default profile fits pages whose body is an ``<article>`` with an
-    ``<h1>``; ``newsroom`` mirrors press-release pages with ``#article-text``.
+    Teaser, category and date take an ordered selector list; the first
+    selector that matches wins (``".cls"`` = any element with that class,
+    ``"tag"`` = the first such element). The default profile fits pages whose
+    body is an ``<article>`` with an ``<h1>``; ``newsroom`` mirrors
+    press-release pages with ``#article-text``.
     """
     title_tag: str = "h1"
     body_tag: str = "article"
     body_id: str | None = None
-    teaser_class: str = "teaser"
-    category_class: str = "category"
-    date_class: str = "date"
+    teaser: tuple[str, ...] = (".teaser",)
+    category: tuple[str, ...] = (".category",)
+    date: tuple[str, ...] = (".date", "time")
+
+
+def first_match(html: Column, selectors: tuple[str, ...]) -> Column:
+    """Text of the first selector in the list that matches (null when none does)."""
+    picks = []
+    for sel in selectors:
+        frag = block_with_class(html, "\\w+", sel[1:]) if sel.startswith(".") else block(html, sel)
+        picks.append(nullif_empty(inline_text(frag)))
+    return F.coalesce(*picks) if picks else F.lit(None).cast("string")
 
 
 DEFAULT_PROFILE = PageProfile()
-NEWSROOM_PROFILE = PageProfile(body_tag="div", body_id="article-text")
+NEWSROOM_PROFILE = PageProfile(body_tag="div", body_id="article-text", teaser=(".teaser",),
+                               category=(".category",), date=(".date", "time"))
 
 
 def body_container(html: Column, profile: PageProfile) -> Column:

@@ -23,11 +23,9 @@ def page_articles(pages: DataFrame, profile: H.PageProfile = H.DEFAULT_PROFILE,
     """
     html = H.strip_noise(F.col("html"))
     title = H.nullif_empty(H.inline_text(H.block(html, profile.title_tag)))
-    date_txt = H.nullif_empty(H.inline_text(H.block_with_class(html, "\\w+", profile.date_class)))
-    time_txt = H.nullif_empty(H.inline_text(H.block(html, "time")))
-    date_text = F.coalesce(date_txt, time_txt)
-    category = H.nullif_empty(H.inline_text(H.block_with_class(html, "\\w+", profile.category_class)))
-    teaser = H.nullif_empty(H.inline_text(H.block_with_class(html, "\\w+", profile.teaser_class)))
+    date_text = H.first_match(html, profile.date)
+    category = H.first_match(html, profile.category)
+    teaser = H.first_match(html, profile.teaser)
     container = H.body_container(html, profile)
     # the title heading belongs to the header, not to the body text
     body = F.regexp_replace(container, f"(?is)<{profile.title_tag}\\b.*?</{profile.title_tag}>", "")

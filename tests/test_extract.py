@@ -68,3 +68,14 @@ def test_nav_links_fixture(spark):
     pages = read_table(spark, SF001, "pages", "page_id", "url").toPandas().set_index("page_id")["url"]
     assert len(links) > 0
     assert all(py_urljoin(pages[p], h) == l for p, h, l in zip(links.page_id, links.href, links.link))
+
+
+def test_selector_list_first_match_wins(spark):
+    prof = H.PageProfile(teaser=(".lead", ".teaser"), date=("time", ".date"))
+    pages = spark.createDataFrame(
+        [(1, "u", '<div class="teaser">T2</div><p class="lead">T1</p><span class="date">1.2.2026</span>'
+                  '<time>3.4.2026</time><article><p>x</p></article>'),
+         (2, "u", '<div class="teaser">only</div><span class="date">5.6.2026</span><article><p>x</p></article>')],
+        "page_id bigint, url string, html string")
+    got = {r["page_id"]: (r["teaser"], r["date_raw"]) for r in page_articles(pages, prof).collect()}
+    assert got == {1: ("T1", "20260403"), 2: ("only", "20260605")}
