@@ -32,9 +32,16 @@ def block(html: Column, tag: str) -> Column:
 
 
 def block_with_class(html: Column, tag: str, css_class: str) -> Column:
-    """Inner HTML of the first ``<tag class="... css_class ...">`` element."""
-    return F.regexp_extract(
-        html, f"(?is)<{tag}\\b[^>]*class=[\"'][^\"']*\\b{css_class}\\b[^\"']*[\"'][^>]*>(.*?)</{tag}>", 1)
+    """Inner HTML of the first ``<tag class="... css_class ...">`` element.
+
+    ``css_class`` may be compound (``"teaser.clear"``): every class must be present.
+    """
+    classes = css_class.split(".")
+    if len(classes) == 1:
+        attr = f"class=[\"'][^\"']*\\b{css_class}\\b[^\"']*[\"']"
+    else:
+        attr = "class=[\"']" + "".join(f"(?=[^\"']*\\b{c}\\b)" for c in classes) + "[^\"']*[\"']"
+    return F.regexp_extract(html, f"(?is)<{tag}\\b[^>]*{attr}[^>]*>(.*?)</{tag}>", 1)
 
 
 def decode_entities(c: Column) -> Column:
@@ -91,7 +98,9 @@ def first_match(html: Column, selectors: tuple[str, ...]) -> Column:
 
 
 DEFAULT_PROFILE = PageProfile()
-NEWSROOM_PROFILE = PageProfile(body_tag="div", body_id="article-text", teaser=(".teaser",),
+# The press article layout: body `#article-text`; teaser `.teaser.clear`
+# then `.teaser`; category `.category`; date `.date` then `time`.
+NEWSROOM_PROFILE = PageProfile(body_tag="div", body_id="article-text", teaser=(".teaser.clear", ".teaser"),
                                category=(".category",), date=(".date", "time"))
 
 
@@ -123,6 +132,8 @@ class ListingProfile:
 
 
 NAV_LISTING = ListingProfile()
+# The press listing layout: entries are `article.newsfeed` elements
+# carrying a `data-id`, each linking through `div.text h3 a[href]`.
 NEWSFEED_LISTING = ListingProfile(
     container_re="(?is)^(.*)$",
     entry_re="(?is)(<article\\b[^>]*class=\"[^\"]*\\bnewsfeed\\b[^\"]*\"[^>]*>.*?</article>)",

@@ -79,3 +79,11 @@ def test_selector_list_first_match_wins(spark):
         "page_id bigint, url string, html string")
     got = {r["page_id"]: (r["teaser"], r["date_raw"]) for r in page_articles(pages, prof).collect()}
     assert got == {1: ("T1", "20260403"), 2: ("only", "20260605")}
+
+
+def test_newsroom_profile_compound_class(spark):
+    html = ('<div class="article-info"><time>9.10.2025</time></div><div class="teaser">plain</div>'
+            '<div class="clear teaser">both</div><div id="article-text"><p>a</p><p>b</p></div>')
+    pages = spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string")
+    r = page_articles(pages, H.NEWSROOM_PROFILE).first()
+    assert r["teaser"] == "both" and r["date_raw"] == "20251009" and r["paragraphs"] == ["a", "b"]
