@@ -238,9 +238,25 @@ def _bert(spark, sf_dir):
     return bertscore(g, read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def evaluate(spark, sf_dir, split=None):
+    """The evaluation step: result rows (grid + BERTScore + masked NLL) and the per-model summary.
+
+    ``split`` is the dataset split the n-gram variants are fitted on (built
+    from the stored tables when not given).
+    """
+    from papyra.operators import lm
+    from papyra.operators.evaluation import bertscore, eval_results, summarise
+    from papyra.sources.readers import read_table
+    grid = _grid(spark, sf_dir)
+    scores = bertscore(grid.select("model", "id", "prediction", "reference"),
+                       read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    nll = lm.masked_nll(lm.token_logprobs(_lms(spark, sf_dir, split), views.qna(spark, sf_dir)))
+    results = eval_results(grid, scores, nll)
+    return results, summarise(results)
+
+
 def _summary(spark, sf_dir):
-    from papyra.operators.evaluation import eval_results, summarise
-    return summarise(eval_results(_grid(spark, sf_dir), _bert(spark, sf_dir), _nll(spark, sf_dir)))
+    return evaluate(spark, sf_dir)[1]
 
 
 @register("prompt_grid")

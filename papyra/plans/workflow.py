@@ -1,8 +1,10 @@
 """The configured step sequence as one chain of DataFrames.
 
 Steps are looked up by name; an unknown step logs a warning and is skipped,
-as in the reference's workflow runner. Nothing is scheduled here: each step
-only extends the lazy plan, and actions happen where the caller writes.
+as in the reference's workflow runner. Each step consumes the previous
+step's output from ``state``; with ``persist`` (the default) a step's output
+table is written once to the shared checkpoint folder, as the reference
+writes its processed files, so later steps read it instead of re-deriving it.
 """
 
 from __future__ import annotations
@@ -14,10 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 LOG = logging.getLogger("papyra.workflow")
 
 
+def _keep(state, p, name, df):
+    from papyra.session import materialize
+    state[name] = materialize(df, f"step-{name}") if p.get("persist", True) else df
+
+
 def _extract(spark, state, p):
     from papyra.operators.extract import page_articles
     from papyra.sources.readers import read_table
-    state["page_articles"] = page_articles(read_table(spark, p["sf_dir"], "pages", "page_id", "url", "html"))
+    _keep(state, p, "page_articles",
+          page_articles(read_table(spark, p["sf_dir"], "pages", "page_id", "url", "html")))
 
 
 def _prepare(spark, state, p):
@@ -26,32 +34,36 @@ def _prepare(spark, state, p):
     a = state.get("articles")
     if a is None:
         a = articles(spark, p["sf_dir"])
-    ws = p.get("ws_mode", "parity")
-    state["samples"] = training_samples(a, ws_mode=ws, drop_zero_idx=p.get("drop_zero_idx", True))
-    state["omissions"] = omission_report(a, ws_mode=ws, drop_zero_idx=p.get("drop_zero_idx", True))
+    ws, zero = p.get("ws_mode", "parity"), p.get("drop_zero_idx", True)
+    _keep(state, p, "samples", training_samples(a, ws_mode=ws, drop_zero_idx=zero))
+    state["omissions"] = omission_report(a, ws_mode=ws, drop_zero_idx=zero)
 
 
 def _split(spark, state, p):
     from papyra.operators.dataset import train_eval_split
     if "samples" not in state:
         _prepare(spark, state, p)
-    state["split"] = train_eval_split(state["samples"], seed=p.get("seed", 42),
-                                      test_size=p.get("test_size", 0.1))
+    _keep(state, p, "split", train_eval_split(state["samples"], seed=p.get("seed", 42),
+                                              test_size=p.get("test_size", 0.1)))
 
 
 def _tokenize(spark, state, p):
-    from papyra.operators.dataset import tokenize, truncate, vocabulary
+    from papyra.operators.dataset import VOCAB_SIZE, tokenize, truncate, vocabulary
     from papyra.sources.readers import read_table
     if "split" not in state:
         _split(spark, state, p)
-    vocab = vocabulary(read_table(spark, p["sf_dir"], "documents", "text"), p.get("vocab_size", 50257))
+    vocab = vocabulary(read_table(spark, p["sf_dir"], "documents", "text"), p.get("vocab_size", VOCAB_SIZE))
     state["vocab"] = vocab
-    state["tokenized"] = truncate(tokenize(state["split"], vocab), p.get("max_length", 512))
+    tok = tokenize(state["split"].select("idx", "split", "split_rank", "x"), vocab)
+    _keep(state, p, "tokenized", truncate(tok, p.get("max_length", 512)))
 
 
 def _eval(spark, state, p):
-    from papyra.plans import queries as q
-    state["eval_summary"] = q.q_eval_summary(spark, p["sf_dir"])
+    from papyra.plans.queries import evaluate
+    if "split" not in state:
+        _split(spark, state, p)
+    results, summary = evaluate(spark, p["sf_dir"], state["split"])
+    state["eval_results"], state["eval_summary"] = results, summary
 
 
 STEPS = {"extract": _extract, "prepare": _prepare, "split": _split, "tokenize": _tokenize, "eval": _eval}
@@ -64,5 +76,6 @@ def run_steps(spark: SparkSession, steps: list[str], params: dict) -> dict[str,
         if fn is None:
             LOG.warning("Unknown workflow step: %s. Skipping.", step)
             continue
+        LOG.info("Running step: %s", step)
         fn(spark, state, params)
     return state

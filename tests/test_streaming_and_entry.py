@@ -50,3 +50,14 @@ def test_training_samples_scan_is_pruned(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     # a map job: no key shuffle (a single-split input may get a round-robin rebalance)
     assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
+def test_workflow_chain(spark):
+    from papyra.plans.workflow import run_steps
+    out = run_steps(spark, ["extract", "prepare", "split", "tokenize", "eval"], {"sf_dir": SF001})
+    n = out["samples"].count()
+    assert out["split"].count() == n and out["tokenized"].count() == n
+    assert out["page_articles"].count() > 0
+    summ = out["eval_summary"].collect()
+    assert [r["model"] for r in summ] == ["base", "FT_full", "FT-M1B"]
+    assert all(0 <= r["bert_f1"] <= 1 for r in summ)
