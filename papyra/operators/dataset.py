@@ -103,7 +103,7 @@ def tokenize(samples: DataFrame, vocab: DataFrame, text_col: str = "x",
 
     rows = vocab.select("tok", "id").limit(max_vocab_rows + 1).collect()
     if len(rows) > max_vocab_rows:
-        raise ValueError(f"vocabulary larger than {max_vocab_rows} rows")
+        return tokenize_joined(samples, vocab, text_col, unk_id)
     bc = samples.sparkSession.sparkContext.broadcast({r["tok"]: int(r["id"]) for r in rows})
     pattern = TOKEN_PATTERN
 
@@ -118,6 +118,23 @@ def tokenize(samples: DataFrame, vocab: DataFrame, text_col: str = "x",
     return samples.select(*keep, to_ids(F.col(text_col)).alias("input_ids"))
 
 
+def tokenize_joined(samples: DataFrame, vocab: DataFrame, text_col: str = "x",
+                    unk_id: int = EOS_ID - 1) -> DataFrame:
+    """D4 for vocabularies too large to ship whole: token positions are joined
+    to the vocabulary (a shuffle join; AQE splits hot tokens) and regrouped
+    per sample in position order. Samples without tokens keep an empty list."""
+    keep = [c for c in samples.columns if c != text_col]
+    rid = "_row"
+    s = samples.withColumn(rid, F.monotonically_increasing_id())
+    pos = s.select(rid, F.posexplode(tokens(F.col(text_col))).alias("pos", "tok"))
+    ids = (pos.join(vocab.select("tok", "id"), "tok", "left")
+           .select(rid, F.struct("pos", F.coalesce(F.col("id"), F.lit(unk_id)).cast("int").alias("id")).alias("p"))
+           .groupBy(rid).agg(F.sort_array(F.collect_list("p")).alias("_ps")))
+    out = s.select(rid, *keep).join(ids, rid, "left")
+    return out.select(*keep, F.coalesce(F.transform("_ps", lambda x: x["id"]),
+                                        F.array().cast("array<int>")).alias("input_ids"))
+
+
 def truncate(tok: DataFrame, max_length: int = 512) -> DataFrame:
     """Truncate to ``max_length`` ids, no padding; all-ones attention mask."""
     return (tok.withColumn("n_tokens_raw", F.size("input_ids").cast("bigint"))

@@ -68,14 +68,11 @@ def token_vec_ids(text, n_vectors: int):
                                                 % F.lit(n_vectors)))
 
 
-def _unit_matrix(emb: DataFrame, max_rows: int) -> np.ndarray:
-    rows = emb.select("vec_id", "embedding").limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"embedding table larger than {max_rows} rows")
+def _unit_matrix(rows) -> np.ndarray:
     if rows and max(r["vec_id"] for r in rows) + 1 != len(rows):
         raise ValueError("embedding rows must be numbered 0..n-1 by vec_id")
     dim = len(rows[0]["embedding"]) if rows else 0
-    mat = np.zeros((max(r["vec_id"] for r in rows) + 1 if rows else 0, dim), dtype=np.float64)
+    mat = np.zeros((len(rows), dim), dtype=np.float64)
     for r in rows:
         mat[r["vec_id"]] = np.asarray(r["embedding"], dtype=np.float64)
     norms = np.linalg.norm(mat, axis=1, keepdims=True)
@@ -88,11 +85,14 @@ def _greedy_match(unit: np.ndarray, pred: np.ndarray, ref: np.ndarray, block: in
         return 0.0, 0.0, 0.0
     pv, pc = np.unique(np.asarray(pred, dtype=np.int64), return_counts=True)
     rv, rc = np.unique(np.asarray(ref, dtype=np.int64), return_counts=True)
-    rm = unit[rv]
-    best_p = np.empty(len(pv))
-    best_r = np.full(len(rv), -np.inf)
-    for i in range(0, len(pv), block):       # bounded similarity block
-        sim = unit[pv[i:i + block]] @ rm.T
+    return _match_weighted(unit[pv], pc, unit[rv], rc, block)
+
+
+def _match_weighted(pm: np.ndarray, pc: np.ndarray, rm: np.ndarray, rc: np.ndarray, block: int = 4096):
+    best_p = np.empty(len(pm))
+    best_r = np.full(len(rm), -np.inf)
+    for i in range(0, len(pm), block):       # bounded similarity block
+        sim = pm[i:i + block] @ rm.T
         best_p[i:i + block] = sim.max(axis=1)
         best_r = np.maximum(best_r, sim.max(axis=0))
     bp = float((pc * best_p).sum() / pc.sum())
@@ -101,6 +101,10 @@ def _greedy_match(unit: np.ndarray, pred: np.ndarray, ref: np.ndarray, block: in
     return bp, br, f1
 
 
+SCORE_TYPE = "struct<bert_p:double,bert_r:double,bert_f1:double>"
+SCORE_COLS = ["bert_p", "bert_r", "bert_f1"]
+
+
 def bertscore(pairs: DataFrame, embeddings: DataFrame, pred_col: str = "prediction",
               ref_col: str = "reference", keys=("model", "id"),
               max_embedding_rows: int = MAX_EMBEDDING_ROWS) -> DataFrame:
@@ -110,27 +114,71 @@ def bertscore(pairs: DataFrame, embeddings: DataFrame, pred_col: str = "predicti
     tokens, R the reverse, F1 their harmonic mean; whole texts are used and
     pairs with an empty side score 0.
 
-    Each row already holds both texts, so this is a narrow map with no
+    When the embedding table is within ``max_embedding_rows`` (checked), it is
+    shipped once to every executor and scoring is a narrow map with no
     shuffle: tokens become embedding-row ids natively, then one Arrow-batched
-    UDF scores many pairs per call. Per pair the work is bounded by the
-    distinct embedding rows on each side (at most the table size), not by
-    text length. The embedding table is size-checked and shipped once.
+    UDF scores many pairs per call. A larger table takes the shuffle route
+    (``bertscore_shuffled``). Either way a pair's work is bounded by the
+    distinct embedding rows on each side, not by text length.
     """
     keys = list(keys)
-    unit = _unit_matrix(embeddings, max_embedding_rows)
+    rows = embeddings.select("vec_id", "embedding").limit(max_embedding_rows + 1).collect()
+    if len(rows) > max_embedding_rows:
+        return bertscore_shuffled(pairs, embeddings, pred_col, ref_col, keys)
+    unit = _unit_matrix(rows)
     n_vec = unit.shape[0]
     bc = pairs.sparkSession.sparkContext.broadcast(unit)
 
-    @F.pandas_udf("struct<bert_p:double,bert_r:double,bert_f1:double>")
+    @F.pandas_udf(SCORE_TYPE)
     def score(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
         u = bc.value
-        rows = [_greedy_match(u, a, b) for a, b in zip(pred, ref)]
-        return pd.DataFrame(rows, columns=["bert_p", "bert_r", "bert_f1"], dtype="float64")
+        return pd.DataFrame([_greedy_match(u, a, b) for a, b in zip(pred, ref)], columns=SCORE_COLS,
+                            dtype="float64")
 
     s = score(token_vec_ids(F.col(pred_col), n_vec), token_vec_ids(F.col(ref_col), n_vec))
     return pairs.select(*keys, s.alias("s")).select(*keys, "s.bert_p", "s.bert_r", "s.bert_f1")
 
 
+def bertscore_shuffled(pairs: DataFrame, embeddings: DataFrame, pred_col: str = "prediction",
+                       ref_col: str = "reference", keys=("model", "id")) -> DataFrame:
+    """V6 for embedding tables too large to ship whole.
+
+    Each side is reduced to distinct (pair, embedding row) with a count,
+    joined to the unit vectors (normalised once, natively), and gathered per
+    pair (at most one vector per distinct token of that pair's texts); the
+    same Arrow-batched scorer then runs on the gathered vectors.
+    """
+    keys = list(keys)
+    n_vec = embeddings.count()
+    e = F.col("embedding").cast("array<double>")
+    norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x * x))
+    unit = embeddings.select(F.col("vec_id").alias("vec"),
+                             F.when(norm > 0, F.transform(e, lambda x: x / norm))
+                             .otherwise(F.transform(e, lambda x: x * 0.0)).alias("u"))
+
+    def side(col, name):
+        counts = (pairs.select(*[F.col(k).alias(k) for k in keys],
+                               F.explode(token_vec_ids(F.col(col), n_vec)).alias("vec"))
+                  .groupBy(*keys, "vec").agg(F.count(F.lit(1)).alias("cnt")))
+        return counts.join(unit, "vec").groupBy(*keys).agg(
+            F.collect_list("u").alias(f"{name}_u"), F.collect_list("cnt").alias(f"{name}_c"))
+
+    @F.pandas_udf(SCORE_TYPE)
+    def score(pu: pd.Series, pc: pd.Series, ru: pd.Series, rc: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, ac, b, bcnt in zip(pu, pc, ru, rc):
+            if a is None or b is None or len(a) == 0 or len(b) == 0:
+                out.append((0.0, 0.0, 0.0))
+                continue
+            out.append(_match_weighted(np.stack(a).astype(np.float64), np.asarray(ac, dtype=np.float64),
+                                       np.stack(b).astype(np.float64), np.asarray(bcnt, dtype=np.float64)))
+        return pd.DataFrame(out, columns=SCORE_COLS, dtype="float64")
+
+    g = (pairs.select(*keys).join(side(pred_col, "p"), keys, "left").join(side(ref_col, "r"), keys, "left"))
+    s = score(F.col("p_u"), F.col("p_c"), F.col("r_u"), F.col("r_c"))
+    return g.select(*keys, s.alias("s")).select(*keys, "s.bert_p", "s.bert_r", "s.bert_f1")
+
+
 def bertscore_corpus(scores: DataFrame, by: str = "model") -> DataFrame:
     """V7: mean P, R, F1 per model."""
     return scores.groupBy(by).agg(*[F.avg(c).alias(c) for c in ("bert_p", "bert_r", "bert_f1")])

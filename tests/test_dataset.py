@@ -99,3 +99,11 @@ def test_step_assignment_spill(spark):
     assert [(r["epoch"], r["count"]) for r in s111] == [(0, 2), (1, 6)]
     # step 120 ends at micro 959 = 960/882 epochs
     assert s.where("step = 120").agg(F.max("micro")).first()[0] == 959
+
+
+def test_tokenize_join_route_matches_broadcast_route(spark):
+    vocab = spark.createDataFrame([("a", 5, 0), ("b", 3, 1), ("c", 2, 2)], "tok string, cnt bigint, id bigint")
+    s = spark.createDataFrame([(1, "a b zz a c"), (2, "b"), (3, "")], "idx bigint, x string")
+    a = {r["idx"]: r["input_ids"] for r in D.tokenize(s, vocab).collect()}
+    b = {r["idx"]: r["input_ids"] for r in D.tokenize(s, vocab, max_vocab_rows=2).collect()}
+    assert a == b == {1: [0, 1, D.EOS_ID - 1, 0, 2], 2: [1], 3: []}

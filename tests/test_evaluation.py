@@ -91,3 +91,17 @@ def test_grid_and_missing(spark):
     p = spark.createDataFrame([(0, "p0"), (1, "p1")], "prompt_pos bigint, prompt string")
     order = [(r["prompt_pos"], r["model"]) for r in EV.prompt_grid(p).collect()]
     assert order[:3] == [(0, "base"), (0, "FT_full"), (0, "FT-M1B")]
+
+
+def test_bertscore_shuffle_route_matches_broadcast_route(spark):
+    texts = [("m", i, " ".join(f"w{(i * j) % 31}" for j in range(1, 25)), " ".join(f"w{(i + j) % 19}" for j in range(30)))
+             for i in range(1, 9)] + [("m", 99, "", "a b"), ("m", 100, None, "a")]
+    pairs = spark.createDataFrame(texts, "model string, id bigint, prediction string, reference string")
+    emb = _emb(spark)
+    a = {r["id"]: r for r in EV.bertscore(pairs, emb).collect()}
+    b = {r["id"]: r for r in EV.bertscore(pairs, emb, max_embedding_rows=10).collect()}   # forces the shuffle route
+    assert set(a) == set(b)
+    for k in a:
+        for c in ("bert_p", "bert_r", "bert_f1"):
+            assert abs(a[k][c] - b[k][c]) < 1e-9, (k, c)
+    assert b[99]["bert_f1"] == 0.0 and b[100]["bert_p"] == 0.0
