@@ -92,7 +92,7 @@ def vocabulary(texts: DataFrame, vocab_size: int = VOCAB_SIZE, text_col: str = "
 
 
 def tokenize(samples: DataFrame, vocab: DataFrame, text_col: str = "x",
-             unk_id: int = EOS_ID - 1, max_vocab_rows: int = VOCAB_SIZE) -> DataFrame:
+             unk_id: int = EOS_ID - 1, max_vocab_rows: int = VOCAB_SIZE, id_col: str = "idx") -> DataFrame:
     """``input_ids`` per sample, text column dropped; unknown tokens -> ``unk_id``.
 
     The vocabulary is bounded by ``vocab_size`` (checked), so it is shipped
@@ -103,7 +103,7 @@ def tokenize(samples: DataFrame, vocab: DataFrame, text_col: str = "x",
 
     rows = vocab.select("tok", "id").limit(max_vocab_rows + 1).collect()
     if len(rows) > max_vocab_rows:
-        return tokenize_joined(samples, vocab, text_col, unk_id)
+        return tokenize_joined(samples, vocab, text_col, unk_id, id_col)
     bc = samples.sparkSession.sparkContext.broadcast({r["tok"]: int(r["id"]) for r in rows})
     pattern = TOKEN_PATTERN
 
@@ -119,18 +119,17 @@ def tokenize(samples: DataFrame, vocab: DataFrame, text_col: str = "x",
 
 
 def tokenize_joined(samples: DataFrame, vocab: DataFrame, text_col: str = "x",
-                    unk_id: int = EOS_ID - 1) -> DataFrame:
+                    unk_id: int = EOS_ID - 1, id_col: str = "idx") -> DataFrame:
     """D4 for vocabularies too large to ship whole: token positions are joined
     to the vocabulary (a shuffle join; AQE splits hot tokens) and regrouped
-    per sample in position order. Samples without tokens keep an empty list."""
+    per sample (``id_col`` must be unique) in position order. Samples without
+    tokens keep an empty list."""
     keep = [c for c in samples.columns if c != text_col]
-    rid = "_row"
-    s = samples.withColumn(rid, F.monotonically_increasing_id())
-    pos = s.select(rid, F.posexplode(tokens(F.col(text_col))).alias("pos", "tok"))
+    pos = samples.select(id_col, F.posexplode(tokens(F.col(text_col))).alias("pos", "tok"))
     ids = (pos.join(vocab.select("tok", "id"), "tok", "left")
-           .select(rid, F.struct("pos", F.coalesce(F.col("id"), F.lit(unk_id)).cast("int").alias("id")).alias("p"))
-           .groupBy(rid).agg(F.sort_array(F.collect_list("p")).alias("_ps")))
-    out = s.select(rid, *keep).join(ids, rid, "left")
+           .select(id_col, F.struct("pos", F.coalesce(F.col("id"), F.lit(unk_id)).cast("int").alias("id")).alias("p"))
+           .groupBy(id_col).agg(F.sort_array(F.collect_list("p")).alias("_ps")))
+    out = samples.select(*keep).join(ids, id_col, "left")
     return out.select(*keep, F.coalesce(F.transform("_ps", lambda x: x["id"]),
                                         F.array().cast("array<int>")).alias("input_ids"))
 
