@@ -23,7 +23,7 @@ def hex_bucket(hex_key: Column, n_hex: int = 3) -> Column:
 
 
 def bucket_offsets(keyed: DataFrame, parts: list[str], bucket: str, max_groups: int = 1024):
-    """Row counts per (group, bucket) -> (offsets DataFrame, totals per group).
+    """Row counts per (group, bucket) -> (offsets DataFrame, totals per group, largest bucket).
 
     The counts table has at most 16**n_hex rows per group, so it is brought to
     the driver (checked), prefix-summed there and shipped back as a broadcast
@@ -36,7 +36,7 @@ def bucket_offsets(keyed: DataFrame, parts: list[str], bucket: str, max_groups:
     if len(rows) > limit:
         raise ValueError("too many rank groups for a broadcast offsets table")
     rows.sort(key=lambda r: (tuple(r[p] for p in parts), r[bucket]))
-    offsets, totals, run, prev = [], {}, 0, None
+    offsets, totals, run, prev, largest = [], {}, 0, None, 0
     for r in rows:
         g = tuple(r[p] for p in parts)
         if g != prev:
@@ -44,24 +44,36 @@ def bucket_offsets(keyed: DataFrame, parts: list[str], bucket: str, max_groups:
         offsets.append((*g, r[bucket], run))
         run += r["_n"]
         totals[g] = run
+        largest = max(largest, r["_n"])
     schema = ", ".join([f"`{p}` {t}" for p, t in keyed.select(*parts).dtypes] + [f"`{bucket}` int", "_off bigint"])
-    return spark.createDataFrame(offsets, schema), totals
+    return spark.createDataFrame(offsets, schema), totals, largest
+
+
+# rows one rank window may hold before the buckets are refined
+MAX_BUCKET_ROWS = 2_000_000
 
 
 def exact_rank(df: DataFrame, hex_key: str, tiebreak: str, out: str = "rank",
-               partition_by: list[str] | None = None, n_hex: int = 3, with_totals: bool = False):
+               partition_by: list[str] | None = None, n_hex: int = 3, with_totals: bool = False,
+               max_bucket_rows: int = MAX_BUCKET_ROWS):
     """Add ``out`` = 0-based position of each row ordered by (hex_key, tiebreak).
 
-    ``hex_key`` must be a uniformly spread hex string (an md5). Rows are
-    counted per leading-hex bucket; the prefix sums of that counts table
-    (<= 16**n_hex rows per group) are broadcast back, and only rows of one
-    bucket are ranked together, so no task sees more than ~n/16**n_hex rows.
-    With ``with_totals`` the row count per group is returned as well.
+    ``hex_key`` must be a uniformly spread hex string (an md5) and the
+    (hex_key, tiebreak) pairs unique. Rows are counted per leading-hex
+    bucket; the prefix sums of that counts table are broadcast back, and only
+    rows of one bucket are ranked together. When a bucket holds more than
+    ``max_bucket_rows``, the buckets are refined by one more hex digit (16x
+    finer, up to 16**4 per group), so a rank window stays bounded as the data
+    grows. With ``with_totals`` the row count per group is returned as well.
     """
     parts = list(partition_by or [])
     b = "_bucket"
-    keyed = df.withColumn(b, hex_bucket(F.col(hex_key), n_hex))
-    offsets, totals = bucket_offsets(keyed, parts, b)
+    while True:
+        keyed = df.withColumn(b, hex_bucket(F.col(hex_key), n_hex))
+        offsets, totals, largest = bucket_offsets(keyed, parts, b)
+        if largest <= max_bucket_rows or n_hex >= 4:
+            break
+        n_hex += 1
     ranked = keyed.join(F.broadcast(offsets), on=parts + [b], how="inner")
     within = Window.partitionBy(*parts, b).orderBy(F.col(hex_key), F.col(tiebreak))
     out_df = (ranked.withColumn(out, (F.col("_off") + F.row_number().over(within) - 1).cast("bigint"))

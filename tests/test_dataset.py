@@ -107,3 +107,10 @@ def test_tokenize_join_route_matches_broadcast_route(spark):
     a = {r["idx"]: r["input_ids"] for r in D.tokenize(s, vocab).collect()}
     b = {r["idx"]: r["input_ids"] for r in D.tokenize(s, vocab, max_vocab_rows=2).collect()}
     assert a == b == {1: [0, 1, D.EOS_ID - 1, 0, 2], 2: [1], 3: []}
+
+
+def test_exact_rank_refines_large_buckets(spark):
+    df = spark.range(5000).select(F.col("id").alias("k"), F.md5(F.col("id").cast("string")).alias("h"))
+    got = exact_rank(df, "h", "k", out="r", n_hex=1, max_bucket_rows=100)   # 16 buckets of ~312 rows -> refined
+    ref = df.withColumn("r2", F.row_number().over(Window.orderBy("h", "k")) - 1)
+    assert got.join(ref, "k").where(F.col("r") != F.col("r2")).count() == 0
