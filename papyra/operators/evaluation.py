@@ -227,7 +227,10 @@ def summary_cells(marked: DataFrame) -> DataFrame:
         txt = F.format_string("%.4f", F.col(m))
         cells.append(F.when(F.col(f"best_{m}") == 1, F.concat(F.lit("**"), txt, F.lit("**")))
                      .otherwise(txt).alias(f"{m}_cell"))
-    return marked.select("model", "model_pos", *cells).orderBy("model_pos")
+    row = F.concat(F.lit("| "), F.col("model"), F.lit(" | "),
+                   F.concat_ws(" | ", *[F.col(f"{m}_cell") for m in METRICS]), F.lit(" |"))
+    return (marked.select("model", "model_pos", *cells)
+            .withColumn("markdown_row", row).orderBy("model_pos"))
 
 
 def generations_by_prompt(grid: DataFrame, outputs: DataFrame, keys=("prompt_pos", "line_no")) -> DataFrame:

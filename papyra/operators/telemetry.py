@@ -53,15 +53,18 @@ def checkpoint_rank(curve: DataFrame, keep_last: int = 2, loss: str = "eval_loss
 
 
 def variant_compare(curve: DataFrame, loss: str = "eval_loss") -> DataFrame:
-    """T4: per model: final and best loss, their steps, the gap, and the step count."""
+    """T4: per model: final and best loss, their steps, the gap, the step count, and
+    the mean evaluation throughput when the history records it."""
+    rate = "eval_samples_per_second"
+    extra = [F.avg(rate).alias("samples_per_sec")] if rate in curve.columns else []
     g = curve.groupBy("model").agg(
         F.max_by(loss, "step").alias("final_loss"), F.max("step").alias("final_step"),
         F.min_by(F.struct(loss, "step"), F.struct(loss, "step")).alias("_best"),
-        F.count(F.lit(1)).alias("n_steps"))
+        F.count(F.lit(1)).alias("n_steps"), *extra)
     return g.select("model", "final_step", "final_loss", F.col("_best.step").alias("best_step"),
                     F.col(f"_best.{loss}").alias("best_loss"),
                     F.round(F.col("final_loss") - F.col(f"_best.{loss}"), 6).alias("final_minus_best"),
-                    "n_steps")
+                    "n_steps", *(["samples_per_sec"] if extra else []))
 
 
 def parse_log(lines: DataFrame) -> DataFrame:

@@ -487,7 +487,9 @@ def _cell(m: str) -> str:
 
 
 ORACLE["summary_cells"] = sql(["summary"], f"""
-SELECT model, model_pos, {_cell('nll')}, {_cell('bert_p')}, {_cell('bert_r')}, {_cell('bert_f1')} FROM marked""")
+SELECT *, '| ' || model || ' | ' || nll_cell || ' | ' || bert_p_cell || ' | ' || bert_r_cell || ' | ' || bert_f1_cell
+          || ' |' AS markdown_row
+FROM (SELECT model, model_pos, {_cell('nll')}, {_cell('bert_p')}, {_cell('bert_r')}, {_cell('bert_f1')} FROM marked)""")
 ORACLE["generations_by_prompt"] = sql(["models", "prompt_lines"], f"""
 SELECT p.prompt_pos, p.line_no, trim(p.line, {PYWS_SQL}) AS prompt, count(*)::BIGINT AS n_models,
        string_agg('[' || m.model || '] ' || array_to_string(list_slice(p.l, p.line_no + 1, p.line_no + 1 + m.model_pos), ' '),

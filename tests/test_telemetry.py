@@ -40,13 +40,19 @@ def test_history_records_from_json(spark, tmp_dir):
         d = os.path.join(tmp_dir, "run", model, "checkpoint-1100")
         os.makedirs(d)
         hist = [{"epoch": i + 1.0, "step": 110 * (i + 1), "loss": 2.5 - i * 0.1} for i in range(3)]
-        hist += [{"epoch": i + 1.0, "step": 110 * (i + 1), "eval_loss": v} for i, v in enumerate(losses)]
+        hist += [{"epoch": i + 1.0, "step": 110 * (i + 1), "eval_loss": v, "eval_samples_per_second": 35.0}
+                 for i, v in enumerate(losses)]
         with open(os.path.join(d, "trainer_state.json"), "w") as f:
             json.dump({"log_history": hist, "global_step": 330, "max_steps": 330}, f)
     os.makedirs(os.path.join(tmp_dir, "run", "script_dump"))
     h = read_run_histories(spark, os.path.join(tmp_dir, "run"))
     curves = T.loss_curves(T.history_records(h))
     assert curves.where("kind = 'eval'").count() == 6 and curves.where("kind = 'train'").count() == 6
+    ev = T.history_records(h).where("eval_loss IS NOT NULL")
+    cmp = {r["model"]: r for r in T.variant_compare(ev).collect()}
+    assert cmp["FT_full"]["final_loss"] == 2.1112 and cmp["FT_full"]["samples_per_sec"] == 35.0
+    flags = {r["step"]: r["overfit"] for r in T.overfit_flags(ev.where("model = 'FT_full'")).collect()}
+    assert flags == {110: 0, 220: 1, 330: 0}
 
 
 def test_lead_in_order_hot_key(spark):
