@@ -21,30 +21,37 @@ def page_articles(pages: DataFrame, profile: H.PageProfile = H.DEFAULT_PROFILE,
     teaser, text_kind ('array' | 'string' | null), paragraphs ARRAY<STRING>,
     body_text (string fallback when the container has no paragraphs).
     """
-    html = H.strip_noise(F.col("html"))
-    title = H.nullif_empty(H.inline_text(H.block(html, profile.title_tag)))
-    date_text = H.first_match(html, profile.date)
-    category = H.first_match(html, profile.category)
-    teaser = H.first_match(html, profile.teaser)
+    # staged projections: the cleaned page and the body are each computed once
+    # per row (an expression referenced by several fields would otherwise be
+    # inlined into each of them)
+    staged = pages.select("page_id", "url", H.strip_noise(F.col("html")).alias("_h"))
+    html = F.col("_h")
     container = H.body_container(html, profile)
     # the title heading belongs to the header, not to the body text
     body = F.regexp_replace(container, f"(?is)<{profile.title_tag}\\b.*?</{profile.title_tag}>", "")
+    staged = staged.select(
+        "page_id", "url",
+        H.nullif_empty(H.inline_text(H.block(html, profile.title_tag))).alias("title"),
+        H.first_match(html, profile.date).alias("_date"),
+        H.first_match(html, profile.category).alias("category"),
+        H.first_match(html, profile.teaser).alias("teaser"),
+        container.isNotNull().alias("_has_body"),
+        body.alias("_body"))
+    body = F.col("_body")
     has_p = body.rlike("(?i)<p(\\s[^>]*)?>")
-    paras = H.paragraphs(body)
     # get_text("\n", strip=True): every text piece between tags, stripped, non-empty
     pieces = F.filter(F.transform(F.split(body, H.TAG_RE), H.inline_text), lambda p: p != "")
     fallback = H.nullif_empty(F.array_join(pieces, "\n"))
-    out = pages.select(
-        "page_id", "url",
-        title.alias("title"),
-        normalise_date(date_text).alias("date_raw"),
-        malformed_date(date_text).alias("date_malformed"),
-        category.alias("category"),
-        teaser.alias("teaser"),
-        F.when(container.isNull(), F.lit(None).cast("string"))
+    has_body = F.col("_has_body")
+    out = staged.select(
+        "page_id", "url", "title",
+        normalise_date(F.col("_date")).alias("date_raw"),
+        malformed_date(F.col("_date")).alias("date_malformed"),
+        "category", "teaser",
+        F.when(~has_body, F.lit(None).cast("string"))
          .when(has_p, F.lit("array")).otherwise(F.lit("string")).alias("text_kind"),
-        F.when(container.isNotNull() & has_p, paras).alias("paragraphs"),
-        F.when(container.isNotNull() & ~has_p, fallback).alias("body_text"),
+        F.when(has_body & has_p, H.paragraphs(body)).alias("paragraphs"),
+        F.when(has_body & ~has_p, fallback).alias("body_text"),
     )
     if strict_dates:
         out = out.withColumn("date_raw", F.when(F.col("date_malformed") == 1,
