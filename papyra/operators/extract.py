@@ -79,15 +79,16 @@ def listing_links(pages: DataFrame, listing: H.ListingProfile = H.NAV_LISTING,
     e = pages.select("page_id", "url", F.posexplode(entries).alias("pos", "entry"))
     if max_n is not None:
         e = e.where(F.col("pos") < max_n)
-    href = F.regexp_extract(F.col("entry"), listing.link_re, 1)
-    has_link = F.col("entry").rlike(listing.link_re)
+    # stage the extracted href: urljoin refers to it in many branches
+    staged = e.where(F.col("entry").rlike(listing.link_re)).select(
+        "page_id", "url", "pos", "entry", F.regexp_extract(F.col("entry"), listing.link_re, 1).alias("href"))
     base = F.lit(base_url) if base_url else F.col("url")
     cols = [
         "page_id", F.col("pos").cast("bigint").alias("pos"),
         H.inline_text(F.regexp_extract(F.col("entry"), listing.link_text_re, 1)).alias("title"),
-        href.alias("href"),
-        urljoin(base, href).alias("link"),
+        "href",
+        urljoin(base, F.col("href")).alias("link"),
     ]
     if listing.id_re:
         cols.append(H.nullif_empty(F.regexp_extract(F.col("entry"), listing.id_re, 1)).alias("article_id"))
-    return e.where(has_link).select(*cols)
+    return staged.select(*cols)
