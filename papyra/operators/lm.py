@@ -34,8 +34,13 @@ def with_prev(toks: Column) -> Column:
 
 
 def positions(df: DataFrame, keys: list[str], toks: Column) -> DataFrame:
-    """(keys..., pos, prev, tok) for a token-array column."""
-    return (df.select(*keys, F.posexplode(with_prev(toks)).alias("pos", "pt"))
+    """(keys..., pos, prev, tok) for a token-array column.
+
+    The token array is projected first, so the tokenizing regex runs once
+    per row although the (prev, tok) pairs refer to it several times.
+    """
+    staged = df.select(*keys, toks.alias("_toks"))
+    return (staged.select(*keys, F.posexplode(with_prev(F.col("_toks"))).alias("pos", "pt"))
             .select(*keys, F.col("pos").cast("bigint").alias("pos"),
                     F.col("pt.prev").alias("prev"), F.col("pt.tok").alias("tok")))
 
@@ -121,9 +126,8 @@ def score_positions(m: NgramModels, pos: DataFrame, keys: list[str], models=tupl
 
 def token_logprobs(m: NgramModels, qna: DataFrame, models=tuple(VARIANT_COLUMNS)) -> DataFrame:
     """(model, id, pos, logprob, prompt_len): question tokens then answer tokens."""
-    q = tokens(F.col("question"))
-    a = tokens(F.col("answer"))
-    seq = qna.select("id", F.size(q).cast("bigint").alias("prompt_len"), F.concat(q, a).alias("seq"))
+    staged = qna.select("id", tokens(F.col("question")).alias("_q"), tokens(F.col("answer")).alias("_a"))
+    seq = staged.select("id", F.size("_q").cast("bigint").alias("prompt_len"), F.concat("_q", "_a").alias("seq"))
     pos = positions(seq, ["id", "prompt_len"], F.col("seq"))
     return score_positions(m, pos, ["id", "prompt_len"], models).select(
         "model", "id", "pos", "logprob", "prompt_len")

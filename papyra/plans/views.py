@@ -44,7 +44,8 @@ def raw_article_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     second line as a plain string; one line: ``null``.
     """
     d = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    lines = F.split(F.col("text"), "\n")
+    d = d.select("doc_id", F.split(F.col("text"), "\n").alias("lines"))   # split once
+    lines = F.col("lines")
     n = F.size(lines)
     head = F.to_json(F.struct(
         F.col("doc_id").alias("idx"),
