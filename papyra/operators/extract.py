@@ -37,8 +37,9 @@ def page_articles(pages: DataFrame, profile: H.PageProfile = H.DEFAULT_PROFILE,
         H.first_match(html, profile.teaser).alias("teaser"),
         container.isNotNull().alias("_has_body"),
         body.alias("_body"))
+    staged = staged.withColumn("_has_p", F.col("_body").rlike("(?i)<p(\\s[^>]*)?>"))
     body = F.col("_body")
-    has_p = body.rlike("(?i)<p(\\s[^>]*)?>")
+    has_p = F.col("_has_p")
     # get_text("\n", strip=True): every text piece between tags, stripped, non-empty
     pieces = F.filter(F.transform(F.split(body, H.TAG_RE), H.inline_text), lambda p: p != "")
     fallback = H.nullif_empty(F.array_join(pieces, "\n"))

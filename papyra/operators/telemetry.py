@@ -70,9 +70,10 @@ def variant_compare(curve: DataFrame, loss: str = "eval_loss") -> DataFrame:
 def parse_log(lines: DataFrame) -> DataFrame:
     """Structured fields of each log line; lines not in the layout are continuations."""
     v = F.col("value")
-    ok = v.rlike(LOG_LINE_RE)
+    staged = lines.select("line_no", "value", v.rlike(LOG_LINE_RE).alias("_ok"))   # match once per line
+    ok = F.col("_ok")
     g = lambda i: F.when(ok, F.regexp_extract(v, LOG_LINE_RE, i))
-    return lines.select(
+    return staged.select(
         "line_no",
         g(1).alias("ts"),
         g(2).alias("level"),
