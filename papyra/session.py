@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -97,3 +98,24 @@ def balanced(df, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20,
+               text_batch_rows: int = 2000) -> dict[str, str]:
+    """Session settings for a cluster run over ``input_bytes`` of input.
+
+    Shuffle partitions are sized for about ``partition_bytes`` each (and at
+    least two waves of cores); AQE coalesces small ones and splits skewed
+    ones at run time. Arrow batches are capped in rows because a row may hold
+    a long document.
+    """
+    parts = max(2 * total_cores, math.ceil(input_bytes / partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes // 2),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(text_batch_rows),
+    }
