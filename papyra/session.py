@@ -104,12 +104,13 @@ def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 <<
                text_batch_rows: int = 2000) -> dict[str, str]:
     """Session settings for a cluster run over ``input_bytes`` of input.
 
-    Shuffle partitions are sized for about ``partition_bytes`` each (and at
-    least two waves of cores); AQE coalesces small ones and splits skewed
-    ones at run time. Arrow batches are capped in rows because a row may hold
-    a long document.
+    Shuffle partitions are sized for about ``partition_bytes`` of input each,
+    between two and sixteen waves of cores (shuffled data is usually much
+    smaller than the input, and block metadata grows with map x reduce
+    partitions); AQE coalesces small ones and splits skewed ones at run time.
+    Arrow batches are capped in rows because a row may hold a long document.
     """
-    parts = max(2 * total_cores, math.ceil(input_bytes / partition_bytes))
+    parts = min(16 * total_cores, max(2 * total_cores, math.ceil(input_bytes / partition_bytes)))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes // 2),
