@@ -6,6 +6,7 @@ full; computed columns carry the same names as in ``papyra.plans.oracle``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +14,19 @@ from pyspark.sql import functions as F
 
 from papyra.operators import clean
 from papyra.plans import views
+from papyra.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def register(name: str):
+    """Register a query; the package is shipped to the workers before it runs."""
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            ship_package(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         return fn
     return deco
 

@@ -70,6 +70,8 @@ STEPS = {"extract": _extract, "prepare": _prepare, "split": _split, "tokenize":
 
 
 def run_steps(spark: SparkSession, steps: list[str], params: dict) -> dict[str, DataFrame]:
+    from papyra.session import ship_package
+    ship_package(spark)
     state: dict[str, DataFrame] = {}
     for step in steps:
         fn = STEPS.get(step)
