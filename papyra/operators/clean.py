@@ -54,9 +54,14 @@ def training_samples(articles: DataFrame, ws_mode: str = "parity",
 
 
 def omitted(articles: DataFrame, ws_mode: str = "parity", drop_zero_idx: bool = True) -> DataFrame:
-    """The omitted articles (ids and reason)."""
-    a = assess(articles, ws_mode, drop_zero_idx)
-    return a.where(F.col("omit_reason").isNotNull()).select("idx", "article_id", "omit_reason")
+    """The omitted articles (ids and reason), cleaning each article once
+    (emitted through a 0-or-1 generator, as in ``training_samples``)."""
+    a = clean_articles(articles, ws_mode)
+    reason = omit_reason(drop_zero_idx)
+    out = F.struct(F.col("idx"), F.col("article_id"), reason.alias("omit_reason"))
+    pick = F.when(reason.isNotNull(), F.array(out)).otherwise(F.array().cast(
+        "array<struct<idx:bigint,article_id:string,omit_reason:string>>"))
+    return a.select(F.explode(pick).alias("s")).select("s.idx", "s.article_id", "s.omit_reason")
 
 
 def omission_report(articles: DataFrame, ws_mode: str = "parity",
@@ -68,18 +73,26 @@ def omission_report(articles: DataFrame, ws_mode: str = "parity",
 
 
 def paragraph_report(articles: DataFrame, ws_mode: str = "parity") -> DataFrame:
-    """C1-C4 per article: paragraphs in, dropped per filter, kept, emptied by cleaning."""
-    t = F.col("text")
-    url = F.filter(t, lambda p: p.rlike(tx.URL_RE))
-    email = F.filter(t, lambda p: ~p.rlike(tx.URL_RE) & p.rlike(tx.EMAIL_RE))
-    phone = F.filter(t, lambda p: ~p.rlike(tx.URL_RE) & ~p.rlike(tx.EMAIL_RE) & p.rlike(tx.PHONE_RE))
-    cleaned = tx.clean_paragraphs(t, ws_mode)
-    return articles.select(
+    """C1-C4 per article: paragraphs in, dropped per filter, kept, emptied by cleaning.
+
+    The three filter matches are computed once per paragraph (staged as flags)
+    and every count reads the flags.
+    """
+    flags = F.transform(F.col("text"), lambda p: F.struct(
+        p.alias("p"), p.rlike(tx.URL_RE).alias("u"), p.rlike(tx.EMAIL_RE).alias("e"),
+        p.rlike(tx.PHONE_RE).alias("ph")))
+    staged = articles.select("idx", F.col("text"), flags.alias("_f"))
+    f = F.col("_f")
+    kept = F.transform(F.filter(f, lambda x: x["p"].isNotNull() & ~(x["u"] | x["e"] | x["ph"])),
+                       lambda x: tx.clean_paragraph(x["p"], ws_mode))
+    staged = staged.select("idx", "text", "_f", kept.alias("_kept"))
+    cleaned = F.col("_kept")
+    return staged.select(
         "idx",
-        F.size(t).cast("bigint").alias("n_in"),
-        F.size(url).cast("bigint").alias("n_url"),
-        F.size(email).cast("bigint").alias("n_email"),
-        F.size(phone).cast("bigint").alias("n_phone"),
+        F.size("text").cast("bigint").alias("n_in"),
+        F.size(F.filter(f, lambda x: x["u"])).cast("bigint").alias("n_url"),
+        F.size(F.filter(f, lambda x: ~x["u"] & x["e"])).cast("bigint").alias("n_email"),
+        F.size(F.filter(f, lambda x: ~x["u"] & ~x["e"] & x["ph"])).cast("bigint").alias("n_phone"),
         F.size(cleaned).cast("bigint").alias("n_kept"),
         F.size(F.filter(cleaned, lambda p: p == "")).cast("bigint").alias("n_emptied"),
         F.coalesce(F.aggregate(cleaned, F.lit(0).cast("bigint"),

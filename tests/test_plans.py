@@ -39,3 +39,16 @@ def test_tokenizer_once_per_text(spark):
 def test_no_cartesian(spark, name):
     plan = _plan(spark, name)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_scale_conf_bounds():
+    from papyra.session import scale_conf
+    big = scale_conf(100 * 2**40, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 16 * 8000          # capped at 16 waves
+    small = scale_conf(10 * 2**20, 64)
+    assert int(small["spark.sql.shuffle.partitions"]) == 128              # at least 2 waves
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_paragraph_report_regexes_once(spark):
+    assert _plan(spark, "clean_paragraphs").count("RLIKE(") == 3
