@@ -98,11 +98,16 @@ def read_samples(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
 
 
 def read_qna(spark: SparkSession, prompt_dir: str) -> DataFrame:
-    """S3: Q&A JSONL (``qna.jsonl`` preferred over ``QnA.jsonl``), blank lines skipped."""
-    import os
-    from papyra.session import local_path
-    name = "qna.jsonl" if os.path.exists(os.path.join(local_path(prompt_dir), "qna.jsonl")) else "QnA.jsonl"
-    return spark.read.schema(QNA_DDL).option("mode", "FAILFAST").json(f"{prompt_dir}/{name}")
+    """S3: Q&A JSONL (``qna.jsonl`` preferred over ``QnA.jsonl``), blank lines skipped.
+
+    Existence is checked by Spark itself, so any file system Spark reads works.
+    """
+    from pyspark.errors import AnalysisException
+    reader = spark.read.schema(QNA_DDL).option("mode", "FAILFAST")
+    try:
+        return reader.json(f"{prompt_dir}/qna.jsonl")
+    except AnalysisException:      # PATH_NOT_FOUND: fall back to the other spelling
+        return reader.json(f"{prompt_dir}/QnA.jsonl")
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
