@@ -18,5 +18,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op5_toxicity)}
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepieces import encode_texts, read_model
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_texts(docs, read_model(), ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_classifier, op5_toxicity, op7_sentencepiece)}
 ORACLE: dict[str, str] = {}
