@@ -40,8 +40,22 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derive, responses_of_pages
+    made = derive(responses_of_pages(table(spark, sf_dir, "pages")))
+    return made.select(F.col("source_key").alias("page_id"), "kind", "record_id", F.col("identifier").alias("refers_to"),
+                       "target", "title", "lang", F.size("links").cast("long").alias("n_links"),
+                       "source_payload_digest", "block_digest", F.length("block").cast("long").alias("block_bytes"),
+                       F.sha2("record", 256).alias("record_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality_classifier, op5_toxicity, op7_sentencepiece,
-                                   op10_benchmark_decontamination)}
+                                   op8_nearest_neighbours, op9_warc_derivatives, op10_benchmark_decontamination)}
 
 
 __all__ = ["ORACLE", "QUERIES"]
