@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-SAMPLE = 40_000  # vectors that the trees are grown on; their classes are all indexed
+SAMPLE = 20_000  # vectors that the trees are grown on; their classes are all indexed
 LEAF = 48  # sample vectors in a leaf at most
 CHUNK = 20_000  # members of a leaf that are scored in one group
 
@@ -126,7 +126,7 @@ def valid_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", query_every: int = 50, k: int = 5,
-            n_trees: int = 12, n_leaves: int = 160) -> DataFrame:
+            n_trees: int = 24, n_leaves: int = 400) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each id divisible by ``query_every``."""
     found = stage(valid_vectors(rows, key, vector), "vectors")
     sizes = found.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
