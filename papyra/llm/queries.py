@@ -25,6 +25,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(docs, read_model(), ids=False)
 
 
+def op1_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import ppm_scores
+    return ppm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
     left = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -54,8 +59,8 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("record", 256).alias("record_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality_classifier, op5_toxicity, op7_sentencepiece,
-                                   op8_nearest_neighbours, op9_warc_derivatives, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ppm_scores, op2_line_dedup, op3_quality_classifier, op5_toxicity,
+                                   op7_sentencepiece, op8_nearest_neighbours, op9_warc_derivatives, op10_benchmark_decontamination)}
 
 
 __all__ = ["ORACLE", "QUERIES"]
