@@ -1,7 +1,7 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes, beside a smoothed word unigram.
 
 A text is its lower-cased words, each followed by a space, then an end symbol. Every symbol is coded in the longest
-context (up to ``ORDER`` bytes) that the training texts hold; an escape (method C) leads to the next shorter context,
+context (up to ``ORDER`` bytes) that the training texts hold; an escape (method D) leads to the next shorter context,
 where the symbols of the longer one are excluded; below order 0 the remaining symbols are equally likely. The code
 lengths are pretrained: counts come from the whole training part of the table.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, lower_bytes, mix64, segment_ids, span_hashes, stage, text_slices, word_bounds
 
-ORDER = 5
+ORDER = 6
 BLOCK_BYTES = 32 << 20
 PAD, END = 0xFF, 0xFE  # bytes that UTF-8 never holds
 ALPHABET = 256
@@ -249,9 +249,9 @@ def code_lengths(wanted: np.ndarray, codes: np.ndarray, n: np.ndarray, pairs: np
         known, total = _find(t.context, t.total, code >> np.uint64(8))
         _, distinct = _find(t.context, t.distinct, code >> np.uint64(8))
         here, count = _find(t.codes, t.n, code)
-        rest = total - gone_total + distinct - gone
+        rest = 2 * (total - gone_total)
         hit = left & here
-        out[hit] += np.log10(count[hit] / rest[hit])
+        out[hit] += np.log10((2 * count[hit] - 1) / rest[hit])
         escape = left & known & ~here & (distinct > gone)
         out[escape] += np.log10((distinct - gone)[escape] / rest[escape])
         left &= ~hit
