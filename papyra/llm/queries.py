@@ -14,6 +14,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_scores
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -59,7 +64,8 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("record", 256).alias("record_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm_scores, op2_line_dedup, op3_quality_classifier, op5_toxicity,
+QUERIES = {f.__name__: f for f in (op1_ppm_scores, op2_line_dedup, op3_quality_classifier,
+                                   op4_jaccard_join, op5_toxicity,
                                    op7_sentencepiece, op8_nearest_neighbours, op9_warc_derivatives, op10_benchmark_decontamination)}
 
 
