@@ -24,6 +24,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+    left = remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepieces import encode_texts, read_model
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,7 +72,7 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ppm_scores, op2_line_dedup, op3_quality_classifier,
-                                   op4_jaccard_join, op5_toxicity,
+                                   op4_jaccard_join, op5_toxicity, op6_suffix_dedup,
                                    op7_sentencepiece, op8_nearest_neighbours, op9_warc_derivatives, op10_benchmark_decontamination)}
 
 
