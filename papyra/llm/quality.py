@@ -232,15 +232,13 @@ def score_quality(stats: DataFrame, model: QualityModel, key: str = "doc_id") ->
     return out.withColumnRenamed("key", key)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, held: int = 1, of: int = 3, max_train_rows: int = 200_000
-                   ) -> DataFrame:
-    """Score every row of ``docs`` (doc_id, text); learn from labelled rows whose crc32 remainder is not ``held``.
+def learn_quality(stats: DataFrame, labels: DataFrame, held: int = 1, of: int = 3, max_train_rows: int = 200_000
+                  ) -> QualityModel:
+    """Model from (doc_id, stats) and labels (doc_id, quality) of ids whose crc32 remainder is not ``held``.
 
-    The model is fitted on about ``max_train_rows`` labelled rows at most, chosen by a hash of the id. Repeated
-    label rows of an id count once (the smallest label); null labels and null ids teach nothing. A null id is never
-    held out.
+    About ``max_train_rows`` labelled rows are used at most, chosen by a hash of the id. Repeated label rows of an id
+    count once (the smallest label); null labels and null ids teach nothing.
     """
-    stats = stage(document_stats(docs), "doc-stats")
     known = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
              .where(crc_mod(F.col("doc_id"), of) != held))
@@ -248,7 +246,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held: int = 1, of: int =
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     train = stage(stats.join(picked, "doc_id").select(
         "stats", "label", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int").alias("fold")), "train")
-    model = fit_quality(train)
-    scored = score_quality(stats, model)
+    return fit_quality(train)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, held: int = 1, of: int = 3) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text); a null id is never held out."""
+    stats = stage(document_stats(docs), "doc-stats")
+    scored = score_quality(stats, learn_quality(stats, labels, held, of))
     return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), of) == held, F.lit(False)).alias("held_out"),
                          "score", "predicted")
+
+
+def accepted(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text the model accepts (score of 0.5 and more); no row moves between partitions."""
+    def run(batches):
+        for rows, data, offsets in text_slices(batches, column=text):
+            yield rows.filter(pa.array(model.calibrated(_stats(data, offsets)) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
