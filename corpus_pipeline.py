@@ -16,20 +16,56 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from papyra.llm.common import stage, table  # noqa: E402
+from papyra.session import ship_package  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (predicted 1)."""
-    from papyra.llm.quality import quality_scores
-    scores = quality_scores(docs, table(spark, sf_dir, "labels"))
-    rejected = scores.where(F.col("predicted") == 0).select("doc_id").distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti").select(*COLUMNS)
+    """The rows that the quality classifier accepts."""
+    from papyra.llm.quality import accepted, document_stats, learn_quality
+    stats = stage(document_stats(docs), "doc-stats")
+    return accepted(docs.select(*COLUMNS), learn_quality(stats, table(spark, sf_dir, "labels")))
 
 
-STAGES = [("quality classifier", quality)]
-ORACLE_SQL = None
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the repeats of three-line windows; a document of which only blanks are left goes."""
+    from papyra.llm.line_dedup import dedup_lines
+    left = dedup_lines(docs.select(*COLUMNS)).where("n_removed = 0 or length(trim(text)) > 0")
+    changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.select("doc_id", "text", "lang", "source", changed.alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that the n-gram Jaccard join links: the one of the smallest id.
+
+    Rows that repeat an id stay or go together; a row without an id stays.
+    """
+    from papyra.llm.jaccard import jaccard_components
+    ship_package(spark)
+    found = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(stage(found, "near-duplicates"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of ten words of a benchmark item."""
+    from papyra.llm.decontaminate import hits
+    found = stage(hits(docs, table(spark, sf_dir, "benchmark")).select("_id", "_t"), "contaminated")
+    rows = docs.withColumn("_h", F.xxhash64("text"))
+    same = rows["_h"].eqNullSafe(found["_t"]) & rows["doc_id"].eqNullSafe(found["_id"])
+    return rows.join(found, same, "left_anti").select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_chars and the token ids with their checks."""
+    from papyra.llm.sentencepieces import encode_texts, read_model
+    ship_package(spark)
+    return encode_texts(docs.select(*COLUMNS), read_model())
+
+
+STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("n-gram Jaccard join", near_duplicates),
+          ("benchmark decontamination", decontamination), ("SentencePiece tokens", tokens)]
+ORACLE_SQL = None  # the classifier and the tokenizer are not expressible in SQL; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
