@@ -33,6 +33,12 @@ def _positions(count: Column) -> Column:
     return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def _runs_of(n: int) -> Column:
+    """Every run of ``n`` words, as a fingerprint of its own."""
+    return F.transform(_positions(F.size("h") - (n - 1)), lambda i: F.struct(
+        i.alias("pos"), F.lit(n).alias("n"), _hash_of("h", i, n).alias("fp")))
+
+
 def fingerprints(rows: DataFrame, keys: list[str], short: list[int], sparse: bool) -> DataFrame:
     """(keys, pos, n, fp) from (keys, words).
 
@@ -51,9 +57,7 @@ def fingerprints(rows: DataFrame, keys: list[str], short: list[int], sparse: boo
     found = F.transform(kept, lambda i: F.struct(i.alias("pos"), F.lit(WINDOW).alias("n"),
                                                  F.get(F.col("m"), i).alias("fp")))
     for n in short:
-        own = F.transform(_positions(F.size("h") - (n - 1)), lambda i, n=n: F.struct(
-            i.alias("pos"), F.lit(n).alias("n"), _hash_of("h", i, n).alias("fp")))
-        found = F.concat(found, own)
+        found = F.concat(found, _runs_of(n))
     return least.select(*keys, F.explode(found).alias("f")).select(*keys, "f.*")
 
 
