@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import crc_mod, lower_bytes, mix64, segment_ids, span_hashes, stage, text_slices, word_bounds
 
 ORDER = 6
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
+SLICE = 1 << 20  # text handled at once
+MERGE = 1_500_000  # dictionary entries that are kept before they are merged
 PAD, END = 0xFF, 0xFE  # bytes that UTF-8 never holds
 ALPHABET = 256
 WORD, GRAM = 0, 1
@@ -83,7 +85,7 @@ def _codes(symbols: np.ndarray, bounds: np.ndarray, order: int = ORDER) -> np.nd
     return out[coded[ORDER:]]
 
 
-def _parts(data: bytes, offsets: np.ndarray, max_bytes: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _parts(data: bytes, offsets: np.ndarray, max_bytes: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, bytes, offsets) of slices of a block."""
     flat, lo = np.frombuffer(data, np.uint8), 0
     while lo < len(offsets) - 1:
@@ -133,7 +135,7 @@ def pack_blocks(docs: DataFrame) -> DataFrame:
             pairs = np.zeros(1 << 16, np.int64)
             return block
 
-        for rows, flat, offsets in text_slices(batches):
+        for rows, flat, offsets in text_slices(batches, SLICE):
             ids.append(rows.column(0))
             flag = rows.column(1).to_numpy(zero_copy_only=False).astype(bool)
             train.append(flag)
@@ -179,8 +181,14 @@ def _dictionary(row: dict) -> dict[int, tuple[np.ndarray, np.ndarray]]:
             learned = flag[of]
             known, n = np.unique(codes[learned], return_counts=True)
             other = np.unique(codes[~learned])
-            got[kind].append(_add(np.concatenate([known, other]), np.concatenate([n, np.zeros(len(other), np.int64)])))
-    return {k: _add(*(np.concatenate(x) for x in zip(*v, strict=True))) for k, v in got.items()}
+            got[kind].append((np.concatenate([known, other]), np.concatenate([n, np.zeros(len(other), np.int64)])))
+            if sum(len(x) for x, _ in got[kind][1:]) > MERGE:
+                got[kind] = [_merged(got[kind])]
+    return {k: _merged(v) for k, v in got.items()}
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _add(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
 def ask(blocks: DataFrame, buckets: int) -> DataFrame:
