@@ -3,7 +3,9 @@
 Documents with equal sets form one class. Jaccard distance is a metric, but most documents share nothing and lie at
 distance 1 from everything, where no pivot separates them. The first level of regions is therefore given by pivots
 that are single shingles: a set is replicated to its ``n - ceil(0.75 n) + 1`` first shingles in a global order (common
-shingles last, else by hash), and two sets within the threshold meet in one of these regions at least. Within a region
+shingles last, else by hash), and two sets within the threshold meet in one of these regions at least. With ``m`` shingles
+more in the prefix, two such sets share ``m + 1`` of them, so a set with fewer shingles there that any other class
+holds early as well has no partner and stops here. Within a region
 the pivots are documents: every member's distance to the pivots is computed, members that link with a pivot form its
 Voronoi cell (the nearest pivot of their component), and, by the triangle inequality, a member can link across its
 cell only if its distance to the pivot is no less than the distance of the nearest outsider less the threshold; the
@@ -31,7 +33,9 @@ from .components import components
 
 WORDS = 5
 PERCENT = 75
-COMMON = 64  # prefix occurrences beyond which a shingle comes last in the order
+SCAN = 8  # common shingles are looked for among the first eighth of each set, in hash order
+COMMON = 8  # occurrences there beyond which a shingle comes last in the global order
+MORE = 10  # shingles of a set for each further shingle that a partner must share early on
 LEAF = 24  # members of a region that are compared pair by pair
 SLOT_BITS = 27  # 2^27 bits: 16 MB
 SHIFTS = (0, 27, 37)  # three slots of a 64-bit hash
@@ -108,19 +112,24 @@ def bitmap(hashes: DataFrame, column: str, shifts: tuple[int, ...]) -> Bitmap:
     return Bitmap(bytes(out), shifts)
 
 
-def _prefixes(runs: np.ndarray, bounds: np.ndarray, common: Bitmap | None) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in ``runs``, text of each): the first shingles of each set in the global order."""
+def _further(size: np.ndarray) -> np.ndarray:
+    """Shingles by which the longer prefix of a set exceeds the shortest one."""
+    return size // MORE
+
+
+def _order(runs: np.ndarray, bounds: np.ndarray, common: Bitmap | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions in ``runs``, text, rank in the text's set) of all shingles in the global order."""
     size = np.diff(bounds)
     of = np.repeat(np.arange(len(size)), size)
-    take = size - -(-PERCENT * size // 100) + 1
     at = np.arange(len(runs))
     if common is not None:
-        late = common.holds(runs)
-        order = np.lexsort((runs, late, of))
-        at = at[order]
-    rank = np.arange(len(runs)) - np.repeat(bounds[:-1], size)
-    keep = rank < take[of]
-    return at[keep], of[keep]
+        at = np.lexsort((runs, common.holds(runs), of))
+    return at, of, np.arange(len(runs)) - np.repeat(bounds[:-1], size)
+
+
+def _shortest(size: np.ndarray) -> np.ndarray:
+    """Prefix length at which two sets within the threshold share a shingle."""
+    return size - -(-PERCENT * size // 100) + 1
 
 
 def _sets(batches: Iterator[pa.RecordBatch]):
@@ -129,7 +138,8 @@ def _sets(batches: Iterator[pa.RecordBatch]):
 
 
 def _common(texts: DataFrame) -> Bitmap:
-    """Shingles that more than COMMON prefixes hold, with hash order alone."""
+    """Shingles that the first parts of more than COMMON sets hold, in hash order. Any choice gives right results; this
+    one keeps shared passages out of the prefixes."""
     def run(batches):
         held: list[np.ndarray] = []
 
@@ -139,7 +149,8 @@ def _common(texts: DataFrame) -> Bitmap:
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
         for runs, bounds in _sets(batches):
-            held.append(runs[_prefixes(runs, bounds, None)[0]])
+            at, of, rank = _order(runs, bounds, None)
+            held.append(runs[at[rank <= np.diff(bounds)[of] // SCAN]])
             if sum(map(len, held)) > 2_000_000:
                 yield flush()
         if held:
@@ -150,14 +161,17 @@ def _common(texts: DataFrame) -> Bitmap:
 
 
 def _met(texts: DataFrame, common) -> Bitmap:
-    """Shingles in the prefixes of two classes or more.
+    """Shingles in the longer prefixes of two classes or more.
 
-    A class shows in a shingle's region as a 32-bit hash of both, so two classes are mistaken for one only if this
-    happens in every region that they share.
+    A class shows beside a shingle as a 32-bit hash of both, so two classes are mistaken for one only if this happens
+    at every shingle that they share early on. A task reports a shingle once, or twice if it met two classes.
     """
     def run(batches):
         for runs, bounds in _sets(batches):
-            at, of = _prefixes(runs, bounds, common.value)
+            size = np.diff(bounds)
+            at, of, rank = _order(runs, bounds, common.value)
+            early = rank < (_shortest(size) + _further(size))[of]
+            at, of = at[early], of[early]
             nodes = np.array([int.from_bytes(x[:8], "little") if x else 0 for x in _class_ids(runs, bounds)], np.uint64)
             h = runs[at]
             sign = (mix64(nodes[of] ^ h) >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -165,28 +179,37 @@ def _met(texts: DataFrame, common) -> Bitmap:
             h, sign = h[order], sign[order]
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
             last = np.append(first[1:], len(h)) - 1 if len(h) else first
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[first].view(np.int64)), pa.array(sign[first]), pa.array(sign[last])], ["h", "lo", "hi"])
+            last = last[sign[last] != sign[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[first], h[last]]).view(np.int64)),
+                                              pa.array(np.concatenate([sign[first], sign[last]]))], ["h", "sign"])
 
-    met = (texts.mapInArrow(run, "h long, lo int, hi int").groupBy("h")
-           .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi"))
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = (texts.mapInArrow(run, "h long, sign int").repartition(n, "h").groupBy("h")
+           .agg(F.min("sign").alias("lo"), F.max("sign").alias("hi")).where("lo < hi"))
     return bitmap(met, "h", SHIFTS)
 
 
 def _candidates(texts: DataFrame, common, met) -> DataFrame:
-    """(node, n, tokens, items) of the classes with a shingle that may meet another class."""
+    """(node, n, tokens, items) of the classes that may have a partner; tokens are those of the shortest prefix."""
     def run(batches):
         seen: set[bytes] = set()
         for runs, bounds in _sets(batches):
-            at, of = _prefixes(runs, bounds, common.value)
+            size = np.diff(bounds)
+            at, of, rank = _order(runs, bounds, common.value)
+            early = rank < (_shortest(size) + _further(size))[of]
+            at, of, rank = at[early], of[early], rank[early]
             hit = met.value.holds(runs[at])
-            at, of = at[hit], of[hit]
+            at, of, rank = at[hit], of[hit], rank[hit]
+            # the smallest set that may link has 3/4 of the shingles, and so the least that a partner must share
+            needed = _further(-(-PERCENT * size // 100)) + 1
+            some = np.flatnonzero((np.bincount(of, minlength=len(size)) >= needed) & (size > 0))
+            short = rank < _shortest(size)[of]
+            at, of = at[short], of[short]
             cuts = np.searchsorted(of, np.arange(len(bounds)))
-            some = np.flatnonzero(np.diff(cuts))
             ids = _class_ids(runs, bounds)
             rows = []
             for i in some.tolist():
-                if ids[i] not in seen:
+                if ids[i] not in seen and cuts[i + 1] > cuts[i]:
                     seen.add(ids[i])
                     rows.append(i)
             if len(seen) > 200_000:
@@ -194,7 +217,7 @@ def _candidates(texts: DataFrame, common, met) -> DataFrame:
             if rows:
                 signed = runs.view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([ids[i] for i in rows], pa.binary()), pa.array(np.diff(bounds)[rows]),
+                    pa.array([ids[i] for i in rows], pa.binary()), pa.array(size[rows]),
                     pa.array([signed[at[cuts[i]:cuts[i + 1]]] for i in rows], pa.list_(pa.int64())),
                     pa.array([signed[bounds[i]:bounds[i + 1]] for i in rows], pa.list_(pa.int64()))],
                     ["node", "n", "tokens", "items"])
