@@ -22,7 +22,7 @@ TEASER_MARK = "+++"
 TITLE_TAG, TEASER_TAG, TEXT_TAG = "<TITLE>: ", "<TEASER>: ", "<TEXT>: "
 
 # Lexical token pattern used for vocabularies, LM counts and embedding lookup.
-TOKEN_PATTERN = "[a-zà-ÿ0-9]+"
+TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 
 
 def _java_class(chars: str) -> str:

@@ -10,21 +10,30 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
                 remove_columns: list[str] | None = None) -> DataFrame:
-    """Apply ``fn`` to every Arrow batch; ``remove_columns`` are dropped before the map."""
-    if remove_columns:
-        keep = [c for c in df.columns if c not in remove_columns]
-    else:
-        keep = df.columns
+    """Apply ``fn`` to every Arrow batch; ``schema`` names the columns that it returns.
+
+    ``fn`` sees all columns. Its result is put beside the batch's other columns, after ``remove_columns`` are dropped;
+    a returned column replaces one of the same name. A batch function that changes the number of rows must remove all
+    columns that it does not return.
+    """
+    new = StructType.fromDDL(schema)
+    gone = {*(remove_columns or []), *new.names}
+    kept = [f for f in df.schema.fields if f.name not in gone]
+    names = [f.name for f in kept]
 
     def run(batches):
-        for b in batches:
-            yield fn(b)
+        for batch in batches:
+            out = fn(batch)[new.names].reset_index(drop=True)
+            if names and len(out) != len(batch):
+                raise ValueError("the batch function changed the number of rows, but columns pass through")
+            yield pd.concat([batch[names].reset_index(drop=True), out], axis=1) if names else out
 
-    return df.select(*keep).mapInPandas(run, schema)
+    return df.mapInPandas(run, StructType([*kept, *new.fields]))
 
 
 def text_stats(batch: pd.DataFrame) -> pd.DataFrame:

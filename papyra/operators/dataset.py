@@ -1,23 +1,20 @@
-"""Dataset building (D1-D8): dedup, seeded exact-count split, vocabulary,
-tokenize/truncate, causal-LM collation and optimizer-step assignment."""
+"""Dataset building (D1-D8): dedup, seeded exact-count split, vocabulary, tokenization,
+truncation report, causal-LM collation and optimizer-step assignment."""
 
 from __future__ import annotations
 
 import math
-import re
-
-import pandas as pd
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.text import tokens
-from papyra.operators.ranking import exact_rank, keep_first
+from papyra.operators.ranking import exact_rank, global_rank, keep_first
 
-# GPT-2 vocabulary size and its end-of-text id (also the pad id);
-# the id below EOS is used here for out-of-vocabulary tokens.
-VOCAB_SIZE = 50257
+# The end-of-text id (also the pad id) of a 50,257-entry vocabulary; the id
+# below it stands for tokens outside the vocabulary. No token gets either of them.
 EOS_ID = 50256
+UNK_ID = EOS_ID - 1
 LABEL_PAD = -100
 
 
@@ -50,20 +47,43 @@ def eval_count(n: int, test_size: float) -> int:
     return n_eval
 
 
-def train_eval_split(samples: DataFrame, seed: int = 42, test_size: float = 0.1,
-                     id_col: str = "idx") -> DataFrame:
-    """Deterministic seeded split; eval = the first ceil(test_size * n) rows
-    in the order of md5("seed:id"). Adds ``split`` and ``rank`` (position in
-    the seeded order) and ``split_rank`` (position inside its split)."""
+def _seeded_key(seed: int, id_col: str):
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+
+
+def split_ids(samples: DataFrame, seed: int = 42, test_size: float = 0.1, id_col: str = "idx"):
+    """D2 on the ids alone: (id, ``split``, ``rank``, ``split_rank``) and the boundary (key, id) of the train split.
+
+    Eval = the first ceil(test_size * n) ids in the order of md5("seed:id"). No text is shuffled or stored.
+    """
     from papyra.session import materialize
-    samples = materialize(samples, "split-input")     # counted and ranked: compute once
-    keyed = samples.withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))))
+    ids = materialize(samples.select(id_col), "split-ids")            # counted and ranked: compute once
+    keyed = ids.withColumn("_key", _seeded_key(seed, id_col))
     ranked, totals = exact_rank(keyed, "_key", id_col, out="rank", with_totals=True)
     n_eval = eval_count(totals.get((), 0), test_size)
+    ranked = materialize(ranked, "split-ranks")
+    first = ranked.where(F.col("rank") == n_eval).select("_key", id_col).first()
     is_eval = F.col("rank") < n_eval
-    return (ranked.withColumn("split", F.when(is_eval, F.lit("eval")).otherwise(F.lit("train")))
-            .withColumn("split_rank", F.when(is_eval, F.col("rank")).otherwise(F.col("rank") - n_eval))
-            .drop("_key"))
+    out = (ranked.withColumn("split", F.when(is_eval, F.lit("eval")).otherwise(F.lit("train")))
+           .withColumn("split_rank", F.when(is_eval, F.col("rank")).otherwise(F.col("rank") - n_eval)).drop("_key"))
+    return out, (first["_key"], first[id_col])
+
+
+def with_split(samples: DataFrame, boundary, seed: int = 42, id_col: str = "idx") -> DataFrame:
+    """``split`` of each row by comparing its seeded key with the boundary; no row moves."""
+    at = F.struct(_seeded_key(seed, id_col).alias("k"), F.col(id_col).alias("i"))
+    bound = F.struct(F.lit(boundary[0]).alias("k"), F.lit(boundary[1]).alias("i"))
+    return samples.withColumn("split", F.when(at < bound, F.lit("eval")).otherwise(F.lit("train")))
+
+
+def train_eval_split(samples: DataFrame, seed: int = 42, test_size: float = 0.1,
+                     id_col: str = "idx") -> DataFrame:
+    """The rows with ``split``, ``rank`` (position in the seeded order) and ``split_rank`` (inside the split).
+
+    Where the positions are not needed, ``split_ids`` and ``with_split`` leave the texts where they are.
+    """
+    ids, _ = split_ids(samples, seed, test_size, id_col)
+    return samples.join(ids, id_col)
 
 
 def split_sizes(split: DataFrame) -> DataFrame:
@@ -79,59 +99,32 @@ def token_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
             .groupBy("tok").agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def vocabulary(texts: DataFrame, vocab_size: int = VOCAB_SIZE, text_col: str = "text") -> DataFrame:
-    """The ``vocab_size - 2`` most frequent tokens (ties by token), ids 0.. by rank.
-
-    The top-k runs as a per-partition top-k plus a merge; the id window runs
-    over that bounded k-row result only.
-    """
-    k = vocab_size - 2
-    top = token_counts(texts, text_col).orderBy(F.col("cnt").desc(), F.col("tok")).limit(k)
-    return top.withColumn("id", (F.row_number().over(Window.orderBy(F.col("cnt").desc(), F.col("tok"))) - 1)
-                          .cast("bigint"))
+def vocabulary(texts: DataFrame, vocab_size: int | None = None, text_col: str = "text") -> DataFrame:
+    """Every token with its count and id; ids follow the frequency rank (ties by token) and skip the two
+    reserved ids. ``vocab_size`` keeps the most frequent tokens only (a feature, off by default)."""
+    ranked = global_rank(token_counts(texts, text_col), [F.col("cnt").desc(), F.col("tok").asc()])
+    if vocab_size is not None:
+        ranked = ranked.where(F.col("rank") < vocab_size)
+    rank = F.col("rank")
+    return ranked.select("tok", "cnt", F.when(rank < UNK_ID, rank).otherwise(rank + 2).alias("id"))
 
 
-def tokenize(samples: DataFrame, vocab: DataFrame, text_col: str = "x",
-             unk_id: int = EOS_ID - 1, max_vocab_rows: int = VOCAB_SIZE, id_col: str = "idx") -> DataFrame:
-    """``input_ids`` per sample, text column dropped; unknown tokens -> ``unk_id``.
+def tokenize(samples: DataFrame, vocab: DataFrame, text_col: str = "x", unk_id: int = UNK_ID,
+             id_col: str = "idx") -> DataFrame:
+    """``input_ids`` per sample, text column dropped; tokens outside the vocabulary get ``unk_id``.
 
-    The vocabulary is bounded by ``vocab_size`` (checked), so it is shipped
-    once to every executor and ids are looked up inside Arrow batches: no
-    per-token rows and no shuffle, whatever the corpus size.
+    Token positions meet the vocabulary in a join (Spark broadcasts a small vocabulary by its own size estimate and
+    splits hot tokens of a large one) and are regrouped per sample; ``id_col`` must be unique. A null text has null
+    ids, a text without tokens an empty list.
     """
-    from papyra.functions.text import TOKEN_PATTERN
-
-    rows = vocab.select("tok", "id").limit(max_vocab_rows + 1).collect()
-    if len(rows) > max_vocab_rows:
-        return tokenize_joined(samples, vocab, text_col, unk_id, id_col)
-    bc = samples.sparkSession.sparkContext.broadcast({r["tok"]: int(r["id"]) for r in rows})
-    pattern = TOKEN_PATTERN
-
-    @F.pandas_udf("array<int>")
-    def to_ids(texts: pd.Series) -> pd.Series:
-        table = bc.value
-        rx = re.compile(pattern)
-        return texts.map(lambda t: None if t is None else
-                         [table.get(w, unk_id) for w in rx.findall(t.lower())])
-
-    keep = [c for c in samples.columns if c != text_col]
-    return samples.select(*keep, to_ids(F.col(text_col)).alias("input_ids"))
-
-
-def tokenize_joined(samples: DataFrame, vocab: DataFrame, text_col: str = "x",
-                    unk_id: int = EOS_ID - 1, id_col: str = "idx") -> DataFrame:
-    """D4 for vocabularies too large to ship whole: token positions are joined
-    to the vocabulary (a shuffle join; AQE splits hot tokens) and regrouped
-    per sample (``id_col`` must be unique) in position order. Samples without
-    tokens keep an empty list."""
     keep = [c for c in samples.columns if c != text_col]
     pos = samples.select(id_col, F.posexplode(tokens(F.col(text_col))).alias("pos", "tok"))
     ids = (pos.join(vocab.select("tok", "id"), "tok", "left")
            .select(id_col, F.struct("pos", F.coalesce(F.col("id"), F.lit(unk_id)).cast("int").alias("id")).alias("p"))
            .groupBy(id_col).agg(F.sort_array(F.collect_list("p")).alias("_ps")))
-    out = samples.select(*keep).join(ids, id_col, "left")
-    return out.select(*keep, F.coalesce(F.transform("_ps", lambda x: x["id"]),
-                                        F.array().cast("array<int>")).alias("input_ids"))
+    out = samples.select(*keep, F.col(text_col).isNull().alias("_null")).join(ids, id_col, "left")
+    found = F.coalesce(F.transform("_ps", lambda x: x["id"]), F.array().cast("array<int>"))
+    return out.select(*keep, F.when(~F.col("_null"), found).alias("input_ids"))
 
 
 def truncate(tok: DataFrame, max_length: int = 512) -> DataFrame:

@@ -59,35 +59,6 @@ def missing_predictions(qna: DataFrame, outputs: DataFrame, models=DEFAULT_MODEL
 
 # ---- V6/V7 BERTScore ---------------------------------------------------------------------
 
-MAX_EMBEDDING_ROWS = 250_000
-
-
-def token_vec_ids(text, n_vectors: int):
-    """Embedding row of each token: first 8 hex digits of md5(token) mod table size."""
-    return F.transform(tokens(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint")
-                                                % F.lit(n_vectors)))
-
-
-def _unit_matrix(rows) -> np.ndarray:
-    if rows and max(r["vec_id"] for r in rows) + 1 != len(rows):
-        raise ValueError("embedding rows must be numbered 0..n-1 by vec_id")
-    dim = len(rows[0]["embedding"]) if rows else 0
-    mat = np.zeros((len(rows), dim), dtype=np.float64)
-    for r in rows:
-        mat[r["vec_id"]] = np.asarray(r["embedding"], dtype=np.float64)
-    norms = np.linalg.norm(mat, axis=1, keepdims=True)
-    return np.divide(mat, norms, out=np.zeros_like(mat), where=norms > 0)
-
-
-def _greedy_match(unit: np.ndarray, pred: np.ndarray, ref: np.ndarray, block: int = 4096):
-    """P, R, F1 of two token-row lists under unit embeddings (repeats weigh by count)."""
-    if pred is None or ref is None or len(pred) == 0 or len(ref) == 0:
-        return 0.0, 0.0, 0.0
-    pv, pc = np.unique(np.asarray(pred, dtype=np.int64), return_counts=True)
-    rv, rc = np.unique(np.asarray(ref, dtype=np.int64), return_counts=True)
-    return _match_weighted(unit[pv], pc, unit[rv], rc, block)
-
-
 def _match_weighted(pm: np.ndarray, pc: np.ndarray, rm: np.ndarray, rc: np.ndarray, block: int = 4096):
     best_p = np.empty(len(pm))
     best_r = np.full(len(rm), -np.inf)
@@ -105,77 +76,48 @@ SCORE_TYPE = "struct<bert_p:double,bert_r:double,bert_f1:double>"
 SCORE_COLS = ["bert_p", "bert_r", "bert_f1"]
 
 
-def bertscore(pairs: DataFrame, embeddings: DataFrame, pred_col: str = "prediction",
-              ref_col: str = "reference", keys=("model", "id"),
-              max_embedding_rows: int = MAX_EMBEDDING_ROWS) -> DataFrame:
+def bertscore(pairs: DataFrame, vectors: DataFrame, pred_col: str = "prediction",
+              ref_col: str = "reference", keys=("model", "id")) -> DataFrame:
     """V6: greedy cosine matching of token embeddings (Zhang et al., 2020).
 
     P = mean over prediction tokens of the best cosine against the reference
     tokens, R the reverse, F1 their harmonic mean; whole texts are used and
-    pairs with an empty side score 0.
-
-    When the embedding table is within ``max_embedding_rows`` (checked), it is
-    shipped once to every executor and scoring is a narrow map with no
-    shuffle: tokens become embedding-row ids natively, then one Arrow-batched
-    UDF scores many pairs per call. A larger table takes the shuffle route
-    (``bertscore_shuffled``). Either way a pair's work is bounded by the
-    distinct embedding rows on each side, not by text length.
-    """
-    keys = list(keys)
-    rows = embeddings.select("vec_id", "embedding").limit(max_embedding_rows + 1).collect()
-    if len(rows) > max_embedding_rows:
-        return bertscore_shuffled(pairs, embeddings, pred_col, ref_col, keys)
-    unit = _unit_matrix(rows)
-    n_vec = unit.shape[0]
-    bc = pairs.sparkSession.sparkContext.broadcast(unit)
-
-    @F.pandas_udf(SCORE_TYPE)
-    def score(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-        u = bc.value
-        return pd.DataFrame([_greedy_match(u, a, b) for a, b in zip(pred, ref)], columns=SCORE_COLS,
-                            dtype="float64")
-
-    s = score(token_vec_ids(F.col(pred_col), n_vec), token_vec_ids(F.col(ref_col), n_vec))
-    return pairs.select(*keys, s.alias("s")).select(*keys, "s.bert_p", "s.bert_r", "s.bert_f1")
-
-
-def bertscore_shuffled(pairs: DataFrame, embeddings: DataFrame, pred_col: str = "prediction",
-                       ref_col: str = "reference", keys=("model", "id")) -> DataFrame:
-    """V6 for embedding tables too large to ship whole.
-
-    Each side is reduced to distinct (pair, embedding row) with a count,
-    joined to the unit vectors (normalised once, natively), and gathered per
-    pair (at most one vector per distinct token of that pair's texts); the
-    same Arrow-batched scorer then runs on the gathered vectors.
+    pairs with an empty side score 0. ``vectors`` holds (tok, embedding), one
+    row per token; a token without a vector matches nothing (cosine 0).
+
+    Each side is reduced to distinct (pair, token) with a count, joined to the
+    unit vectors (normalised once, natively; Spark broadcasts a small table
+    and splits hot tokens of a large one) and gathered per pair (at most one
+    vector per distinct token of that pair's texts); an Arrow-batched UDF
+    scores many pairs per call with one blocked matrix product per pair.
     """
     keys = list(keys)
-    n_vec = embeddings.count()
     e = F.col("embedding").cast("array<double>")
     norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = embeddings.select(F.col("vec_id").alias("vec"),
-                             F.when(norm > 0, F.transform(e, lambda x: x / norm))
-                             .otherwise(F.transform(e, lambda x: x * 0.0)).alias("u"))
+    unit = vectors.select("tok", F.when(norm > 0, F.transform(e, lambda x: x / norm)).alias("u"))
 
     def side(col, name):
-        counts = (pairs.select(*[F.col(k).alias(k) for k in keys],
-                               F.explode(token_vec_ids(F.col(col), n_vec)).alias("vec"))
-                  .groupBy(*keys, "vec").agg(F.count(F.lit(1)).alias("cnt")))
-        return counts.join(unit, "vec").groupBy(*keys).agg(
-            F.collect_list("u").alias(f"{name}_u"), F.collect_list("cnt").alias(f"{name}_c"))
+        counts = (pairs.select(*keys, F.explode(tokens(F.col(col))).alias("tok"))
+                  .groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("cnt")))
+        return counts.join(unit, "tok", "left").groupBy(*keys).agg(
+            F.collect_list(F.struct("u", "cnt")).alias(f"{name}_tokens"))
 
     @F.pandas_udf(SCORE_TYPE)
     def score(pu: pd.Series, pc: pd.Series, ru: pd.Series, rc: pd.Series) -> pd.DataFrame:
         out = []
-        for a, ac, b, bcnt in zip(pu, pc, ru, rc):
-            if a is None or b is None or len(a) == 0 or len(b) == 0:
+        for a, ac, b, bc in zip(pu, pc, ru, rc):
+            known = [x for side in (a, b) if side is not None for x in side if x is not None]
+            if a is None or b is None or not len(a) or not len(b) or not known:
                 out.append((0.0, 0.0, 0.0))
                 continue
-            out.append(_match_weighted(np.stack(a).astype(np.float64), np.asarray(ac, dtype=np.float64),
-                                       np.stack(b).astype(np.float64), np.asarray(bcnt, dtype=np.float64)))
+            zero = np.zeros(len(known[0]))
+            out.append(_match_weighted(np.stack([zero if x is None else x for x in a]), np.asarray(ac, np.float64),
+                                       np.stack([zero if x is None else x for x in b]), np.asarray(bc, np.float64)))
         return pd.DataFrame(out, columns=SCORE_COLS, dtype="float64")
 
     g = (pairs.select(*keys).join(side(pred_col, "p"), keys, "left").join(side(ref_col, "r"), keys, "left"))
-    s = score(F.col("p_u"), F.col("p_c"), F.col("r_u"), F.col("r_c"))
+    part = lambda c, f: F.transform(c, lambda x: x[f])
+    s = score(part("p_tokens", "u"), part("p_tokens", "cnt"), part("r_tokens", "u"), part("r_tokens", "cnt"))
     return g.select(*keys, s.alias("s")).select(*keys, "s.bert_p", "s.bert_r", "s.bert_f1")
 
 

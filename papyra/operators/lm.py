@@ -17,12 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyra.functions.text import tokens
-from papyra.operators.ranking import sized_broadcast
 
 BOS = "<s>"
 LAMBDA = 0.5
-# distinct n-grams of the scored text that may be broadcast back to positions
-MAX_BROADCAST_NGRAMS = 2_000_000
 
 
 def with_prev(toks: Column) -> Column:
@@ -88,7 +85,8 @@ def fit(base_texts: DataFrame, train_texts: DataFrame, text_col: str = "text",
 def ngram_logprobs(m: NgramModels, ngrams: DataFrame) -> DataFrame:
     """Log-probability of each distinct (prev, tok) under each variant.
 
-    Every joined table is unique per key, so these joins carry no hot keys.
+    The joined tables are unique per key; the distinct n-grams repeat a token once
+    per neighbour, which AQE splits where one neighbour is very common.
     """
     tok_stats = m.token_stats.select("tok", "c_doc", "c_tr")
     prev_stats = m.token_stats.select(F.col("tok").alias("prev"), "c_prev")
@@ -109,14 +107,13 @@ VARIANT_COLUMNS = {"base": "lp_base", "FT_full": "lp_full", "FT-M1B": "lp_m1b"}
 def score_positions(m: NgramModels, pos: DataFrame, keys: list[str], models=tuple(VARIANT_COLUMNS)) -> DataFrame:
     """(model, keys..., pos, tok, logprob) for every position and model variant.
 
-    Log-probs are computed once per distinct n-gram, then attached to the
-    positions; that table is broadcast only when its size is checked small,
-    otherwise it is a shuffle join (hot n-grams are split by AQE skew handling).
+    Log-probs are computed once per distinct n-gram and stored, then attached to
+    the positions; the table's size is known, so Spark broadcasts a small one and
+    shuffles a large one (AQE splits hot n-grams).
     """
     from papyra.session import materialize
     distinct = pos.select("prev", "tok").distinct()
     lp = materialize(ngram_logprobs(m, distinct), "lm-ngram-logprobs")
-    lp = sized_broadcast(lp, MAX_BROADCAST_NGRAMS)
     scored = pos.join(lp, ["prev", "tok"], "inner")
     stack = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), F.col(VARIANT_COLUMNS[name]).alias("logprob"))
                                 for name in models]))
@@ -125,9 +122,14 @@ def score_positions(m: NgramModels, pos: DataFrame, keys: list[str], models=tupl
 
 
 def token_logprobs(m: NgramModels, qna: DataFrame, models=tuple(VARIANT_COLUMNS)) -> DataFrame:
-    """(model, id, pos, logprob, prompt_len): question tokens then answer tokens."""
-    staged = qna.select("id", tokens(F.col("question")).alias("_q"), tokens(F.col("answer")).alias("_a"))
-    seq = staged.select("id", F.size("_q").cast("bigint").alias("prompt_len"), F.concat("_q", "_a").alias("seq"))
+    r"""(model, id, pos, logprob, prompt_len) over the tokens of ``Q: q\nA: a``; the prompt is ``Q: q\nA:``.
+
+    A null question or answer counts as empty, so every pair has the template's tokens at least.
+    """
+    from papyra.operators.evaluation import qna_full, qna_prompt
+    q, a = F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))
+    seq = qna.select("id", F.size(tokens(qna_prompt(q))).cast("bigint").alias("prompt_len"),
+                     tokens(qna_full(q, a)).alias("seq"))
     pos = positions(seq, ["id", "prompt_len"], F.col("seq"))
     return score_positions(m, pos, ["id", "prompt_len"], models).select(
         "model", "id", "pos", "logprob", "prompt_len")
@@ -152,11 +154,13 @@ def perplexity(loss: Column) -> Column:
 
 def text_nll(m: NgramModels, df: DataFrame, keys: list[str], text_col: str,
              models=tuple(VARIANT_COLUMNS)) -> DataFrame:
-    """(model, keys..., n_tokens, nll) for each text under each variant."""
+    """(model, keys..., n_tokens, nll) for each text under each variant; no tokens: 0 and a null NLL."""
     pos = positions(df, keys, tokens(F.col(text_col)))
     s = score_positions(m, pos, keys, models)
-    return s.groupBy("model", *keys).agg(F.count(F.lit(1)).alias("n_tokens"),
-                                         F.avg(-F.col("logprob")).alias("nll"))
+    found = s.groupBy("model", *keys).agg(F.count(F.lit(1)).alias("n"), F.avg(-F.col("logprob")).alias("nll"))
+    every = df.select(F.explode(F.array(*[F.lit(x) for x in models])).alias("model"), *keys)
+    return every.join(found, ["model", *keys], "left").select(
+        "model", *keys, F.coalesce("n", F.lit(0).cast("bigint")).alias("n_tokens"), "nll")
 
 
 def corpus_nll_by(m: NgramModels, docs: DataFrame, group_col: str, text_col: str = "text") -> DataFrame:

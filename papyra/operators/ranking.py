@@ -4,7 +4,7 @@
   window (hash-prefix buckets + prefix sums over a tiny counts table).
 * ``keep_first``: first row per key through an aggregate (map-side combine),
   so a key holding a third of all rows never lands whole in one task.
-* ``sized_broadcast``: broadcast only behind a bounded row-count check.
+* ``global_rank``: a 0-based rank in any total order, over range partitions.
 * ``lead_in_order``: next value per key in order, splitting hot keys into
   pieces along the order column and stitching the piece boundaries.
 * ``fill_forward``: last non-null value at or before each row in a global
@@ -81,6 +81,25 @@ def exact_rank(df: DataFrame, hex_key: str, tiebreak: str, out: str = "rank",
     return (out_df, totals) if with_totals else out_df
 
 
+def global_rank(df: DataFrame, order: list[Column], out: str = "rank", n_parts: int | None = None) -> DataFrame:
+    """Add ``out`` = 0-based position of each row in a total order, without a one-partition window.
+
+    Rows are range-partitioned once and stored with their partition number; the prefix sums of the row counts (one
+    number per partition) are joined back, and rows are numbered within their partition only.
+    """
+    from papyra.session import materialize
+    n = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stored = materialize(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    offsets, run = [], 0
+    for r in sorted(stored.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["_part"]):
+        offsets.append((r["_part"], run))
+        run += r["n"]
+    table = df.sparkSession.createDataFrame(offsets, "_part int, _off bigint")   # at most n rows
+    within = Window.partitionBy("_part").orderBy(*order)
+    return (stored.join(F.broadcast(table), "_part")
+            .withColumn(out, (F.col("_off") + F.row_number().over(within) - 1).cast("bigint")).drop("_part", "_off"))
+
+
 def keep_first(df: DataFrame, key: str, order_by: str) -> DataFrame:
     """One row per ``key``: the one with the smallest ``order_by`` (ties: smallest row struct).
 
@@ -92,34 +111,16 @@ def keep_first(df: DataFrame, key: str, order_by: str) -> DataFrame:
     return picked.select(key, *[F.col(f"_first.{c}").alias(c) for c in [order_by] + rest]).select(*df.columns)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows, else leave it to a shuffle join.
-
-    The check reads at most ``max_rows + 1`` rows.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def order_pieces(df: DataFrame, col: str, n: int) -> Column:
-    """Deterministic piece number (0..n-1) of each row along a numeric order column.
+def order_pieces(df: DataFrame, col: str, n: int) -> DataFrame:
+    """``df`` with ``_piece``: the number of the range partition of ``col`` that a row lies in.
 
-    The bounds are approximate quantiles computed once (at most n - 1 literal
-    values), so every use of the column in a plan agrees on the pieces (unlike
-    ``spark_partition_id()`` after a range exchange, whose sampled bounds may
-    differ between two executions of the exchange).
+    The rows are stored with their number, so every later use agrees on the pieces, however often a plan runs.
     """
-    if n <= 1:
-        return F.lit(0)
-    qs = df.approxQuantile(col, [i / n for i in range(1, n)], 0.001)
-    bounds = sorted({q for q in qs if q is not None})
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b < F.col(col).cast("double")))
+    from papyra.session import materialize
+    return materialize(df.repartitionByRange(max(n, 1), col).withColumn("_piece", F.spark_partition_id()), "pieces")
 
 
-def lead_in_order(df: DataFrame, key: str, order_cols: list[str], value: str, out: str,
+def lead_in_order(df: DataFrame, key: list[str], order_cols: list[str], value: str, out: str,
                   n_parts: int | None = None) -> DataFrame:
     """``lead(value) over (partition by key order by order_cols)`` that splits hot keys.
 
@@ -130,40 +131,39 @@ def lead_in_order(df: DataFrame, key: str, order_cols: list[str], value: str, ou
     """
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumn("_piece", order_pieces(df, order_cols[0], n))
-    w = Window.partitionBy(key, "_piece").orderBy(*order_cols)
+    ranged = order_pieces(df, order_cols[0], n)
+    w = Window.partitionBy(*key, "_piece").orderBy(*order_cols)
     local = (ranged.withColumn(out, F.lead(value).over(w))
              .withColumn("_last", F.lead(F.lit(1)).over(w).isNull()))
     # first value of every (key, piece): at most n rows per key
-    firsts = (ranged.groupBy(key, "_piece")
+    firsts = (ranged.groupBy(*key, "_piece")
               .agg(F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)],
                                    F.col(value).alias("_v"))).alias("_f"))
-              .select(key, "_piece", F.col("_f._v").alias("_first")))
+              .select(*key, "_piece", F.col("_f._v").alias("_first")))
     nxt = firsts.withColumn("_next_first", F.lead("_first").over(
-        Window.partitionBy(key).orderBy("_piece"))).drop("_first")
-    return (local.join(nxt, on=[key, "_piece"], how="left")
+        Window.partitionBy(*key).orderBy("_piece"))).drop("_first")
+    return (local.join(nxt, on=[*key, "_piece"], how="left")
             .withColumn(out, F.when(F.col("_last"), F.col("_next_first")).otherwise(F.col(out)))
             .drop("_piece", "_next_first", "_last"))
 
 
-def fill_forward(df: DataFrame, order_col: str, value: str, out: str, n_parts: int | None = None) -> DataFrame:
-    """``last(value, ignorenulls) over (order by order_col rows unbounded preceding)``, distributed.
+def fill_forward(df: DataFrame, key: str, order_col: str, value: str, out: str, n_parts: int | None = None
+                 ) -> DataFrame:
+    """``last(value, ignorenulls) over (partition by key order by order_col rows unbounded preceding)``, distributed.
 
-    Rows are cut into pieces along ``order_col``; each piece fills forward
-    locally, and a piece's leading gap takes the last non-null value of the
-    pieces before it, from a carry table with one row per piece (bounded by
-    the piece count). ``order_col`` must be unique and numeric.
+    Rows are cut into pieces along ``order_col``, so one key may span many tasks; each piece fills forward locally,
+    and its leading gap takes the last non-null value of the key's pieces before it, from a table with one row per
+    (key, piece). ``order_col`` must be numeric and unique within a key.
     """
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumn("_piece", order_pieces(df, order_col, n))
-    w = Window.partitionBy("_piece").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = order_pieces(df, order_col, n)
+    w = Window.partitionBy(key, "_piece").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn(out, F.last(F.col(value), ignorenulls=True).over(w))
-    lasts = (ranged.where(F.col(value).isNotNull()).groupBy("_piece")
-             .agg(F.max_by(F.col(value), F.col(order_col)).alias("_last")))
-    pieces = ranged.select("_piece").distinct().join(lasts, "_piece", "left")
-    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    carry = pieces.select("_piece", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    return (local.join(F.broadcast(carry), "_piece", "left")
+    lasts = ranged.groupBy(key, "_piece").agg(
+        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order_col))).alias("_last"))
+    before = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carry = lasts.select(key, "_piece", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    return (local.join(carry, [key, "_piece"], "left")
             .withColumn(out, F.coalesce(F.col(out), F.col("_carry")))
             .drop("_piece", "_carry"))

@@ -53,28 +53,33 @@ def checkpoint_rank(curve: DataFrame, keep_last: int = 2, loss: str = "eval_loss
 
 
 def variant_compare(curve: DataFrame, loss: str = "eval_loss") -> DataFrame:
-    """T4: per model: final and best loss, their steps, the gap, the step count, and
-    the mean evaluation throughput when the history records it."""
+    """T4: per model: final and best loss, their steps, the gap, the distance to the best variant, the last
+    train loss, the step count, and the mean evaluation throughput when the history records it."""
     rate = "eval_samples_per_second"
     extra = [F.avg(rate).alias("samples_per_sec")] if rate in curve.columns else []
     g = curve.groupBy("model").agg(
         F.max_by(loss, "step").alias("final_loss"), F.max("step").alias("final_step"),
         F.min_by(F.struct(loss, "step"), F.struct(loss, "step")).alias("_best"),
+        (F.max_by("loss", F.when(F.col("loss").isNotNull(), F.col("step"))) if "loss" in curve.columns
+         else F.lit(None).cast("double")).alias("final_train_loss"),
         F.count(F.lit(1)).alias("n_steps"), *extra)
     return g.select("model", "final_step", "final_loss", F.col("_best.step").alias("best_step"),
                     F.col(f"_best.{loss}").alias("best_loss"),
                     F.round(F.col("final_loss") - F.col(f"_best.{loss}"), 6).alias("final_minus_best"),
-                    "n_steps", *(["samples_per_sec"] if extra else []))
+                    # against the best variant: a window over one row per model
+                    F.round(F.col(f"_best.{loss}") - F.min(f"_best.{loss}").over(Window.partitionBy()), 6)
+                    .alias("behind_best"),
+                    "final_train_loss", "n_steps", *(["samples_per_sec"] if extra else []))
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
-    """Structured fields of each log line; lines not in the layout are continuations."""
+    """Structured fields of each log line (run, line_no, value); lines not in the layout are continuations."""
     v = F.col("value")
-    staged = lines.select("line_no", "value", v.rlike(LOG_LINE_RE).alias("_ok"))   # match once per line
+    staged = lines.select("run", "line_no", "value", v.rlike(LOG_LINE_RE).alias("_ok"))   # match once per line
     ok = F.col("_ok")
     g = lambda i: F.when(ok, F.regexp_extract(v, LOG_LINE_RE, i))
     return staged.select(
-        "line_no",
+        "run", "line_no",
         g(1).alias("ts"),
         g(2).alias("level"),
         g(3).alias("component"),
@@ -83,13 +88,25 @@ def parse_log(lines: DataFrame) -> DataFrame:
         (~ok).cast("int").alias("is_continuation"))
 
 
+# How messages report an elapsed time and a count.
+ELAPSED_RE = r"(\d+(?:\.\d+)?)\s*(?:s|sec|secs|seconds)\b"
+COUNT_RE = r"\b(\d+)\s+(?:articles|samples|records|rows|items|questions)\b"
+
+
+def message_figures(events: DataFrame) -> DataFrame:
+    """Elapsed seconds and counts that messages report, per (run, line_no); null where a message has none."""
+    first = lambda p: F.nullif(F.regexp_extract("message", p, 1), F.lit(""))
+    return events.select("run", "line_no", "component", first(ELAPSED_RE).cast("double").alias("elapsed_sec"),
+                         first(COUNT_RE).cast("bigint").alias("n_reported"))
+
+
 def step_durations(events: DataFrame) -> DataFrame:
-    """T5: seconds from each log event to the next one of the same component, summarised."""
+    """T5: seconds from each log event to the next one of the same run and component, summarised."""
     e = events.where(F.col("is_continuation") == 0).select(
-        "component", "line_no", F.to_unix_timestamp(F.col("ts"), F.lit(LOG_TS)).alias("t"))
-    nxt = lead_in_order(e, "component", ["t", "line_no"], "t", "t_next")
+        "run", "component", "line_no", F.to_unix_timestamp(F.col("ts"), F.lit(LOG_TS)).alias("t"))
+    nxt = lead_in_order(e, ["run", "component"], ["t", "line_no"], "t", "t_next")
     d = nxt.withColumn("dur", F.col("t_next") - F.col("t"))
-    return d.groupBy("component").agg(
+    return d.groupBy("run", "component").agg(
         F.count(F.lit(1)).alias("n_events"), F.count("dur").alias("n_timed"),
         F.sum("dur").alias("total_sec"), F.round(F.avg("dur"), 6).alias("avg_sec"),
         F.max("dur").alias("max_sec"),
@@ -98,7 +115,7 @@ def step_durations(events: DataFrame) -> DataFrame:
 
 def attach_continuations(parsed: DataFrame) -> DataFrame:
     """``event_line`` = the line number of the event each line belongs to
-    (itself for an event line, the nearest preceding event line for a
-    continuation; null for continuations before the first event)."""
+    (itself for an event line, the nearest preceding event line of the same run
+    for a continuation; null for continuations before a run's first event)."""
     marked = parsed.withColumn("_ev", F.when(F.col("is_continuation") == 0, F.col("line_no")))
-    return fill_forward(marked, "line_no", "_ev", "event_line").drop("_ev")
+    return fill_forward(marked, "run", "line_no", "_ev", "event_line").drop("_ev")

@@ -215,7 +215,7 @@ WITH e AS (
                                   '(?is)<li\\b[^>]*>(.*?)</li>', 1) AS ents FROM pages)
 ), l AS (
   SELECT page_id, url, pos, entry, regexp_extract(entry, '(?is)<a\\b[^>]*href="([^"]*)"', 1) AS href
-  FROM e WHERE pos < 200 AND regexp_matches(entry, '(?is)<a\\b[^>]*href="([^"]*)"')
+  FROM e WHERE regexp_matches(entry, '(?is)<a\\b[^>]*href="([^"]*)"')
 )
 SELECT page_id, pos, {_inline("regexp_extract(entry, '(?is)<a\\b[^>]*href=\"[^\"]*\"[^>]*>(.*?)</a>', 1)")} AS title,
        href, {_urljoin('url', 'href')} AS link
@@ -229,8 +229,7 @@ FROM (SELECT event_id, lpad(CAST(day(ts) AS VARCHAR), 2, '0') || '.' || CAST(mon
              || CAST(year(ts) AS VARCHAR) AS date_text FROM events)"""
 
 # ---- D1-D8 dataset ---------------------------------------------------------------------
-TOKEN_RE = "'[a-zà-ÿ0-9]+'"
-VOCAB_K = 50257 - 2
+TOKEN_RE = r"'[\p{L}\p{N}]+'"
 UNK_ID = 50255
 
 CTE["split"] = f"""
@@ -246,10 +245,10 @@ split AS (
 )"""
 CTE["vocab"] = f"""
 vocab AS (
-  SELECT tok, cnt, (row_number() OVER (ORDER BY cnt DESC, tok) - 1)::BIGINT AS id
-  FROM (SELECT tok, count(*)::BIGINT AS cnt
-        FROM (SELECT unnest(regexp_extract_all(lower(text), {TOKEN_RE})) AS tok FROM documents) GROUP BY tok)
-  QUALIFY id < {VOCAB_K}
+  SELECT tok, cnt, (CASE WHEN r < {UNK_ID} THEN r ELSE r + 2 END)::BIGINT AS id
+  FROM (SELECT tok, cnt, row_number() OVER (ORDER BY cnt DESC, tok) - 1 AS r
+        FROM (SELECT tok, count(*)::BIGINT AS cnt
+              FROM (SELECT unnest(regexp_extract_all(lower(text), {TOKEN_RE})) AS tok FROM documents) GROUP BY tok))
 )"""
 CTE["tokenized"] = f"""
 tok_pos AS (
@@ -285,8 +284,8 @@ FROM tokenized GROUP BY split""")
 ORACLE["collated_batches"] = sql(["tokenized"], """
 SELECT idx, split, batch_id, seq_len, batch_len, (batch_len - seq_len)::BIGINT AS n_pad,
        seq_len AS n_label_tokens, seq_len AS mask_sum
-FROM (SELECT idx, split, (split_rank // 8)::BIGINT AS batch_id, least(len(ids), 512)::BIGINT AS seq_len,
-             max(least(len(ids), 512)) OVER (PARTITION BY split, split_rank // 8)::BIGINT AS batch_len
+FROM (SELECT idx, split, (split_rank // 8)::BIGINT AS batch_id, len(ids)::BIGINT AS seq_len,
+             max(len(ids)) OVER (PARTITION BY split, split_rank // 8)::BIGINT AS batch_len
       FROM tokenized)""")
 ORACLE["step_assignment"] = sql(["split"], """
 SELECT epoch, idx, micro, step FROM (
@@ -310,8 +309,8 @@ predictions AS (
   SELECT m.model, q.id,
          'Q: ' || q.question || {NL} || 'A: ' ||
          CASE m.model_pos WHEN 0 THEN q.question WHEN 1 THEN q.answer
-              ELSE substr(q.answer, 1, floor(length(q.answer) / 2)::INT) END || {NL} || 'Q: next' AS full_text
-  FROM qna q CROSS JOIN models m
+              ELSE array_to_string(list_reverse(string_split(q.answer, ' ')), ' ') END || {NL} || 'Q: next' AS full_text
+  FROM qna q CROSS JOIN models m WHERE m.model_pos <> 2 OR q.id % 7 <> 3
 )"""
 
 
@@ -363,8 +362,9 @@ def _positions(src: str, keys: str, arr: str) -> str:
 
 
 CTE["tlp"] = f"""
-qseq AS (SELECT id, len(regexp_extract_all(lower(question), {TOKEN_RE})) AS prompt_len, question, answer FROM qna),
-qpos AS ({_positions('qseq', 'id, prompt_len', f"list_concat(regexp_extract_all(lower(question), {TOKEN_RE}), regexp_extract_all(lower(answer), {TOKEN_RE}))")}),
+qseq AS (SELECT id, len(regexp_extract_all(lower('Q: ' || question || {NL} || 'A:'), {TOKEN_RE})) AS prompt_len,
+                'Q: ' || question || {NL} || 'A: ' || answer AS full_pair FROM qna),
+qpos AS ({_positions('qseq', 'id, prompt_len', f"regexp_extract_all(lower(full_pair), {TOKEN_RE})")}),
 tlp AS ({_scored('qpos', 'id, prompt_len')}),
 nll AS (
   SELECT model, id, avg(CASE WHEN pos >= prompt_len THEN -lp END) AS nll, avg(-lp) AS nll_full,
@@ -499,7 +499,8 @@ FROM prompt_lines p CROSS JOIN models m GROUP BY p.prompt_pos, p.line_no, p.line
 # ---- T1-T5, S8, S9, R1, U1 ---------------------------------------------------------------
 CTE["run_history"] = """
 run_history AS (
-  SELECT event_type AS model, day(ts)::BIGINT AS step, round(avg(value), 6) AS eval_loss
+  SELECT event_type AS model, day(ts)::BIGINT AS step, round(avg(value) FILTER (WHERE event_id % 2 = 1), 6) AS loss,
+         round(avg(value) FILTER (WHERE event_id % 2 = 0), 6) AS eval_loss
   FROM events GROUP BY event_type, day(ts)
 )"""
 
@@ -514,28 +515,29 @@ _LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING'
 LOG_RE = r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] \[\s*([A-Za-z]+)\s*\] \[\s*(.*?)\s*\] ( *)(.*)$"
 CTE["log_lines"] = f"""
 log_lines AS (
-  SELECT event_id * 2 AS line_no,
+  SELECT strftime(ts, '%Y-%m') AS run, event_id * 2 AS line_no,
          '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [' || {_centre(_LEVEL, 7)} || '] ['
          || {_centre('event_type', 20)} || '] ' || repeat('  ', (user_id % 3)::INT)
          || printf('%s value=%.2f user=%d', event_type, value, user_id) AS value
   FROM events
   UNION ALL
-  SELECT event_id * 2 + 1 AS line_no, '    props: ' || props AS value FROM events WHERE value > 45
+  SELECT strftime(ts, '%Y-%m') AS run, event_id * 2 + 1 AS line_no, '    props: ' || props AS value FROM events WHERE value > 45
 ),
 parsed AS (
-  SELECT line_no,
+  SELECT run, line_no,
          CASE WHEN ok THEN regexp_extract(value, '{LOG_RE}', 1) END AS ts,
          CASE WHEN ok THEN regexp_extract(value, '{LOG_RE}', 2) END AS level,
          CASE WHEN ok THEN regexp_extract(value, '{LOG_RE}', 3) END AS component,
          CASE WHEN ok THEN (length(regexp_extract(value, '{LOG_RE}', 4)) / 2)::BIGINT END AS depth,
          CASE WHEN ok THEN regexp_extract(value, '{LOG_RE}', 5) ELSE value END AS message,
          CASE WHEN ok THEN 0 ELSE 1 END AS is_continuation
-  FROM (SELECT line_no, value, regexp_matches(value, '{LOG_RE}') AS ok FROM log_lines)
+  FROM (SELECT run, line_no, value, regexp_matches(value, '{LOG_RE}') AS ok FROM log_lines)
 )"""
 DEPS["log_lines"] = []
 
 ORACLE["loss_curves"] = sql(["run_history"], """
-SELECT model, step, 'eval' AS kind, eval_loss AS loss FROM run_history""")
+SELECT model, step, 'eval' AS kind, eval_loss AS loss FROM run_history WHERE eval_loss IS NOT NULL
+UNION ALL SELECT model, step, 'train', loss FROM run_history WHERE loss IS NOT NULL""")
 ORACLE["overfit_flags"] = sql(["run_history"], """
 SELECT model, step, eval_loss, lag(eval_loss) OVER w AS prev_loss,
        coalesce((eval_loss > lag(eval_loss) OVER w)::INT, 0) AS overfit
@@ -550,20 +552,22 @@ FROM (SELECT model, step, eval_loss,
 ORACLE["variant_compare"] = sql(["run_history"], """
 SELECT model, max(step) AS final_step, arg_max(eval_loss, step) AS final_loss,
        arg_min(step, (eval_loss, step)) AS best_step, min(eval_loss) AS best_loss,
-       round(arg_max(eval_loss, step) - min(eval_loss), 6) AS final_minus_best, count(*)::BIGINT AS n_steps
+       round(arg_max(eval_loss, step) - min(eval_loss), 6) AS final_minus_best,
+       round(min(eval_loss) - min(min(eval_loss)) OVER (), 6) AS behind_best,
+       arg_max(loss, step) FILTER (WHERE loss IS NOT NULL) AS final_train_loss, count(*)::BIGINT AS n_steps
 FROM run_history GROUP BY model""")
 ORACLE["runlog_events"] = sql(["log_lines"], """
-SELECT line_no, ts, level, component, depth, message, is_continuation,
-       max(CASE WHEN is_continuation = 0 THEN line_no END) OVER (ORDER BY line_no) AS event_line
+SELECT run, line_no, ts, level, component, depth, message, is_continuation,
+       max(CASE WHEN is_continuation = 0 THEN line_no END) OVER (PARTITION BY run ORDER BY line_no) AS event_line
 FROM parsed""")
 ORACLE["step_durations"] = sql(["log_lines"], """
-SELECT component, count(*)::BIGINT AS n_events, count(dur)::BIGINT AS n_timed, sum(dur)::BIGINT AS total_sec,
+SELECT run, component, count(*)::BIGINT AS n_events, count(dur)::BIGINT AS n_timed, sum(dur)::BIGINT AS total_sec,
        round(avg(dur), 6) AS avg_sec, max(dur)::BIGINT AS max_sec,
        round(count(*) / greatest(max(t) - min(t), 1), 6) AS events_per_sec
-FROM (SELECT component, t, lead(t) OVER (PARTITION BY component ORDER BY t, line_no) - t AS dur
-      FROM (SELECT component, line_no, epoch(strptime(ts, '%Y-%m-%d %H:%M:%S'))::BIGINT AS t
+FROM (SELECT run, component, t, lead(t) OVER (PARTITION BY run, component ORDER BY t, line_no) - t AS dur
+      FROM (SELECT run, component, line_no, epoch(strptime(ts, '%Y-%m-%d %H:%M:%S'))::BIGINT AS t
             FROM parsed WHERE is_continuation = 0))
-GROUP BY component""")
+GROUP BY run, component""")
 ORACLE["stream_ingest"] = ORACLE["training_samples"]
 ORACLE["map_batches"] = sql(["samples"], f"""
 SELECT idx, length(x)::BIGINT AS n_chars, len(string_split(x, {NL}))::BIGINT AS n_lines FROM samples""")

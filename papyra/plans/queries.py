@@ -109,7 +109,7 @@ def q_page_paragraphs(spark, sf_dir):
 @register("page_links")
 def q_page_links(spark, sf_dir):
     from papyra.operators.extract import listing_links
-    return listing_links(_pages(spark, sf_dir), max_n=200)
+    return listing_links(_pages(spark, sf_dir))
 
 
 @register("date_normalise")
@@ -126,12 +126,21 @@ def _samples(spark, sf_dir):
     return clean.training_samples(views.articles(spark, sf_dir))
 
 
-def _split(spark, sf_dir):
-    """The seeded split, written once: the LM fit, tokenization and held-out
-    scoring of one query all read this table instead of re-deriving it."""
-    from papyra.operators.dataset import train_eval_split
+def _stored_samples(spark, sf_dir):
     from papyra.session import materialize
-    return materialize(train_eval_split(_samples(spark, sf_dir), seed=42, test_size=0.1), "split")
+    return materialize(_samples(spark, sf_dir), "samples")
+
+
+def _split(spark, sf_dir):
+    """Samples with their split: the texts are stored once and stay where they are; ids alone are ranked."""
+    from papyra.operators.dataset import split_ids, with_split
+    samples = _stored_samples(spark, sf_dir)
+    return with_split(samples, split_ids(samples, seed=42, test_size=0.1)[1], seed=42)
+
+
+def _split_ids(spark, sf_dir):
+    from papyra.operators.dataset import split_ids
+    return split_ids(_samples(spark, sf_dir).select("idx", "article_id"), seed=42, test_size=0.1)[0]
 
 
 def _vocab(spark, sf_dir):
@@ -157,13 +166,14 @@ def q_incremental_new_docs(spark, sf_dir):
 
 @register("train_eval_split")
 def q_train_eval_split(spark, sf_dir):
-    return _split(spark, sf_dir).select("idx", "article_id", "split", "rank", "split_rank")
+    return _split_ids(spark, sf_dir).select("idx", F.col("idx").cast("string").alias("article_id"),
+                                            "split", "rank", "split_rank")
 
 
 @register("split_sizes")
 def q_split_sizes(spark, sf_dir):
     from papyra.operators.dataset import split_sizes
-    return split_sizes(_split(spark, sf_dir))
+    return split_sizes(_split_ids(spark, sf_dir))
 
 
 @register("vocab_topk")
@@ -172,18 +182,20 @@ def q_vocab_topk(spark, sf_dir):
 
 
 def _tokenized(spark, sf_dir):
-    from papyra.operators.dataset import tokenize
-    return tokenize(_split(spark, sf_dir).select("idx", "split", "split_rank", "x"), _vocab(spark, sf_dir))
+    from papyra.operators.dataset import split_ids, tokenize
+    samples = _stored_samples(spark, sf_dir)
+    ids = split_ids(samples, seed=42, test_size=0.1)[0].select("idx", "split", "split_rank")
+    return tokenize(samples.select("idx", "x"), _vocab(spark, sf_dir)).join(ids, "idx")
 
 
 @register("tokenized_samples")
 def q_tokenized_samples(spark, sf_dir):
-    from papyra.operators.dataset import EOS_ID
+    from papyra.operators.dataset import UNK_ID
     t = _tokenized(spark, sf_dir)
     ids = F.col("input_ids")
     return t.select(
         "idx", "split", F.size(ids).cast("bigint").alias("n_tokens"),
-        F.size(F.filter(ids, lambda i: i == EOS_ID - 1)).cast("bigint").alias("n_unk"),
+        F.size(F.filter(ids, lambda i: i == UNK_ID)).cast("bigint").alias("n_unk"),
         F.aggregate(F.transform(ids, lambda i, k: i.cast("bigint") * (k + 1)), F.lit(0).cast("bigint"),
                     lambda a, v: a + v).alias("id_checksum"),
         F.element_at(ids, 1).cast("bigint").alias("first_id"))
@@ -197,8 +209,8 @@ def q_truncation_stats(spark, sf_dir):
 
 @register("collated_batches")
 def q_collated_batches(spark, sf_dir):
-    from papyra.operators.dataset import LABEL_PAD, collate, truncate
-    c = collate(truncate(_tokenized(spark, sf_dir), 512), batch_size=8)
+    from papyra.operators.dataset import LABEL_PAD, collate
+    c = collate(_tokenized(spark, sf_dir), batch_size=8)
     return c.select(
         "idx", "split", "batch_id", F.col("seq_len").cast("bigint").alias("seq_len"),
         F.col("batch_len").cast("bigint").alias("batch_len"),
@@ -210,7 +222,7 @@ def q_collated_batches(spark, sf_dir):
 @register("step_assignment")
 def q_step_assignment(spark, sf_dir):
     from papyra.operators.dataset import step_assignment
-    train = _split(spark, sf_dir).where(F.col("split") == "train").select("idx")
+    train = _split_ids(spark, sf_dir).where(F.col("split") == "train").select("idx")
     return step_assignment(train, epochs=10, accum=8, seed=42)
 
 
@@ -239,10 +251,15 @@ def _nll(spark, sf_dir):
 
 
 def _bert(spark, sf_dir):
+    return _scores(spark, sf_dir, _grid(spark, sf_dir))
+
+
+def _scores(spark, sf_dir, grid):
     from papyra.operators.evaluation import bertscore
     from papyra.sources.readers import read_table
-    g = _grid(spark, sf_dir).select("model", "id", "prediction", "reference")
-    return bertscore(g, read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    pairs = grid.select("model", "id", "prediction", "reference")
+    texts = pairs.select(F.explode(F.array("prediction", "reference")).alias("text"))
+    return bertscore(pairs, views.token_vectors(texts, read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")))
 
 
 def evaluate(spark, sf_dir, split=None):
@@ -252,11 +269,10 @@ def evaluate(spark, sf_dir, split=None):
     from the stored tables when not given).
     """
     from papyra.operators import lm
-    from papyra.operators.evaluation import bertscore, eval_results, summarise
-    from papyra.sources.readers import read_table
-    grid = _grid(spark, sf_dir)
-    scores = bertscore(grid.select("model", "id", "prediction", "reference"),
-                       read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    from papyra.operators.evaluation import eval_results, summarise
+    from papyra.session import materialize
+    grid = materialize(_grid(spark, sf_dir), "grid")
+    scores = _scores(spark, sf_dir, grid)
     nll = lm.masked_nll(lm.token_logprobs(_lms(spark, sf_dir, split), views.qna(spark, sf_dir)))
     results = eval_results(grid, scores, nll)
     return results, summarise(results)
@@ -368,21 +384,10 @@ def q_generations_by_prompt(spark, sf_dir):
 
 # ---- run telemetry (T1-T5, S8, S9) ---------------------------------------------------
 
-def _history_shape(spark, sf_dir):
-    """The run-history view in the nested trainer-state shape (one array per model).
-
-    Each model's array holds one record per step (bounded by the step count).
-    """
-    h = views.run_history(spark, sf_dir)
-    rec = F.struct(F.col("step").cast("double").alias("epoch"), F.col("step"),
-                   F.lit(None).cast("double").alias("loss"), F.col("eval_loss"))
-    return h.groupBy("model").agg(F.collect_list(rec).alias("log_history"))
-
-
 @register("loss_curves")
 def q_loss_curves(spark, sf_dir):
-    from papyra.operators.telemetry import history_records, loss_curves
-    return loss_curves(history_records(_history_shape(spark, sf_dir)))
+    from papyra.operators.telemetry import loss_curves
+    return loss_curves(views.run_history(spark, sf_dir))
 
 
 @register("overfit_flags")
@@ -434,4 +439,4 @@ def q_stream_ingest(spark, sf_dir):
 def q_map_batches(spark, sf_dir):
     from papyra.operators.batches import map_batches, text_stats
     return map_batches(_samples(spark, sf_dir), text_stats, "idx bigint, n_chars bigint, n_lines bigint",
-                       remove_columns=["article_id"])
+                       remove_columns=["article_id", "x"])

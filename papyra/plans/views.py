@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra import DEFAULT_MODELS
-from papyra.functions.text import py_strip
+from papyra.functions.text import py_strip, tokens
 from papyra.functions.models import model_array
 from papyra.sources.readers import read_table
 
@@ -83,17 +83,27 @@ def predictions(spark: SparkSession, sf_dir: str, models=DEFAULT_MODELS) -> Data
     """Stand-in generated outputs, one per (model, Q&A pair).
 
     ``full_text`` = ``Q: q\\nA: `` + (base: the question echoed; FT_full: the
-    answer; FT-M1B: the first half of the answer) + ``\\nQ: next``.
+    answer; FT-M1B: the answer's words in reverse order) + ``\\nQ: next``. FT-M1B
+    has no output for every seventh question.
     """
     q = qna(spark, sf_dir)
     g = q.select("id", "question", "answer", F.explode(model_array(models)).alias("m")) \
         .select("id", "question", "answer", "m.model", "m.model_pos")
-    half = F.col("answer").substr(F.lit(1), F.floor(F.length("answer") / 2).cast("int"))
+    reverse = F.array_join(F.reverse(F.split("answer", " ")), " ")
     body = (F.when(F.col("model_pos") == 0, F.col("question"))
             .when(F.col("model_pos") == 1, F.col("answer"))
-            .otherwise(half))
+            .otherwise(reverse))
     full = F.concat(F.lit("Q: "), F.col("question"), F.lit("\nA: "), body, F.lit("\nQ: next"))
-    return g.select("model", "id", full.alias("full_text"))
+    return g.where((F.col("model_pos") != 2) | (F.col("id") % 7 != 3)).select("model", "id", full.alias("full_text"))
+
+
+def token_vectors(texts: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(tok, embedding) of every token of ``texts`` (text): stored vector number md5(token) mod their count."""
+    n = embeddings.count()
+    found = texts.select(F.explode(tokens(F.col("text"))).alias("tok")).distinct()
+    number = F.conv(F.substring(F.md5("tok"), 1, 8), 16, 10).cast("bigint") % F.lit(n)
+    return found.withColumn("vec_id", number).join(embeddings.select("vec_id", "embedding"), "vec_id").select(
+        "tok", "embedding")
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,10 +129,11 @@ def generations(spark: SparkSession, sf_dir: str, models=DEFAULT_MODELS) -> Data
 
 
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation-loss history: model = event type, step = day, loss = mean value."""
-    e = read_table(spark, sf_dir, "events", "ts", "event_type", "value")
+    """Loss history: model = event type, step = day; mean value of odd events (train) and of even ones (eval)."""
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "event_type", "value")
     return (e.groupBy(F.col("event_type").alias("model"), F.dayofmonth("ts").cast("bigint").alias("step"))
-            .agg(F.round(F.avg("value"), 6).alias("eval_loss")))
+            .agg(F.round(F.avg(F.when(F.col("event_id") % 2 == 1, F.col("value"))), 6).alias("loss"),
+                 F.round(F.avg(F.when(F.col("event_id") % 2 == 0, F.col("value"))), 6).alias("eval_loss")))
 
 
 # The log line layout (timestamp, centred level and component).
@@ -140,7 +151,7 @@ def _centre(c, width):
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run-log text derived from ``events``: one line per event, a continuation
-    line after events with value > 45; depth = user_id % 3 (two spaces per level)."""
+    line after events with value > 45; depth = user_id % 3 (two spaces per level); a month is a run."""
     e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
     level = (F.when(F.col("event_type") == "error", "ERROR")
              .when(F.col("event_type") == "signup", "WARNING").otherwise("INFO"))
@@ -153,5 +164,5 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.array(F.struct(F.lit(0).alias("k"), head.alias("v")),
                            F.struct(F.lit(1).alias("k"), cont.alias("v")))) \
         .otherwise(F.array(F.struct(F.lit(0).alias("k"), head.alias("v"))))
-    return e.select("event_id", F.explode(lines).alias("l")).select(
-        (F.col("event_id") * 2 + F.col("l.k")).alias("line_no"), F.col("l.v").alias("value"))
+    return e.select("event_id", F.date_format("ts", "yyyy-MM").alias("run"), F.explode(lines).alias("l")).select(
+        "run", (F.col("event_id") * 2 + F.col("l.k")).alias("line_no"), F.col("l.v").alias("value"))

@@ -48,14 +48,15 @@ def _split(spark, state, p):
 
 
 def _tokenize(spark, state, p):
-    from papyra.operators.dataset import VOCAB_SIZE, tokenize, truncate, vocabulary
+    from papyra.operators.dataset import tokenize, truncate, vocabulary
     from papyra.sources.readers import read_table
     if "split" not in state:
         _split(spark, state, p)
-    vocab = vocabulary(read_table(spark, p["sf_dir"], "documents", "text"), p.get("vocab_size", VOCAB_SIZE))
+    vocab = vocabulary(read_table(spark, p["sf_dir"], "documents", "text"), p.get("vocab_size"))
     state["vocab"] = vocab
     tok = tokenize(state["split"].select("idx", "split", "split_rank", "x"), vocab)
-    _keep(state, p, "tokenized", truncate(tok, p.get("max_length", 512)))
+    # whole texts unless the caller asks for a cut
+    _keep(state, p, "tokenized", truncate(tok, p["max_length"]) if p.get("max_length") else tok)
 
 
 def _eval(spark, state, p):

@@ -113,9 +113,9 @@ def read_qna(spark: SparkSession, prompt_dir: str) -> DataFrame:
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """One prompt per line, stripped, blank lines kept, file order kept.
 
-    ``prompt_pos`` is ``monotonically_increasing_id()``: a text file's splits
-    are read as partitions in byte order and rows in order within each, so the
-    ids increase in file order (they are positions, not consecutive numbers).
+    ``prompt_pos`` is ``monotonically_increasing_id()``: positions increase within a
+    file of one split, which prompt files are; across files only ``file`` tells
+    the lines apart, so order by (file, prompt_pos).
     """
     from papyra.functions.text import py_strip
     lines = spark.read.text(path, wholetext=False).select(
@@ -140,5 +140,10 @@ def read_run_histories(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """S9 source: plain log text; parse with ``operators.telemetry.parse_log``."""
-    return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    """S9 source: plain log text, one run per file (``run``); parse with ``operators.telemetry.parse_log``.
+
+    ``line_no`` increases within a file of one split; set ``spark.sql.files.maxPartitionBytes`` above the size of
+    the largest log file, or number the lines when they are written.
+    """
+    return spark.read.text(path).select(F.input_file_name().alias("run"), F.col("value"),
+                                        F.monotonically_increasing_id().alias("line_no"))

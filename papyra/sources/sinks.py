@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+
+# error conditions that mean "nothing stored yet"; any other read error is raised
+NOTHING_STORED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def read_if_stored(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+    try:
+        return spark.read.format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() in NOTHING_STORED:
+            return None
+        raise
 
 
 def write_records(df: DataFrame, path: str, mode: str = "dedup", key: str = "article_id",
@@ -18,18 +30,10 @@ def write_records(df: DataFrame, path: str, mode: str = "dedup", key: str = "art
     if mode == "dedup":
         from papyra.operators.dataset import new_records
         spark = df.sparkSession
-        try:
-            stored = spark.read.format(fmt).load(path).select(key)
-        except Exception:  # first run: nothing stored yet
-            stored = None
-        df = new_records(df, stored, key=key)
+        stored = read_if_stored(spark, path, fmt)
+        df = new_records(df, None if stored is None else stored.select(key), key=key)
     elif mode == "overwrite":
         writer_mode = "overwrite"
     elif mode != "append":
         raise ValueError(f"unknown sink mode {mode!r}")
     df.write.mode(writer_mode).format(fmt).save(path)
-
-
-def json_lines(df: DataFrame) -> DataFrame:
-    """One JSON object per row as text (for JSONL files)."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("value"))

@@ -1,10 +1,12 @@
 """Incremental ingest of newly landed raw-article files with Structured Streaming.
 
-Every article is ingested once, across restarts and reruns. De-duplication
-state lives in the sink table itself (an anti join per micro-batch), not in
-the streaming state store, so it does not grow without bound in memory; each
-micro-batch writes its own ``batch_id=N`` folder with overwrite, so a batch
-replayed after a failure replaces its own output instead of duplicating it.
+Every article is ingested once, across restarts, reruns and new checkpoints.
+De-duplication state lives in the sink table itself (an anti join per
+micro-batch with all stored rows but the batch's own), not in the streaming
+state store, so it does not grow without bound in memory; each micro-batch
+writes its own ``batch_id=<query id>-<N>`` folder with overwrite, so a batch
+replayed after a failure replaces its own output instead of duplicating it,
+and a new query never overwrites another one's batches.
 """
 
 from __future__ import annotations
@@ -15,20 +17,16 @@ from pyspark.sql import functions as F
 from papyra.operators.clean import training_samples
 from papyra.operators.ranking import keep_first
 from papyra.sources.readers import CORRUPT_COL, RAW_ARTICLE_DDL, normalise_text
-
-
-def _stored_ids(spark: SparkSession, sink: str, before_batch: int) -> DataFrame | None:
-    try:
-        stored = spark.read.parquet(sink)
-    except Exception:  # nothing written yet
-        return None
-    return stored.where(F.col("batch_id") < before_batch).select("article_id")
+from papyra.sources.sinks import read_if_stored
 
 
 def ingest(spark: SparkSession, landing: str, sink: str, checkpoint: str,
            max_files_per_trigger: int | None = None, body_mode: str = "lines",
            ws_mode: str = "parity") -> None:
-    """Run the ingest until every landed file is processed (``availableNow``)."""
+    """Run the ingest until every landed file is processed (``availableNow``).
+
+    Malformed lines go to ``<sink>-malformed``, one folder per micro-batch.
+    """
     reader = (spark.readStream.schema(f"{RAW_ARTICLE_DDL}, {CORRUPT_COL} STRING")
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT_COL))
     if max_files_per_trigger:
@@ -36,12 +34,18 @@ def ingest(spark: SparkSession, landing: str, sink: str, checkpoint: str,
     raw = reader.json(landing)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        # the query's id is kept in the checkpoint: the same over restarts, another one for a new checkpoint
+        own = f"{session.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
+        bad = batch.where(F.col(CORRUPT_COL).isNotNull()).select("idx", CORRUPT_COL)
+        bad.write.mode("overwrite").parquet(f"{sink.rstrip('/')}-malformed/batch_id={own}")
         good = normalise_text(batch.where(F.col(CORRUPT_COL).isNull()).drop(CORRUPT_COL), body_mode)
         samples = keep_first(training_samples(good, ws_mode=ws_mode), "article_id", "idx")
-        stored = _stored_ids(batch.sparkSession, sink, batch_id)
+        stored = read_if_stored(session, sink)
         if stored is not None:
-            samples = samples.join(stored, "article_id", "left_anti")
-        samples.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+            others = stored.where(F.col("batch_id").cast("string") != own).select("article_id")
+            samples = samples.join(others, "article_id", "left_anti")
+        samples.write.mode("overwrite").parquet(f"{sink}/batch_id={own}")
 
     q = (raw.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

@@ -82,7 +82,7 @@ def test_tokenize_truncate_collate(spark):
     assert ids == {1: [0, 1, D.EOS_ID - 1, 0], 2: [1], 3: []}
     tr = {r["idx"]: (r["input_ids"], r["attention_mask"]) for r in D.truncate(t, 2).collect()}
     assert tr[1] == ([0, 1], [1, 1])
-    c = {r["idx"]: r for r in D.collate(D.truncate(t, 512), batch_size=2).collect()}
+    c = {r["idx"]: r for r in D.collate(t, batch_size=2).collect()}
     assert c[1]["input_ids"] == [0, 1, D.EOS_ID - 1, 0]
     assert c[2]["input_ids"] == [1, D.EOS_ID, D.EOS_ID, D.EOS_ID]
     assert c[2]["labels"] == [1, -100, -100, -100] and c[2]["attention_mask"] == [1, 0, 0, 0]
@@ -101,12 +101,28 @@ def test_step_assignment_spill(spark):
     assert s.where("step = 120").agg(F.max("micro")).first()[0] == 959
 
 
-def test_tokenize_join_route_matches_broadcast_route(spark):
-    vocab = spark.createDataFrame([("a", 5, 0), ("b", 3, 1), ("c", 2, 2)], "tok string, cnt bigint, id bigint")
-    s = spark.createDataFrame([(1, "a b zz a c"), (2, "b"), (3, "")], "idx bigint, x string")
-    a = {r["idx"]: r["input_ids"] for r in D.tokenize(s, vocab).collect()}
-    b = {r["idx"]: r["input_ids"] for r in D.tokenize(s, vocab, max_vocab_rows=2).collect()}
-    assert a == b == {1: [0, 1, D.EOS_ID - 1, 0, 2], 2: [1], 3: []}
+def test_tokenize_null_and_reserved_ids(spark):
+    s = spark.createDataFrame([(1, "a b zz a c"), (2, None), (3, ""), (4, "Straße œuvre Ωmega")], "idx bigint, x string")
+    vocab = spark.createDataFrame([("a", 5, 0), ("b", 3, 1), ("c", 2, 2), ("straße", 1, 3), ("œuvre", 1, 4), ("ωmega", 1, 5)],
+                                  "tok string, cnt bigint, id bigint")
+    got = {r["idx"]: r["input_ids"] for r in D.tokenize(s, vocab).collect()}
+    assert got == {1: [0, 1, D.UNK_ID, 0, 2], 2: None, 3: [], 4: [3, 4, 5]}
+
+
+def test_vocabulary_keeps_every_token(spark):
+    n = D.UNK_ID + 10
+    texts = spark.range(n).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    v = D.vocabulary(texts)
+    r = v.agg(F.count("id"), F.countDistinct("id"), F.max("id"), F.sum(F.col("id").isin(D.UNK_ID, D.EOS_ID).cast("int"))).first()
+    assert tuple(r) == (n, n, n + 1, 0)
+    assert D.vocabulary(texts, vocab_size=5).count() == 5
+
+
+def test_split_by_boundary_matches_ranks(spark):
+    samples = spark.range(57).select(F.col("id").alias("idx"))
+    ids, boundary = D.split_ids(samples)
+    got = {r["idx"]: r["split"] for r in D.with_split(samples, boundary).collect()}
+    assert got == {r["idx"]: r["split"] for r in ids.collect()} and sum(v == "eval" for v in got.values()) == 6
 
 
 def test_exact_rank_refines_large_buckets(spark):

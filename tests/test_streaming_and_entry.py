@@ -22,11 +22,36 @@ def test_stream_ingest_rerun_and_restart(spark, tmp_dir):
     assert ingested(spark, f"{tmp_dir}/sink").count() == n
 
 
+def test_stream_ingest_new_checkpoint_keeps_stored_rows(spark, tmp_dir):
+    """An old sink with a fresh checkpoint: nothing stored is lost, nothing is duplicated, malformed lines are kept."""
+    import json
+
+    from papyra.streaming.ingest import ingest, ingested
+
+    def land(n, *ids):
+        lines = [json.dumps({"idx": i, "title": "t", "article_id": str(i), "text": ["body"]}) for i in ids] + ["{bad"]
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{tmp_dir}/landing{n}")
+
+    land(1, 1, 2)
+    ingest(spark, f"{tmp_dir}/landing1", f"{tmp_dir}/sink", f"{tmp_dir}/ckpt1")
+    land(2, 2, 3)
+    ingest(spark, f"{tmp_dir}/landing2", f"{tmp_dir}/sink", f"{tmp_dir}/ckpt2")
+    assert sorted(r["article_id"] for r in ingested(spark, f"{tmp_dir}/sink").collect()) == ["1", "2", "3"]
+    assert spark.read.parquet(f"{tmp_dir}/sink-malformed").count() == 2
+
+
+def test_map_batches_sees_removed_columns(spark):
+    from papyra.operators.batches import map_batches
+    df = spark.createDataFrame([(1, "a", "x y"), (2, "b", "z")], "idx bigint, article_id string, x string")
+    got = map_batches(df, lambda b: b.assign(n=b["x"].str.split().str.len())[["n"]], "n bigint", ["x"])
+    assert got.columns == ["idx", "article_id", "n"] and {(r.idx, r.n) for r in got.collect()} == {(1, 2), (2, 1)}
+
+
 def test_map_batches(spark):
     from papyra.operators.batches import map_batches, text_stats
     df = spark.createDataFrame([(1, "a", "xy\nz"), (2, "b", "")], "idx bigint, article_id string, x string")
     got = {r["idx"]: (r["n_chars"], r["n_lines"]) for r in
-           map_batches(df, text_stats, "idx bigint, n_chars bigint, n_lines bigint", ["article_id"]).collect()}
+           map_batches(df, text_stats, "idx bigint, n_chars bigint, n_lines bigint", ["article_id", "x"]).collect()}
     assert got == {1: (4, 2), 2: (0, 1)}
 
 
@@ -40,7 +65,10 @@ def test_entry_contract(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.columns == ["idx", "article_id", "x"] and df.count() > 0
-    assert set(E.queries()) == set(E.oracle_sql())
+    from papyra.plans.oracle import ORACLE
+    from papyra.plans.queries import QUERIES
+    assert set(QUERIES) == set(ORACLE) and set(QUERIES) <= set(E.queries())
+    assert set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_training_samples_scan_is_pruned(spark):

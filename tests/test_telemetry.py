@@ -22,10 +22,10 @@ def test_overfit_and_best(spark):
 
 
 def test_log_parse(spark):
-    lines = spark.createDataFrame([(0, "[2026-02-24 10:00:00] [ INFO  ] [    data_prepare    ]   Omitting x"),
-                                   (1, "    continued text"),
-                                   (2, "[2026-02-24 10:00:05] [WARNING] [   E2E workflow     ] Unknown step")],
-                                  "line_no bigint, value string")
+    lines = spark.createDataFrame([("r", 0, "[2026-02-24 10:00:00] [ INFO  ] [    data_prepare    ]   Omitting x"),
+                                   ("r", 1, "    continued text"),
+                                   ("r", 2, "[2026-02-24 10:00:05] [WARNING] [   E2E workflow     ] Unknown step")],
+                                  "run string, line_no bigint, value string")
     p = {r["line_no"]: r for r in T.parse_log(lines).collect()}
     assert p[0]["level"] == "INFO" and p[0]["component"] == "data_prepare" and p[0]["depth"] == 1
     assert p[0]["message"] == "Omitting x" and p[1]["is_continuation"] == 1
@@ -58,7 +58,7 @@ def test_history_records_from_json(spark, tmp_dir):
 def test_lead_in_order_hot_key(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
         (F.col("id") % 7).cast("string")).alias("k"), (F.col("id") * 13 % 5003).alias("t"))
-    got = lead_in_order(df, "k", ["t"], "t", "nt", n_parts=16)
+    got = lead_in_order(df, ["k"], ["t"], "t", "nt", n_parts=16)
     ref = df.withColumn("rt", F.lead("t").over(Window.partitionBy("k").orderBy("t")))
     j = got.join(ref, ["k", "t"])
     assert j.count() == 5000
@@ -69,12 +69,25 @@ def test_attach_continuations_across_pieces(spark):
     from papyra.operators.ranking import fill_forward
     rows = [(0, "  orphan"), (1, "[2026-02-24 10:00:00] [ INFO  ] [ c ] a"), (2, "  more"), (3, "  more"),
             (4, "[2026-02-24 10:00:01] [ INFO  ] [ c ] b"), (5, "  tail")]
-    lines = spark.createDataFrame(rows, "line_no bigint, value string")
-    got = {r["line_no"]: r["event_line"] for r in T.attach_continuations(T.parse_log(lines)).collect()}
-    assert got == {0: None, 1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    # a second run: its orphan line does not join the first run's last event
+    lines = spark.createDataFrame([("a", *r) for r in rows] + [("b", 10, "  orphan"), ("b", 11, rows[1][1])],
+                                  "run string, line_no bigint, value string")
+    parsed = T.parse_log(lines)
+    got = {r["line_no"]: r["event_line"] for r in T.attach_continuations(parsed).collect()}
+    assert got == {0: None, 1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 10: None, 11: 11}
+    took = {(r["run"], r["component"]): (r["n_events"], r["total_sec"]) for r in T.step_durations(parsed).collect()}
+    assert took == {("a", "c"): (2, 1), ("b", "c"): (1, None)}
     # many pieces, long gaps: equals the single-window answer
-    df = spark.range(3000).select(F.col("id").alias("o"), F.when(F.col("id") % 97 == 5, F.col("id")).alias("v"))
-    got = fill_forward(df, "o", "v", "f", n_parts=16)
+    df = spark.range(3000).select(F.lit("k").alias("k"), F.col("id").alias("o"), F.when(F.col("id") % 97 == 5, F.col("id")).alias("v"))
+    got = fill_forward(df, "k", "o", "v", "f", n_parts=16)
     ref = df.withColumn("r", F.last("v", ignorenulls=True).over(
         Window.orderBy("o").rowsBetween(Window.unboundedPreceding, 0)))
     assert got.join(ref, "o").where(~F.col("f").eqNullSafe(F.col("r"))).count() == 0
+
+
+def test_message_figures(spark):
+    lines = spark.createDataFrame([("r", 0, "[2026-02-24 10:00:00] [ INFO  ] [ c ] stored 14 articles in 2.5 seconds"),
+                                   ("r", 1, "[2026-02-24 10:00:00] [ INFO  ] [ c ] started")],
+                                  "run string, line_no bigint, value string")
+    got = {r["line_no"]: (r["elapsed_sec"], r["n_reported"]) for r in T.message_figures(T.parse_log(lines)).collect()}
+    assert got == {0: (2.5, 14), 1: (None, None)}
