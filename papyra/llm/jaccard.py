@@ -33,13 +33,15 @@ from .components import components
 
 WORDS = 5
 PERCENT = 75
-SCAN = 8  # common shingles are looked for among the first eighth of each set, in hash order
-COMMON = 8  # occurrences there beyond which a shingle comes last in the global order
+SCAN = 16  # common shingles are looked for among the first sixteenth of each set, in hash order
+COMMON = 5  # occurrences there beyond which a shingle comes last in the global order
 MORE = 10  # shingles of a set for each further shingle that a partner must share early on
 LEAF = 24  # members of a region that are compared pair by pair
 SLOT_BITS = 27  # 2^27 bits: 16 MB
 SHIFTS = (0, 27, 37)  # three slots of a 64-bit hash
 _MASK = (1 << SLOT_BITS) - 1
+_HIGH = np.uint64(0xFFFFFFFFFF000000)
+HIGH_SHIFTS = (24, 31, 37)  # slots of a hash of which the upper 40 bits are known
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +60,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple
     own = np.array([window_hashes(h[first[i]:first[i + 1]], int(words[i]))[0] for i in short], np.uint64)
     runs = np.concatenate([runs[inside], mix64(own + words[short].astype(np.uint64))])
     of = np.concatenate([of[inside], short])
-    order = np.lexsort((runs, of))
+    packed = (of.astype(np.uint64) << np.uint64(44)) | (runs >> np.uint64(20))
+    order = np.argsort(packed)
+    tied = np.diff(packed[order]) == 0
+    if (runs[order][1:][tied] != runs[order][:-1][tied]).any():  # equal in the packed bits only
+        order = np.lexsort((runs, of))
     runs, of = runs[order], of[order]
     fresh = np.ones(len(runs), bool)
     fresh[1:] = (runs[1:] != runs[:-1]) | (of[1:] != of[:-1])
@@ -123,7 +129,7 @@ def _order(runs: np.ndarray, bounds: np.ndarray, common: Bitmap | None) -> tuple
     of = np.repeat(np.arange(len(size)), size)
     at = np.arange(len(runs))
     if common is not None:
-        at = np.lexsort((runs, common.holds(runs), of))
+        at = np.argsort(2 * of + common.holds(runs), kind="stable")  # within a text the hashes are in order already
     return at, of, np.arange(len(runs)) - np.repeat(bounds[:-1], size)
 
 
@@ -161,9 +167,9 @@ def _common(texts: DataFrame) -> Bitmap:
 
 
 def _met(texts: DataFrame, common) -> Bitmap:
-    """Shingles in the longer prefixes of two classes or more.
+    """Shingles in the longer prefixes of two classes or more, by the upper 40 bits of their hash.
 
-    A class shows beside a shingle as a 32-bit hash of both, so two classes are mistaken for one only if this happens
+    A class shows beside a shingle as a 24-bit hash of both, so two classes are mistaken for one only if this happens
     at every shingle that they share early on. A task reports a shingle once, or twice if it met two classes.
     """
     def run(batches):
@@ -173,24 +179,24 @@ def _met(texts: DataFrame, common) -> Bitmap:
             early = rank < (_shortest(size) + _further(size))[of]
             at, of = at[early], of[early]
             nodes = np.array([int.from_bytes(x[:8], "little") if x else 0 for x in _class_ids(runs, bounds)], np.uint64)
-            h = runs[at]
-            sign = (mix64(nodes[of] ^ h) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            order = np.lexsort((sign, h))
-            h, sign = h[order], sign[order]
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            last = np.append(first[1:], len(h)) - 1 if len(h) else first
-            last = last[sign[last] != sign[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[first], h[last]]).view(np.int64)),
-                                              pa.array(np.concatenate([sign[first], sign[last]]))], ["h", "sign"])
+            v = np.sort((runs[at] & _HIGH) | (mix64(nodes[of] ^ runs[at]) >> np.uint64(40)))
+            first = np.flatnonzero(np.append(True, (v[1:] ^ v[:-1]) & _HIGH)) if len(v) else np.zeros(0, np.int64)
+            last = np.append(first[1:], len(v)) - 1 if len(v) else first
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([v[first], v[last[v[last] != v[first]]]]).view(np.int64))], ["v"])
 
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = (texts.mapInArrow(run, "h long, sign int").repartition(n, "h").groupBy("h")
-           .agg(F.min("sign").alias("lo"), F.max("sign").alias("hi")).where("lo < hi"))
-    return bitmap(met, "h", SHIFTS)
+    h = F.shiftleft(F.shiftrightunsigned("v", 24), 24)
+    met = (texts.mapInArrow(run, "v long").withColumn("h", h).repartition(n, "h").groupBy("h")
+           .agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi"))
+    return bitmap(met, "h", HIGH_SHIFTS)
 
 
 def _candidates(texts: DataFrame, common, met) -> DataFrame:
-    """(node, n, tokens, items) of the classes that may have a partner; tokens are those of the shortest prefix."""
+    """(node, n, tokens, items) of the classes that may have a partner; tokens are those of the shortest prefix.
+
+    A class comes once per task that meets it.
+    """
     def run(batches):
         seen: set[bytes] = set()
         for runs, bounds in _sets(batches):
@@ -222,8 +228,7 @@ def _candidates(texts: DataFrame, common, met) -> DataFrame:
                     pa.array([signed[bounds[i]:bounds[i + 1]] for i in rows], pa.list_(pa.int64()))],
                     ["node", "n", "tokens", "items"])
 
-    found = texts.mapInArrow(run, "node binary, n long, tokens array<long>, items array<long>")
-    return found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "items")])
+    return texts.mapInArrow(run, "node binary, n long, tokens array<long>, items array<long>")
 
 
 def _near_size(a: Column, b: Column) -> Column:
@@ -254,17 +259,23 @@ def _roots(members: DataFrame, found: DataFrame | None) -> DataFrame:
     return members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def links(docs: DataFrame, text: str = "text", max_levels: int = 40) -> tuple[DataFrame | None, DataFrame]:
-    """((node, root) of linked classes or None, compared pairs (a, b, inter, total)).
+def links(docs: DataFrame, text: str = "text", max_levels: int = 40
+          ) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """((class, node), (node, root) of linked classes or None, compared pairs (a, b, inter, total)).
 
-    The compared pairs that link span every component; pairs inside a known component need not all be there.
+    Classes that may have a partner are numbered (``node``). The compared pairs that link span every component; pairs
+    inside a known component need not all be there.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(text).alias("text"))
     common = spark.sparkContext.broadcast(_common(texts))
     met = spark.sparkContext.broadcast(_met(texts, common))
-    sets = stage(_candidates(texts, common, met), "candidate-sets")
-    members = stage(sets.select("node", "n", F.explode("tokens").alias("region")), "members")
+    found_sets = _candidates(texts, common, met).withColumn("number", F.monotonically_increasing_id())
+    raw = stage(found_sets, "candidate-sets")  # numbered when stored; a class goes by its smallest number
+    names = stage(raw.groupBy(F.col("node").alias("class")).agg(F.min("number").alias("node")), "class-numbers")
+    sets = raw.select(F.col("number").alias("node"), "items")
+    members = stage(raw.select(F.col("number").alias("node"), "n", "tokens").join(names.select("node"), "node")
+                    .select("node", "n", F.explode("tokens").alias("region")), "members")
     # regions with the same members are one region
     kinds = (members.groupBy("region").agg(
         F.count("node").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"),
@@ -319,15 +330,21 @@ def links(docs: DataFrame, text: str = "text", max_levels: int = 40) -> tuple[Da
     else:
         raise RuntimeError("regions did not settle")
     if compared is None:
-        schema = "a binary, b binary, inter long, total long"
-        return None, spark.createDataFrame([], schema)
-    return _components(compared), compared
+        return names, None, spark.createDataFrame([], "a long, b long, inter long, total long")
+    return names, _components(compared), compared
 
 
 def _extend(compared: DataFrame | None, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``compared`` and the pairs that are not in it yet, compared."""
     if compared is None:
         return stage(_compare(pairs, sets), "compared")
-    return stage(compared.unionByName(_compare(pairs.join(compared, ["a", "b"], "left_anti"), sets)), "compared")
+    fresh = stage(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+    if fresh.isEmpty():
+        return compared
+    # later levels ask for few sets: those alone move
+    asked = stage(fresh.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    few = stage(sets.join(asked, "node", "left_semi"), "asked-sets")
+    return stage(compared.unionByName(_compare(fresh, few)), "compared")
 
 
 def _components(compared: DataFrame) -> DataFrame | None:
@@ -342,9 +359,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     word sequence as its only shingle. A null key takes part in links but names a component only if no other key does.
     """
     rows = stage(classes(docs, key, text).withColumnRenamed(key, "key"), "classes")
-    found, _ = links(docs, text)
-    smallest = rows.where("node is not null").groupBy("node").agg(F.min("key").alias("least"))
-    rooted = _roots(smallest, found)
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
-    return rows.join(named, "node", "left").select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+    names, found, _ = links(docs, text)
+    smallest = stage(rows.where("node is not null").groupBy("node").agg(F.min("key").alias("least")), "smallest")
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], "node long, root long")
+    # classes without links are components of their own
+    linked = names.join(found, "node").join(smallest.withColumnRenamed("node", "class"), "class")
+    least = linked.groupBy("root").agg(F.min("least").alias("component"))
+    named = linked.select("class", "root").join(least, "root").select(F.col("class").alias("node"), "component")
+    return (rows.join(smallest, "node", "left").join(named, "node", "left").select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"),
+        F.coalesce("component", "least", "key").alias("component_id")))

@@ -73,7 +73,7 @@ def make_variants(seed: int, n: int) -> list[tuple[int, str]]:
     return rows
 
 
-@pytest.mark.parametrize("common", [1, 8])
+@pytest.mark.parametrize("common", [1, 5])
 def test_jaccard_drifting_groups(spark, monkeypatch, common):
     """Chains of links, a passage in half of the documents, small leaves and a low bound for common shingles."""
     monkeypatch.setattr(jaccard, "COMMON", common)
