@@ -304,37 +304,41 @@ PIECE = "kind int, h long, h2 long, node binary, anchor long, q int, lo long, hi
 def _emit(texts: DataFrame, repeated, hot, windows, length: int) -> DataFrame:
     """Pieces with a repeated core (kind 0) and repeated windows of hot cores (kind 1); positions are within a text."""
     names = [x.split()[0] for x in PIECE.split(", ")]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(),
-             pa.binary(), pa.binary()]
+
+    def batch(kind: int, nodes: pa.Array, of: np.ndarray, h, h2, lo, hi, anchor=None, q=None, left=None, right=None):
+        n = len(of)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, kind, np.int32)), pa.array(h.view(np.int64)), pa.array(h2.view(np.int64)),
+             nodes.take(pa.array(of)), pa.nulls(n, pa.int64()) if anchor is None else pa.array(anchor),
+             pa.nulls(n, pa.int32()) if q is None else pa.array(q.astype(np.int32)), pa.array(lo), pa.array(hi),
+             pa.nulls(n, pa.binary()) if left is None else pa.array(left, pa.binary()),
+             pa.nulls(n, pa.binary()) if right is None else pa.array(right, pa.binary())], names)
 
     def run(batches):
         for s in _slices(batches, length):
             often = hot.value.holds(s.key)
             some = np.flatnonzero(repeated.value.holds(s.key) & ~often)
+            if not len(some) and not often.any():
+                continue
             second = _Hashes(s.data, 1)
-            key2 = s.core_hash(second)
-            out = []
-            begin = s.offsets[s.text]
-            limit = s.offsets[s.text + 1]
-            edge = np.maximum(s.begin, begin)
-            last = np.minimum(s.core + length, limit)
-            for i in some.tolist():
-                base = int(begin[i])
-                out.append((0, int(s.key.view(np.int64)[i]), int(key2.view(np.int64)[i]), s.nodes[s.text[i]],
-                            int(s.anchor[i]) - base, int(s.q[i]), int(s.lo[i]) - base, int(s.hi[i]) - base,
-                            s.raw[edge[i]:s.core[i]][::-1], s.raw[s.end[i]:last[i]]))
+            nodes = pa.array(s.nodes, pa.binary())
+            if len(some):
+                of = s.text[some]
+                begin, limit = s.offsets[of], s.offsets[of + 1]
+                edge, last = np.maximum(s.begin[some], begin), np.minimum(s.core[some] + length, limit)
+                left = [s.raw[a:z][::-1] for a, z in zip(edge.tolist(), s.core[some].tolist(), strict=True)]
+                right = [s.raw[a:z] for a, z in zip(s.end[some].tolist(), last.tolist(), strict=True)]
+                yield batch(0, nodes, of, s.key[some], s.core_hash(second)[some], s.lo[some] - begin, s.hi[some] - begin,
+                            s.anchor[some] - begin, s.q[some], left, right)
             if often.any():
                 at, of = _windows_of(s, np.flatnonzero(often))
                 h = s.first.of(at, at + length)
                 keep = windows.value.holds(h)
                 at, of, h = at[keep], of[keep], h[keep]
-                h2 = second.of(at, at + length).view(np.int64).tolist()
-                base = at - s.offsets[of]
-                out += [(1, a, b, s.nodes[o], None, None, p, p, None, None) for a, b, o, p in zip(
-                    h.view(np.int64).tolist(), h2, of.tolist(), base.tolist(), strict=True)]
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                for i in range(0, len(at), 100_000):
+                    a, o = at[i:i + 100_000], of[i:i + 100_000]
+                    base = a - s.offsets[o]
+                    yield batch(1, nodes, o, h[i:i + 100_000], second.of(a, a + length), base, base)
 
     return texts.mapInArrow(run, PIECE)
 
