@@ -185,15 +185,23 @@ def _met(texts: DataFrame, common) -> Bitmap:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([v[first], v[last[v[last] != v[first]]]]).view(np.int64))], ["v"])
 
+    def meet(batches):
+        last = np.zeros(0, np.int64)  # the run of equal shingles may go on in the next batch
+        for batch in batches:
+            v = np.concatenate([last, batch.column(0).to_numpy()])
+            high = v >> 24
+            twice = (high[1:] == high[:-1]) & (v[1:] != v[:-1])
+            last = v[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(high[1:][twice] << 24)], ["h"])
+
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    h = F.shiftleft(F.shiftrightunsigned("v", 24), 24)
-    met = (texts.mapInArrow(run, "v long").withColumn("h", h).repartition(n, "h").groupBy("h")
-           .agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi"))
+    met = (texts.mapInArrow(run, "v long").repartition(n, F.shiftright("v", 24)).sortWithinPartitions("v")
+           .mapInArrow(meet, "h long"))
     return bitmap(met, "h", HIGH_SHIFTS)
 
 
 def _candidates(texts: DataFrame, common, met) -> DataFrame:
-    """(node, n, tokens, items) of the classes that may have a partner; tokens are those of the shortest prefix.
+    """(node, n, tokens, small, items) of the classes that may have a partner; tokens are those of the shortest prefix.
 
     A class comes once per task that meets it.
     """
@@ -225,10 +233,12 @@ def _candidates(texts: DataFrame, common, met) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([ids[i] for i in rows], pa.binary()), pa.array(size[rows]),
                     pa.array([signed[at[cuts[i]:cuts[i + 1]]] for i in rows], pa.list_(pa.int64())),
+                    pa.array([np.unique((runs[bounds[i]:bounds[i + 1]] >> np.uint64(20)).astype(np.uint16)).view(np.int16)
+                              for i in rows], pa.list_(pa.int16())),
                     pa.array([signed[bounds[i]:bounds[i + 1]] for i in rows], pa.list_(pa.int64()))],
-                    ["node", "n", "tokens", "items"])
+                    ["node", "n", "tokens", "small", "items"])
 
-    return texts.mapInArrow(run, "node binary, n long, tokens array<long>, items array<long>")
+    return texts.mapInArrow(run, "node binary, n long, tokens array<long>, small array<smallint>, items array<long>")
 
 
 def _near_size(a: Column, b: Column) -> Column:
@@ -236,13 +246,26 @@ def _near_size(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
+def _bound(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, inter, total, near): an upper bound of the intersection of pairs of classes, from 16 bits of each
+    shingle, and whether it lets them link. Shingles that coincide in the 16 bits are added back."""
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("small").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("small").alias("y"))
+    most = F.size(F.array_intersect("x", "y")) + F.least(F.col("nx") - F.size("x"), F.col("ny") - F.size("y"))
+    total = F.col("nx") + F.col("ny")
+    found = pairs.join(left, "a").join(right, "b").select(
+        "a", "b", F.least(most, "nx", "ny").cast("long").alias("inter"), total.alias("total"))
+    return found.withColumn("near", _linked())
+
+
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, inter, total) of pairs of classes (a, b)."""
+    """(a, b, inter, total) of pairs of classes (a, b); where the bound rules a link out, ``inter`` is the bound."""
+    bounded = stage(_bound(pairs, sets), "bounded")
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    return (both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("inter"),
-                        (F.size("x") + F.size("y")).cast("long").alias("total")))
+    exact = bounded.where("near").select("a", "b", "total").join(left, "a").join(right, "b").select(
+        "a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("inter"), "total")
+    return bounded.where("not near").select("a", "b", "inter", "total").unionByName(exact)
 
 
 def _linked() -> Column:
@@ -273,7 +296,7 @@ def links(docs: DataFrame, text: str = "text", max_levels: int = 40
     found_sets = _candidates(texts, common, met).withColumn("number", F.monotonically_increasing_id())
     raw = stage(found_sets, "candidate-sets")  # numbered when stored; a class goes by its smallest number
     names = stage(raw.groupBy(F.col("node").alias("class")).agg(F.min("number").alias("node")), "class-numbers")
-    sets = raw.select(F.col("number").alias("node"), "items")
+    sets = raw.select(F.col("number").alias("node"), "n", "small", "items")
     members = stage(raw.select(F.col("number").alias("node"), "n", "tokens").join(names.select("node"), "node")
                     .select("node", "n", F.explode("tokens").alias("region")), "members")
     # regions with the same members are one region
