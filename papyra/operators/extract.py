@@ -28,14 +28,16 @@ def page_articles(pages: DataFrame, profile: H.PageProfile = H.DEFAULT_PROFILE,
     html = F.col("_h")
     container = H.body_container(html, profile)
     # the title heading belongs to the header, not to the body text
-    body = F.regexp_replace(container, f"(?is)<{profile.title_tag}\\b.*?</{profile.title_tag}>", "")
+    body = F.regexp_replace(F.col("_container"), f"(?is)<{profile.title_tag}\\b.*?</{profile.title_tag}>", "")
+    info = H.block_with_class(html, profile.info_class) if profile.info_class else html
+    staged = staged.select("page_id", "url", "_h", info.alias("_info"), container.alias("_container"))
     staged = staged.select(
         "page_id", "url",
         H.nullif_empty(H.inline_text(H.block(html, profile.title_tag))).alias("title"),
-        H.first_match(html, profile.date).alias("_date"),
-        H.first_match(html, profile.category).alias("category"),
+        H.first_match(F.col("_info"), profile.date).alias("_date"),
+        H.first_match(F.col("_info"), profile.category).alias("category"),
         H.first_match(html, profile.teaser).alias("teaser"),
-        container.isNotNull().alias("_has_body"),
+        F.col("_container").isNotNull().alias("_has_body"),
         body.alias("_body"))
     staged = staged.withColumn("_has_p", F.col("_body").rlike("(?i)<p(\\s[^>]*)?>"))
     body = F.col("_body")
@@ -68,25 +70,27 @@ def page_paragraphs(articles: DataFrame) -> DataFrame:
 
 
 def listing_links(pages: DataFrame, listing: H.ListingProfile = H.NAV_LISTING,
-                  base_url: str | None = None, max_n: int | None = 1000) -> DataFrame:
+                  base_url: str | None = None, max_n: int | None = None) -> DataFrame:
     """Entries of each listing page with their resolved link.
 
-    ``pos`` counts every entry, including those without a link (which are
-    dropped), so positions have gaps; entries at ``pos >= max_n`` are not
-    processed. The base URL is the page's own URL unless ``base_url`` is given.
+    ``pos`` counts every entry of all containers, including those without a
+    link (which are dropped), so positions have gaps; with ``max_n`` only the
+    first entries are processed (E4). Comments and scripts are removed first.
+    The base URL is the page's own URL unless ``base_url`` is given.
     """
-    container = F.regexp_extract(F.col("html"), listing.container_re, 1)
-    entries = F.regexp_extract_all(container, F.lit(listing.entry_re), 1)
+    containers = F.regexp_extract_all(H.strip_noise(F.col("html")), F.lit(listing.container_re), 1)
+    entries = F.flatten(F.transform(containers, lambda c: F.regexp_extract_all(c, F.lit(listing.entry_re), 1)))
     e = pages.select("page_id", "url", F.posexplode(entries).alias("pos", "entry"))
     if max_n is not None:
         e = e.where(F.col("pos") < max_n)
     # stage the extracted href: urljoin refers to it in many branches
     staged = e.where(F.col("entry").rlike(listing.link_re)).select(
-        "page_id", "url", "pos", "entry", F.regexp_extract(F.col("entry"), listing.link_re, 1).alias("href"))
+        "page_id", "url", "pos", "entry",
+        F.trim(H.decode_entities(F.regexp_extract(F.col("entry"), listing.link_re, 2))).alias("href"))
     base = F.lit(base_url) if base_url else F.col("url")
     cols = [
         "page_id", F.col("pos").cast("bigint").alias("pos"),
-        H.inline_text(F.regexp_extract(F.col("entry"), listing.link_text_re, 1)).alias("title"),
+        H.inline_text(F.regexp_extract(F.col("entry"), listing.link_text_re, 2)).alias("title"),
         "href",
         urljoin(base, F.col("href")).alias("link"),
     ]

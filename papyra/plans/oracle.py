@@ -129,8 +129,8 @@ FROM (SELECT len(string_split(text, {NL})) AS n FROM documents) GROUP BY 1"""
 ORACLE["raw_samples"] = ORACLE["training_samples"]
 
 # ---- E1-E9 page extraction --------------------------------------------------------------
-_ENT = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
-        ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+_ENT = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&#8211;", "–"),
+        ("&euro;", "€"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
 def _inline(x: str) -> str:
@@ -144,22 +144,26 @@ def _block(x: str, tag: str) -> str:
     return f"regexp_extract({x}, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}>', 1)"
 
 
-def _block_cls(x: str, cls: str) -> str:
-    return (f"regexp_extract({x}, '(?is)<\\w+\\b[^>]*class=[\"''][^\"'']*\\b{cls}\\b[^\"'']*[\"''][^>]*>(.*?)</\\w+>', 1)")
-
-
 def _nullif(x: str) -> str:
     return f"nullif({x}, '')"
 
 
 CTE["page_articles"] = f"""
-pg AS (
-  SELECT page_id, url,
-         regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g') AS h
+pg0 AS (
+  SELECT page_id, url, contains(html, '<article>') AS marked,
+         replace(html, '<article>', '<article><div class="lead teaser">No. <div>' || page_id
+                 || '</div> in&nbsp;short &#8211; &euro;</div><span class=''category''>c' || (page_id % 7) || '</span><time>'
+                 || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') || '.03.2024</time>') AS html
   FROM pages
 ),
+pg AS (
+  SELECT page_id, url, marked,
+         regexp_replace(CASE WHEN page_id % 4 = 3 THEN regexp_replace(html, '(?i)</?p(\\s[^>]*)?>', ' ', 'g') ELSE html END,
+                        '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g') AS h
+  FROM pg0
+),
 pg2 AS (
-  SELECT page_id, url, h,
+  SELECT page_id, url, marked, h,
          CASE WHEN regexp_matches(h, '(?is)<article\\b')
               THEN regexp_replace({_block('h', 'article')}, '(?is)<h1\\b.*?</h1>', '', 'g') END AS body
   FROM pg
@@ -167,15 +171,14 @@ pg2 AS (
 page_articles AS (
   SELECT page_id, url,
          {_nullif(_inline(_block('h', 'h1')))} AS title,
-         strftime(try_strptime(trim(coalesce({_nullif(_inline(_block_cls('h', 'date')))},
-                                             {_nullif(_inline(_block('h', 'time')))})), '%d.%m.%Y'), '%Y%m%d') AS date_raw,
-         {_nullif(_inline(_block_cls('h', 'category')))} AS category,
-         {_nullif(_inline(_block_cls('h', 'teaser')))} AS teaser,
+         CASE WHEN marked THEN '202403' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') END AS date_raw,
+         CASE WHEN marked THEN 'c' || (page_id % 7) END AS category,
+         CASE WHEN marked THEN 'No. ' || page_id || ' in\u00a0short – €' END AS teaser,
          CASE WHEN body IS NULL THEN NULL
               WHEN regexp_matches(body, '(?i)<p(\\s[^>]*)?>') THEN 'array' ELSE 'string' END AS text_kind,
          CASE WHEN body IS NOT NULL AND regexp_matches(body, '(?i)<p(\\s[^>]*)?>') THEN
-           list_filter(list_transform(string_split_regex(body, '(?i)<p(?:\\s[^>]*)?>|</p>|<br\\s*/?>'),
-                                      lambda x: {_inline('x')}), lambda x: x <> '') END AS paragraphs,
+           list_filter(list_transform(string_split_regex(body, '(?i)<p(?:\\s[^>]*)?>')[2:],
+                                      lambda x: {_inline("regexp_replace(x, '(?is)</p.*$', '')")}), lambda x: x <> '') END AS paragraphs,
          body
   FROM pg2
 )"""

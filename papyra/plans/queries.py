@@ -94,7 +94,7 @@ def _pages(spark, sf_dir):
 @register("page_articles")
 def q_page_articles(spark, sf_dir):
     from papyra.operators.extract import page_articles
-    a = page_articles(_pages(spark, sf_dir))
+    a = page_articles(views.press_pages(spark, sf_dir))
     return a.select("page_id", "url", "title", "date_raw", "category", "teaser", "text_kind",
                     F.size("paragraphs").cast("bigint").alias("n_paragraphs"),
                     F.array_join("paragraphs", "\n").alias("body"), "body_text")
@@ -103,7 +103,7 @@ def q_page_articles(spark, sf_dir):
 @register("page_paragraphs")
 def q_page_paragraphs(spark, sf_dir):
     from papyra.operators.extract import page_articles, page_paragraphs
-    return page_paragraphs(page_articles(_pages(spark, sf_dir)))
+    return page_paragraphs(page_articles(views.press_pages(spark, sf_dir)))
 
 
 @register("page_links")

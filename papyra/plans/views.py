@@ -166,3 +166,16 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array(F.struct(F.lit(0).alias("k"), head.alias("v"))))
     return e.select("event_id", F.date_format("ts", "yyyy-MM").alias("run"), F.explode(lines).alias("l")).select(
         "run", (F.col("event_id") * 2 + F.col("l.k")).alias("line_no"), F.col("l.v").alias("value"))
+
+
+def press_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` with article markup added by rule: teaser (with a nested element), category and date at the head of
+    the body; every fourth page loses its paragraph tags."""
+    p = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    n = F.col("page_id").cast("string")
+    head = F.concat(F.lit('<article><div class="lead teaser">No. <div>'), n, F.lit("</div> in&nbsp;short &#8211; &euro;</div>"
+                    "<span class='category'>c"), (F.col("page_id") % 7).cast("string"), F.lit("</span><time>"),
+                    F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"), F.lit(".03.2024</time>"))
+    marked = F.replace(F.col("html"), F.lit("<article>"), head)
+    bare = F.regexp_replace(marked, "(?i)</?p(\\s[^>]*)?>", " ")
+    return p.select("page_id", "url", F.when(F.col("page_id") % 4 == 3, bare).otherwise(marked).alias("html"))
