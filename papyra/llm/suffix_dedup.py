@@ -162,10 +162,10 @@ def _counts(texts: DataFrame, pick) -> DataFrame:
 
 
 def _windows_of(s: _Slice, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, text) of every window of the chosen pieces."""
+    """(start, piece) of every window of the chosen pieces."""
     size = (s.hi - s.lo + 1)[chosen]
     at = np.repeat(s.lo[chosen], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    return at, np.repeat(s.text[chosen], size)
+    return at, np.repeat(chosen, size)
 
 
 def blind_trie(strings: list[bytes], rows: list[int]) -> list[int]:
@@ -302,7 +302,8 @@ PIECE = "kind int, h long, h2 long, node binary, anchor long, q int, lo long, hi
 
 
 def _emit(texts: DataFrame, repeated, hot, windows, length: int) -> DataFrame:
-    """Pieces with a repeated core (kind 0) and repeated windows of hot cores (kind 1); positions are within a text."""
+    """Pieces with a repeated core (kind 0); of hot cores, the runs of windows that may repeat, within a piece (kind 1),
+    and the hashes of the windows of each different run (kind 2). Positions are within a text."""
     names = [x.split()[0] for x in PIECE.split(", ")]
 
     def batch(kind: int, nodes: pa.Array, of: np.ndarray, h, h2, lo, hi, anchor=None, q=None, left=None, right=None):
@@ -331,14 +332,23 @@ def _emit(texts: DataFrame, repeated, hot, windows, length: int) -> DataFrame:
                 yield batch(0, nodes, of, s.key[some], s.core_hash(second)[some], s.lo[some] - begin, s.hi[some] - begin,
                             s.anchor[some] - begin, s.q[some], left, right)
             if often.any():
-                at, of = _windows_of(s, np.flatnonzero(often))
-                h = s.first.of(at, at + length)
-                keep = windows.value.holds(h)
-                at, of, h = at[keep], of[keep], h[keep]
-                for i in range(0, len(at), 100_000):
-                    a, o = at[i:i + 100_000], of[i:i + 100_000]
-                    base = a - s.offsets[o]
-                    yield batch(1, nodes, o, h[i:i + 100_000], second.of(a, a + length), base, base)
+                at, piece = _windows_of(s, np.flatnonzero(often))
+                keep = windows.value.holds(s.first.of(at, at + length))
+                at, piece = at[keep], piece[keep]
+                cut = np.append(True, (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1)) if len(at) else keep[:0]
+                a = np.flatnonzero(cut)
+                z = np.append(a[1:], len(at))
+                lo, hi, of = at[a], at[z - 1], s.text[piece[a]]
+                h, h2 = s.first.of(lo, hi + length), second.of(lo, hi + length)
+                base = s.offsets[of]
+                yield batch(1, nodes, of, h, h2, lo - base, hi - base)
+                # the windows of each different run, once
+                _, once = np.unique(h, return_index=True)
+                first, other = s.first.of(at, at + length), second.of(at, at + length)
+                left = [first[i:j].tobytes() for i, j in zip(a[once].tolist(), z[once].tolist(), strict=True)]
+                right = [other[i:j].tobytes() for i, j in zip(a[once].tolist(), z[once].tolist(), strict=True)]
+                yield batch(2, nodes, of[once], h[once], h2[once], lo[once] - base[once], hi[once] - base[once],
+                            left=left, right=right)
 
     return texts.mapInArrow(run, PIECE)
 
@@ -386,6 +396,37 @@ def _compare_groups(pieces: DataFrame, groups: int, length: int) -> DataFrame:
             .applyInArrow(run, "node binary, lo long, hi long"))
 
 
+def _hot_runs(found: DataFrame) -> DataFrame:
+    """(node, lo, hi) of repeated windows of hot cores: each different run of windows is looked at once, with the
+    number of places that it has, and the answer goes back to its places."""
+    def windows(batches):
+        for batch in batches:
+            for h, h2, left, right in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                a, b = np.frombuffer(left, np.int64), np.frombuffer(right, np.int64)
+                n = len(a)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, h)), pa.array(np.full(n, h2)), pa.array(np.arange(n, dtype=np.int32)),
+                     pa.array(a), pa.array(b)], ["h", "h2", "at", "w", "w2"])
+
+    places = stage(found.where("kind = 1").select("h", "h2", "node", "lo").distinct(), "hot-places")
+    count = places.groupBy("h", "h2").agg(F.count("lo").alias("n"))
+    runs = (found.where("kind = 2").groupBy("h", "h2").agg(F.first("left").alias("left"), F.first("right").alias("right"))
+            .mapInArrow(windows, "h long, h2 long, at int, w long, w2 long"))
+    listed = stage(runs.join(count, ["h", "h2"]), "hot-windows")
+    twice = listed.groupBy("w", "w2").agg(F.sum("n").alias("total")).where("total > 1").select("w", "w2")
+    good = listed.join(twice, ["w", "w2"]).groupBy("h", "h2").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    return (places.join(good, ["h", "h2"]).select("node", F.explode(_ranges("at", "lo")).alias("r"))
+            .select("node", "r.lo", "r.hi"))
+
+
+def _ranges(at: str, lo: str):
+    """Runs of neighbouring numbers of a sorted array, moved by ``lo``."""
+    x = F.col(at)
+    first = F.filter(x, lambda v, i: (i == 0) | (F.get(x, i - 1) != v - 1))
+    last = F.filter(x, lambda v, i: (i == F.size(x) - 1) | (F.get(x, i + 1) != v + 1))
+    return F.zip_with(first, last, lambda a, b: F.struct((a + F.col(lo)).alias("lo"), (b + F.col(lo)).alias("hi")))
+
+
 def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """(node, runs): sorted window starts (lo, hi) of each text, by md5, that repeat elsewhere; short texts have none."""
     spark = docs.sparkSession
@@ -407,12 +448,7 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     found = stage(_emit(texts, repeated, hot, spark.sparkContext.broadcast(windows), length), "pieces")
     pieces = found.where("kind = 0")
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces.count() // 20_000)
-    single = found.where("kind = 1").select("h", "h2", "node", "lo", "hi")
-    twice = single.groupBy("h", "h2").agg(F.count("lo").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"),
-                                          F.min("lo").alias("c"), F.max("lo").alias("d"))
-    twice = twice.where("a <> b or c <> d").select("h", "h2")
-    runs = (_compare_groups(pieces, groups, length)
-            .union(single.join(twice, ["h", "h2"]).select("node", "lo", "hi")))
+    runs = _compare_groups(pieces, groups, length).union(_hot_runs(found))
     return runs.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("runs"))
 
 
