@@ -36,7 +36,7 @@ PERCENT = 75
 SCAN = 16  # common shingles are looked for among the first sixteenth of each set, in hash order
 COMMON = 5  # occurrences there beyond which a shingle comes last in the global order
 MORE = 10  # shingles of a set for each further shingle that a partner must share early on
-LEAF = 24  # members of a region that are compared pair by pair
+LEAF = 96  # members of a region that are compared pair by pair
 SLOT_BITS = 27  # 2^27 bits: 16 MB
 SHIFTS = (0, 27, 37)  # three slots of a 64-bit hash
 _MASK = (1 << SLOT_BITS) - 1
@@ -315,7 +315,7 @@ def links(docs: DataFrame, text: str = "text", max_levels: int = 40
             pivots = members.groupBy("region").agg(F.min(F.struct("node", "n")).alias("p")).select("region", "p.*")
         else:
             order = F.row_number().over(Window.partitionBy("region").orderBy("node"))
-            pivots = members.withColumn("i", order).where(F.col("i") <= 8 ** level).select("region", "node", "n")
+            pivots = members.withColumn("i", order).where(F.col("i") <= 16 ** level).select("region", "node", "n")
         pivots = stage(pivots.select("region", F.col("node").alias("pivot"), F.col("n").alias("pn")), "pivots")
         met_at = members.select("region", "node", "n").join(pivots, "region").where("node <> pivot")
         near = met_at.where(_near_size(F.col("n"), F.col("pn")))
