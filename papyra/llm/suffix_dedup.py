@@ -174,8 +174,7 @@ def blind_trie(strings: list[bytes], rows: list[int]) -> list[int]:
     def char(row: int, depth: int) -> int:
         return strings[row][depth] if depth < len(strings[row]) else -1
 
-    root: list | int = rows[0]  # a leaf is a list of equal rows, a node [depth, {byte: child}]
-    root = ("leaf", [rows[0]])
+    root = ("leaf", [rows[0]])  # a leaf holds equal rows, a node (depth, {byte: child})
     for row in rows[1:]:
         node = root
         while node[0] != "leaf":
