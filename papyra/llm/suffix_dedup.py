@@ -334,8 +334,9 @@ def _emit(texts: DataFrame, repeated, hot, windows, length: int) -> DataFrame:
                 at, piece = _windows_of(s, np.flatnonzero(often))
                 keep = windows.value.holds(s.first.of(at, at + length))
                 at, piece = at[keep], piece[keep]
-                cut = np.append(True, (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1)) if len(at) else keep[:0]
-                a = np.flatnonzero(cut)
+                if not len(at):
+                    continue
+                a = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1)))
                 z = np.append(a[1:], len(at))
                 lo, hi, of = at[a], at[z - 1], s.text[piece[a]]
                 h, h2 = s.first.of(lo, hi + length), second.of(lo, hi + length)

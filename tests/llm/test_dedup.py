@@ -127,6 +127,17 @@ def test_suffix_dedup_brute_force(spark, monkeypatch, hot):
     assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], 400)))
 
 
+def test_suffix_dedup_hot_core_without_repeats(spark, monkeypatch):
+    """Many texts share a core shorter than a window, and nothing else."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    rng = random.Random(5)
+    core = "".join(rng.choice("abcd ") for _ in range(395))
+    texts = [f"{i:04d}" * 10 + core + f"{i:04d}" * 40 for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (bytes(r.kept), len(r.spans)) for r in remove_repeats(docs).collect()}
+    assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], 400)))
+
+
 def test_suffix_dedup_odd_rows(spark):
     rows = remove_repeats(odd_docs(spark)).collect()
     assert len(rows) == 11
