@@ -314,8 +314,9 @@ def links(docs: DataFrame, text: str = "text", max_levels: int = 40
         if level == 0:
             pivots = members.groupBy("region").agg(F.min(F.struct("node", "n")).alias("p")).select("region", "p.*")
         else:
-            order = F.row_number().over(Window.partitionBy("region").orderBy("node"))
-            pivots = members.withColumn("i", order).where(F.col("i") <= 16 ** level).select("region", "node", "n")
+            # members of small components first: they are the ones with pairs left to compare
+            order = F.row_number().over(Window.partitionBy("region").orderBy("share", "node"))
+            pivots = members.withColumn("i", order).where(F.col("i") <= 4 * 4 ** level).select("region", "node", "n")
         pivots = stage(pivots.select("region", F.col("node").alias("pivot"), F.col("n").alias("pn")), "pivots")
         met_at = members.select("region", "node", "n").join(pivots, "region").where("node <> pivot")
         near = met_at.where(_near_size(F.col("n"), F.col("pn")))
@@ -349,7 +350,9 @@ def links(docs: DataFrame, text: str = "text", max_levels: int = 40
         last = (leaves.join(other, "region").where("node < node2 and root <> root2")
                 .where(_near_size(F.col("n"), F.col("n2"))).select(*_ordered(F.col("node"), F.col("node2"))).distinct())
         compared = _extend(compared, last, sets)
-        members = stage(rest.where(F.col("size") > LEAF).select("region", "node", "n"), "members")
+        share = kept.groupBy("region", "root").agg(F.count("node").alias("share"))
+        members = stage(rest.where(F.col("size") > LEAF).join(share, ["region", "root"])
+                        .select("region", "node", "n", "share"), "members")
     else:
         raise RuntimeError("regions did not settle")
     if compared is None:
