@@ -9,8 +9,9 @@ holds early as well has no partner and stops here. Within a region
 the pivots are documents: every member's distance to the pivots is computed, members that link with a pivot form its
 Voronoi cell (the nearest pivot of their component), and, by the triangle inequality, a member can link across its
 cell only if its distance to the pivot is no less than the distance of the nearest outsider less the threshold; the
-members within that window and those of no cell join the next level, with more pivots. Small regions are finished
-pair by pair. Members that are connected already are not compared again.
+members within that window and those of no cell join the next level, with more pivots. For an outsider a lower bound of
+the distance will do, for the member itself only the distance: a member whose distance to no pivot of its component was
+computed is of no cell. Small regions are finished pair by pair. Members that are connected already are not compared again.
 
 Regions grow with the number of documents that share a rare shingle, not with the corpus, and are never gathered: they
 are rows of a table, and pivots meet them in joins whose large keys Spark can split. Two bitmaps of fixed size (16 MB)
@@ -259,13 +260,14 @@ def _bound(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, inter, total) of pairs of classes (a, b); where the bound rules a link out, ``inter`` is the bound."""
+    """(a, b, inter, total, exact) of pairs of classes (a, b); where the bound rules a link out, ``inter`` is the bound
+    and ``exact`` is false."""
     bounded = stage(_bound(pairs, sets), "bounded")
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     exact = bounded.where("near").select("a", "b", "total").join(left, "a").join(right, "b").select(
-        "a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("inter"), "total")
-    return bounded.where("not near").select("a", "b", "inter", "total").unionByName(exact)
+        "a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("inter"), "total", F.lit(True).alias("exact"))
+    return bounded.where("not near").select("a", "b", "inter", "total", F.lit(False).alias("exact")).unionByName(exact)
 
 
 def _linked() -> Column:
@@ -284,7 +286,7 @@ def _roots(members: DataFrame, found: DataFrame | None) -> DataFrame:
 
 def links(docs: DataFrame, text: str = "text", max_levels: int = 40
           ) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """((class, node), (node, root) of linked classes or None, compared pairs (a, b, inter, total)).
+    """((class, node), (node, root) of linked classes or None, compared pairs (a, b, inter, total, exact)).
 
     Classes that may have a partner are numbered (``node``). The compared pairs that link span every component; pairs
     inside a known component need not all be there.
@@ -323,18 +325,20 @@ def links(docs: DataFrame, text: str = "text", max_levels: int = 40
         compared = _extend(compared, near.select(*_ordered(F.col("node"), F.col("pivot"))).distinct(), sets)
         found = _components(compared)
         placed = _roots(members.select("region", "node", "n"), found)
-        # distance of every member to every pivot: a lower bound where the sizes rule a link out
+        # distance of every member to every pivot: a lower bound where the sizes or the 16 bits rule a link out
         far = 1 - F.least("n", "pn") / F.greatest("n", "pn")
-        exact = 1 - F.col("inter") / (F.col("total") - F.col("inter"))
+        near_d = 1 - F.col("inter") / (F.col("total") - F.col("inter"))
         pair = _ordered(F.col("node"), F.col("pivot"))
         spread = (met_at.withColumns({"a": pair[0], "b": pair[1]}).join(compared, ["a", "b"], "left")
-                  .select("region", "node", "pivot", F.coalesce(exact, far).alias("d")))
+                  .select("region", "node", "pivot", F.coalesce(near_d, far).alias("d"),
+                          F.coalesce("exact", F.lit(False)).alias("exact")))
         proots = _roots(pivots.select("region", F.col("pivot").alias("node")), found).select(
             "region", F.col("node").alias("pivot"), F.col("root").alias("proot"))
         measured = stage(spread.join(placed.select("region", "node", "root"), ["region", "node"])
                          .join(proots, ["region", "pivot"]), "distances")
         outside = (measured.where("root <> proot").groupBy("region", "pivot").agg(F.min("d").alias("nearest")))
-        cell = (measured.where("root = proot").groupBy("region", "node")
+        # a lower bound of the member's own distance would let the window drop it too early
+        cell = (measured.where("root = proot and exact").groupBy("region", "node")
                 .agg(F.min(F.struct("d", "pivot")).alias("c")).select("region", "node", "c.d", "c.pivot"))
         inner = (cell.join(outside, ["region", "pivot"], "left")
                  .select("region", "node", F.coalesce(F.col("d") >= F.col("nearest") - epsilon - 1e-9, F.lit(False))
@@ -356,7 +360,7 @@ def links(docs: DataFrame, text: str = "text", max_levels: int = 40
     else:
         raise RuntimeError("regions did not settle")
     if compared is None:
-        return names, None, spark.createDataFrame([], "a long, b long, inter long, total long")
+        return names, None, spark.createDataFrame([], "a long, b long, inter long, total long, exact boolean")
     return names, _components(compared), compared
 
 

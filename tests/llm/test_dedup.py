@@ -11,7 +11,7 @@ from papyra.llm.jaccard import jaccard_components
 from papyra.llm.line_dedup import dedup_lines
 from papyra.llm.suffix_dedup import blind_trie, deep_shallow, remove_repeats
 
-from .helpers import documents, linked_components, no_docs, odd_docs
+from .helpers import documents, linked_components, no_docs, odd_docs, shingles
 
 
 def keep_lines(texts: list[tuple[int, str]]) -> dict[int, str]:
@@ -154,3 +154,33 @@ def test_orders_of_strings():
     assert [strings[r] for r in blind_trie(strings, rows)] == wanted
     for depth in (0, 3, 100):
         assert [strings[r] for r in deep_shallow(strings, rows, depth)] == wanted
+
+
+def growing_chain(tag: str) -> tuple[list[str], list[str]]:
+    """((p, m, u, w), texts that make shingles common): p-m, m-u and u-w link, and sizes alone rule p-u out.
+
+    Blocks between four z's have shingles of their own: a block of k words has k + 4. Of p's and w's shingles only those
+    that both share with u are not common, so p is in every region of u and w.
+    """
+    size = {"x": 68, "a": 6, "b": 30, "c": 28, "e": 9, "d": 5}
+    block = {k: " ".join(f"{tag}{k}{i}" for i in range(n - 4)) for k, n in size.items()}
+    of = [" z z z z ".join(["", *(block[k] for k in held), ""]).strip() for held in ("xab", "xabed", "xbced", "xce")]
+    often = []
+    for k in "abce":
+        w = f"z z z z {block[k]} z z z z".split()
+        often += [" ".join(w[i:i + 5]) for i in range(len(w) - 4)] * (jaccard.COMMON + 1)
+    return of, often
+
+
+def test_jaccard_chain_of_growing_sets(spark):
+    """The distance of u to the pivot p is not computed; its lower bound must not drop u before it meets w."""
+    texts = {}
+    for n in range(6):
+        chain, often = growing_chain(f"h{n}")
+        if n == 0:
+            assert [len(shingles(t)) for t in chain] == [104, 118, 140, 105]
+        texts |= {10 * n + i: t for i, t in enumerate(chain)} | {1000 * (n + 1) + i: t for i, t in enumerate(often)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartitionByRange(3, "doc_id")
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs.sortWithinPartitions("doc_id")).collect()}
+    chains = {i: t for i, t in texts.items() if i < 1000}
+    assert {i: got[i] for i in chains} == linked_components(chains) == {i: i // 10 * 10 for i in chains}
