@@ -42,6 +42,7 @@ SLOT_BITS = 27  # 2^27 bits: 16 MB
 SHIFTS = (0, 27, 37)  # three slots of a 64-bit hash
 _MASK = (1 << SLOT_BITS) - 1
 _HIGH = np.uint64(0xFFFFFFFFFF000000)
+_LOW = np.uint64(0xFFFFFFFFFF)
 HIGH_SHIFTS = (24, 31, 37)  # slots of a hash of which the upper 40 bits are known
 
 
@@ -170,8 +171,9 @@ def _common(texts: DataFrame) -> Bitmap:
 def _met(texts: DataFrame, common) -> Bitmap:
     """Shingles in the longer prefixes of two classes or more, by the upper 40 bits of their hash.
 
-    A class shows beside a shingle as a 24-bit hash of both, so two classes are mistaken for one only if this happens
-    at every shingle that they share early on. A task reports a shingle once, or twice if it met two classes.
+    A class shows beside a shingle as a 64-bit hash of both (24 bits beside the shingle's 40, 40 in a second column):
+    one shingle at which two classes are mistaken for one can be all that a pair of small sets has. A task reports a
+    shingle once, or twice if it met two classes.
     """
     def run(batches):
         for runs, bounds in _sets(batches):
@@ -180,23 +182,31 @@ def _met(texts: DataFrame, common) -> Bitmap:
             early = rank < (_shortest(size) + _further(size))[of]
             at, of = at[early], of[early]
             nodes = np.array([int.from_bytes(x[:8], "little") if x else 0 for x in _class_ids(runs, bounds)], np.uint64)
-            v = np.sort((runs[at] & _HIGH) | (mix64(nodes[of] ^ runs[at]) >> np.uint64(40)))
+            mark = mix64(nodes[of] ^ runs[at])
+            v = (runs[at] & _HIGH) | (mark >> np.uint64(40))
+            order = np.argsort(v)
+            v, m = v[order], mark[order] & _LOW
             first = np.flatnonzero(np.append(True, (v[1:] ^ v[:-1]) & _HIGH)) if len(v) else np.zeros(0, np.int64)
-            last = np.append(first[1:], len(v)) - 1 if len(v) else first
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([v[first], v[last[v[last] != v[first]]]]).view(np.int64))], ["v"])
+            own = np.repeat(first, np.diff(np.append(first, len(v))))
+            other = np.where((v != v[own]) | (m != m[own]), np.arange(len(v)), -1)
+            other = np.maximum.reduceat(other, first) if len(v) else first
+            told = np.concatenate([first, other[other >= 0]])
+            yield pa.RecordBatch.from_arrays([pa.array(v[told].view(np.int64)), pa.array(m[told].view(np.int64))],
+                                             ["v", "m"])
 
     def meet(batches):
-        last = np.zeros(0, np.int64)  # the run of equal shingles may go on in the next batch
+        last_v = last_m = np.zeros(0, np.int64)  # the run of equal shingles may go on in the next batch
         for batch in batches:
-            v = np.concatenate([last, batch.column(0).to_numpy()])
+            v = np.concatenate([last_v, batch.column(0).to_numpy()])
+            m = np.concatenate([last_m, batch.column(1).to_numpy()])
             high = v >> 24
-            twice = (high[1:] == high[:-1]) & (v[1:] != v[:-1])
-            last = v[-1:]
+            # the second column is in no order, but where a run holds two classes some neighbours differ
+            twice = (high[1:] == high[:-1]) & ((v[1:] != v[:-1]) | (m[1:] != m[:-1]))
+            last_v, last_m = v[-1:], m[-1:]
             yield pa.RecordBatch.from_arrays([pa.array(high[1:][twice] << 24)], ["h"])
 
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = (texts.mapInArrow(run, "v long").repartition(n, F.shiftright("v", 24)).sortWithinPartitions("v")
+    met = (texts.mapInArrow(run, "v long, m long").repartition(n, F.shiftright("v", 24)).sortWithinPartitions("v")
            .mapInArrow(meet, "h long"))
     return bitmap(met, "h", HIGH_SHIFTS)
 

@@ -184,3 +184,15 @@ def test_jaccard_chain_of_growing_sets(spark):
     got = {r.doc_id: r.component_id for r in jaccard_components(docs.sortWithinPartitions("doc_id")).collect()}
     chains = {i: t for i, t in texts.items() if i < 1000}
     assert {i: got[i] for i in chains} == linked_components(chains) == {i: i // 10 * 10 for i in chains}
+
+
+# pairs that share 6 of 7 shingles each, one of them early on, at which 24 bits of their class marks agree
+ALIKE = [("b13w", 15958, 10786), ("b18w", 14889, 5694), ("b20w", 3642, 7309)]
+
+
+def test_jaccard_class_marks_that_agree_in_24_bits(spark):
+    """Two holders of a shingle in one task, and in two tasks."""
+    texts = [" ".join([f"{w}{i}" for i in range(10)] + [f"t{n}"]) for w, *ends in ALIKE for n in ends]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 2), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
