@@ -3,8 +3,9 @@
 ``parse_model`` reads the protobuf wire format; ``build_tokenizer`` rebuilds the normaliser, the metaspace marker, the
 piece scores (unigram) or the merges they imply (BPE) and byte fallback. ``encode_texts`` encodes and decodes whole
 texts of a DataFrame: each task cuts its texts at word bounds that no piece crosses (checked against the model),
-encodes every distinct cut once with a multithreaded batch call, compares it with the sentencepiece library, and puts
-the ids together again. A null text has null ids and counts as equal; an empty text has no ids.
+encodes every distinct cut once with a multithreaded batch call, puts the ids together again, and compares them with
+what the sentencepiece library makes of the whole text. A null text has null ids and counts as equal; an empty text has
+no ids.
 """
 
 from __future__ import annotations
@@ -147,9 +148,7 @@ class Codec:
         self.model = parse_model(raw)
         self.cuts = not (self.model.crossing or self.model.charsmap or self.model.collapse_spaces)
         self.cut_tokenizer = build_tokenizer(self.model, prefix=not self.cuts)
-        # the same model without a marker before the text: a later normaliser field overrides the earlier one
-        plain = raw + (b"\x1a\x02\x18\x00" if self.cuts else b"")
-        self.reference = sentencepiece.SentencePieceProcessor(model_proto=plain) if parity else None
+        self.reference = sentencepiece.SentencePieceProcessor(model_proto=raw) if parity else None
         self.prefix = self.cuts and self.model.dummy_prefix
         line = self.cut_tokenizer.encode("\n").ids if self.cuts else []
         self.line = line[0] if len(line) == 1 else None
@@ -164,7 +163,6 @@ class Codec:
         self.known: dict[int, int] = {}
         self.flat = np.zeros(0, np.int32)
         self.at = np.zeros(1, np.int64)
-        self.equal = np.zeros(0, bool)
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each cut. Cuts travel joined by line breaks, which are a token of their own, in a threaded batch."""
@@ -188,15 +186,20 @@ class Codec:
         for i in breaks:
             texts.insert(i, "\n")
             ids.insert(i, np.array([self.line], np.int32))
-        same = np.ones(len(ids), bool)
-        if self.reference:
-            checked = self.reference.encode(texts, num_threads=1)
-            same = np.fromiter((a.tolist() == b for a, b in zip(ids, checked, strict=True)), bool, len(ids))
         base = len(self.at) - 1
         self.known.update(zip(hashes.tolist(), range(base, base + len(ids)), strict=True))
         self.flat = np.concatenate([self.flat, *ids])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids])]).astype(np.int64)
-        self.equal = np.concatenate([self.equal, same])
+
+    def agrees(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the sentencepiece library, with the model as given, makes the same ids of each whole text."""
+        same = np.ones(len(offsets) - 1, bool)
+        if self.reference:
+            raw = data.tobytes()
+            for i in range(len(same)):
+                whole = self.reference.encode(raw[offsets[i]:offsets[i + 1]].decode("utf-8", "replace"))
+                same[i] = ids[at[i]:at[i + 1]].tolist() == whole
+        return same
 
     def encode(self, data: np.ndarray, offsets: np.ndarray):
         """(ids, id offsets, equal to the reference, decoded text equals the text) of each text of a slice."""
@@ -215,7 +218,9 @@ class Codec:
         first[grown[:-1]] = True
         if self.cuts and len(body):
             space, line = body == 32, body == 10
-            first[1:-1] |= (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+            after = space.copy()  # the last byte of a marker: a space, or U+2581 in the text
+            after[2:] |= (body[:-2] == 0xE2) & (body[1:-1] == 0x96) & (body[2:] == 0x81)
+            first[1:-1] |= (space[1:] & ~after[:-1]) | line[1:] | line[:-1]
         starts = np.flatnonzero(first[:-1])
         ends = np.append(starts[1:], len(body))
         h = span_hashes(body, starts, ends)
@@ -230,9 +235,7 @@ class Codec:
         text_of = np.searchsorted(starts, grown)
         ids, id_at = _gather(self.flat, self.at, slot)
         back, back_at = _gather(self.spelled, self.spelled_at, ids)
-        equal = np.zeros(len(slot) + 1, np.int64)
-        np.cumsum(~self.equal[slot], out=equal[1:])
-        same = equal[text_of[1:]] == equal[text_of[:-1]]
+        same = self.agrees(data, offsets, ids, id_at[text_of])
         whole = back_at[id_at[text_of]]
         wrong = np.diff(whole) != np.diff(grown)
         if wrong.any():  # lengths differ: compare text by text
@@ -269,7 +272,7 @@ def encode_texts(docs: DataFrame, raw_model: bytes, text: str = "text", ids: boo
                  ) -> DataFrame:
     """All columns of ``docs`` but the text, plus ``ids`` (array<int>, if asked for), ``n_tokens``, ``n_bytes_tokens``
     (byte-fallback tokens), ``ids_sha256`` (of the ids as little-endian 32-bit integers), ``parity`` (the sentencepiece
-    library gives the same ids) and ``round_trip`` (the decoded ids are the text).
+    library gives the same ids for the whole text) and ``round_trip`` (the decoded ids are the text).
     """
     rest = [c for c in docs.columns if c != text]
     added = ["n_tokens", "n_byte_tokens", "ids_sha256", "parity", "round_trip"] + ["ids"] * ids

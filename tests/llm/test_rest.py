@@ -236,3 +236,24 @@ def test_sql_agrees(spark, name):
 def test_crc(spark):
     df = spark.range(50).withColumn("m", crc_mod(F.col("id"), 7))
     assert all(r.m == zlib.crc32(str(r.id).encode()) % 7 for r in df.collect())
+
+
+def test_tokens_of_texts_with_markers(spark):
+    """A literal U+2581 before a space or at the beginning makes one piece with it."""
+    import sentencepiece
+    raw = read_model()
+    reference = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    texts = ["foo▁  bar", "▁ 1", "▁", "▁▁  ▁ x", "a ▁ b▁\n▁ c", " ▁", "▂ x", "plain words"]
+    rows = encode_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), raw).collect()
+    assert len(rows) == len(texts) and all(r.ids == reference.encode(texts[r.doc_id]) and r.parity for r in rows)
+
+
+def test_tokens_parity_is_of_whole_texts():
+    """A wrong cut shows."""
+    from papyra.llm.sentencepieces import Codec
+    codec = Codec(read_model())
+    data = np.frombuffer("foo▁  bar".encode(), np.uint8)
+    offsets = np.array([0, len(data)])
+    assert codec.agrees(data, offsets, np.array([19222, 259, 2843], np.int32), np.array([0, 3])).tolist() == [True]
+    cut = np.array([19222, 28705, 28705, 2843], np.int32)
+    assert codec.agrees(data, offsets, cut, np.array([0, 4])).tolist() == [False]
