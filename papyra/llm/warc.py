@@ -2,8 +2,9 @@
 
 ``responses_of_pages`` gives stored pages the shape of WARC responses; ``derive`` turns every response into a metadata
 record (``application/warc-fields``: status, source headers, title, language, outlinks) and a conversion record
-(``text/plain``). Both refer to the response by identifier, target and date, carry over its address headers and payload
-digest, and hold the digest of their own block. Identifiers are uuids derived from the response's, so a rerun or a
+(``text/plain``). All WARC headers of the response are fields of the metadata record (``warc-header-...``), beside its
+HTTP headers. Both refer to the response by identifier, target and date, carry over its address headers, payload digest
+and truncation, and hold the digest of their own block. Identifiers are uuids derived from the response's, so a rerun or a
 retried task makes the same records. ``write_warc`` stores records as ``.warc.gz`` files (one gzip member a record)
 and ``read_warc`` reads such bytes back.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
 CRLF = "\r\n"
 # source headers that a derivative repeats
-CARRIED = ("WARC-IP-Address", "WARC-Payload-Digest", "WARC-Identified-Payload-Type")
+CARRIED = ("WARC-IP-Address", "WARC-Identified-Payload-Type", "WARC-Truncated")
 DATE = "1970-01-01T00:00:00Z"  # stored pages have no capture time
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -138,10 +139,12 @@ def derivatives(identifier: str, target: str | None, date: str, source: dict[str
     status, headers, body = split_http(block)
     title, lang, text, links = page_parts(body_text(headers, body), target)
     fields = [("http-status", status.split(" ")[1] if status.count(" ") else "")]
+    fields += [(f"warc-header-{k.lower()}", v) for k, v in source.items()]
     fields += [(f"http-header-{k.lower()}", v) for k, v in headers]
     fields += [("title", title), ("language", lang), *(("outlink", x) for x in links)]
     notes = "".join(f"{k}: {_one_line(v)}{CRLF}" for k, v in fields if v).encode("utf-8", "replace")
-    payload = source.get("WARC-Payload-Digest") or digest(body)
+    named = {k.lower(): v for k, v in source.items()}  # names of headers have no case
+    payload = named.get("warc-payload-digest") or digest(body)
     made = []
     for kind, media, content in (("metadata", "application/warc-fields", notes),
                                  ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))):
@@ -151,7 +154,7 @@ def derivatives(identifier: str, target: str | None, date: str, source: dict[str
         head += [("WARC-Date", date), ("WARC-Refers-To", identifier)]
         head += [("WARC-Refers-To-Target-URI", _one_line(target))] if target else []
         head += [("WARC-Refers-To-Date", date)]
-        head += [(k, _one_line(source[k])) for k in CARRIED if k in source and k != "WARC-Payload-Digest"]
+        head += [(k, _one_line(named[k.lower()])) for k in CARRIED if named.get(k.lower())]
         head += [("WARC-Source-Payload-Digest", payload), ("WARC-Block-Digest", digest(content)), ("Content-Type", media)]
         made.append((kind, own, content, head, {"title": title, "lang": lang, "links": links, "payload": payload}))
     return made

@@ -257,3 +257,14 @@ def test_tokens_parity_is_of_whole_texts():
     assert codec.agrees(data, offsets, np.array([19222, 259, 2843], np.int32), np.array([0, 3])).tolist() == [True]
     cut = np.array([19222, 28705, 28705, 2843], np.int32)
     assert codec.agrees(data, offsets, cut, np.array([0, 4])).tolist() == [False]
+
+
+def test_warc_all_source_headers():
+    source = {"WARC-Truncated": "length", "WARC-Warcinfo-ID": "<urn:uuid:9>", "WARC-Block-Digest": "sha1:B",
+              "warc-ip-address": "1.2.3.4", "WARC-Payload-Digest": "sha1:X"}
+    made = warc.derivatives("<urn:uuid:1>", "http://a/", warc.DATE, source, b"HTTP/1.1 200 OK\r\n\r\n<p>x")
+    for _, _, content, head, facts in made:
+        assert ("WARC-Truncated", "length") in head and ("WARC-IP-Address", "1.2.3.4") in head
+        assert dict(head)["WARC-Block-Digest"] == warc.digest(content) and facts["payload"] == "sha1:X"
+    lines = made[0][2].decode().split("\r\n")
+    assert {f"warc-header-{k.lower()}: {v}" for k, v in source.items()} <= set(lines)
