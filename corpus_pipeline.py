@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -36,15 +36,34 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "text", "lang", "source", changed.alias("n_chars"))
 
 
+def _same_row(rows: DataFrame, found: DataFrame) -> Column:
+    """Whether id and text hash are the same, null ids included."""
+    return rows["_h"].eqNullSafe(found["_t"]) & rows["doc_id"].eqNullSafe(found["_id"])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the n-gram Jaccard join links: the one of the smallest id.
+    """One row of each group that the n-gram Jaccard join links: the one of the smallest (doc_id, text hash).
 
-    Rows that repeat an id stay or go together; a row without an id stays.
+    A row without an id comes after all others; of rows that agree in both, the one of the smallest lang, source and
+    n_chars stays. Rows without words link with nothing and stay.
     """
     from papyra.llm.jaccard import jaccard_components
     ship_package(spark)
-    found = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(stage(found, "near-duplicates"), "doc_id", "left_anti").select(*COLUMNS)
+    rows = docs.select(*COLUMNS).withColumn("_h", F.xxhash64("text"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_h").alias("t"))
+    found = jaccard_components(rows.select(key.alias("_key"), "text"), "_key").where("n_shingles > 0")
+    known = (found.select("_key", (~F.col("component_id").eqNullSafe(F.col("_key"))).alias("gone")).groupBy("_key")
+             .agg(F.max("gone").alias("gone"), F.count("gone").alias("n")).where("gone or n > 1")
+             .select(F.col("_key.id").alias("_id"), F.col("_key.t").alias("_t"), "gone"))
+    known = stage(known, "near-duplicates")
+    left = rows.join(known, _same_row(rows, known), "left_anti").select(*COLUMNS)
+    again = known.where("not gone")
+    if again.isEmpty():
+        return left
+    # rows that repeat an id and a text, and are the first of their component
+    first = (rows.join(again, _same_row(rows, again), "left_semi").groupBy("doc_id", "_h")
+             .agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("r")).select("doc_id", "r.*"))
+    return left.unionByName(first.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +71,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from papyra.llm.decontaminate import hits
     found = stage(hits(docs, table(spark, sf_dir, "benchmark")).select("_id", "_t"), "contaminated")
     rows = docs.withColumn("_h", F.xxhash64("text"))
-    same = rows["_h"].eqNullSafe(found["_t"]) & rows["doc_id"].eqNullSafe(found["_id"])
-    return rows.join(found, same, "left_anti").select(*COLUMNS)
+    return rows.join(found, _same_row(rows, found), "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

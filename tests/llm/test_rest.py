@@ -268,3 +268,17 @@ def test_warc_all_source_headers():
         assert dict(head)["WARC-Block-Digest"] == warc.digest(content) and facts["payload"] == "sha1:X"
     lines = made[0][2].decode().split("\r\n")
     assert {f"warc-header-{k.lower()}: {v}" for k, v in source.items()} <= set(lines)
+
+
+def test_pipeline_near_duplicates_by_row(spark):
+    """Rows that repeat an id, rows without an id, equal rows."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "en", "s", 1), (2, a + " more", "en", "s", 1), (2, b, "en", "s", 1), (3, c, "en", "t", 1),
+            (3, c, "en", "s", 1), (None, a + " end", "en", "s", 1), (None, "one alone", "en", "s", 1),
+            (None, "One  alone", "en", "s", 1), (4, "", "en", "s", 1), (4, "", "en", "s", 1), (None, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted((tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=str)
+    one = [r for r in left if (r[1] or "").lower().split() == ["one", "alone"]]
+    assert len(one) == 1 and one[0] in rows
+    assert [r for r in left if r not in one] == sorted(
+        [rows[0], rows[2], rows[4], rows[8], rows[9], rows[10]], key=str)
