@@ -71,9 +71,15 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("record", 256).alias("record_sha256"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_ids
+    return language_ids(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_ppm_scores, op2_line_dedup, op3_quality_classifier,
                                    op4_jaccard_join, op5_toxicity, op6_suffix_dedup,
-                                   op7_sentencepiece, op8_nearest_neighbours, op9_warc_derivatives, op10_benchmark_decontamination)}
+                                   op7_sentencepiece, op8_nearest_neighbours, op9_warc_derivatives, op10_benchmark_decontamination,
+                                   op13_language_id)}
 
 
 __all__ = ["ORACLE", "QUERIES"]
