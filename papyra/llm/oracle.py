@@ -44,4 +44,24 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
-ORACLE = {"op2_line_dedup": OP2, "op10_benchmark_decontamination": OP10}
+OP12 = r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+                 CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+          FROM e AS a, e AS b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score
+        FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS n FROM pairs WHERE same)
+        WHERE n <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM (SELECT p.anchor_id, positive_id, positive_score, x.other_id AS negative_id, x.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY x.score DESC, x.other_id) AS rank
+      FROM pos AS p JOIN pairs AS x ON x.anchor_id = p.anchor_id AND NOT x.same
+       AND 80 * positive_score <= 100 * x.score AND 100 * x.score <= 100 * positive_score)
+WHERE rank <= 5
+"""
+
+ORACLE = {"op12_hard_negatives": OP12, "op2_line_dedup": OP2, "op10_benchmark_decontamination": OP10}
