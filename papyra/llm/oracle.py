@@ -44,6 +44,38 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
+# the inner reduction divides by the reversed polynomial of CRC-32, eight bits for each character
+OP11 = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base,
+             xor(4294967295, list_reduce(
+                 list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: ord(s)::BIGINT)),
+                 lambda crc, byte: list_reduce(
+                     list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                     lambda x, bit: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))) % 6 AS h
+      FROM (SELECT DISTINCT conv_id FROM t)),
+parts AS (SELECT c.conv_id, 0 AS part, p, role, text FROM c JOIN t ON t.conv_id = c.base AND p <= h
+          UNION ALL SELECT c.conv_id, 1, p, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND p > h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, p) AS d, role, text FROM parts),
+path AS (SELECT conv_id, d, text, string_agg(md5(length(role) || ':' || role || text), '')
+                                  OVER (PARTITION BY conv_id ORDER BY d) AS path FROM r
+         UNION ALL SELECT conv_id, 0, '', '' FROM c),
+sizes AS (SELECT conv_id, max(d) AS n FROM path GROUP BY conv_id),
+node AS (SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(length(text)) AS size,
+                string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = n) AS ends
+         FROM path JOIN sizes USING (conv_id) GROUP BY path, d),
+kids AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+own AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (path)),
+total AS (SELECT left(path, 32 * k) AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves,
+                 CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens
+          FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM own) GROUP BY 1)
+SELECT own.conv_id, CAST(own.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, own.n_convs,
+       CAST(own.n_children AS BIGINT) AS n_children, n_leaves, saved_tokens, sha256(coalesce(own.ends, '')) AS ends_sha256
+FROM own JOIN total USING (path) LEFT JOIN own AS up ON own.depth > 0 AND up.path = left(own.path, 32 * (own.depth - 1))
+"""
+
 OP12 = r"""
 WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
@@ -64,4 +96,4 @@ FROM (SELECT p.anchor_id, positive_id, positive_score, x.other_id AS negative_id
 WHERE rank <= 5
 """
 
-ORACLE = {"op12_hard_negatives": OP12, "op2_line_dedup": OP2, "op10_benchmark_decontamination": OP10}
+ORACLE = {"op11_prefix_trie": OP11, "op12_hard_negatives": OP12, "op2_line_dedup": OP2, "op10_benchmark_decontamination": OP10}

@@ -71,6 +71,11 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("record", 256).alias("record_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .negatives import hard_negatives
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
@@ -85,7 +90,7 @@ def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_ppm_scores, op2_line_dedup, op3_quality_classifier,
                                    op4_jaccard_join, op5_toxicity, op6_suffix_dedup,
                                    op7_sentencepiece, op8_nearest_neighbours, op9_warc_derivatives, op10_benchmark_decontamination,
-                                   op12_hard_negatives, op13_language_id)}
+                                   op11_prefix_trie, op12_hard_negatives, op13_language_id)}
 
 
 __all__ = ["ORACLE", "QUERIES"]
