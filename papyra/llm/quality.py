@@ -232,18 +232,25 @@ def score_quality(stats: DataFrame, model: QualityModel, key: str = "doc_id") ->
     return out.withColumnRenamed("key", key)
 
 
-def learn_quality(stats: DataFrame, labels: DataFrame, held: int = 1, of: int = 3, max_train_rows: int = 200_000
-                  ) -> QualityModel:
-    """Model from (doc_id, stats) and labels (doc_id, quality) of ids whose crc32 remainder is not ``held``.
+MAX_TRAIN_ROWS = 200_000  # labelled rows that a model is fitted on at most (about; chosen by a hash of the id)
+
 
-    About ``max_train_rows`` labelled rows are used at most, chosen by a hash of the id. Repeated label rows of an id
-    count once (the smallest label); null labels and null ids teach nothing.
+def training_labels(labels: DataFrame, held: int = 1, of: int = 3, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """(doc_id, label) of the ids that a model learns from: labels (doc_id, quality) of ids whose crc32 remainder is not
+    ``held``, about ``max_train_rows`` at most, chosen by a hash of the id. Repeated label rows of an id count once (the
+    smallest label); null labels and null ids teach nothing.
     """
     known = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
              .where(crc_mod(F.col("doc_id"), of) != held))
     share = min(1.0, max_train_rows / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def learn_quality(stats: DataFrame, labels: DataFrame, held: int = 1, of: int = 3, max_train_rows: int = MAX_TRAIN_ROWS
+                  ) -> QualityModel:
+    """Model from (doc_id, stats) and the ``training_labels`` of labels (doc_id, quality)."""
+    picked = training_labels(labels, held, of, max_train_rows)
     train = stage(stats.join(picked, "doc_id").select(
         "stats", "label", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int").alias("fold")), "train")
     return fit_quality(train)
@@ -257,10 +264,28 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held: int = 1, of: int =
                          "score", "predicted")
 
 
+def learn_from_texts(docs: DataFrame, labels: DataFrame, held: int = 1, of: int = 3) -> QualityModel:
+    """Model from docs (doc_id, text) and labels; only the texts that are learned from are reduced to statistics."""
+    picked = stage(training_labels(labels, held, of), "training-labels")  # MAX_TRAIN_ROWS ids: a bounded broadcast
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text")
+    return learn_quality(stage(document_stats(texts), "training-stats"), labels, held, of)
+
+
+TEXT_SLICE = 1 << 20  # bytes of text that are reduced at once when whole rows wait
+
+
 def accepted(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text the model accepts (score of 0.5 and more); no row moves between partitions."""
-    def run(batches):
-        for rows, data, offsets in text_slices(batches, column=text):
-            yield rows.filter(pa.array(model.calibrated(_stats(data, offsets)) >= 0.5))
+    """The rows of ``docs`` whose text the model accepts (score of 0.5 and more); no row moves between partitions.
+
+    Only the text goes to Python and only a flag comes back; the rows wait in the executor, which spills them.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+
+    @F.arrow_udf("boolean")
+    def keep(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        parts = [shared.value.calibrated(_stats(data, offsets)) >= 0.5
+                 for _, data, offsets in text_slices(iter([batch]), TEXT_SLICE)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, bool), pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(keep(F.col(text)))

@@ -11,7 +11,7 @@ from papyra.llm.ppm import ppm_scores
 from papyra.llm.quality import isotonic, quality_scores
 from papyra.llm.toxicity import ToxicityModel, fold, toxicity_scores
 
-from .helpers import documents, no_docs, odd_docs
+from .helpers import SF, documents, no_docs, odd_docs
 
 
 def held(i, n, r):
@@ -137,3 +137,14 @@ def test_exception_phrases():
     assert model.features("put it in the trash can", a)[1] == 0
     assert model.features("Tr4sh moron can", a)[1] == 5
     assert model.features("tumor", a)[1] == 0
+
+
+def test_accepted_rows_are_those_predicted(spark):
+    from papyra.llm.quality import accepted, learn_from_texts
+    docs, labels = documents(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = docs.unionByName(docs.limit(1).selectExpr("null as doc_id", "null as text", "lang", "source", "n_chars"))
+    model = learn_from_texts(rows, labels)
+    got = sorted((r["doc_id"] for r in accepted(rows, model).collect()), key=str)
+    want = quality_scores(docs, labels).where("predicted = 1").collect()
+    assert [i for i in got if i is not None] == sorted((r["doc_id"] for r in want), key=str) and len(want) < docs.count()
+    assert accepted(rows.where("false"), model).count() == 0 and accepted(rows, model).schema == rows.schema
