@@ -23,9 +23,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that the quality classifier accepts."""
-    from papyra.llm.quality import accepted, document_stats, learn_quality
-    stats = stage(document_stats(docs), "doc-stats")
-    return accepted(docs.select(*COLUMNS), learn_quality(stats, table(spark, sf_dir, "labels")))
+    from papyra.llm.quality import accepted, learn_from_texts
+    return accepted(docs.select(*COLUMNS), learn_from_texts(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
