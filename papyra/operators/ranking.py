@@ -147,23 +147,25 @@ def lead_in_order(df: DataFrame, key: list[str], order_cols: list[str], value: s
             .drop("_piece", "_next_first", "_last"))
 
 
-def fill_forward(df: DataFrame, key: str, order_col: str, value: str, out: str, n_parts: int | None = None
-                 ) -> DataFrame:
+def fill_forward(df: DataFrame, key: str | list[str], order_col: str, value: str, out: str, n_parts: int | None = None,
+                 strict: bool = False) -> DataFrame:
     """``last(value, ignorenulls) over (partition by key order by order_col rows unbounded preceding)``, distributed.
 
     Rows are cut into pieces along ``order_col``, so one key may span many tasks; each piece fills forward locally,
     and its leading gap takes the last non-null value of the key's pieces before it, from a table with one row per
-    (key, piece). ``order_col`` must be numeric and unique within a key.
+    (key, piece). ``order_col`` must be numeric and unique within a key. ``strict`` leaves the row's own value out.
     """
     spark = df.sparkSession
+    keys = [key] if isinstance(key, str) else list(key)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = order_pieces(df, order_col, n)
-    w = Window.partitionBy(key, "_piece").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    last = Window.currentRow - 1 if strict else Window.currentRow
+    w = Window.partitionBy(*keys, "_piece").orderBy(order_col).rowsBetween(Window.unboundedPreceding, last)
     local = ranged.withColumn(out, F.last(F.col(value), ignorenulls=True).over(w))
-    lasts = ranged.groupBy(key, "_piece").agg(
+    lasts = ranged.groupBy(*keys, "_piece").agg(
         F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order_col))).alias("_last"))
-    before = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    carry = lasts.select(key, "_piece", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    return (local.join(carry, [key, "_piece"], "left")
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carry = lasts.select(*keys, "_piece", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    return (local.join(carry, [*keys, "_piece"], "left")
             .withColumn(out, F.coalesce(F.col(out), F.col("_carry")))
             .drop("_piece", "_carry"))

@@ -544,18 +544,19 @@ UNION ALL SELECT model, step, 'train', loss FROM run_history WHERE loss IS NOT N
 ORACLE["overfit_flags"] = sql(["run_history"], """
 SELECT model, step, eval_loss, lag(eval_loss) OVER w AS prev_loss,
        coalesce((eval_loss > lag(eval_loss) OVER w)::INT, 0) AS overfit
-FROM run_history WINDOW w AS (PARTITION BY model ORDER BY step)""")
+FROM run_history WHERE eval_loss IS NOT NULL WINDOW w AS (PARTITION BY model ORDER BY step)""")
 ORACLE["checkpoint_rank"] = sql(["run_history"], """
 SELECT model, step, eval_loss, loss_rank, recency_rank, (loss_rank = 1)::INT AS is_best,
        (recency_rank <= 2)::INT AS is_retained
 FROM (SELECT model, step, eval_loss,
              row_number() OVER (PARTITION BY model ORDER BY eval_loss, step)::BIGINT AS loss_rank,
              row_number() OVER (PARTITION BY model ORDER BY step DESC)::BIGINT AS recency_rank
-      FROM run_history)""")
+      FROM run_history WHERE eval_loss IS NOT NULL)""")
 ORACLE["variant_compare"] = sql(["run_history"], """
-SELECT model, max(step) AS final_step, arg_max(eval_loss, step) AS final_loss,
-       arg_min(step, (eval_loss, step)) AS best_step, min(eval_loss) AS best_loss,
-       round(arg_max(eval_loss, step) - min(eval_loss), 6) AS final_minus_best,
+SELECT model, max(step) FILTER (WHERE eval_loss IS NOT NULL) AS final_step,
+       arg_max(eval_loss, step) FILTER (WHERE eval_loss IS NOT NULL) AS final_loss,
+       arg_min(step, (eval_loss, step)) FILTER (WHERE eval_loss IS NOT NULL) AS best_step, min(eval_loss) AS best_loss,
+       round(arg_max(eval_loss, step) FILTER (WHERE eval_loss IS NOT NULL) - min(eval_loss), 6) AS final_minus_best,
        round(min(eval_loss) - min(min(eval_loss)) OVER (), 6) AS behind_best,
        arg_max(loss, step) FILTER (WHERE loss IS NOT NULL) AS final_train_loss, count(*)::BIGINT AS n_steps
 FROM run_history GROUP BY model""")
@@ -571,6 +572,87 @@ FROM (SELECT run, component, t, lead(t) OVER (PARTITION BY run, component ORDER
       FROM (SELECT run, component, line_no, epoch(strptime(ts, '%Y-%m-%d %H:%M:%S'))::BIGINT AS t
             FROM parsed WHERE is_continuation = 0))
 GROUP BY run, component""")
+CTE["history"] = """
+hday AS (
+  SELECT event_type AS model, day(ts)::BIGINT AS d, count(*)::BIGINT AS n, sum(value) AS v,
+         round(avg(value) FILTER (WHERE event_id % 2 = 1), 6) AS loss,
+         round(avg(value) FILTER (WHERE event_id % 2 = 0), 6) AS eval_loss
+  FROM events GROUP BY 1, 2
+),
+hend AS (SELECT model, 20 * max(d) + 7 AS step, sum(n)::DOUBLE AS n, sum(v) AS v, count(*)::DOUBLE AS k FROM hday GROUP BY model),
+history AS (
+  SELECT model, 20 * d AS step, 'loss' AS metric, loss AS value FROM hday WHERE loss IS NOT NULL
+  UNION ALL SELECT model, 20 * d, 'learning_rate', round(1 / d, 6) FROM hday
+  UNION ALL SELECT model, 20 * d + 7, 'eval_loss', eval_loss FROM hday WHERE d % 4 = 0 AND eval_loss IS NOT NULL
+  UNION ALL SELECT model, 20 * d + 7, 'eval_samples_per_second', n::DOUBLE FROM hday WHERE d % 4 = 0
+  UNION ALL SELECT model, step, 'train_runtime', n FROM hend
+  UNION ALL SELECT model, step, 'total_flos', n * 1000000 FROM hend
+  UNION ALL SELECT model, step, 'train_loss', round(v / n, 6) FROM hend
+  UNION ALL SELECT model, step, 'custom_skips', k FROM hend
+  UNION ALL SELECT model, step, 'note', NULL FROM hend
+),
+htrain AS (SELECT model, step, value AS loss FROM history WHERE metric = 'loss'),
+heval AS (SELECT model, step, value AS eval_loss FROM history WHERE metric = 'eval_loss')"""
+DEPS["history"] = []
+ORACLE["history_metrics"] = sql(["history"], """
+SELECT model, metric, count(*)::BIGINT AS n, min(step) AS first_step, max(step) AS last_step, min(value) AS least,
+       max(value) AS most, round(avg(value), 6) AS mean
+FROM history GROUP BY model, metric""")
+ORACLE["history_evaluations"] = sql(["history"], """
+SELECT e.model, e.step, eval_loss, t.step AS train_step, t.loss AS train_loss, round(eval_loss - t.loss, 6) AS gap,
+       lag(eval_loss) OVER w AS prev_loss, coalesce((eval_loss > lag(eval_loss) OVER w)::INT, 0) AS overfit,
+       row_number() OVER (PARTITION BY e.model ORDER BY eval_loss, e.step)::BIGINT AS loss_rank,
+       (row_number() OVER (PARTITION BY e.model ORDER BY eval_loss, e.step) = 1)::INT AS is_best,
+       (row_number() OVER (PARTITION BY e.model ORDER BY e.step DESC) <= 2)::INT AS is_retained
+FROM heval AS e ASOF LEFT JOIN htrain AS t ON e.model = t.model AND e.step >= t.step
+WINDOW w AS (PARTITION BY e.model ORDER BY e.step)""")
+ORACLE["history_summary"] = sql(["history"], """
+SELECT e.*, t.final_train_loss, s.n_steps, s.samples_per_sec, s.train_runtime, s.total_flos, s.train_loss
+FROM (SELECT model, max(step) AS final_step, arg_max(eval_loss, step) AS final_loss, arg_min(step, (eval_loss, step)) AS best_step,
+             min(eval_loss) AS best_loss, round(arg_max(eval_loss, step) - min(eval_loss), 6) AS final_minus_best,
+             round(min(eval_loss) - min(min(eval_loss)) OVER (), 6) AS behind_best
+      FROM heval GROUP BY model) AS e
+JOIN (SELECT model, arg_max(loss, step) AS final_train_loss FROM htrain GROUP BY model) AS t USING (model)
+JOIN (SELECT model, count(DISTINCT step) FILTER (WHERE metric IN ('loss', 'eval_loss', 'eval_samples_per_second'))::BIGINT AS n_steps,
+             avg(value) FILTER (WHERE metric = 'eval_samples_per_second') AS samples_per_sec,
+             max(value) FILTER (WHERE metric = 'train_runtime') AS train_runtime,
+             max(value) FILTER (WHERE metric = 'total_flos') AS total_flos,
+             max(value) FILTER (WHERE metric = 'train_loss') AS train_loss
+      FROM history GROUP BY model) AS s USING (model)""")
+ORACLE["log_file_events"] = sql(["log_lines"], """
+SELECT run, line_no, ts, level, component, depth, message, is_continuation,
+       max(CASE WHEN is_continuation = 0 THEN line_no END) OVER (PARTITION BY run ORDER BY line_no) AS event_line
+FROM (SELECT * REPLACE (row_number() OVER (PARTITION BY run ORDER BY line_no) - 1 AS line_no) FROM parsed)""")
+CTE["log_steps"] = """
+said AS (
+  SELECT strftime(ts, '%Y-%m') AS run, event_id AS line_no, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type AS component,
+         epoch(date_trunc('second', ts))::BIGINT AS t,
+         CASE WHEN event_id % 4 = 2 THEN printf('%.2f', value)::DOUBLE END AS sec,
+         CASE WHEN event_id % 4 IN (1, 3) THEN user_id END AS n
+  FROM events
+),
+log_steps AS (
+  SELECT run, component, min(line_no) AS first_line, max(line_no) AS last_line, count(*)::BIGINT AS n_events,
+         arg_min(ts, line_no) AS start_ts, arg_max(ts, line_no) AS end_ts, arg_max(t, line_no) - arg_min(t, line_no) AS measured_sec,
+         max(sec) AS reported_sec, arg_max(n, line_no) FILTER (WHERE n IS NOT NULL) AS n_reported,
+         (max(sec) IS NOT NULL)::INT AS closed
+  FROM (SELECT *, count(sec) OVER (PARTITION BY run, component ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g
+        FROM said) GROUP BY run, component, g
+)"""
+DEPS["log_steps"] = []
+ORACLE["log_steps"] = sql(["log_steps"], "SELECT * FROM log_steps")
+ORACLE["log_step_report"] = sql(["log_steps"], """
+SELECT run, component, count(*) FILTER (WHERE closed = 1)::BIGINT AS n_steps, count(*) FILTER (WHERE closed = 0)::BIGINT AS n_open,
+       sum(n_events)::BIGINT AS n_events, (sum(measured_sec) FILTER (WHERE closed = 1))::BIGINT AS measured_sec,
+       round(sum(reported_sec), 2) AS reported_sec, sum(n_reported)::BIGINT AS n_reported,
+       round((sum(n_reported) FILTER (WHERE closed = 1)) / nullif(sum(reported_sec), 0), 6) AS reported_per_sec
+FROM log_steps GROUP BY run, component""")
+ORACLE["stored_samples"] = ORACLE["training_samples"]
+ORACLE["qna_scan"] = sql(["qna"], "SELECT id, question, answer FROM qna")
+ORACLE["prompt_lines"] = f"""
+SELECT part, row_number() OVER (PARTITION BY part ORDER BY item_id, line)::BIGINT - 1 AS prompt_pos, trim(value, {PYWS_SQL}) AS prompt
+FROM (SELECT item_id, (item_id % 16)::BIGINT AS part, unnest(range(0, len(ls))) AS line, unnest(ls) AS value
+      FROM (SELECT item_id, string_split(text, {NL}) AS ls FROM benchmark))"""
 ORACLE["stream_ingest"] = ORACLE["training_samples"]
 ORACLE["map_batches"] = sql(["samples"], f"""
 SELECT idx, length(x)::BIGINT AS n_chars, len(string_split(x, {NL}))::BIGINT AS n_lines FROM samples""")

@@ -84,6 +84,51 @@ def q_raw_samples(spark, sf_dir):
     return clean.training_samples(raw)
 
 
+def _written(spark, name, write) -> str:
+    """A fresh folder of the shared scratch space that ``write`` has filled."""
+    from papyra.session import scratch_path
+    path = scratch_path(spark, name)
+    write(path)
+    return path
+
+
+def _text_folders(df, key: str, order: list[str], files: int | None = None):
+    """``df`` (key, order..., value) as text files in order below one folder per key; a key may span many files."""
+    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+    return lambda path: dealt.select(key, "value").write.partitionBy(key).text(path)
+
+
+@register("stored_samples")
+def q_stored_samples(spark, sf_dir):
+    """Processed samples written as JSONL and scanned back."""
+    from papyra.sources.readers import read_samples
+    return read_samples(spark, _written(spark, "samples-json", _samples(spark, sf_dir).write.json))
+
+
+@register("qna_scan")
+def q_qna_scan(spark, sf_dir):
+    """S3: Q&A pairs written as JSONL under the second spelling of the name and scanned back."""
+    from papyra.sources.readers import read_qna
+    pairs = views.qna(spark, sf_dir)
+    return read_qna(spark, _written(spark, "qna", lambda path: pairs.write.json(f"{path}/QnA.jsonl")))
+
+
+@register("prompt_lines")
+def q_prompt_lines(spark, sf_dir):
+    """Prompt files of many lines, scanned with their line positions; blank lines count."""
+    from papyra.sources.readers import numbered_lines
+    from papyra.functions.text import py_strip
+    from papyra.sources.readers import read_table
+    lines = read_table(spark, sf_dir, "benchmark", "item_id", "text").select(
+        "item_id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
+    lines = lines.withColumn("part", (F.col("item_id") % 16).cast("int"))
+    path = _written(spark, "prompts", _text_folders(lines, "part", ["item_id", "line"]))
+    found = numbered_lines(spark, path, by_folder=True)
+    return found.select(F.regexp_extract("file", "part=(.*)$", 1).cast("bigint").alias("part"),
+                        F.col("line_no").alias("prompt_pos"), py_strip(F.col("value")).alias("prompt"))
+
+
 # ---- page extraction (E1-E9) -------------------------------------------------------
 
 def _pages(spark, sf_dir):
@@ -420,6 +465,60 @@ def q_step_durations(spark, sf_dir):
     return step_durations(parse_log(views.log_lines(spark, sf_dir)))
 
 
+@register("log_file_events")
+def q_log_file_events(spark, sf_dir):
+    """Logs written as folders of text files (a run each), scanned with line numbers through all files of a run."""
+    from papyra.operators.telemetry import attach_continuations, parse_log
+    from papyra.sources.readers import read_log_lines
+    path = _written(spark, "logs", _text_folders(views.log_lines(spark, sf_dir), "run", ["line_no"]))
+    lines = read_log_lines(spark, path, by_folder=True)
+    lines = lines.withColumn("run", F.regexp_extract("run", "run=([^/]*)$", 1))
+    return attach_continuations(parse_log(lines))
+
+
+@register("log_steps")
+def q_log_steps(spark, sf_dir):
+    """T5: steps between the messages that report an elapsed time, with measured and reported seconds and counts."""
+    from papyra.operators.telemetry import parse_log, step_intervals
+    return step_intervals(parse_log(views.step_messages(spark, sf_dir)))
+
+
+@register("log_step_report")
+def q_log_step_report(spark, sf_dir):
+    from papyra.operators.telemetry import parse_log, step_intervals, step_report
+    return step_report(step_intervals(parse_log(views.step_messages(spark, sf_dir))))
+
+
+def _history_metrics(spark, sf_dir):
+    from papyra.sources.readers import read_history_metrics
+    files = views.training_histories(spark, sf_dir)
+    path = _written(spark, "histories", files.write.partitionBy("model", "checkpoint").text)
+    return read_history_metrics(spark, path, name="part-*")
+
+
+@register("history_metrics")
+def q_history_metrics(spark, sf_dir):
+    """Every metric of the written history files, declared or not."""
+    from papyra.operators.telemetry import metric_summary
+    return metric_summary(_history_metrics(spark, sf_dir))
+
+
+@register("history_evaluations")
+def q_history_evaluations(spark, sf_dir):
+    """T1-T3 on written history files of mixed cadence."""
+    from papyra.operators.telemetry import evaluation_report, records_of
+    return evaluation_report(records_of(_history_metrics(spark, sf_dir)))
+
+
+@register("history_summary")
+def q_history_summary(spark, sf_dir):
+    """T4 on written history files, with the figures of the closing record."""
+    from papyra.operators.telemetry import closing_figures, records_of, variant_compare
+    from papyra.session import materialize
+    m = materialize(_history_metrics(spark, sf_dir), "history-metrics")
+    return variant_compare(records_of(m)).join(closing_figures(m), "model")
+
+
 # ---- streaming ingest (R1), batch map (U1) ---------------------------------------------
 
 @register("stream_ingest")

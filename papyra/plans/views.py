@@ -136,6 +136,61 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.round(F.avg(F.when(F.col("event_id") % 2 == 0, F.col("value"))), 6).alias("eval_loss")))
 
 
+def training_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History files as a trainer leaves them: (model, checkpoint, value), ``value`` being the file's JSON.
+
+    Model = event type. Day d logs train figures at step 20 d, every fourth day also an evaluation at step 20 d + 7, and
+    a closing record holds run time, flops, mean loss, a metric that no schema knows and a note. A first checkpoint
+    repeats the records up to day 15.
+    """
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "event_type", "value")
+    odd = F.col("event_id") % 2 == 1
+    day = (e.groupBy(F.col("event_type").alias("model"), F.dayofmonth("ts").cast("bigint").alias("d"))
+           .agg(F.round(F.avg(F.when(odd, F.col("value"))), 6).alias("loss"),
+                F.round(F.avg(F.when(~odd, F.col("value"))), 6).alias("eval_loss"),
+                F.count(F.lit(1)).alias("n"), F.sum("value").alias("v")))
+    names = ["loss", "learning_rate", "eval_loss", "eval_samples_per_second", "train_runtime", "total_flos", "train_loss",
+             "custom_skips", "note"]
+
+    def record(step, **values):
+        kind = lambda m: "string" if m == "note" else "double"
+        return F.struct(step.alias("step"), (step / 200).alias("epoch"),
+                        *[values.get(m, F.lit(None)).cast(kind(m)).alias(m) for m in names])
+
+    d, n = F.col("d"), F.col("n")
+    train = record(20 * d, loss=F.col("loss"), learning_rate=F.round(1 / d, 6))
+    ev = record(20 * d + 7, eval_loss=F.col("eval_loss"), eval_samples_per_second=n)
+    daily = day.select("model", F.explode(F.when(d % 4 == 0, F.array(train, ev)).otherwise(F.array(train))).alias("r"))
+    closing = day.groupBy("model").agg(F.max("d").alias("d"), F.sum("n").alias("n"), F.sum("v").alias("v"), F.count("d").alias("k"))
+    closing = closing.select("model", record(
+        20 * d + 7, train_runtime=n, total_flos=n * 1_000_000, train_loss=F.round(F.col("v") / n, 6),
+        custom_skips=F.col("k"), note=F.lit("done")).alias("r"))
+    records = daily.unionByName(closing)
+    files = records.withColumn("checkpoint", F.lit(9999)).unionByName(
+        daily.where(F.col("r.step") <= 307).withColumn("checkpoint", F.lit(307)))
+    listed = files.groupBy("model", "checkpoint").agg(F.sort_array(F.collect_list("r")).alias("log_history"))
+    return listed.select("model", "checkpoint", F.to_json(F.struct(
+        "log_history", F.col("checkpoint").alias("global_step"))).alias("value"))
+
+
+def step_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines of steps that report their seconds and counts, from ``events``: (run, line_no, value).
+
+    Every fourth event of a user group starts, scrolls, finishes with a time or reports a count; a month is a run, the
+    event type the component, the event's number its place in the log.
+    """
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    n = F.col("user_id").cast("string")
+    seconds = F.format_string("%.2f", "value")
+    say = (F.when(F.col("event_id") % 4 == 0, F.lit("Start crawling articles..."))
+           .when(F.col("event_id") % 4 == 1, F.concat(F.lit("Total loaded articles: "), n))
+           .when(F.col("event_id") % 4 == 2, F.concat(F.lit("Finished scrolling after "), seconds, F.lit(" seconds.")))
+           .otherwise(F.concat(F.lit("Omitted "), n, F.lit(" articles with empty text."))))
+    value = F.concat(F.lit("["), F.date_format("ts", LOG_TS), F.lit("] ["), _centre(F.lit("INFO"), LEVEL_WIDTH),
+                     F.lit("] ["), _centre(F.col("event_type"), COMPONENT_WIDTH), F.lit("] "), say)
+    return e.select(F.date_format("ts", "yyyy-MM").alias("run"), F.col("event_id").alias("line_no"), value.alias("value"))
+
+
 # The log line layout (timestamp, centred level and component).
 LOG_TS = "yyyy-MM-dd HH:mm:ss"
 LEVEL_WIDTH, COMPONENT_WIDTH = 7, 20

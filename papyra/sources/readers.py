@@ -6,7 +6,7 @@ extra pass over the data and column pruning reaches the files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,50 +100,88 @@ def read_samples(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
 def read_qna(spark: SparkSession, prompt_dir: str) -> DataFrame:
     """S3: Q&A JSONL (``qna.jsonl`` preferred over ``QnA.jsonl``), blank lines skipped.
 
-    Existence is checked by Spark itself, so any file system Spark reads works.
+    Existence is checked by Spark itself, so any file system Spark reads works; any other error is raised.
     """
     from pyspark.errors import AnalysisException
     reader = spark.read.schema(QNA_DDL).option("mode", "FAILFAST")
     try:
         return reader.json(f"{prompt_dir}/qna.jsonl")
-    except AnalysisException:      # PATH_NOT_FOUND: fall back to the other spelling
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return reader.json(f"{prompt_dir}/QnA.jsonl")
 
 
-def read_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """One prompt per line, stripped, blank lines kept, file order kept.
+def numbered_lines(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
+    """Text lines with their position from 0: (file, line_no, value), for files of any number of splits.
 
-    ``prompt_pos`` is ``monotonically_increasing_id()``: positions increase within a
-    file of one split, which prompt files are; across files only ``file`` tells
-    the lines apart, so order by (file, prompt_pos).
+    A split's lines are numbered in reading order, and the lines of the splits before it are added: one row per split is
+    grouped and summed, and no line is sorted or moved to be numbered. ``by_folder`` numbers through all files of a
+    folder in the order of their names (rotated logs, part files), and ``file`` is the folder.
     """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"), "value")
+    folder = F.regexp_replace("_path", "/[^/]*$", "")
+    splits = lines.groupBy("_path", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    splits = splits.withColumn("file", folder if by_folder else F.col("_path"))
+    before = Window.partitionBy("file").orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return (lines.join(splits.select("_path", "_block", "file", "_first", "_before"), ["_path", "_block"])
+            .select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "value"))
+
+
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """One prompt per line, stripped, blank lines kept; ``prompt_pos`` is the line's position in its file."""
     from papyra.functions.text import py_strip
-    lines = spark.read.text(path, wholetext=False).select(
-        F.input_file_name().alias("file"), F.col("value"),
-        F.monotonically_increasing_id().alias("_mono"))
-    return lines.select("file", F.col("_mono").alias("prompt_pos"), py_strip(F.col("value")).alias("prompt"))
+    lines = numbered_lines(spark, path)
+    return lines.select("file", F.col("line_no").alias("prompt_pos"), py_strip(F.col("value")).alias("prompt"))
 
 
-def read_run_histories(spark: SparkSession, root: str) -> DataFrame:
-    """One ``trainer_state.json`` per model directory; model taken from the path.
+# a run's history lies at <model>/checkpoint-<n>/trainer_state.json, or below model=<model>/checkpoint=<n>/ when Spark
+# wrote it; group 1 is the model, group 2 the checkpoint
+HISTORY_PATH_RE = "/(?:model=)?([^/]+)/checkpoint[-=]([0-9]+)/[^/]+$"
 
-    ``script_dump`` folders are skipped.
-    """
-    df = (spark.read.schema(RUN_HISTORY).option("multiLine", True)
-          .option("recursiveFileLookup", True).option("pathGlobFilter", "trainer_state.json")
-          .json(root))
-    path = F.input_file_name()
-    model = F.regexp_extract(path, "/([^/]+)/checkpoint-[0-9]+/trainer_state\\.json$", 1)
-    checkpoint = F.regexp_extract(path, "/checkpoint-([0-9]+)/", 1).cast("bigint")
-    return (df.withColumn("model", model).withColumn("checkpoint", checkpoint)
+
+def _history_files(reader, root: str, name: str) -> DataFrame:
+    """Files of run histories below ``root`` with their model and checkpoint; ``script_dump`` folders are skipped."""
+    df = (reader.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root))
+    path = F.col("_metadata.file_path")
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))  # noqa: E731  a plus sign is no space in a path
+    model = plain(F.regexp_extract(path, HISTORY_PATH_RE, 1))
+    return (df.withColumn("model", F.when(path.contains("/model="), plain(model)).otherwise(model))   # Spark escapes again
+            .withColumn("checkpoint", F.regexp_extract(path, HISTORY_PATH_RE, 2).try_cast("bigint"))
             .where(~path.contains("/script_dump/")))
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """S9 source: plain log text, one run per file (``run``); parse with ``operators.telemetry.parse_log``.
+def read_run_histories(spark: SparkSession, root: str, name: str = "trainer_state.json") -> DataFrame:
+    """One history file per checkpoint of a model, with the typed fields of ``RUN_HISTORY``."""
+    return _history_files(spark.read.schema(RUN_HISTORY), root, name)
+
+
+def read_history_metrics(spark: SparkSession, root: str, name: str = "trainer_state.json") -> DataFrame:
+    """S8 in long form: (model, checkpoint, record, step, epoch, metric, value, value_text), one row per key of a record.
 
-    ``line_no`` increases within a file of one split; set ``spark.sql.files.maxPartitionBytes`` above the size of
-    the largest log file, or number the lines when they are written.
+    The files are read as VARIANT, so metrics that nobody declared (run time, flops, a loss of one's own) are kept;
+    ``value`` is null and ``value_text`` holds the JSON where a metric is not a number. Only the history of a model's
+    last checkpoint counts: a later file repeats the records of the earlier ones. ``record`` is the position in it.
     """
-    return spark.read.text(path).select(F.input_file_name().alias("run"), F.col("value"),
-                                        F.monotonically_increasing_id().alias("line_no"))
+    files = _history_files(spark.read.option("singleVariantColumn", "v"), root, name)
+    last = Window.partitionBy("model").orderBy(F.desc("checkpoint"))        # a row per file
+    files = files.withColumn("_n", F.rank().over(last)).where("_n = 1")
+    records = files.select("model", "checkpoint", F.posexplode(
+        F.try_variant_get("v", "$.log_history", "array<variant>")).alias("record", "r"))
+    as_type = lambda c, p, t: F.try_variant_get(c, p, t)
+    pairs = records.select("model", "checkpoint", F.col("record").cast("bigint").alias("record"),
+                           as_type("r", "$.step", "bigint").alias("step"), as_type("r", "$.epoch", "double").alias("epoch"),
+                           F.explode(as_type("r", "$", "map<string,variant>")).alias("metric", "m"))
+    number = F.when(F.schema_of_variant("m").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), as_type("m", "$", "double"))
+    return pairs.where(~F.col("metric").isin("step", "epoch")).select(
+        "model", "checkpoint", "record", "step", "epoch", "metric", number.alias("value"),
+        F.when(number.isNull(), F.to_json("m")).alias("value_text"))
+
+
+def read_log_lines(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
+    """S9 source: plain log text; a file is a run, or with ``by_folder`` a folder of rotated files. Parse with
+    ``operators.telemetry.parse_log``."""
+    return numbered_lines(spark, path, by_folder).select(F.col("file").alias("run"), "value", "line_no")

@@ -60,3 +60,60 @@ def test_raw_jsonl_round_trip_kinds(spark, tmp_dir):
     raw = well_formed(read_raw_articles(spark, f"{tmp_dir}/raw"))
     kinds = {r["k"] for r in raw.select(text_kind(F.col("text")).alias("k")).collect()}
     assert kinds <= {"ARRAY<STRING>", "STRING", "VOID"} and "ARRAY<STRING>" in kinds
+
+
+def test_read_qna_raises_other_errors(spark, tmp_dir):
+    """Only a missing file falls back to the other spelling."""
+    from pyspark.errors import AnalysisException
+
+    from papyra.sources import readers
+    with open(os.path.join(tmp_dir, "QnA.jsonl"), "w") as f:
+        f.write(json.dumps({"id": 1, "question": "q", "answer": "a"}))
+    known = readers.QNA_DDL
+    try:
+        readers.QNA_DDL = "id BIGINT, id BIGINT"          # an ambiguous schema, whatever the file's name
+        with pytest.raises(AnalysisException):
+            readers.read_qna(spark, tmp_dir).collect()
+    finally:
+        readers.QNA_DDL = known
+
+
+def _write_lines(path, lines):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", newline="") as f:
+        f.write("".join(x + "\n" for x in lines))
+
+
+def test_line_numbers_over_many_splits_and_files(spark, tmp_dir):
+    from papyra.sources.readers import numbered_lines
+    files = {f"run{r}/log.{i}": [f"{r}-{i}-{k} " + "x" * (k % 50) if k % 17 else "" for k in range(300 + 40 * i)]
+             for r in range(2) for i in range(3)}
+    for name, lines in files.items():
+        _write_lines(os.path.join(tmp_dir, name), lines)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100b")
+    try:
+        got = numbered_lines(spark, f"{tmp_dir}/*")
+        assert spark.read.text(f"{tmp_dir}/*").rdd.getNumPartitions() > 50
+        found = {}
+        for r in got.collect():
+            found.setdefault(r["file"].split(tmp_dir + "/")[1], []).append((r["line_no"], r["value"]))
+        assert {n: [v for _, v in sorted(x)] for n, x in found.items()} == files
+        assert all(sorted(k for k, _ in x) == list(range(len(x))) for x in found.values())
+        whole = {}
+        for r in numbered_lines(spark, f"{tmp_dir}/*", by_folder=True).collect():
+            whole.setdefault(r["file"].rsplit("/", 1)[1], []).append((r["line_no"], r["value"]))
+        assert {n: [v for _, v in sorted(x)] for n, x in whole.items()} == {
+            f"run{r}": [v for i in range(3) for v in files[f"run{r}/log.{i}"]] for r in range(2)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_line_numbers_of_no_lines(spark, tmp_dir):
+    from papyra.sources.readers import numbered_lines, read_prompts
+    _write_lines(os.path.join(tmp_dir, "empty.txt"), [])
+    assert numbered_lines(spark, f"{tmp_dir}/empty.txt").count() == 0
+    _write_lines(os.path.join(tmp_dir, "blank.txt"), ["", " ", ""])
+    assert [r["prompt"] for r in read_prompts(spark, f"{tmp_dir}/blank.txt").orderBy("prompt_pos").collect()] == ["", "", ""]

@@ -48,13 +48,101 @@ def test_history_records_from_json(spark, tmp_dir):
     h = read_run_histories(spark, os.path.join(tmp_dir, "run"))
     curves = T.loss_curves(T.history_records(h))
     assert curves.where("kind = 'eval'").count() == 6 and curves.where("kind = 'train'").count() == 6
-    ev = T.history_records(h).where("eval_loss IS NOT NULL")
-    cmp = {r["model"]: r for r in T.variant_compare(ev).collect()}
+    every = T.history_records(h)
+    cmp = {r["model"]: r for r in T.variant_compare(every).collect()}
     assert cmp["FT_full"]["final_loss"] == 2.1112 and cmp["FT_full"]["samples_per_sec"] == 35.0
-    flags = {r["step"]: r["overfit"] for r in T.overfit_flags(ev.where("model = 'FT_full'")).collect()}
+    assert abs(cmp["FT_full"]["final_train_loss"] - 2.3) < 1e-12 and cmp["FT_full"]["n_steps"] == 3
+    flags = {r["step"]: r["overfit"] for r in T.overfit_flags(every.where("model = 'FT_full'")).collect()}
     assert flags == {110: 0, 220: 1, 330: 0}
 
 
+# train records every 4 steps, evaluations at 10, 20 and 33, a closing record; one evaluation has no number
+MIXED = ([{"step": s, "epoch": s / 10, "loss": 3.0 - s / 100, "grad_norm": 1.0} for s in range(4, 33, 4)]
+         + [{"step": 10, "epoch": 1.0, "eval_loss": 2.2, "eval_samples_per_second": 30.0},
+            {"step": 20, "epoch": 2.0, "eval_loss": 2.3, "eval_samples_per_second": 40.0},
+            {"step": 25, "epoch": 2.5, "eval_loss": None}, {"step": 33, "epoch": 3.3, "eval_loss": 2.25}]
+         + [{"step": 33, "epoch": 3.3, "train_runtime": 584.0, "total_flos": 1.766e16, "train_loss": 1.9, "my_metric": 7,
+             "done": True}])
+
+
+def _history(root, model, checkpoint, records):
+    import os
+    d = os.path.join(root, model, f"checkpoint-{checkpoint}")
+    os.makedirs(d)
+    with open(os.path.join(d, "trainer_state.json"), "w") as f:
+        json.dump({"log_history": records, "global_step": checkpoint, "max_steps": 33}, f, indent=1)
+
+
+def test_mixed_history(spark, tmp_dir):
+    """Evaluations and train records at steps of their own, in one unfiltered table."""
+    from papyra.sources.readers import read_history_metrics, read_run_histories
+    _history(tmp_dir, "FT full+", 33, MIXED)
+    _history(tmp_dir, "FT full+", 20, MIXED[:7])          # an earlier checkpoint repeats records
+    _history(tmp_dir, "only-train", 33, MIXED[:8])
+    _history(tmp_dir, "script_dump", 33, MIXED)
+    wide = T.history_records(read_run_histories(spark, tmp_dir).where("checkpoint = 33"))
+    metrics = read_history_metrics(spark, tmp_dir)
+    assert {r["model"] for r in metrics.select("model").distinct().collect()} == {"FT full+", "only-train"}
+    for records in (wide, T.records_of(metrics)):
+        got = {r["step"]: r for r in T.evaluation_report(records).collect()}
+        assert sorted(got) == [10, 20, 33]
+        assert {s: r["overfit"] for s, r in got.items()} == {10: 0, 20: 1, 33: 0}
+        assert {s: r["train_step"] for s, r in got.items()} == {10: 8, 20: 20, 33: 32}
+        assert {s: round(r["train_loss"], 6) for s, r in got.items()} == {10: 2.92, 20: 2.8, 33: 2.68}
+        assert [s for s, r in got.items() if r["is_best"]] == [10] and [r["loss_rank"] for _, r in sorted(got.items())] == [1, 3, 2]
+        assert {s for s, r in got.items() if r["is_retained"]} == {20, 33}
+        assert {r["step"]: r["overfit"] for r in T.overfit_flags(records).collect()} == {10: 0, 20: 1, 33: 0}
+        assert {r["step"]: r["is_best"] for r in T.checkpoint_rank(records).collect()} == {10: 1, 20: 0, 33: 0}
+        v = {r["model"]: r for r in T.variant_compare(records).collect()}
+        full = v["FT full+"]
+        assert (full["final_loss"], full["final_step"], full["best_loss"], full["best_step"]) == (2.25, 33, 2.2, 10)
+        assert full["final_minus_best"] == 0.05 and round(full["final_train_loss"], 6) == 2.68 and full["samples_per_sec"] == 35.0
+        assert v["only-train"]["best_loss"] is None and round(v["only-train"]["final_train_loss"], 6) == 2.68
+
+
+def test_metrics_that_nobody_declared(spark, tmp_dir):
+    from papyra.sources.readers import read_history_metrics
+    _history(tmp_dir, "m", 33, MIXED)
+    m = read_history_metrics(spark, tmp_dir)
+    by = {r["metric"]: r for r in T.metric_summary(m).collect()}
+    assert by["my_metric"]["most"] == 7.0 and by["total_flos"]["most"] == 1.766e16 and by["loss"]["n"] == 8
+    assert by["done"]["most"] is None
+    assert m.where("metric = 'done'").first()["value_text"] == "true"
+    end = T.closing_figures(m).first()
+    assert (end["train_runtime"], end["total_flos"], end["train_loss"]) == (584.0, 1.766e16, 1.9)
+
+
+def test_histories_written_by_spark(spark, tmp_dir):
+    """Models whose names need escaping in a path, and no file at all."""
+    from papyra.sources.readers import read_history_metrics
+    rows = [(m, 33, json.dumps({"log_history": [{"step": 1, "loss": 1.5}]})) for m in ("a/b c", "FT=1", "x+y %20")]
+    (spark.createDataFrame(rows, "model string, checkpoint int, value string").write.partitionBy("model", "checkpoint")
+     .text(f"{tmp_dir}/h"))
+    got = read_history_metrics(spark, f"{tmp_dir}/h", "part-*").collect()
+    assert {(r["model"], r["checkpoint"], r["value"]) for r in got} == {("a/b c", 33, 1.5), ("FT=1", 33, 1.5), ("x+y %20", 33, 1.5)}
+
+
+def test_step_intervals(spark):
+    said = ["Start crawling articles...", "Total loaded articles: 12", "Elapsed time for crawling articles: 5.50 seconds",
+            "Start preprocessing", "  more", "Finished preprocessing articles. Total time: 0.33 seconds. Omitted 3 articles with empty text.",
+            "Start again"]
+    head = "[2026-02-24 10:00:{:02d}] [ INFO  ] [ {} ] {}"
+    lines = [("r", i, head.format(2 * i, "c", m)) for i, m in enumerate(said)] + [("r", 100, head.format(50, "d", "alone"))]
+    lines += [("r", 7, "continued 9 seconds")]
+    parsed = T.parse_log(spark.createDataFrame(lines, "run string, line_no bigint, value string"))
+    steps = T.step_intervals(parsed)
+    got = {(r["component"], r["first_line"]): r for r in steps.collect()}
+    assert sorted(got) == [("c", 0), ("c", 3), ("c", 6), ("d", 100)]
+    one, two = got["c", 0], got["c", 3]
+    assert (one["last_line"], one["n_events"], one["measured_sec"], one["reported_sec"], one["n_reported"], one["closed"]) == (
+        2, 3, 4, 5.5, 12, 1)
+    assert (two["reported_sec"], two["n_reported"], two["measured_sec"]) == (0.33, 3, 4)
+    assert got["c", 6]["closed"] == 0 and got["c", 6]["reported_sec"] is None
+    report = {r["component"]: r for r in T.step_report(steps).collect()}
+    assert (report["c"]["n_steps"], report["c"]["n_open"], report["c"]["reported_sec"]) == (2, 1, 5.83)
+    assert report["c"]["n_reported"] == 15 and report["d"]["n_steps"] == 0 and report["d"]["reported_per_sec"] is None
+
+
 def test_lead_in_order_hot_key(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
         (F.col("id") % 7).cast("string")).alias("k"), (F.col("id") * 13 % 5003).alias("t"))
