@@ -128,6 +128,8 @@ def bertscore_corpus(scores: DataFrame, by: str = "model") -> DataFrame:
 
 # ---- A1-A7 summaries ------------------------------------------------------------------------
 
+# How far a figure may lie from the best one to be marked, and how a cell prints it.
+TIE, CELL = 1e-12, "%.4f"
 METRICS = ("nll", "bert_p", "bert_r", "bert_f1")
 LARGER_IS_BETTER = {"nll": False, "bert_p": True, "bert_r": True, "bert_f1": True}
 
@@ -152,7 +154,7 @@ def summary_sorted(summary: DataFrame) -> DataFrame:
             .orderBy("sort_rank"))
 
 
-def best_marks(summary: DataFrame, eps: float = 1e-12) -> DataFrame:
+def best_marks(summary: DataFrame, eps: float = TIE) -> DataFrame:
     """A5: flag the best value per metric (min for nll, max otherwise); ties all flagged."""
     w = Window.partitionBy()   # the summary has one row per model
     cols = []
@@ -166,7 +168,7 @@ def summary_cells(marked: DataFrame) -> DataFrame:
     """Display cells ``%.4f``, bold (``**x**``) where best, per model in order."""
     cells = []
     for m in METRICS:
-        txt = F.format_string("%.4f", F.col(m))
+        txt = F.format_string(CELL, F.col(m))
         cells.append(F.when(F.col(f"best_{m}") == 1, F.concat(F.lit("**"), txt, F.lit("**")))
                      .otherwise(txt).alias(f"{m}_cell"))
     row = F.concat(F.lit("| "), F.col("model"), F.lit(" | "),

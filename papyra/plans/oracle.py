@@ -8,7 +8,7 @@ no input where that differs from the Unicode-aware Spark patterns.
 from __future__ import annotations
 
 from papyra import DEFAULT_MODELS, DEFAULT_SEED
-from papyra.functions.text import PY_WS
+from papyra.functions.text import EMAIL_PATTERN, PHONE_PATTERN, PY_WS, URL_PATTERN
 
 PYWS_SQL = "(" + "||".join(f"chr({ord(c)})" for c in PY_WS) + ")"
 NL = "chr(10)"
@@ -27,9 +27,7 @@ articles AS (
   FROM (SELECT doc_id, string_split(text, {NL}) AS l FROM documents)
 )"""
 
-_KEEP = ("NOT regexp_matches(p, 'http[s]?://|www\\.\\S+') "
-         "AND NOT regexp_matches(p, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}\\b') "
-         "AND NOT regexp_matches(p, '\\+\\d{1,3}')")
+_KEEP = " AND ".join(f"NOT regexp_matches(p, '{pattern}')" for pattern in (URL_PATTERN, EMAIL_PATTERN, PHONE_PATTERN))
 _CLEAN_P = f"trim(replace(replace(replace(p, {NL}, ''), chr(13), ''), '  ', ' '), {PYWS_SQL})"
 _CLEAN_T = (f"CASE WHEN teaser IS NULL OR teaser = '' THEN teaser "
             f"ELSE trim(replace(replace(teaser, '+++', ''), '  ', ' '), {PYWS_SQL}) END")
