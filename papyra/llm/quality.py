@@ -9,6 +9,7 @@ any other. Only the statistics are inputs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, segment_ids, span_hashes, stage, text_slices, word_bounds
+from .common import crc_mod, give_back, segment_ids, span_hashes, stage, text_slices, word_bounds
 
 STATS = ["log_bytes", "log_words", "log_lines", "word_len", "upper", "digit", "symbol", "bang", "bar", "space",
          "wide", "stop", "distinct", "same_next", "tagged", "line_upper", "line_symbol", "line_bar", "line_same",
@@ -107,6 +108,7 @@ def document_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             flat = pa.array(values.ravel())
             stats = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * len(STATS)), flat)
             yield pa.RecordBatch.from_arrays([rows.column(0), stats], ["key", "stats"])
+        give_back()
 
     return rows.mapInArrow(run, f"key {kind}, stats array<double>").withColumnRenamed("key", key)
 
@@ -282,10 +284,11 @@ def accepted(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     @F.arrow_udf("boolean")
-    def keep(texts: pa.Array) -> pa.Array:
-        batch = pa.RecordBatch.from_arrays([texts], ["text"])
-        parts = [shared.value.calibrated(_stats(data, offsets)) >= 0.5
-                 for _, data, offsets in text_slices(iter([batch]), TEXT_SLICE)]
-        return pa.array(np.concatenate(parts) if parts else np.zeros(0, bool), pa.bool_())
+    def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = iter([pa.RecordBatch.from_arrays([texts], ["text"])])
+            parts = [shared.value.calibrated(_stats(data, offsets)) >= 0.5 for _, data, offsets in text_slices(rows, TEXT_SLICE)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0, bool), pa.bool_())
+        give_back()
 
     return docs.where(keep(F.col(text)))

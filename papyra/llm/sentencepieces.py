@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
-from .common import span_hashes, text_slices
+from .common import give_back, span_hashes, text_slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the model format
 UNIGRAM, BPE = 1, 2
-CACHE = 1_000_000  # distinct cuts that a worker remembers before it starts afresh
+CACHE = 1_000_000  # distinct cuts that a task remembers before it starts afresh
 JOINED = 2000  # cuts to a text of a batch call
 
 
@@ -250,7 +250,7 @@ class Codec:
 
 @lru_cache(maxsize=1)
 def _codec(raw: bytes, parity: bool) -> Codec:
-    """One codec per worker process, so tasks that follow find its cuts."""
+    """One codec per worker process; tasks that follow find the model parsed."""
     return Codec(raw, parity)
 
 
@@ -299,6 +299,8 @@ def encode_texts(docs: DataFrame, raw_model: bytes, text: str = "text", ids: boo
                 out.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32), mask=np.append(null, False)),
                                                     pa.array(flat)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], [*batch.schema.names[:-1], *added])
+        codec.forget()
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
