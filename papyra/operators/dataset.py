@@ -5,11 +5,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyra.functions.text import tokens
-from papyra.operators.ranking import exact_rank, global_rank, keep_first
+from papyra.operators.ranking import exact_rank, global_rank, keep_first, kth_key
 
 # The end-of-text id (also the pad id) of a 50,257-entry vocabulary; the id
 # below it stands for tokens outside the vocabulary. No token gets either of them.
@@ -51,8 +55,8 @@ def _seeded_key(seed: int, id_col: str):
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
-def split_ids(samples: DataFrame, seed: int = 42, test_size: float = 0.1, id_col: str = "idx"):
-    """D2 on the ids alone: (id, ``split``, ``rank``, ``split_rank``) and the boundary (key, id) of the train split.
+def split_ids(samples: DataFrame, seed: int = 42, test_size: float = 0.1, id_col: str = "idx") -> DataFrame:
+    """D2 on the ids alone: (id, ``split``, ``rank``, ``split_rank``).
 
     Eval = the first ceil(test_size * n) ids in the order of md5("seed:id"). No text is shuffled or stored.
     """
@@ -61,12 +65,26 @@ def split_ids(samples: DataFrame, seed: int = 42, test_size: float = 0.1, id_col
     keyed = ids.withColumn("_key", _seeded_key(seed, id_col))
     ranked, totals = exact_rank(keyed, "_key", id_col, out="rank", with_totals=True)
     n_eval = eval_count(totals.get((), 0), test_size)
-    ranked = materialize(ranked, "split-ranks")
-    first = ranked.where(F.col("rank") == n_eval).select("_key", id_col).first()
     is_eval = F.col("rank") < n_eval
-    out = (ranked.withColumn("split", F.when(is_eval, F.lit("eval")).otherwise(F.lit("train")))
-           .withColumn("split_rank", F.when(is_eval, F.col("rank")).otherwise(F.col("rank") - n_eval)).drop("_key"))
-    return out, (first["_key"], first[id_col])
+    return (ranked.withColumn("split", F.when(is_eval, F.lit("eval")).otherwise(F.lit("train")))
+            .withColumn("split_rank", F.when(is_eval, F.col("rank")).otherwise(F.col("rank") - n_eval)).drop("_key"))
+
+
+def split_boundary(samples: DataFrame, seed: int = 42, test_size: float = 0.1, id_col: str = "idx"):
+    """The (key, id) of the first row of the train split, found by selection: no id is ranked, moved or stored.
+
+    A histogram of the keys' leading digits tells which bucket holds the row; the bucket is refined until few keys are
+    left. The driver receives histograms of at most 16^3 rows and one short list of keys.
+    """
+    keyed = samples.select(_seeded_key(seed, id_col).alias("_key"), id_col)
+    return kth_key(keyed, "_key", id_col, lambda n: eval_count(n, test_size))
+
+
+def eval_rows(samples: DataFrame, test_size: float = 0.1) -> tuple[int, int]:
+    """D3: (train rows, eval rows) of a split, from one count."""
+    n = samples.count()
+    n_eval = eval_count(n, test_size)
+    return n - n_eval, n_eval
 
 
 def with_split(samples: DataFrame, boundary, seed: int = 42, id_col: str = "idx") -> DataFrame:
@@ -80,15 +98,18 @@ def train_eval_split(samples: DataFrame, seed: int = 42, test_size: float = 0.1,
                      id_col: str = "idx") -> DataFrame:
     """The rows with ``split``, ``rank`` (position in the seeded order) and ``split_rank`` (inside the split).
 
-    Where the positions are not needed, ``split_ids`` and ``with_split`` leave the texts where they are.
+    Where the positions are not needed, ``split_boundary`` and ``with_split`` leave the texts where they are.
     """
-    ids, _ = split_ids(samples, seed, test_size, id_col)
-    return samples.join(ids, id_col)
+    return samples.join(split_ids(samples, seed, test_size, id_col), id_col)
 
 
-def split_sizes(split: DataFrame) -> DataFrame:
-    """D3: rows per split."""
-    return split.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+def split_sizes(samples: DataFrame, test_size: float = 0.1) -> DataFrame:
+    """D3: rows per split: counted where the rows have a ``split``; else they follow from the number of rows, and nothing
+    is ranked or written."""
+    if "split" in samples.columns:
+        return samples.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    n_train, n_eval = eval_rows(samples, test_size)
+    return samples.sparkSession.createDataFrame([("train", n_train), ("eval", n_eval)], "split string, n bigint")
 
 
 # ---- D4/D5 vocabulary and tokenization -------------------------------------------------
@@ -109,22 +130,34 @@ def vocabulary(texts: DataFrame, vocab_size: int | None = None, text_col: str =
     return ranked.select("tok", "cnt", F.when(rank < UNK_ID, rank).otherwise(rank + 2).alias("id"))
 
 
+TEXT_BLOCK = 4 << 20  # characters of text whose tokens ask the vocabulary together
+
+
 def tokenize(samples: DataFrame, vocab: DataFrame, text_col: str = "x", unk_id: int = UNK_ID,
-             id_col: str = "idx") -> DataFrame:
+             id_col: str = "idx", n_blocks: int | None = None) -> DataFrame:
     """``input_ids`` per sample, text column dropped; tokens outside the vocabulary get ``unk_id``.
 
-    Token positions meet the vocabulary in a join (Spark broadcasts a small vocabulary by its own size estimate and
-    splits hot tokens of a large one) and are regrouped per sample; ``id_col`` must be unique. A null text has null
-    ids, a text without tokens an empty list.
+    Dictionary encoding by block: the distinct tokens of a block of samples ask the vocabulary, and the ids are filled
+    in by array lookup, so token positions are not shuffled. Rows keep their multiplicity and their other columns. A
+    null text has null ids, a text without tokens an empty list.
     """
+    from papyra.operators.blocks import block_count, lookup_in_blocks, positions_in
     keep = [c for c in samples.columns if c != text_col]
-    pos = samples.select(id_col, F.posexplode(tokens(F.col(text_col))).alias("pos", "tok"))
-    ids = (pos.join(vocab.select("tok", "id"), "tok", "left")
-           .select(id_col, F.struct("pos", F.coalesce(F.col("id"), F.lit(unk_id)).cast("int").alias("id")).alias("p"))
-           .groupBy(id_col).agg(F.sort_array(F.collect_list("p")).alias("_ps")))
-    out = samples.select(*keep, F.col(text_col).isNull().alias("_null")).join(ids, id_col, "left")
-    found = F.coalesce(F.transform("_ps", lambda x: x["id"]), F.array().cast("array<int>"))
-    return out.select(*keep, F.when(~F.col("_null"), found).alias("input_ids"))
+    if n_blocks is None:
+        n_blocks = block_count(samples, F.length(text_col).cast("bigint"), TEXT_BLOCK)
+    rows = samples.select(*keep, tokens(F.col(text_col)).alias("_toks"))
+    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
+
+    def encode(block: pa.Table, known: pa.Table) -> pa.Table:
+        lists, at = positions_in(block["_toks"], known["tok"])
+        ids = pc.fill_null(known["id"].combine_chunks().take(at), unk_id).cast(pa.int32())
+        bounds = np.zeros(len(lists) + 1, np.int32)
+        np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), out=bounds[1:])
+        null = np.append(lists.is_null().to_numpy(zero_copy_only=False), False)
+        found = pa.ListArray.from_arrays(pa.array(bounds, mask=null), ids)
+        return pa.table([*(block[c] for c in keep), found], names=[*keep, "input_ids"])
+
+    return lookup_in_blocks(rows, ["_toks"], vocab.select("tok", "id"), encode, schema, n_blocks, [id_col])
 
 
 def truncate(tok: DataFrame, max_length: int = 512) -> DataFrame:

@@ -4,9 +4,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyra import DEFAULT_MODELS
 from papyra.functions.models import model_array
@@ -72,12 +74,12 @@ def _match_weighted(pm: np.ndarray, pc: np.ndarray, rm: np.ndarray, rc: np.ndarr
     return bp, br, f1
 
 
-SCORE_TYPE = "struct<bert_p:double,bert_r:double,bert_f1:double>"
 SCORE_COLS = ["bert_p", "bert_r", "bert_f1"]
+PAIR_BLOCK = 1 << 20  # characters of text whose token vectors meet in one task
 
 
 def bertscore(pairs: DataFrame, vectors: DataFrame, pred_col: str = "prediction",
-              ref_col: str = "reference", keys=("model", "id")) -> DataFrame:
+              ref_col: str = "reference", keys=("model", "id"), n_blocks: int | None = None) -> DataFrame:
     """V6: greedy cosine matching of token embeddings (Zhang et al., 2020).
 
     P = mean over prediction tokens of the best cosine against the reference
@@ -85,40 +87,51 @@ def bertscore(pairs: DataFrame, vectors: DataFrame, pred_col: str = "prediction"
     pairs with an empty side score 0. ``vectors`` holds (tok, embedding), one
     row per token; a token without a vector matches nothing (cosine 0).
 
-    Each side is reduced to distinct (pair, token) with a count, joined to the
-    unit vectors (normalised once, natively; Spark broadcasts a small table
-    and splits hot tokens of a large one) and gathered per pair (at most one
-    vector per distinct token of that pair's texts); an Arrow-batched UDF
-    scores many pairs per call with one blocked matrix product per pair.
+    Pairs are dealt into blocks of about ``PAIR_BLOCK`` characters. A block
+    gathers one copy of the vector of each distinct token it holds and scores
+    its pairs there, one blocked matrix product per pair.
     """
+    from papyra.operators.blocks import block_count, lookup_in_blocks
     keys = list(keys)
-    e = F.col("embedding").cast("array<double>")
-    norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = vectors.select("tok", F.when(norm > 0, F.transform(e, lambda x: x / norm)).alias("u"))
-
-    def side(col, name):
-        counts = (pairs.select(*keys, F.explode(tokens(F.col(col))).alias("tok"))
-                  .groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("cnt")))
-        return counts.join(unit, "tok", "left").groupBy(*keys).agg(
-            F.collect_list(F.struct("u", "cnt")).alias(f"{name}_tokens"))
-
-    @F.pandas_udf(SCORE_TYPE)
-    def score(pu: pd.Series, pc: pd.Series, ru: pd.Series, rc: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, ac, b, bc in zip(pu, pc, ru, rc):
-            known = [x for side in (a, b) if side is not None for x in side if x is not None]
-            if a is None or b is None or not len(a) or not len(b) or not known:
-                out.append((0.0, 0.0, 0.0))
-                continue
-            zero = np.zeros(len(known[0]))
-            out.append(_match_weighted(np.stack([zero if x is None else x for x in a]), np.asarray(ac, np.float64),
-                                       np.stack([zero if x is None else x for x in b]), np.asarray(bc, np.float64)))
-        return pd.DataFrame(out, columns=SCORE_COLS, dtype="float64")
-
-    g = (pairs.select(*keys).join(side(pred_col, "p"), keys, "left").join(side(ref_col, "r"), keys, "left"))
-    part = lambda c, f: F.transform(c, lambda x: x[f])
-    s = score(part("p_tokens", "u"), part("p_tokens", "cnt"), part("r_tokens", "u"), part("r_tokens", "cnt"))
-    return g.select(*keys, s.alias("s")).select(*keys, "s.bert_p", "s.bert_r", "s.bert_f1")
+    rows = pairs.select(*keys, tokens(F.col(pred_col)).alias("_p"), tokens(F.col(ref_col)).alias("_r"))
+    if n_blocks is None:
+        text = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("bigint")
+        n_blocks = block_count(pairs, text(pred_col) + text(ref_col), PAIR_BLOCK)
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField(c, T.DoubleType()) for c in SCORE_COLS])
+
+    def score(block: pa.Table, known: pa.Table) -> pa.Table:
+        unit = _unit_rows(known["embedding"])
+        scores = np.zeros((block.num_rows, 3))
+        (p, p_at), (r, r_at) = (_known_tokens(block[c], known["tok"]) for c in ("_p", "_r"))
+        for i in range(block.num_rows):
+            a, b = p[p_at[i]:p_at[i + 1]], r[r_at[i]:r_at[i + 1]]
+            if len(a) and len(b) and (a.max() >= 0 or b.max() >= 0):
+                (a, na), (b, nb) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+                scores[i] = _match_weighted(unit[a], na, unit[b], nb)        # -1, no vector: the row of zeros at the end
+        return pa.table([block[k] for k in keys] + [pa.array(c) for c in scores.T], names=[*keys, *SCORE_COLS])
+
+    return lookup_in_blocks(rows, ["_p", "_r"], vectors.select("tok", "embedding"), score, schema, n_blocks, keys)
+
+
+def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of length one (a null or zero vector stays zero), and a row of zeros at the end."""
+    lists = [x for x in column.to_numpy()]
+    width = max((len(x) for x in lists if x is not None), default=0)
+    out = np.zeros((len(lists) + 1, width))
+    for i, x in enumerate(lists):
+        if x is not None and len(x) == width:
+            out[i] = x
+    size = np.sqrt((out ** 2).sum(axis=1))
+    return out / np.where(size > 0, size, 1)[:, None]
+
+
+def _known_tokens(column: pa.ChunkedArray, known: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each token in ``known`` or -1, bounds of the rows' tokens); a null list is empty."""
+    from papyra.operators.blocks import positions_in
+    lists, at = positions_in(column, known)
+    bounds = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), out=bounds[1:])
+    return pc.fill_null(at, -1).to_numpy(zero_copy_only=False), bounds
 
 
 def bertscore_corpus(scores: DataFrame, by: str = "model") -> DataFrame:

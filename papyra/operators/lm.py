@@ -152,22 +152,69 @@ def perplexity(loss: Column) -> Column:
     return F.when(loss.isNotNull() & (loss != 0), F.exp(loss))
 
 
+def counted_ngrams(df: DataFrame, keys: list[str], toks: Column, answers_from: str | None = None) -> DataFrame:
+    """(keys..., prev, tok, n, n_answer): how often each n-gram occurs in the texts of a key, and how often at a position
+    of ``answers_from`` (a column) and later. Counted before anything is joined, and within a task before it moves."""
+    extra = [answers_from] if answers_from else []
+    pos = positions(df, [*keys, *extra], toks)
+    late = F.sum((F.col("pos") >= F.col(answers_from)).cast("bigint")) if answers_from else F.lit(0).cast("bigint")
+    return pos.groupBy(*keys, "prev", "tok").agg(F.count(F.lit(1)).alias("n"), late.alias("n_answer"))
+
+
+def nll_of_counts(m: NgramModels, counted: DataFrame, keys: list[str], models=tuple(VARIANT_COLUMNS)) -> DataFrame:
+    """(model, keys..., n_tokens, nll, n_answer_tokens, nll_answer) of ``counted_ngrams``.
+
+    Log-probs are computed once per distinct n-gram; they meet the counts in a join in which no n-gram gathers in a task,
+    and the sums of all variants are taken together before the rows are told apart by model.
+    """
+    from papyra.operators.blocks import heavy_join
+    from papyra.session import materialize
+    counted = materialize(counted, "ngram-counts")
+    rows = counted.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("n"))
+    distinct = materialize(rows, "distinct-ngrams")
+    scored = heavy_join(counted, ngram_logprobs(m, distinct.select("prev", "tok")), ["prev", "tok"], counted=distinct)
+    sums = [F.sum(F.col(w) * F.col(VARIANT_COLUMNS[name])).alias(f"{w}:{name}") for name in models for w in ("n", "n_answer")]
+    total = scored.groupBy(*keys).agg(F.sum("n").alias("n_tokens"), F.sum("n_answer").alias("n_answer_tokens"), *sums)
+    mean = lambda w, name, n: F.when(F.col(n) > 0, -F.col(f"`{w}:{name}`") / F.col(n))
+    stack = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), mean("n", name, "n_tokens").alias("nll"),
+                                         mean("n_answer", name, "n_answer_tokens").alias("nll_answer")) for name in models]))
+    return total.select(*keys, "n_tokens", "n_answer_tokens", stack.alias("s")).select(
+        F.col("s.model").alias("model"), *keys, "n_tokens", F.col("s.nll").alias("nll"), "n_answer_tokens",
+        F.col("s.nll_answer").alias("nll_answer"))
+
+
+def qna_nll(m: NgramModels, qna: DataFrame, models=tuple(VARIANT_COLUMNS)) -> DataFrame:
+    r"""V3/V4: (model, id, nll, nll_full, n_answer_tokens): mean NLL of ``Q: q\nA: a`` over the answer's tokens (the prompt
+    ``Q: q\nA:`` masked) and over all. Null when the answer has no tokens; a null question or answer counts as empty."""
+    from papyra.operators.evaluation import qna_full, qna_prompt
+    q, a = F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))
+    seq = qna.select("id", F.size(tokens(qna_prompt(q))).cast("bigint").alias("prompt_len"), tokens(qna_full(q, a)).alias("seq"))
+    found = nll_of_counts(m, counted_ngrams(seq, ["id"], F.col("seq"), "prompt_len"), ["id"], models)
+    return found.select("model", "id", F.col("nll_answer").alias("nll"), F.col("nll").alias("nll_full"), "n_answer_tokens")
+
+
 def text_nll(m: NgramModels, df: DataFrame, keys: list[str], text_col: str,
              models=tuple(VARIANT_COLUMNS)) -> DataFrame:
     """(model, keys..., n_tokens, nll) for each text under each variant; no tokens: 0 and a null NLL."""
-    pos = positions(df, keys, tokens(F.col(text_col)))
-    s = score_positions(m, pos, keys, models)
-    found = s.groupBy("model", *keys).agg(F.count(F.lit(1)).alias("n"), F.avg(-F.col("logprob")).alias("nll"))
+    found = nll_of_counts(m, counted_ngrams(df, keys, tokens(F.col(text_col))), keys, models)
     every = df.select(F.explode(F.array(*[F.lit(x) for x in models])).alias("model"), *keys)
     return every.join(found, ["model", *keys], "left").select(
-        "model", *keys, F.coalesce("n", F.lit(0).cast("bigint")).alias("n_tokens"), "nll")
+        "model", *keys, F.coalesce("n_tokens", F.lit(0).cast("bigint")).alias("n_tokens"), "nll")
 
 
-def corpus_nll_by(m: NgramModels, docs: DataFrame, group_col: str, text_col: str = "text") -> DataFrame:
-    """Base-model mean NLL of all tokens per group (pre-aggregated per (group, tok))."""
-    counts = (docs.select(group_col, F.explode(tokens(F.col(text_col))).alias("tok"))
-              .groupBy(group_col, "tok").agg(F.count(F.lit(1)).alias("n")))
-    p = (F.coalesce(F.col("c_doc"), F.lit(0)).cast("double") + 1.0) / F.lit(float(m.n_doc + m.v_doc))
-    j = counts.join(m.token_stats.select("tok", "c_doc"), "tok", "left").withColumn("nlp", -F.ln(p))
-    return j.groupBy(group_col).agg(F.sum("n").alias("n_tokens"),
-                                    (F.sum(F.col("n") * F.col("nlp")) / F.sum("n")).alias("nll"))
+def corpus_nll(m: NgramModels, df: DataFrame, text_col: str, models=tuple(VARIANT_COLUMNS)) -> DataFrame:
+    """(model, n_tokens, nll) of all texts together."""
+    return nll_of_counts(m, counted_ngrams(df, [], tokens(F.col(text_col))), [], models).select("model", "n_tokens", "nll")
+
+
+def nll_by_group(docs: DataFrame, group_col: str, text_col: str = "text") -> DataFrame:
+    """V5: mean NLL of all tokens of each group under the add-one unigram model of all groups together: (group, n_tokens,
+    nll). One table of counts per (group, token) gives both the model and the sums."""
+    from papyra.session import materialize
+    counts = materialize(docs.select(group_col, F.explode(tokens(F.col(text_col))).alias("tok"))
+                         .groupBy(group_col, "tok").agg(F.count(F.lit(1)).alias("n")), "group-counts")
+    total = counts.groupBy("tok").agg(F.sum("n").alias("c"))
+    size = total.agg(F.sum("c").alias("n"), F.count("c").alias("v")).first()
+    p = (F.col("c").cast("double") + 1.0) / F.lit(float((size["n"] or 0) + size["v"] + 1))
+    return counts.join(total, "tok").groupBy(group_col).agg(
+        F.sum("n").alias("n_tokens"), (F.sum(F.col("n") * -F.ln(p)) / F.sum("n")).alias("nll"))

@@ -81,6 +81,34 @@ def exact_rank(df: DataFrame, hex_key: str, tiebreak: str, out: str = "rank",
     return (out_df, totals) if with_totals else out_df
 
 
+def kth_key(df: DataFrame, hex_key: str, tiebreak: str, k, few: int = 10_000, step: int = 3):
+    """The (hex_key, tiebreak) at 0-based position ``k`` of the order (hex_key, tiebreak), without sorting the rows.
+
+    ``k`` may be a function of the number of rows. Rows are counted by the next ``step`` hex digits (at most 16^step
+    counts reach the driver), the bucket that holds the position is opened, and so on until it has at most ``few`` rows
+    or the keys are spent; each round reads the rows once. Keys are spread evenly (an md5), so two or three rounds do.
+    """
+    at, prefix = k, ""
+    while True:
+        rows = df.where(F.startswith(F.col(hex_key), F.lit(prefix))) if prefix else df
+        digits = F.substring(hex_key, 1, len(prefix) + step).alias("b")
+        counts = sorted((r["b"], r["n"]) for r in rows.groupBy(digits).agg(F.count(F.lit(1)).alias("n")).collect())
+        if callable(at):
+            at = at(sum(n for _, n in counts))
+        for bucket, n in counts:
+            if at < n:
+                break
+            at -= n
+        else:
+            raise IndexError("position beyond the last row")
+        spent = len(bucket) < len(prefix) + step or bucket == prefix
+        prefix = bucket
+        if n <= few or spent:
+            found = df.where(F.startswith(F.col(hex_key), F.lit(prefix))).orderBy(hex_key, tiebreak).limit(at + 1)
+            row = found.orderBy(F.desc(hex_key), F.desc(tiebreak)).first()
+            return row[hex_key], row[tiebreak]
+
+
 def global_rank(df: DataFrame, order: list[Column], out: str = "rank", n_parts: int | None = None) -> DataFrame:
     """Add ``out`` = 0-based position of each row in a total order, without a one-partition window.
 

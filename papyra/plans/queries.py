@@ -178,14 +178,14 @@ def _stored_samples(spark, sf_dir):
 
 def _split(spark, sf_dir):
     """Samples with their split: the texts are stored once and stay where they are; ids alone are ranked."""
-    from papyra.operators.dataset import split_ids, with_split
+    from papyra.operators.dataset import split_boundary, with_split
     samples = _stored_samples(spark, sf_dir)
-    return with_split(samples, split_ids(samples, seed=42, test_size=0.1)[1], seed=42)
+    return with_split(samples, split_boundary(samples, seed=42, test_size=0.1), seed=42)
 
 
 def _split_ids(spark, sf_dir):
     from papyra.operators.dataset import split_ids
-    return split_ids(_samples(spark, sf_dir).select("idx", "article_id"), seed=42, test_size=0.1)[0]
+    return split_ids(_samples(spark, sf_dir).select("idx", "article_id"), seed=42, test_size=0.1)
 
 
 def _vocab(spark, sf_dir):
@@ -218,7 +218,7 @@ def q_train_eval_split(spark, sf_dir):
 @register("split_sizes")
 def q_split_sizes(spark, sf_dir):
     from papyra.operators.dataset import split_sizes
-    return split_sizes(_split_ids(spark, sf_dir))
+    return split_sizes(_samples(spark, sf_dir))
 
 
 @register("vocab_topk")
@@ -229,7 +229,7 @@ def q_vocab_topk(spark, sf_dir):
 def _tokenized(spark, sf_dir):
     from papyra.operators.dataset import split_ids, tokenize
     samples = _stored_samples(spark, sf_dir)
-    ids = split_ids(samples, seed=42, test_size=0.1)[0].select("idx", "split", "split_rank")
+    ids = split_ids(samples, seed=42, test_size=0.1).select("idx", "split", "split_rank")
     return tokenize(samples.select("idx", "x"), _vocab(spark, sf_dir)).join(ids, "idx")
 
 
@@ -292,11 +292,12 @@ def _grid(spark, sf_dir):
 
 def _nll(spark, sf_dir):
     from papyra.operators import lm
-    return lm.masked_nll(lm.token_logprobs(_lms(spark, sf_dir), views.qna(spark, sf_dir)))
+    return lm.qna_nll(_lms(spark, sf_dir), views.qna(spark, sf_dir))
 
 
 def _bert(spark, sf_dir):
-    return _scores(spark, sf_dir, _grid(spark, sf_dir))
+    from papyra.session import materialize
+    return _scores(spark, sf_dir, materialize(_grid(spark, sf_dir), "grid"))
 
 
 def _scores(spark, sf_dir, grid):
@@ -318,7 +319,9 @@ def evaluate(spark, sf_dir, split=None):
     from papyra.session import materialize
     grid = materialize(_grid(spark, sf_dir), "grid")
     scores = _scores(spark, sf_dir, grid)
-    nll = lm.masked_nll(lm.token_logprobs(_lms(spark, sf_dir, split), views.qna(spark, sf_dir)))
+    # the grid holds every question once per model: its first model's rows are the Q&A pairs
+    pairs = grid.where("model_pos = 0").select("id", "question", F.col("reference").alias("answer"))
+    nll = lm.qna_nll(_lms(spark, sf_dir, split), pairs)
     results = eval_results(grid, scores, nll)
     return results, summarise(results)
 
@@ -360,8 +363,7 @@ def q_masked_nll(spark, sf_dir):
 def q_perplexity_by_lang(spark, sf_dir):
     from papyra.operators import lm
     from papyra.sources.readers import read_table
-    m = _lms(spark, sf_dir)
-    r = lm.corpus_nll_by(m, read_table(spark, sf_dir, "documents", "lang", "text"), "lang")
+    r = lm.nll_by_group(read_table(spark, sf_dir, "documents", "lang", "text"), "lang")
     return _r6(r.withColumn("perplexity", lm.perplexity(F.col("nll"))), "nll", "perplexity")
 
 
@@ -391,9 +393,7 @@ def q_lm_variant_nll(spark, sf_dir):
     from papyra.operators import lm
     split = _split(spark, sf_dir)
     ev = split.where(F.col("split") == "eval").select("idx", "x")
-    pos = lm.positions(ev, ["idx"], lm.tokens(F.col("x")))
-    s = lm.score_positions(_lms(spark, sf_dir, split), pos, ["idx"])
-    r = s.groupBy("model").agg(F.count(F.lit(1)).alias("n_tokens"), F.avg(-F.col("logprob")).alias("nll"))
+    r = lm.corpus_nll(_lms(spark, sf_dir, split), ev, "x")
     return _r6(r.withColumn("perplexity", lm.perplexity(F.col("nll"))), "nll", "perplexity")
 
 
@@ -404,8 +404,12 @@ def q_eval_summary(spark, sf_dir):
 
 @register("eval_summary_sorted")
 def q_eval_summary_sorted(spark, sf_dir):
-    from papyra.operators.evaluation import summary_sorted
-    return summary_sorted(_summary(spark, sf_dir))
+    """A4 needs no NLL: no language model is fitted."""
+    from papyra.operators.evaluation import SCORE_COLS, summarise, summary_sorted
+    from papyra.session import materialize
+    grid = materialize(_grid(spark, sf_dir), "grid")
+    scored = grid.join(_scores(spark, sf_dir, grid), ["model", "id"], "left")
+    return summary_sorted(summarise(scored, SCORE_COLS))
 
 
 @register("best_marks")

@@ -120,7 +120,7 @@ def test_vocabulary_keeps_every_token(spark):
 
 def test_split_by_boundary_matches_ranks(spark):
     samples = spark.range(57).select(F.col("id").alias("idx"))
-    ids, boundary = D.split_ids(samples)
+    ids, boundary = D.split_ids(samples), D.split_boundary(samples)
     got = {r["idx"]: r["split"] for r in D.with_split(samples, boundary).collect()}
     assert got == {r["idx"]: r["split"] for r in ids.collect()} and sum(v == "eval" for v in got.values()) == 6
 
