@@ -645,6 +645,10 @@ SELECT run, component, count(*) FILTER (WHERE closed = 1)::BIGINT AS n_steps, co
        round(sum(reported_sec), 2) AS reported_sec, sum(n_reported)::BIGINT AS n_reported,
        round((sum(n_reported) FILTER (WHERE closed = 1)) / nullif(sum(reported_sec), 0), 6) AS reported_per_sec
 FROM log_steps GROUP BY run, component""")
+ORACLE["indexed_new_docs"] = sql(["articles"], """
+SELECT idx, article_id, title FROM articles WHERE idx NOT IN (SELECT doc_id FROM labels)""")
+ORACLE["committed_samples"] = sql(["samples"], """
+SELECT idx, article_id, x, CASE WHEN idx % 2 = 0 THEN 'first' ELSE 'second' END AS tag FROM samples""")
 ORACLE["stored_samples"] = ORACLE["training_samples"]
 ORACLE["qna_scan"] = sql(["qna"], "SELECT id, question, answer FROM qna")
 ORACLE["prompt_lines"] = f"""

@@ -209,6 +209,32 @@ def q_incremental_new_docs(spark, sf_dir):
                                      F.lit(0)))
 
 
+@register("indexed_new_docs")
+def q_indexed_new_docs(spark, sf_dir):
+    """D1 by the id index: the stored ids (articles already labelled) are entered once, the batch asks its own buckets."""
+    from papyra.operators.idindex import IdIndex
+    from papyra.session import scratch_path
+    from papyra.sources.readers import read_table
+    index = IdIndex(spark, scratch_path(spark, "ids"), bucket_ids=4096)
+    index.add(read_table(spark, sf_dir, "labels", "doc_id").select(F.col("doc_id").cast("string").alias("article_id")), "labels")
+    batch = views.articles(spark, sf_dir).select("idx", "article_id", "title")
+    return batch.join(index.missing(batch), "article_id", "left_semi").select("idx", "article_id", "title")
+
+
+@register("committed_samples")
+def q_committed_samples(spark, sf_dir):
+    """Two committed writes, the first one repeated and overlapped by the second; each sample is stored once."""
+    from papyra.session import scratch_path
+    from papyra.sources.commits import read_committed
+    from papyra.sources.sinks import store_new
+    samples = _stored_samples(spark, sf_dir)
+    path = scratch_path(spark, "committed")
+    first = samples.where(F.col("idx") % 2 == 0)
+    for rows, tag in ((first, "first"), (first, "first"), (samples, "second")):
+        store_new(rows, path, tag)
+    return read_committed(spark, path, samples.schema).select("idx", "article_id", "x", "tag")
+
+
 @register("train_eval_split")
 def q_train_eval_split(spark, sf_dir):
     return _split_ids(spark, sf_dir).select("idx", F.col("idx").cast("string").alias("article_id"),
