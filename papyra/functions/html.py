@@ -36,19 +36,19 @@ def element_inner(html: Column, open_re: str, tag: Column) -> Column:
     """Inner HTML of the first element that ``open_re`` opens, up to its own closing tag (elements of the same name
     may be nested); the rest of the page if it is never closed, null if there is none."""
     rest = F.regexp_extract(html, f"(?is){open_re}(.*)$", len(_groups(open_re)) + 1)
+    # the pieces between tags of this name; the fold carries a depth and a length only, so it is linear in the page
     pieces = F.split(rest, F.concat(F.lit("(?i)(?=<"), tag, F.lit("\\b|</"), tag, F.lit("\\b)")))
-    start = F.struct(F.lit(1).alias("depth"), F.array().cast("array<string>").alias("out"))
-    lead = lambda p: F.lower(F.substring(p, 1, 2))
+    opening, closing = F.concat(F.lit("<"), F.lower(tag)), F.concat(F.lit("</"), F.lower(tag))
+    heads = F.transform(pieces, lambda p: F.struct(F.lower(F.substring(p, F.lit(1), F.length(tag) + 2)).alias("head"),
+                                                   F.length(p).alias("size")))
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size"))
 
     def step(acc, p):
-        shut = F.startswith(F.lower(p), F.concat(F.lit("</"), F.lower(tag)))
-        opened = F.startswith(F.lower(p), F.concat(F.lit("<"), F.lower(tag))) & (lead(p) != "</")
-        depth = acc["depth"] + F.when(shut, -1).when(opened, 1).otherwise(0)
-        keep = F.struct(depth.alias("depth"), F.concat(acc["out"], F.array(p)).alias("out"))
-        return F.when(acc["depth"] == 0, acc).when(depth == 0, F.struct(depth.alias("depth"), acc["out"].alias("out"))) \
-            .otherwise(keep)
-
-    inner = F.array_join(F.aggregate(pieces, start, step)["out"], "")
+        depth = acc["depth"] + F.when(F.startswith(p["head"], closing), -1).when(F.startswith(p["head"], opening), 1).otherwise(0)
+        return F.when(acc["depth"] == 0, acc).otherwise(F.struct(
+            depth.alias("depth"), F.when(depth == 0, acc["size"]).otherwise(acc["size"] + p["size"]).alias("size")))
+
+    inner = F.substring(rest, F.lit(1), F.aggregate(heads, start, step)["size"])
     return F.when(F.regexp_like(html, F.lit(f"(?is){open_re}")), inner)
 
 
@@ -168,20 +168,23 @@ class ListingProfile:
 
     ``nav`` fits the stored pages' navigation lists; ``newsfeed`` is the press
     listing layout (``article.newsfeed`` with a ``data-id`` and an ``h3`` link).
+    With ``entry_tag`` the entries are the elements of that name whose opening
+    tag matches ``entry_re``, each up to its own end, nested ones included.
     """
     container_re: str = "(?is)<nav\\b[^>]*>(.*?)</nav>"
     entry_re: str = "(?is)<li\\b[^>]*>(.*?)</li>"
     link_re: str = "(?is)<a\\b[^>]*?\\bhref\\s*=\\s*([\"'])(.*?)\\1"            # group 2: the link
     link_text_re: str = "(?is)<a\\b[^>]*?\\bhref\\s*=\\s*([\"']).*?\\1[^>]*>(.*?)</a>"   # group 2: its text
     id_re: str | None = None
+    entry_tag: str | None = None
 
 
 NAV_LISTING = ListingProfile()
 # The press listing layout: entries are `article.newsfeed` elements
 # carrying a `data-id`, each linking through `div.text h3 a[href]`.
 NEWSFEED_LISTING = ListingProfile(
-    container_re="(?is)^(.*)$",
-    entry_re="(?is)(<article\\b[^>]*class=[\"'][^\"']*\\bnewsfeed\\b[^\"']*[\"'][^>]*>.*?</article>)",
+    entry_tag="article",
+    entry_re="(?is)^<article\\b[^>]*\\bclass\\s*=\\s*[\"'][^\"']*(?<![\\w-])newsfeed(?![\\w-])[^\"']*[\"'][^>]*>",
     link_re="(?is)<div\\b[^>]*class=[\"'][^\"']*\\btext\\b[^\"']*[\"'][^>]*>.*?<h3\\b[^>]*>.*?<a\\b[^>]*?\\bhref=([\"'])(.*?)\\1",
     link_text_re="(?is)<h3\\b[^>]*>.*?<a\\b[^>]*?\\bhref=([\"']).*?\\1[^>]*>(.*?)</a>",
     id_re="(?is)^<article\\b[^>]*data-id=[\"']([^\"']*)[\"']",

@@ -69,6 +69,18 @@ def page_paragraphs(articles: DataFrame) -> DataFrame:
         .withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def _listed_elements(pages: DataFrame, listing: H.ListingProfile) -> DataFrame:
+    """(page_id, url, pos, entry): the elements whose opening tag matches, in document order, each up to its own end."""
+    from papyra.operators.elements import element_intervals
+    clean = pages.select("page_id", "url", H.strip_noise(F.col("html")).alias("html"))
+    found = element_intervals(clean, listing.entry_tag).where(F.col("open_tag").rlike(listing.entry_re))
+    spans = found.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pre", "start", "inner_end"))).alias("spans"))
+    span = F.posexplode("spans").alias("pos", "span")
+    return clean.join(spans, "page_id").select("page_id", "url", "html", span).select(
+        "page_id", "url", "pos", F.substring("html", F.col("span.start") + 1, F.col("span.inner_end") - F.col("span.start"))
+        .alias("entry"))
+
+
 def listing_links(pages: DataFrame, listing: H.ListingProfile = H.NAV_LISTING,
                   base_url: str | None = None, max_n: int | None = None) -> DataFrame:
     """Entries of each listing page with their resolved link.
@@ -78,9 +90,12 @@ def listing_links(pages: DataFrame, listing: H.ListingProfile = H.NAV_LISTING,
     first entries are processed (E4). Comments and scripts are removed first.
     The base URL is the page's own URL unless ``base_url`` is given.
     """
-    containers = F.regexp_extract_all(H.strip_noise(F.col("html")), F.lit(listing.container_re), 1)
-    entries = F.flatten(F.transform(containers, lambda c: F.regexp_extract_all(c, F.lit(listing.entry_re), 1)))
-    e = pages.select("page_id", "url", F.posexplode(entries).alias("pos", "entry"))
+    if listing.entry_tag:
+        e = _listed_elements(pages, listing)
+    else:
+        containers = F.regexp_extract_all(H.strip_noise(F.col("html")), F.lit(listing.container_re), 1)
+        entries = F.flatten(F.transform(containers, lambda c: F.regexp_extract_all(c, F.lit(listing.entry_re), 1)))
+        e = pages.select("page_id", "url", F.posexplode(entries).alias("pos", "entry"))
     if max_n is not None:
         e = e.where(F.col("pos") < max_n)
     # stage the extracted href: urljoin refers to it in many branches

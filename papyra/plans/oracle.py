@@ -645,6 +645,22 @@ SELECT run, component, count(*) FILTER (WHERE closed = 1)::BIGINT AS n_steps, co
        round(sum(reported_sec), 2) AS reported_sec, sum(n_reported)::BIGINT AS n_reported,
        round((sum(n_reported) FILTER (WHERE closed = 1)) / nullif(sum(reported_sec), 0), 6) AS reported_per_sec
 FROM log_steps GROUP BY run, component""")
+ORACLE["newsfeed_links"] = """
+WITH entries AS (SELECT page_id, url, i, page_id * 10 + i AS k FROM (SELECT *, unnest(range(1, 3 + (page_id % 3)::INT)) AS i FROM pages)),
+listed AS (SELECT page_id, url, i, 0 AS part, k::VARCHAR AS article_id, CASE WHEN i % 4 <> 0 THEN '/news/' || k END AS href,
+                  'News ' || k AS title FROM entries
+           UNION ALL SELECT page_id, url, i, 1, k || 'n', 'more/' || k, 'More ' || k FROM entries WHERE i % 3 = 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i, part) - 1 AS pos FROM listed)
+SELECT page_id, pos, title, href, article_id,
+       CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/]+') || href
+            ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '^([a-z]+://[^/]+(?:/.*)?)/[^/]*$', '\\1') || '/' || href END AS link
+FROM placed WHERE href IS NOT NULL"""
+ORACLE["newsroom_articles"] = """
+SELECT page_id, 'Press ' || page_id AS title,
+       CASE WHEN page_id % 5 <> 0 THEN '202511' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') END AS date_raw,
+       'c' || (page_id % 7) AS category, '+++ Short ' || page_id || ' +++' AS teaser, 'array' AS text_kind,
+       'Box ' || page_id || '|deep|First ' || page_id || '|Last & done' AS body
+FROM pages"""
 ORACLE["indexed_new_docs"] = sql(["articles"], """
 SELECT idx, article_id, title FROM articles WHERE idx NOT IN (SELECT doc_id FROM labels)""")
 ORACLE["committed_samples"] = sql(["samples"], """

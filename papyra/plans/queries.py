@@ -157,6 +157,23 @@ def q_page_links(spark, sf_dir):
     return listing_links(_pages(spark, sf_dir))
 
 
+@register("newsfeed_links")
+def q_newsfeed_links(spark, sf_dir):
+    """E1-E4 on the press listing layout, nested entries included."""
+    from papyra.functions.html import NEWSFEED_LISTING
+    from papyra.operators.extract import listing_links
+    return listing_links(views.newsfeed_pages(spark, sf_dir), NEWSFEED_LISTING)
+
+
+@register("newsroom_articles")
+def q_newsroom_articles(spark, sf_dir):
+    """E5-E9 on the press article layout."""
+    from papyra.functions.html import NEWSROOM_PROFILE
+    from papyra.operators.extract import page_articles
+    a = page_articles(views.newsroom_pages(spark, sf_dir), NEWSROOM_PROFILE)
+    return a.select("page_id", "title", "date_raw", "category", "teaser", "text_kind", F.array_join("paragraphs", "|").alias("body"))
+
+
 @register("date_normalise")
 def q_date_normalise(spark, sf_dir):
     from papyra.functions.dates import malformed_date, normalise_date

@@ -234,3 +234,42 @@ def press_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.replace(F.col("html"), F.lit("<article>"), head)
     bare = F.regexp_replace(marked, "(?i)</?p(\\s[^>]*)?>", " ")
     return p.select("page_id", "url", F.when(F.col("page_id") % 4 == 3, bare).otherwise(marked).alias("html"))
+
+
+def newsfeed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing pages in the press layout, put by rule before each page's own markup.
+
+    A page lists 2 + page_id % 3 entries, numbered from 1 (id = 10 page_id + number). Every fourth has no link, every
+    second holds an unrelated nested article, every third a nested entry of its own.
+    """
+    p = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    text = lambda c: c.cast("string")
+
+    def entry(i):
+        key = text(F.col("page_id") * 10 + i)
+        link = F.concat(F.lit('<h3><a href="/news/'), key, F.lit('">News '), key, F.lit("</a></h3>"))
+        aside = F.when(i % 2 == 0, F.lit('<article class="note"><p>aside</p></article>')).otherwise("")
+        more = F.when(i % 3 == 0, F.concat(
+            F.lit("<article class='newsfeed' data-id='"), key, F.lit("n'><div class='text'><h3><a href='more/"), key,
+            F.lit("'>More "), key, F.lit("</a></h3></div></article>"))).otherwise("")
+        return F.concat(F.lit('<article class="newsfeed item" data-id="'), key, F.lit('"><div class="text">'),
+                        F.when(i % 4 == 0, F.lit("none")).otherwise(link), F.lit("</div>"), aside, more, F.lit("</article>\n"))
+
+    n = (2 + F.col("page_id") % 3).cast("int")
+    entries = F.array_join(F.transform(F.sequence(F.lit(1), n), entry), "")
+    return p.select("page_id", "url", F.concat(F.lit("</article>"), entries, F.col("html")).alias("html"))
+
+
+def newsroom_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article pages in the press layout, put by rule before each page's own markup: ``.article-info`` with category and
+    date, ``.teaser.clear``, and ``#article-text`` with nested boxes; every fifth page has no date."""
+    p = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    n = F.col("page_id").cast("string")
+    day = F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")
+    head = F.concat(
+        F.lit("<h1>Press "), n, F.lit("</h1><span class='category'>menu</span><div class='article-info'><span class='category'>c"),
+        (F.col("page_id") % 7).cast("string"), F.lit("</span>"),
+        F.when(F.col("page_id") % 5 == 0, "").otherwise(F.concat(F.lit("<div class='date'>"), day, F.lit(".11.2025</div>"))),
+        F.lit("</div><div class='clear teaser'>+++ Short "), n, F.lit(" +++</div><div id='article-text'><div class='box'><p>Box "), n,
+        F.lit("</p><div><p>deep</p></div></div><p>First "), n, F.lit("</p><p> </p><p>Last &amp; done</p></div><p>outside</p>"))
+    return p.select("page_id", "url", F.concat(head, F.col("html")).alias("html"))
