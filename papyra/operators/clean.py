@@ -53,6 +53,13 @@ def training_samples(articles: DataFrame, ws_mode: str = "parity",
     return a.select(F.explode(keep).alias("s")).select("s.idx", "s.article_id", "s.x")
 
 
+def assessed_samples(articles: DataFrame, ws_mode: str = "parity", drop_zero_idx: bool = True) -> DataFrame:
+    """C9-C11 in one pass: every article as ``(idx, article_id, x, omit_reason)``; ``x`` is null where it is omitted."""
+    a = assess(articles, ws_mode, drop_zero_idx)
+    x = tx.template(F.col("title"), F.col("teaser_clean"), F.col("text_clean"))
+    return a.select("idx", "article_id", F.when(F.col("omit_reason").isNull(), x).alias("x"), "omit_reason")
+
+
 def omitted(articles: DataFrame, ws_mode: str = "parity", drop_zero_idx: bool = True) -> DataFrame:
     """The omitted articles (ids and reason), cleaning each article once
     (emitted through a 0-or-1 generator, as in ``training_samples``)."""

@@ -89,3 +89,32 @@ def test_workflow_chain(spark):
     summ = out["eval_summary"].collect()
     assert [r["model"] for r in summ] == ["base", "FT_full", "FT-M1B"]
     assert all(0 <= r["bert_f1"] <= 1 for r in summ)
+
+
+def test_workflow_resumes(spark, tmp_dir, monkeypatch):
+    """Committed steps are read, not run; a changed parameter, ``regenerate`` or a half-written step runs again."""
+    from papyra.plans import workflow
+    from papyra.sources.commits import commits
+    ran = []
+    for name, fn in list(workflow.STEPS.items()):
+        monkeypatch.setitem(workflow.STEPS, name, lambda *a, n=name, f=fn: ran.append(n) or f(*a))
+    steps, params = ["prepare", "split", "tokenize"], {"sf_dir": SF001, "run_dir": f"{tmp_dir}/run"}
+    first = workflow.run_steps(spark, steps, params)
+    counts = {k: first[k].count() for k in ("samples", "omitted", "split", "tokenized")}
+    assert ran == steps and counts["samples"] == counts["split"] == counts["tokenized"]
+    assert counts["samples"] + counts["omitted"] == spark.read.parquet(f"{SF001}/documents.parquet").count()
+    assert {r["reason"]: r["n"] for r in first["omissions"].collect()}["kept"] == counts["samples"]
+    ran.clear()
+    again = workflow.run_steps(spark, steps, params)
+    assert ran == [] and {k: again[k].count() for k in counts} == counts
+    assert sorted(again["split"].select("idx", "rank").collect()) == sorted(first["split"].select("idx", "rank").collect())
+    workflow.run_steps(spark, steps, params | {"regenerate": ["split"]})
+    assert ran == ["split"] and len(commits(spark, f"{tmp_dir}/run/split")) == 2
+    ran.clear()
+    workflow.run_steps(spark, steps, params | {"seed": 7})           # another seed: the samples' fingerprint changes too
+    assert ran == steps
+    ran.clear()
+    # the step died after its folder was written and before the commit: run again
+    died = {"sf_dir": SF001, "run_dir": f"{tmp_dir}/died"}
+    spark.range(1).write.parquet(f"{tmp_dir}/died/assessed/commit=assessed-half")
+    assert workflow.run_steps(spark, ["prepare"], died)["samples"].count() == counts["samples"] and ran == ["prepare"]
