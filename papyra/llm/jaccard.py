@@ -5,7 +5,11 @@ distance 1 from everything, where no pivot separates them. The first level of re
 that are single shingles: a set is replicated to its ``n - ceil(0.75 n) + 1`` first shingles in a global order (common
 shingles last, else by hash), and two sets within the threshold meet in one of these regions at least. With ``m`` shingles
 more in the prefix, two such sets share ``m + 1`` of them, so a set with fewer shingles there that any other class
-holds early as well has no partner and stops here. Within a region
+holds early as well has no partner and stops here. Among the candidates that are left, a set with less than three
+quarters of shared shingles stops as well, and the order is drawn up anew with shingles that no other candidate holds
+first and frequent ones last, so that passages which many documents share open few regions. Before a region is cut into
+cells its members are compared with one member each, the one that they share most regions with: groups of copies become
+components, and a region of one component is done. Within a region that is still open
 the pivots are documents: every member's distance to the pivots is computed, members that link with a pivot form its
 Voronoi cell (the nearest pivot of their component), and, by the triangle inequality, a member can link across its
 cell only if its distance to the pivot is no less than the distance of the nearest outsider less the threshold; the
@@ -14,9 +18,9 @@ the distance will do, for the member itself only the distance: a member whose di
 computed is of no cell. Small regions are finished pair by pair. Members that are connected already are not compared again.
 
 Regions grow with the number of documents that share a rare shingle, not with the corpus, and are never gathered: they
-are rows of a table, and pivots meet them in joins whose large keys Spark can split. Two bitmaps of fixed size (16 MB)
-are broadcast: one marks common shingles, one the shingles that two classes have in their prefixes (a Bloom filter;
-what it lets through wrongly is compared exactly and dropped).
+are rows of a table, and pivots meet them in joins whose large keys Spark can split. Bitmaps of fixed size (16 MB), two
+at a time, are broadcast: one marks common shingles, one the shingles that two classes have in their prefixes, or anywhere
+(Bloom filters; what they let through wrongly is compared exactly and dropped).
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ PERCENT = 75
 SCAN = 16  # common shingles are looked for among the first sixteenth of each set, in hash order
 COMMON = 5  # occurrences there beyond which a shingle comes last in the global order
 MORE = 10  # shingles of a set for each further shingle that a partner must share early on
+OFTEN = 8  # candidate classes that hold a shingle beyond which it comes last among the candidates
+VOTES = 2  # rounds in which a member is compared with the one partner that it shares most regions with
 LEAF = 96  # members of a region that are compared pair by pair
 SLOT_BITS = 27  # 2^27 bits: 16 MB
 SHIFTS = (0, 27, 37)  # three slots of a 64-bit hash
@@ -125,13 +131,17 @@ def _further(size: np.ndarray) -> np.ndarray:
     return size // MORE
 
 
-def _order(runs: np.ndarray, bounds: np.ndarray, common: Bitmap | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions in ``runs``, text, rank in the text's set) of all shingles in the global order."""
+def _order(runs: np.ndarray, bounds: np.ndarray, common: Bitmap | list[Bitmap] | None
+           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions in ``runs``, text, rank in the text's set) of all shingles in the global order: those in more of the
+    bitmaps later, else by hash."""
     size = np.diff(bounds)
     of = np.repeat(np.arange(len(size)), size)
     at = np.arange(len(runs))
-    if common is not None:
-        at = np.argsort(2 * of + common.holds(runs), kind="stable")  # within a text the hashes are in order already
+    last = common if isinstance(common, list) else [] if common is None else [common]
+    if last:
+        level = sum(b.holds(runs).astype(np.int64) for b in last)
+        at = np.argsort((len(last) + 1) * of + level, kind="stable")  # within a text the hashes are in order already
     return at, of, np.arange(len(runs)) - np.repeat(bounds[:-1], size)
 
 
@@ -212,29 +222,18 @@ def _met(texts: DataFrame, common) -> Bitmap:
 
 
 def _candidates(texts: DataFrame, common, met) -> DataFrame:
-    """(node, n, tokens, small, items) of the classes that may have a partner; tokens are those of the shortest prefix.
+    """(node, n, items) of the classes that may have a partner, by the shingles that they share early on.
 
     A class comes once per task that meets it.
     """
     def run(batches):
         seen: set[bytes] = set()
         for runs, bounds in _sets(batches):
-            size = np.diff(bounds)
-            at, of, rank = _order(runs, bounds, common.value)
-            early = rank < (_shortest(size) + _further(size))[of]
-            at, of, rank = at[early], of[early], rank[early]
-            hit = met.value.holds(runs[at])
-            at, of, rank = at[hit], of[hit], rank[hit]
-            # the smallest set that may link has 3/4 of the shingles, and so the least that a partner must share
-            needed = _further(-(-PERCENT * size // 100)) + 1
-            some = np.flatnonzero((np.bincount(of, minlength=len(size)) >= needed) & (size > 0))
-            short = rank < _shortest(size)[of]
-            at, of = at[short], of[short]
-            cuts = np.searchsorted(of, np.arange(len(bounds)))
+            some, _ = _meeting(runs, bounds, common.value, met.value)
             ids = _class_ids(runs, bounds)
             rows = []
             for i in some.tolist():
-                if ids[i] not in seen and cuts[i + 1] > cuts[i]:
+                if ids[i] not in seen:
                     seen.add(ids[i])
                     rows.append(i)
             if len(seen) > 200_000:
@@ -242,14 +241,67 @@ def _candidates(texts: DataFrame, common, met) -> DataFrame:
             if rows:
                 signed = runs.view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([ids[i] for i in rows], pa.binary()), pa.array(size[rows]),
-                    pa.array([signed[at[cuts[i]:cuts[i + 1]]] for i in rows], pa.list_(pa.int64())),
-                    pa.array([np.unique((runs[bounds[i]:bounds[i + 1]] >> np.uint64(20)).astype(np.uint16)).view(np.int16)
-                              for i in rows], pa.list_(pa.int16())),
-                    pa.array([signed[bounds[i]:bounds[i + 1]] for i in rows], pa.list_(pa.int64()))],
-                    ["node", "n", "tokens", "small", "items"])
+                    pa.array([ids[i] for i in rows], pa.binary()), pa.array(np.diff(bounds)[rows]),
+                    pa.array([signed[bounds[i]:bounds[i + 1]] for i in rows], pa.list_(pa.int64()))], ["node", "n", "items"])
+
+    return texts.mapInArrow(run, "node binary, n long, items array<long>")
+
 
-    return texts.mapInArrow(run, "node binary, n long, tokens array<long>, small array<smallint>, items array<long>")
+def _meeting(runs: np.ndarray, bounds: np.ndarray, common: Bitmap, met: Bitmap) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(sets that share enough of their longer prefix with any others, the shared positions of each one's shortest prefix)."""
+    size = np.diff(bounds)
+    at, of, rank = _order(runs, bounds, common)
+    early = rank < (_shortest(size) + _further(size))[of]
+    at, of, rank = at[early], of[early], rank[early]
+    hit = met.holds(runs[at])
+    at, of, rank = at[hit], of[hit], rank[hit]
+    # the smallest set that may link has 3/4 of the shingles, and so the least that a partner must share
+    needed = _further(-(-PERCENT * size // 100)) + 1
+    enough = (np.bincount(of, minlength=len(size)) >= needed) & (size > 0)
+    short = rank < _shortest(size)[of]
+    at, of = at[short], of[short]
+    cuts = np.searchsorted(of, np.arange(len(bounds)))
+    some = np.flatnonzero(enough & (np.diff(cuts) > 0))
+    return some, [at[cuts[i]:cuts[i + 1]] for i in some.tolist()]
+
+
+def _shared(raw: DataFrame) -> tuple[Bitmap, Bitmap]:
+    """Shingles that two and more candidate classes hold anywhere in their sets, and those that more than OFTEN hold."""
+    held = raw.select(F.xxhash64("node").alias("c"), F.explode("items").alias("h"))
+    counted = held.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("c").alias("n"))
+    counted = stage(counted.where("c0 <> c1").select("h", (F.col("n") > OFTEN).alias("often")), "shared-shingles")
+    return bitmap(counted, "h", SHIFTS), bitmap(counted.where("often"), "h", SHIFTS[:1])
+
+
+def _refined(raw: DataFrame, often, shared) -> DataFrame:
+    """(node, n, tokens, small, items): the candidates that may have a partner among the candidates.
+
+    A set links only if others hold three quarters of all its shingles, anywhere; and in an order in which shingles that
+    no other candidate holds come first and frequent ones last, its prefix must meet another's. Tokens are the shared
+    shingles of that prefix: a passage that many documents share is hardly among them.
+    """
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            runs = lists.values.to_numpy()[bounds[0]:bounds[-1]].view(np.uint64)
+            bounds = bounds - bounds[0]
+            size = np.diff(bounds)
+            total = np.zeros(len(runs) + 1, np.int64)
+            np.cumsum(shared.value.holds(runs), out=total[1:])
+            full = 100 * (total[bounds[1:]] - total[bounds[:-1]]) >= PERCENT * size
+            order = [shared.value, often.value]
+            some, at = _meeting(runs, bounds, order, shared.value)
+            keep = full[some]
+            rows, at = some[keep], [x for x, k in zip(at, keep.tolist(), strict=True) if k]
+            signed = runs.view(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array(rows)), pa.array(size[rows]), pa.array([signed[x] for x in at], pa.list_(pa.int64())),
+                pa.array([np.unique((runs[bounds[i]:bounds[i + 1]] >> np.uint64(20)).astype(np.uint16)).view(np.int16)
+                          for i in rows.tolist()], pa.list_(pa.int16())),
+                batch.column(2).take(pa.array(rows))], ["node", "n", "tokens", "small", "items"])
+
+    return raw.mapInArrow(run, "node binary, n long, tokens array<long>, small array<smallint>, items array<long>")
 
 
 def _near_size(a: Column, b: Column) -> Column:
@@ -305,7 +357,11 @@ def links(docs: DataFrame, text: str = "text", max_levels: int = 40
     texts = docs.select(F.col(text).alias("text"))
     common = spark.sparkContext.broadcast(_common(texts))
     met = spark.sparkContext.broadcast(_met(texts, common))
-    found_sets = _candidates(texts, common, met).withColumn("number", F.monotonically_increasing_id())
+    candidates = stage(_candidates(texts, common, met), "candidates")
+    common.unpersist()
+    met.unpersist()
+    shared, often = (spark.sparkContext.broadcast(b) for b in _shared(candidates))
+    found_sets = _refined(candidates, often, shared).withColumn("number", F.monotonically_increasing_id())
     raw = stage(found_sets, "candidate-sets")  # numbered when stored; a class goes by its smallest number
     names = stage(raw.groupBy(F.col("node").alias("class")).agg(F.min("number").alias("node")), "class-numbers")
     sets = raw.select(F.col("number").alias("node"), "n", "small", "items")
@@ -317,8 +373,7 @@ def links(docs: DataFrame, text: str = "text", max_levels: int = 40
         F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("size > 1")
         .groupBy("size", "x", "y").agg(F.min("region").alias("region")).select("region"))
     members = stage(members.join(kinds, "region"), "regions")
-    compared: DataFrame | None = None
-    found: DataFrame | None = None
+    members, compared, found = _votes(members, sets)
     epsilon = 1 - PERCENT / 100
     for level in range(max_levels):
         if members.isEmpty():
@@ -332,8 +387,8 @@ def links(docs: DataFrame, text: str = "text", max_levels: int = 40
         pivots = stage(pivots.select("region", F.col("node").alias("pivot"), F.col("n").alias("pn")), "pivots")
         met_at = members.select("region", "node", "n").join(pivots, "region").where("node <> pivot")
         near = met_at.where(_near_size(F.col("n"), F.col("pn")))
-        compared = _extend(compared, near.select(*_ordered(F.col("node"), F.col("pivot"))).distinct(), sets)
-        found = _components(compared)
+        compared, fresh = _extend(compared, near.select(*_ordered(F.col("node"), F.col("pivot"))).distinct(), sets)
+        found = _components(found, fresh)
         placed = _roots(members.select("region", "node", "n"), found)
         # distance of every member to every pivot: a lower bound where the sizes or the 16 bits rule a link out
         far = 1 - F.least("n", "pn") / F.greatest("n", "pn")
@@ -363,33 +418,86 @@ def links(docs: DataFrame, text: str = "text", max_levels: int = 40
         other = leaves.select("region", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
         last = (leaves.join(other, "region").where("node < node2 and root <> root2")
                 .where(_near_size(F.col("n"), F.col("n2"))).select(*_ordered(F.col("node"), F.col("node2"))).distinct())
-        compared = _extend(compared, last, sets)
+        compared, fresh = _extend(compared, last, sets)
+        found = _components(found, fresh)
         share = kept.groupBy("region", "root").agg(F.count("node").alias("share"))
         members = stage(rest.where(F.col("size") > LEAF).join(share, ["region", "root"])
                         .select("region", "node", "n", "share"), "members")
     else:
         raise RuntimeError("regions did not settle")
     if compared is None:
-        return names, None, spark.createDataFrame([], "a long, b long, inter long, total long, exact boolean")
-    return names, _components(compared), compared
+        compared = spark.createDataFrame([], "a long, b long, inter long, total long, exact boolean")
+    return names, found, compared
 
 
-def _extend(compared: DataFrame | None, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``compared`` and the pairs that are not in it yet, compared."""
-    if compared is None:
-        return stage(_compare(pairs, sets), "compared")
-    fresh = stage(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-    if fresh.isEmpty():
-        return compared
-    # later levels ask for few sets: those alone move
-    asked = stage(fresh.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+def _votes(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(members of the regions that are still open, compared pairs, components) after a few rounds in which each member is compared
+    with one partner: of the first members of other components in its regions, the one that it meets most often.
+
+    A round compares at most one pair per member, however large a group of copies is, and a region whose members are of
+    one component has nothing left to find.
+    """
+    compared: DataFrame | None = None
+    found: DataFrame | None = None
+    for _ in range(VOTES):
+        if members.isEmpty():
+            return members, compared, found
+        placed = _roots(members, found)
+        ends = placed.groupBy("region").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+        placed = stage(placed.join(ends, "region"), "open-regions")
+        members = placed.select("region", "node", "n")
+        first = placed.where("root = r0 or root = r1").groupBy("region", "root").agg(F.min(F.struct("node", "n")).alias("p"))
+        first = first.select("region", F.col("root").alias("facing"), F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"))
+        facing = F.when(F.col("root") == F.col("r0"), F.col("r1")).otherwise(F.col("r0"))
+        met = placed.withColumn("facing", facing).join(first, ["region", "facing"]).where(_near_size(F.col("n"), F.col("pn")))
+        votes = met.groupBy(*_ordered(F.col("node"), F.col("pivot"))).agg(F.count("region").alias("votes"))
+        if compared is not None:
+            votes = votes.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+        each = votes.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "votes")
+        picked = each.groupBy("node").agg(F.max(F.struct("votes", "a", "b")).alias("v"))
+        pairs = stage(picked.select("v.a", "v.b").distinct(), "voted")
+        if pairs.isEmpty():
+            break
+        fresh = stage(_compare(pairs, sets), "compared")
+        compared = fresh if compared is None else compared.unionByName(fresh)
+        found = _components(found, fresh)
+    placed = _roots(members, found)
+    ends = placed.groupBy("region").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    return stage(members.join(ends.select("region"), "region"), "open-regions"), compared, found
+
+
+def _extend(compared: DataFrame | None, pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(``compared`` with the pairs that are not in it yet, those pairs or None); they are a table of their own, and no pair is
+    written again."""
+    fresh = pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti")
+    fresh = stage(fresh, "pairs")
+    if compared is not None and fresh.isEmpty():
+        return compared, None
+    # few sets are asked for: those alone move
+    asked = fresh.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     few = stage(sets.join(asked, "node", "left_semi"), "asked-sets")
-    return stage(compared.unionByName(_compare(fresh, few)), "compared")
+    fresh = stage(_compare(fresh, few), "compared")
+    return (fresh if compared is None else compared.unionByName(fresh)), fresh
 
 
-def _components(compared: DataFrame) -> DataFrame | None:
-    linked = compared.where(_linked()).select("a", "b")
-    return None if linked.isEmpty() else stage(components(linked), "components")
+def _components(found: DataFrame | None, fresh: DataFrame | None) -> DataFrame | None:
+    """(node, root) of the linked nodes, from those known so far and freshly compared pairs: the links join roots, and
+    only the roots that they join are looked at."""
+    if fresh is None:
+        return found
+    links = fresh.where(_linked()).select("a", "b")
+    if found is None:
+        return None if links.isEmpty() else stage(components(links), "components")
+    a, b = (found.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    joined = links.join(a, "a", "left").join(b, "b", "left").select(
+        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
+    joined = stage(joined, "joined-roots")
+    if joined.isEmpty():
+        return found
+    top = stage(components(joined), "components")
+    moved = found.join(top.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left")
+    moved = moved.select("node", F.coalesce("over", "root").alias("root"))
+    return stage(moved.unionByName(top.join(found, "node", "left_anti")), "components")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
