@@ -29,6 +29,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plain_columns(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that no operator uses, and those names by the old ones."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def own_name(column: str, added: list[str]) -> str:
+    """The name under which a document's own column leaves an operator that adds columns ``added``."""
+    return f"_own_{column}" if column.lower() in added else column
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, UPPER.lower())

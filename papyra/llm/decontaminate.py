@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stage
+from .common import ascii_lower, own_name, plain_columns, stage
 
 WINDOW = 10
 GRAM = 5
@@ -113,15 +113,19 @@ def _short_hash(short: list[int]) -> Column:
     return out.alias("fp")
 
 
+ADDED = ["n_words", "n_hit", "item_ids"]
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` plus n_words, n_hit (words inside an occurring window), item_ids (items with occurring windows).
 
     Null and empty texts have no words. A null item id counts towards n_hit but names no item. Rows that repeat an id
-    and a text get the same result.
+    and a text get the same result. A column of ``docs`` that has the name of an added one is returned as ``_own_<name>``.
     """
-    found = hits(docs, items, key, text).withColumnsRenamed({"_id": "_hid", "_t": "_ht"})
-    rows = docs.withColumn("_t", F.xxhash64(text)).withColumn("n_words", F.size(_words(text)).cast("long"))
-    joined = rows.join(found, rows["_t"].eqNullSafe(found["_ht"]) & rows[key].eqNullSafe(found["_hid"]), "left")
-    return joined.select(
-        *docs.columns, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    rows, names = plain_columns(docs)
+    found = hits(rows, items, names[key], names[text]).withColumnsRenamed({"_id": "_hid", "_t": "_ht"})
+    rows = rows.withColumn("_t", F.xxhash64(names[text])).withColumn("_n", F.size(_words(names[text])).cast("long"))
+    joined = rows.join(found, rows["_t"].eqNullSafe(found["_ht"]) & rows[names[key]].eqNullSafe(found["_hid"]), "left")
+    done = joined.select(*names.values(), F.col("_n").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+                         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    return done.select(*[F.col(n).alias(own_name(c, ADDED)) for c, n in names.items()], *ADDED)

@@ -26,6 +26,7 @@ at a time, are broadcast: one marks common shingles, one the shingles that two c
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,6 +106,12 @@ class Bitmap:
     def __init__(self, bits: bytes, shifts: tuple[int, ...]):
         self.bits, self.shifts = np.frombuffer(bits, np.uint8), shifts
 
+    def __getstate__(self):  # few bits of a small input are set
+        return zlib.compress(self.bits.tobytes(), 1), self.shifts
+
+    def __setstate__(self, state):
+        self.__init__(zlib.decompress(state[0]), state[1])
+
     def holds(self, h: np.ndarray) -> np.ndarray:
         out = np.ones(len(h), bool)
         for s in self.shifts:
@@ -358,11 +365,13 @@ def links(docs: DataFrame, text: str = "text", max_levels: int = 40
     common = spark.sparkContext.broadcast(_common(texts))
     met = spark.sparkContext.broadcast(_met(texts, common))
     candidates = stage(_candidates(texts, common, met), "candidates")
-    common.unpersist()
-    met.unpersist()
+    common.destroy()
+    met.destroy()
     shared, often = (spark.sparkContext.broadcast(b) for b in _shared(candidates))
     found_sets = _refined(candidates, often, shared).withColumn("number", F.monotonically_increasing_id())
     raw = stage(found_sets, "candidate-sets")  # numbered when stored; a class goes by its smallest number
+    shared.destroy()
+    often.destroy()
     names = stage(raw.groupBy(F.col("node").alias("class")).agg(F.min("number").alias("node")), "class-numbers")
     sets = raw.select(F.col("number").alias("node"), "n", "small", "items")
     members = stage(raw.select(F.col("number").alias("node"), "n", "tokens").join(names.select("node"), "node")

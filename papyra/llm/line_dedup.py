@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import own_name, plain_columns
+
 SIZE = 3
 
 
@@ -53,22 +55,29 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return later.select("_id", "_t", cover.alias("covered"))
 
 
+ADDED = ["n_lines", "n_removed", "n_spans"]
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the text left over, plus n_lines, n_removed and n_spans (maximal removed runs).
 
-    A null text stays null with no lines; an empty text has none either.
+    A null text stays null with no lines; an empty text has none either. A column of ``docs`` that has the name of an
+    added one is returned as ``_own_<name>``.
     """
-    marked = repeated_lines(docs, key, text).select(
+    rows, names = plain_columns(docs)
+    body = names[text]
+    marked = repeated_lines(rows, names[key], body).select(
         F.col("_id").alias("_mid"), F.col("_t").alias("_mt"), F.col("covered").alias("_covered"))
-    rows = _keyed(docs, key, text)
+    rows = _keyed(rows, names[key], body)
     joined = rows.join(marked, rows["_t"].eqNullSafe(marked["_mt"]) & rows["_id"].eqNullSafe(marked["_mid"]), "left")
-    cut = _lines(joined, text)
+    cut = _lines(joined, body)
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_covered"))
     runs = F.filter("_covered", lambda x, j: (j == 0) | (F.get(F.col("_covered"), j - 1) != x - 1))
     left = F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")
-    return cut.select(
-        *[F.when(F.col("_covered").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c)
-          for c in docs.columns],
-        F.when(F.length(F.coalesce(F.col(text), F.lit(""))) > 0, F.size("_lines")).otherwise(0).cast("long").alias("n_lines"),
+    left = F.when(F.col("_covered").isNull(), F.col(body)).otherwise(left)
+    done = cut.select(
+        *[(left if c == text else F.col(n)).alias(n) for c, n in names.items()],
+        F.when(F.length(F.coalesce(F.col(body), F.lit(""))) > 0, F.size("_lines")).otherwise(0).cast("long").alias("n_lines"),
         F.when(F.col("_covered").isNull(), 0).otherwise(F.size("_covered")).cast("long").alias("n_removed"),
         F.when(F.col("_covered").isNull(), 0).otherwise(F.size(runs)).cast("long").alias("n_spans"))
+    return done.select(*[F.col(n).alias(own_name(c, ADDED)) for c, n in names.items()], *ADDED)

@@ -13,6 +13,7 @@ from papyra.llm import warc
 from papyra.llm.ann import nearest
 from papyra.llm.common import crc_mod
 from papyra.llm.decontaminate import decontaminate
+from papyra.llm.line_dedup import dedup_lines
 from papyra.llm.sentencepieces import build_tokenizer, decode_ids, encode_texts, parse_model, read_model
 from papyra.llm.warc import derive, read_warc, responses_of_pages, write_warc
 
@@ -282,3 +283,27 @@ def test_pipeline_near_duplicates_by_row(spark):
     assert len(one) == 1 and one[0] in rows
     assert [r for r in left if r not in one] == sorted(
         [rows[0], rows[2], rows[4], rows[8], rows[9], rows[10]], key=str)
+
+
+CLASHES = ["_t", "_id", "_covered", "_lines", "_mid", "_mt", "_h", "_hid", "_ht", "_text", "_words", "_sid", "_st", "_n", "_c0", "_c1",
+           "at", "pos", "fp", "n", "window", "covered", "words", "n_lines", "n_removed", "n_spans", "n_words", "n_hit", "item_ids"]
+
+
+def test_extra_columns_with_the_names_of_the_operators(spark):
+    """Every internal and output name as a column of the documents: same results, own values kept."""
+    from papyra.llm.decontaminate import ADDED as HITS
+    from papyra.llm.line_dedup import ADDED as LINES
+    docs = documents(spark).limit(60).select("doc_id", "text")
+    clash = docs.select("*", *[F.concat(F.lit(f"{c}-"), "doc_id").alias(c) for c in CLASHES])
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    for added, run in ((LINES, dedup_lines), (HITS, lambda d: decontaminate(d, bench))):
+        want = {r.doc_id: r for r in run(docs).collect()}
+        got = run(clash).collect()
+        assert len(got) == len(want)
+        for r in got:
+            assert all(r[c] == want[r.doc_id][c] for c in ["text", *added])
+            assert all(r[f"_own_{c}" if c in added else c] == f"{c}-{r.doc_id}" for c in CLASHES)
+    step = dict(corpus_pipeline.STAGES)["benchmark decontamination"]
+    wide = documents(spark).limit(60)
+    more = wide.select("*", *[F.lit("x").alias(c) for c in CLASHES])
+    assert sorted(r.doc_id for r in step(spark, more, SF).collect()) == sorted(r.doc_id for r in step(spark, wide, SF).collect())
