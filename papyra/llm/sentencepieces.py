@@ -146,12 +146,15 @@ class Codec:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads or 2))
         self.model = parse_model(raw)
-        self.cuts = not (self.model.crossing or self.model.charsmap or self.model.collapse_spaces)
+        # without byte fallback a run of unknown characters is one token, which a cut would part
+        self.cuts = self.model.byte_fallback and not (self.model.crossing or self.model.charsmap or self.model.collapse_spaces)
         self.cut_tokenizer = build_tokenizer(self.model, prefix=not self.cuts)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=raw) if parity else None
         self.prefix = self.cuts and self.model.dummy_prefix
         line = self.cut_tokenizer.encode("\n").ids if self.cuts else []
-        self.line = line[0] if len(line) == 1 else None
+        # a line break must be a token of its own, not one that stands for other characters as well
+        alone = len(line) == 1 and self.model.pieces[line[0]][::2] in (("\n", NORMAL), ("\n", USER), ("<0x0A>", BYTE))
+        self.line = line[0] if alone else None
         # the bytes that each id stands for
         spelled = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode()
                    for p, _, kind in self.model.pieces]
