@@ -661,6 +661,8 @@ SELECT page_id, 'Press ' || page_id AS title,
        'c' || (page_id % 7) AS category, '+++ Short ' || page_id || ' +++' AS teaser, 'array' AS text_kind,
        'Box ' || page_id || '|deep|First ' || page_id || '|Last & done' AS body
 FROM pages"""
+ORACLE["char_body_samples"] = ORACLE["training_samples"].replace("THEN [l[2]]", "THEN string_split(l[2], '')")
+ORACLE["workflow_split"] = ORACLE["train_eval_split"]
 ORACLE["indexed_new_docs"] = sql(["articles"], """
 SELECT idx, article_id, title FROM articles WHERE idx NOT IN (SELECT doc_id FROM labels)""")
 ORACLE["committed_samples"] = sql(["samples"], """

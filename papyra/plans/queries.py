@@ -129,6 +129,25 @@ def q_prompt_lines(spark, sf_dir):
                         F.col("line_no").alias("prompt_pos"), py_strip(F.col("value")).alias("prompt"))
 
 
+@register("char_body_samples")
+def q_char_body_samples(spark, sf_dir):
+    """Training samples of the scanned raw JSONL with string bodies taken character by character."""
+    from papyra.sources.readers import normalise_text, read_raw_articles, well_formed
+    path = _written(spark, "raw-articles", views.raw_article_json(spark, sf_dir).write.text)
+    return clean.training_samples(normalise_text(well_formed(read_raw_articles(spark, path)), body_mode="chars"))
+
+
+@register("workflow_split")
+def q_workflow_split(spark, sf_dir):
+    """Prepare and split as committed steps (an unknown step is skipped); a second run reads what the first left."""
+    from papyra.plans.workflow import run_steps
+    from papyra.session import scratch_path
+    params = {"sf_dir": sf_dir, "run_dir": scratch_path(spark, "workflow")}
+    run_steps(spark, ["prepare"], params)
+    split = run_steps(spark, ["prepare", "unknown", "split"], params)["split"]
+    return split.select("idx", "article_id", "split", "rank", "split_rank")
+
+
 # ---- page extraction (E1-E9) -------------------------------------------------------
 
 def _pages(spark, sf_dir):
