@@ -383,16 +383,15 @@ def links(docs: DataFrame, text: str = "text", max_levels: int = 40
         .groupBy("size", "x", "y").agg(F.min("region").alias("region")).select("region"))
     members = stage(members.join(kinds, "region"), "regions")
     members, compared, found = _votes(members, sets)
+    members = _shares(_roots(members, found))
     epsilon = 1 - PERCENT / 100
     for level in range(max_levels):
         if members.isEmpty():
             break
-        if level == 0:
-            pivots = members.groupBy("region").agg(F.min(F.struct("node", "n")).alias("p")).select("region", "p.*")
-        else:
-            # members of small components first: they are the ones with pairs left to compare
-            order = F.row_number().over(Window.partitionBy("region").orderBy("share", "node"))
-            pivots = members.withColumn("i", order).where(F.col("i") <= 4 * 4 ** level).select("region", "node", "n")
+        # one member of each component, the largest components first: their cells lose most members
+        first = members.groupBy("region", "root").agg(F.min(F.struct("node", "n")).alias("p"), F.first("share").alias("share"))
+        order = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("share"), "p.node"))
+        pivots = first.withColumn("i", order).where(F.col("i") <= 2 << level).select("region", "p.node", "p.n")
         pivots = stage(pivots.select("region", F.col("node").alias("pivot"), F.col("n").alias("pn")), "pivots")
         met_at = members.select("region", "node", "n").join(pivots, "region").where("node <> pivot")
         near = met_at.where(_near_size(F.col("n"), F.col("pn")))
@@ -429,9 +428,7 @@ def links(docs: DataFrame, text: str = "text", max_levels: int = 40
                 .where(_near_size(F.col("n"), F.col("n2"))).select(*_ordered(F.col("node"), F.col("node2"))).distinct())
         compared, fresh = _extend(compared, last, sets)
         found = _components(found, fresh)
-        share = kept.groupBy("region", "root").agg(F.count("node").alias("share"))
-        members = stage(rest.where(F.col("size") > LEAF).join(share, ["region", "root"])
-                        .select("region", "node", "n", "share"), "members")
+        members = _shares(rest.where(F.col("size") > LEAF))
     else:
         raise RuntimeError("regions did not settle")
     if compared is None:
@@ -439,6 +436,12 @@ def links(docs: DataFrame, text: str = "text", max_levels: int = 40
     return names, found, compared
 
 
+def _shares(placed: DataFrame) -> DataFrame:
+    """Members (region, node, n, root) with the number of their component's members in the region."""
+    share = placed.groupBy("region", "root").agg(F.count("node").alias("share"))
+    return stage(placed.join(share, ["region", "root"]).select("region", "node", "n", "root", "share"), "members")
+
+
 def _votes(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(members of the regions that are still open, compared pairs, components) after a few rounds in which each member is compared
     with one partner: of the first members of other components in its regions, the one that it meets most often.
