@@ -182,6 +182,7 @@ def step_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     n = F.col("user_id").cast("string")
     seconds = F.format_string("%.2f", "value")
+    # The forms of the messages of a run log
     say = (F.when(F.col("event_id") % 4 == 0, F.lit("Start crawling articles..."))
            .when(F.col("event_id") % 4 == 1, F.concat(F.lit("Total loaded articles: "), n))
            .when(F.col("event_id") % 4 == 2, F.concat(F.lit("Finished scrolling after "), seconds, F.lit(" seconds.")))
