@@ -84,6 +84,20 @@ def test_jaccard_drifting_groups(spark, monkeypatch, common):
     assert got == linked_components(dict(rows))
 
 
+def test_jaccard_large_region_closes_in_blocks(spark, monkeypatch):
+    """A region that pivots leave open is finished in blocks of members, in as few stages as any other."""
+    monkeypatch.setattr(jaccard, "SIDE", 16)
+    monkeypatch.setattr(jaccard, "WIDE", 64)
+    names: list[str] = []
+    stored = jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", lambda df, name: names.append(name) or stored(df, name))
+    rows = make_variants(7, 150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs).collect()}
+    assert got == linked_components(dict(rows))
+    assert names.count("pivots") <= 1 and "closing" in names
+
+
 def test_jaccard_odd_rows(spark):
     rows = jaccard_components(odd_docs(spark)).collect()
     assert len(rows) == 11
