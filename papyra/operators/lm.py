@@ -86,8 +86,10 @@ def ngram_logprobs(m: NgramModels, ngrams: DataFrame) -> DataFrame:
     """Log-probability of each distinct (prev, tok) under each variant.
 
     The joined tables are unique per key; the distinct n-grams repeat a token once
-    per neighbour, which AQE splits where one neighbour is very common.
+    per neighbour, which AQE splits where one neighbour is very common. Further
+    columns of ``ngrams`` are kept.
     """
+    kept = [c for c in ngrams.columns if c not in ("prev", "tok")]
     tok_stats = m.token_stats.select("tok", "c_doc", "c_tr")
     prev_stats = m.token_stats.select(F.col("tok").alias("prev"), "c_prev")
     g = ngrams.join(tok_stats, "tok", "left").join(m.train_bi, ["prev", "tok"], "left").join(prev_stats, "prev", "left")
@@ -95,7 +97,7 @@ def ngram_logprobs(m: NgramModels, ngrams: DataFrame) -> DataFrame:
     p_base = (c("c_doc") + 1.0) / F.lit(float(m.n_doc + m.v_doc))
     p_uni = (c("c_tr") + 1.0) / F.lit(float(m.n_tr + m.v_tr))
     p_bi = (c("c_bi") + 1.0) / (c("c_prev") + F.lit(float(m.v_tr)))
-    return g.select("prev", "tok",
+    return g.select("prev", "tok", *kept,
                     F.ln(p_base).alias("lp_base"),
                     F.ln(F.lit(m.lam) * p_uni + F.lit(1 - m.lam) * p_base).alias("lp_m1b"),
                     F.ln(F.lit(m.lam) * p_bi + F.lit(1 - m.lam) * p_base).alias("lp_full"))
@@ -153,26 +155,32 @@ def perplexity(loss: Column) -> Column:
 
 
 def counted_ngrams(df: DataFrame, keys: list[str], toks: Column, answers_from: str | None = None) -> DataFrame:
-    """(keys..., prev, tok, n, n_answer): how often each n-gram occurs in the texts of a key, and how often at a position
-    of ``answers_from`` (a column) and later. Counted before anything is joined, and within a task before it moves."""
+    """(keys..., prev, tok, n, n_answer): occurrences of n-grams in the texts of a key, and those at a position of
+    ``answers_from`` (a column) and later. Without keys one row per n-gram, counted within a task before it moves; with
+    keys one row per position, which nothing has moved yet: a text hardly repeats an n-gram."""
     extra = [answers_from] if answers_from else []
     pos = positions(df, [*keys, *extra], toks)
-    late = F.sum((F.col("pos") >= F.col(answers_from)).cast("bigint")) if answers_from else F.lit(0).cast("bigint")
-    return pos.groupBy(*keys, "prev", "tok").agg(F.count(F.lit(1)).alias("n"), late.alias("n_answer"))
+    late = (F.col("pos") >= F.col(answers_from)).cast("bigint") if answers_from else F.lit(0).cast("bigint")
+    each = pos.select(*keys, "prev", "tok", F.lit(1).cast("bigint").alias("n"), late.alias("n_answer"))
+    return each if keys else each.groupBy("prev", "tok").agg(F.sum("n").alias("n"), F.sum("n_answer").alias("n_answer"))
 
 
 def nll_of_counts(m: NgramModels, counted: DataFrame, keys: list[str], models=tuple(VARIANT_COLUMNS)) -> DataFrame:
     """(model, keys..., n_tokens, nll, n_answer_tokens, nll_answer) of ``counted_ngrams``.
 
     Log-probs are computed once per distinct n-gram; they meet the counts in a join in which no n-gram gathers in a task,
-    and the sums of all variants are taken together before the rows are told apart by model.
+    and the sums of all variants are taken together before the rows are told apart by model. Without keys the counts are
+    the distinct n-grams already, and are scored where they are.
     """
     from papyra.operators.blocks import heavy_join
     from papyra.session import materialize
-    counted = materialize(counted, "ngram-counts")
-    rows = counted.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("n"))
-    distinct = materialize(rows, "distinct-ngrams")
-    scored = heavy_join(counted, ngram_logprobs(m, distinct.select("prev", "tok")), ["prev", "tok"], counted=distinct)
+    if keys:
+        counted = materialize(counted, "ngram-counts")
+        rows = counted.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("n"))
+        lp = materialize(ngram_logprobs(m, rows), "lm-ngram-logprobs")   # the join reads it twice
+        scored = heavy_join(counted, lp.drop("n"), ["prev", "tok"], counted=lp)
+    else:
+        scored = ngram_logprobs(m, counted)
     sums = [F.sum(F.col(w) * F.col(VARIANT_COLUMNS[name])).alias(f"{w}:{name}") for name in models for w in ("n", "n_answer")]
     total = scored.groupBy(*keys).agg(F.sum("n").alias("n_tokens"), F.sum("n_answer").alias("n_answer_tokens"), *sums)
     mean = lambda w, name, n: F.when(F.col(n) > 0, -F.col(f"`{w}:{name}`") / F.col(n))

@@ -70,3 +70,19 @@ def test_token_logprobs_prompt_positions(spark):
     empty = spark.createDataFrame([(8, "", None)], "id bigint, question string, answer string")
     nll = lm.masked_nll(lm.token_logprobs(m, empty)).where("model = 'base'").first()
     assert nll["nll"] is None and nll["n_answer_tokens"] == 0
+
+
+def test_nll_scores_each_ngram_once(spark, monkeypatch):
+    """The n-grams are looked up in one stored pass, for texts with and without keys, and ids may repeat."""
+    calls = []
+    real = lm.ngram_logprobs
+    monkeypatch.setattr(lm, "ngram_logprobs", lambda m, g: calls.append(g.columns) or real(m, g))
+    m = lm.fit(spark.createDataFrame([(d,) for d in DOCS], "text string"), spark.createDataFrame([(d,) for d in TRAIN], "x string"))
+    twice = spark.createDataFrame([(1, "the cat the cat sat"), (1, "the dog"), (None, "the cat")], "item_id bigint, text string")
+    counted = lm.counted_ngrams(twice, ["item_id"], F.split("text", " "))
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    keyed = {r["item_id"]: r for r in lm.nll_of_counts(m, counted, ["item_id"]).where("model = 'FT_full'").collect()}
+    assert {k: r["n_tokens"] for k, r in keyed.items()} == {1: 7, None: 2}
+    total = lm.corpus_nll(m, twice, "text").where("model = 'FT_full'").first()
+    assert total["n_tokens"] == 9 and abs(total["nll"] - sum(r["nll"] * r["n_tokens"] for r in keyed.values()) / 9) < 1e-12
+    assert calls == [["prev", "tok", "n"], ["prev", "tok", "n", "n_answer"]]
