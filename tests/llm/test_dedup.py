@@ -98,6 +98,29 @@ def test_jaccard_large_region_closes_in_blocks(spark, monkeypatch):
     assert names.count("pivots") <= 1 and "closing" in names
 
 
+def test_jaccard_blocks_spare_pairs_that_are_known_or_meet_elsewhere(spark, monkeypatch):
+    """Every pair of two components meets in a block, and a group of one component is not replicated to its own blocks."""
+    monkeypatch.setattr(jaccard, "SIDE", 16)
+    # regions 1, 2 and 3 hold nearly the same members, of one large component and a few others; 4 is small, 5 is done
+    regions = {1: range(0, 400), 2: range(5, 395), 3: range(5, 380), 4: range(396, 404), 5: range(100, 200)}
+    rows = [(r, n, 10) for r, nodes in regions.items() for n in nodes]
+    closing = spark.createDataFrame(rows, "region long, node long, n long")
+    roots = {n: 0 if 8 <= n < 392 else n for n in range(404)}
+    found = spark.createDataFrame([(n, r) for n, r in roots.items() if r == 0], "node long, root long")
+    dealt, copies = jaccard._dealt(closing, found)
+    dealt = dealt.collect()
+    assert copies == sum(r.copies for r in dealt) < 4 * sum(map(len, regions.values())) and {r.region for r in dealt} <= {1, 2, 3, 4}
+    blocks = {}
+    for r in dealt:
+        for k in range(r.copies):
+            blocks.setdefault((r.region, min(r.own, k), max(r.own, k)), []).append(r)
+    met = {(min(x.node, y.node), max(x.node, y.node)) for (_, i, j), b in blocks.items()
+           for x in b if x.own == i for y in b if y.own == j and x.node != y.node}
+    wanted = {(a, b) for nodes in regions.values() for a in nodes for b in nodes if a < b and roots[a] != roots[b]}
+    assert wanted <= met
+    assert max(sum(r.node == n for r in b) for b in blocks.values() for n in (b[0].node,)) == 1
+
+
 def test_jaccard_odd_rows(spark):
     rows = jaccard_components(odd_docs(spark)).collect()
     assert len(rows) == 11
