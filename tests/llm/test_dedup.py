@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 from papyra.llm import jaccard, suffix_dedup
-from papyra.llm.components import components
+from papyra.llm.components import components, few_components
 from papyra.llm.jaccard import jaccard_components
 from papyra.llm.line_dedup import dedup_lines
 from papyra.llm.suffix_dedup import blind_trie, deep_shallow, remove_repeats
@@ -130,6 +130,28 @@ def test_jaccard_odd_rows(spark):
     assert jaccard_components(no_docs(spark)).count() == 0
 
 
+def test_jaccard_few_links_need_no_rounds(spark, monkeypatch):
+    """The links of a step join in one task as far as they are few, and in rounds beyond, to the same components."""
+    rows = make_variants(11, 12)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names: list[str] = []
+    monkeypatch.setattr("papyra.llm.components.stage", lambda df, name, f=jaccard.stage: names.append(name) or f(df, name))
+    for few, rounds in ((jaccard.FEW, False), (0, True)):
+        monkeypatch.setattr(jaccard, "FEW", few)
+        got = {r.doc_id: r.component_id for r in jaccard_components(docs).collect()}
+        assert got == linked_components(dict(rows)) and ("star" in names) == rounds
+
+
+def test_few_components_as_by_rounds(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(90), rng.randrange(90)) for _ in range(40)] + [(i, i - 1) for i in range(1060, 1000, -1)]
+    rng.shuffle(pairs)
+    links = spark.createDataFrame([*pairs, (5000, 5000)], "a long, b long").repartition(5)
+    got = sorted(map(tuple, few_components(links).collect()))
+    assert got == sorted(map(tuple, components(links).collect())) and len(got) == len(dict(got))
+    assert few_components(links.where("a < 0")).count() == 0
+
+
 def test_components_of_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
